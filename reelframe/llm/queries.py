@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelframe.llm import packing, quality, sharding, tokenbin, warc
+from reelframe.llm import chat, mixing, packing, quality, sharding, tokenbin, warc
 from reelframe.llm.tokens import public_vocabulary
 
 
@@ -32,24 +32,40 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_digest(_table(spark, sf_dir, "pages"))
 
 
+#: Both turns of the added conversation say this: control strings inside texts.
+CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
+
+
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_TEXT).alias("text"))
+    return chat.conversation_digest(turns.unionByName(added))
+
+
+def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_counts(_table(spark, sf_dir, "documents"))
+
+
 def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.token_digest(_table(spark, sf_dir, "documents"), public_vocabulary("byte_bpe_50k.json"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_sharding, op4_warc, op8_token_binary)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_sharding, op4_warc, op5_chat_formatting, op6_mixing_sources, op8_token_binary)}
 
 
 OP2_SQL = r"""
 WITH words AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-places AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM words),
-windows AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i:i + 7]) AS n FROM places),
+placed AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM words),
+grams AS (SELECT doc_id, i, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o
+    || ' ' || lead(w, 5) OVER o || ' ' || lead(w, 6) OVER o || ' ' || lead(w, 7) OVER o AS g FROM placed WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+windows AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM grams WHERE g IS NOT NULL),
 covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM windows, (SELECT unnest(range(0, 8)) AS k) WHERE n > 1 GROUP BY doc_id),
 figures AS (
   SELECT words.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
     length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
-    (len(list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')))
-      - len(list_distinct(list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines,
+    (len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
+      - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines,
     coalesce(covered.n, 0)::BIGINT AS n_repeat_words, len(string_split(t, chr(10))) AS n_lines
   FROM words LEFT JOIN covered ON words.doc_id = covered.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
@@ -70,5 +86,21 @@ FROM d
 """
 
 
+OP5_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+sized AS (SELECT *, 12 + length(replace(replace(regexp_replace(role, '<(\\*)\|', '<\1\\|', 'g'), '%', '%25'), chr(10), '%0A')) + 1
+    + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) + 11 AS chars FROM turns)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2_SQL, "op4_warc": OP4_SQL}
+    return {"op2_quality_rules": OP2_SQL, "op4_warc": OP4_SQL, "op5_chat_formatting": OP5_SQL}
