@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelframe.llm import chat, mixing, packing, quality, sharding, tokenbin, warc
+from reelframe.llm import chat, mixing, packing, quality, sharding, simhash, tokenbin, warc
 from reelframe.llm.tokens import public_vocabulary
 
 
@@ -50,8 +50,13 @@ def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.token_digest(_table(spark, sf_dir, "documents"), public_vocabulary("byte_bpe_50k.json"))
 
 
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_sharding, op4_warc, op5_chat_formatting, op6_mixing_sources, op8_token_binary)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_sharding, op4_warc, op5_chat_formatting, op6_mixing_sources, op8_token_binary, op10_simhash_near_dedup)}
 
 
 OP2_SQL = r"""
