@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelframe.llm import chat, mixing, packing, quality, sharding, simhash, tokenbin, warc
+from reelframe.llm import chat, embeddup, mixing, packing, quality, sharding, simhash, tokenbin, warc
 from reelframe.llm.tokens import public_vocabulary
 
 
@@ -50,13 +50,18 @@ def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.token_digest(_table(spark, sf_dir, "documents"), public_vocabulary("byte_bpe_50k.json"))
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embeddup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "n_links", "component_id", F.expr("vec_id = component_id").alias("kept"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_sharding, op4_warc, op5_chat_formatting, op6_mixing_sources, op8_token_binary, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_sharding, op4_warc, op5_chat_formatting, op6_mixing_sources, op8_token_binary, op9_embedding_near_dedup, op10_simhash_near_dedup)}
 
 
 OP2_SQL = r"""
@@ -107,5 +112,19 @@ FROM sized GROUP BY conv_id
 """
 
 
+OP9_SQL = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+normed AS (SELECT *, sqrt(list_inner_product(v, v)) AS n FROM usable),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM normed a JOIN normed b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_inner_product(a.v, b.v) / (a.n * b.n) >= 0.98),
+reach AS (SELECT vec_id AS id, vec_id AS root FROM embeddings UNION SELECT links.b, reach.root FROM reach JOIN links ON links.a = reach.id)
+SELECT e.vec_id, (SELECT count(*) FROM links WHERE a = e.vec_id)::BIGINT AS n_links, r.root AS component_id, e.vec_id = r.root AS kept
+FROM embeddings e JOIN (SELECT id, min(root) AS root FROM reach GROUP BY id) r ON r.id = e.vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2_SQL, "op4_warc": OP4_SQL, "op5_chat_formatting": OP5_SQL}
+    return {"op2_quality_rules": OP2_SQL, "op4_warc": OP4_SQL, "op5_chat_formatting": OP5_SQL, "op9_embedding_near_dedup": OP9_SQL}
