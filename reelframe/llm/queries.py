@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelframe.llm import chat, embeddup, mixing, packing, quality, sharding, simhash, tokenbin, warc
+from reelframe.llm import chat, embeddup, mixing, packing, quality, sharding, simhash, suffix, tokenbin, warc
 from reelframe.llm.tokens import public_vocabulary
 
 
@@ -46,6 +46,11 @@ def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(_table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix.cut_documents(_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.token_digest(_table(spark, sf_dir, "documents"), public_vocabulary("byte_bpe_50k.json"))
 
@@ -61,7 +66,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_sharding, op4_warc, op5_chat_formatting, op6_mixing_sources, op8_token_binary, op9_embedding_near_dedup, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_sharding, op4_warc, op5_chat_formatting, op6_mixing_sources, op7_suffix_dedup, op8_token_binary, op9_embedding_near_dedup, op10_simhash_near_dedup)}
 
 
 OP2_SQL = r"""
