@@ -383,7 +383,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, span: int = 200) -> Da
     ``doc_id`` must be unique, or rows must be equal where it isn't.
     """
     cut = cut_documents(docs, span).where("n_removed > 0").select("doc_id", "h", "removed")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    text, names = F.coalesce(F.col("text").cast("string"), F.lit("")), docs.columns
 
     def rewrite(batches):
         for batch in batches:
@@ -401,8 +401,8 @@ def without_repeats(spark: SparkSession, docs: DataFrame, span: int = 200) -> Da
                     whole[letters[~gone]] = False  # characters all of whose bytes go
                     t = np.frombuffer(data, "u1")[~whole[letters]].tobytes().decode("utf-8", "surrogatepass")
                 texts.append(t)
-            cols = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in docs.columns]
-            yield pa.RecordBatch.from_arrays(cols, names=docs.columns)
+            cols = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     keyed = docs.withColumn("__h", F.xxhash64(text))
     runs = cut.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h2"), F.col("removed").alias("__removed")).dropDuplicates(["__id", "__h2"])
