@@ -208,6 +208,10 @@ def hex_of(fp: Column) -> Column:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
-    """The documents of which none with a smaller doc_id is in their component, all columns unchanged."""
-    first = near_duplicates(docs, **options).where("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
-    return docs.join(first, docs["doc_id"] == F.col("__first"), "left_semi")
+    """The documents of which none with a smaller doc_id is in their component, all columns unchanged.
+
+    Rows repeated under one doc_id are one document and stay together; rows without a doc_id stay unless one
+    with a doc_id is in their component.
+    """
+    first = near_duplicates(docs, **options).where("doc_id <=> component_id").select(F.col("doc_id").alias("__first")).distinct()
+    return docs.join(first, docs["doc_id"].eqNullSafe(F.col("__first")), "left_semi")

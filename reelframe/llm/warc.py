@@ -60,15 +60,15 @@ def _id(page_id: int | None, segment: int = 1) -> str:
     return f"<urn:page:{'null' if page_id is None else page_id}{f':segment:{segment}' if segment > 1 else ''}>"
 
 
-def _page_records(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> list[bytes]:
+def _page_records(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, segment_bytes: int) -> list[bytes]:
     own = {"WARC-Record-ID": _id(page_id), "WARC-Target-URI": re.sub(r"[\s\x00-\x1f]", "%20", url or "about:blank"), "WARC-Payload-Digest": f"sha1:{digest}", "Content-Type": "application/http;msgtype=response"}
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
     if revisit:
         return [_record({"WARC-Type": "revisit", "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": _id(refers_to)} | own, head)]
     block = head + _chunked(payload)
-    if len(block) <= SEGMENT_BYTES:
+    if len(block) <= segment_bytes:
         return [_record({"WARC-Type": "response"} | own, block)]
-    parts = [block[i : i + SEGMENT_BYTES] for i in range(0, len(block), SEGMENT_BYTES)]
+    parts = [block[i : i + segment_bytes] for i in range(0, len(block), segment_bytes)]
     out = [_record({"WARC-Type": "response", "WARC-Segment-Number": "1"} | own, parts[0])]
     for n, part in enumerate(parts[1:], 2):
         more = {"WARC-Segment-Total-Length": str(len(block))} if n == len(parts) else {}
@@ -76,7 +76,7 @@ def _page_records(page_id: int | None, url: str | None, payload: bytes, digest:
     return out
 
 
-def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """Write ``pages(page_id, url, html)`` as WARC files and return their manifest ``(name, n_records)``.
 
     Of pages with equal payloads of at least ``min_bytes`` bytes that with the smallest ``page_id`` is a
@@ -104,7 +104,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFra
 
         for batch in batches:
             for row in batch.to_pylist():
-                records = _page_records(row["page_id"], row["url"], row["payload"], digest_of(row["payload"]), row["refers_to"], row["revisit"])
+                records = _page_records(row["page_id"], row["url"], row["payload"], digest_of(row["payload"]), row["refers_to"], row["revisit"], segment_bytes)
                 held += records
                 size += sum(map(len, records))
                 if size >= FILE_BYTES:
@@ -199,7 +199,7 @@ def reassemble(segments: DataFrame) -> DataFrame:
     return alone.unionByName(segments.where("segment is not null").groupBy("origin").applyInPandas(join, RECORDS))
 
 
-def archive_digest(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+def archive_digest(pages: DataFrame, min_bytes: int = 0, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """Write ``pages`` as archives in the shared folder, read them back: one row a page.
 
     Columns page_id, payload_bytes, payload_digest, record_type, refers_to. A revisit's size comes from the
@@ -207,7 +207,7 @@ def archive_digest(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """
     spark = pages.sparkSession
     folder = shared_dir(spark, "archives")
-    manifest = write_archives(pages, folder, min_bytes)
+    manifest = write_archives(pages, folder, min_bytes, segment_bytes)
     if not manifest.take(1):
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 

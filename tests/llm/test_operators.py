@@ -1,0 +1,468 @@
+"""Each operator against brute force and on nulls, empty and long texts, ties, repeated rows and empty tables."""
+
+import base64
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from reelframe.llm import chat, embeddup, mixing, packing, quality, sharding, simhash, suffix, tokenbin, warc
+from reelframe.llm.cluster import components, shared_dir
+from reelframe.llm.tokens import WordEncoder, public_vocabulary
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: Odd rows: null and empty texts, white space alone, control strings, a repeated row, a null id and source.
+ODD = [
+    (1, "same words here and there", "en", "b", 25), (1, "same words here and there", "en", "b", 25), (2, None, None, None, None), (3, "", "en", "a", 0), (4, " \n\t ", "en", "a", 4),
+    (5, "<|endoftext|> it's  two  spaces\n\n\nend ", "en", "a", 3), (6, "é́ ½ Ωμέγα \U0001f600 | ¦", "el", "é", 9), (None, "no id but words", "en", None, 15), (7, "same words here and there", "en", "b", 25),
+    (8, "long " * 9000 + "tail", "en", "b", 45004),
+]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    extra = {c: F.lit("clash") for c in ("size", "h", "fp", "kept", "epoch", "runs", "length", "bucket", "node", "words")}
+    return spark.createDataFrame(ODD, SCHEMA).withColumns(extra)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 90), (90, 90), (7, 3), (100, 90)], "a long, b long")
+    got = {r.id: r.root for r in components(edges, "test").collect()}
+    assert got == {**{i: 0 for i in range(41)}, 100: 90, 90: 90}
+    assert components(edges.limit(0), "none").count() == 0
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_agrees_with_the_library(docs, name):
+    e = WordEncoder(public_vocabulary(name))
+    texts = [r.text for r in docs.select("text").collect()] + [r[1] for r in ODD] + ["a  b", "\nx", "x\n y", "x \ny", "a|b | |", "they've\u0085we'll", "ΑΣ", "word,word. (x) it's 'tis"]
+    want = [np.array(x.ids, "<u4").tobytes() for x in e.library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert e.encode(texts) == want and e.encode(texts) == want
+
+
+# 1: packing
+
+
+def test_bounds_and_best_fit():
+    rng = np.random.default_rng(3)
+    for cap in (10, 64):
+        for _ in range(60):
+            x = rng.integers(1, cap + 1, rng.integers(1, 40))
+            where, offset = packing.best_fit_decreasing(x, cap)
+            sizes, counts = np.unique(x, return_counts=True)
+            bound = packing.sequence_bound(sizes, counts, cap)
+            assert bound <= where.max() + 1 and bound >= -(-x.sum() // cap)
+            for b in range(where.max() + 1):
+                at = sorted(zip(offset[where == b], x[where == b]))
+                assert [a for a, _ in at] == [sum(n for _, n in at[:i]) for i in range(len(at))] and sum(n for _, n in at) <= cap
+    assert packing.sequence_bound(np.array([6]), np.array([5]), 10) == 5  # over half each
+    assert packing.sequence_bound(np.array([4]), np.array([5]), 10) == 3
+
+
+def test_packing_meets_its_bound(spark, docs, odd, empty, monkeypatch):
+    monkeypatch.setattr(packing, "PIECES_PER_TASK", 40)
+    vocabulary = public_vocabulary("word_bpe_49k.json")
+    for frame, capacity in ((docs, 4096), (odd, 1024)):
+        placed = packing.pack_documents(frame, vocabulary, capacity).toPandas()
+        total = placed["length"].sum()
+        sums = placed.groupby("sequence_id")["length"].sum()
+        assert sums.max() <= capacity and len(sums) <= -(-total // capacity) + 1  # tasks are tiny here
+        ordered = placed.sort_values(["sequence_id", "offset"])
+        assert (ordered.groupby("sequence_id")["length"].cumsum() - ordered["length"] == ordered["offset"]).all()
+    e = WordEncoder(vocabulary)
+    ids = np.frombuffer(e.encode([ODD[-1][1]])[0] + np.array([1], "<u4").tobytes(), "<u4")
+    long = placed[placed.doc_id == 8].sort_values("piece")
+    assert long["length"].tolist() == [1024] * (len(ids) // 1024) + [len(ids) % 1024]
+    assert long["ids_crc32"].tolist() == [zlib.crc32(ids[a : a + 1024].tobytes()) for a in range(0, len(ids), 1024)]
+    assert placed[placed.doc_id.isin([2, 3])]["length"].tolist() == [1, 1] and len(placed[placed.doc_id == 1]) == 2
+    assert packing.pack_documents(empty, vocabulary).count() == 0
+
+
+def test_packed_sequences(spark, docs):
+    some = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).limit(30)
+    vocabulary = public_vocabulary("word_bpe_49k.json")
+    placed = packing.pack_documents(some, vocabulary, 256)
+    whole = {r.sequence_id: r.ids for r in packing.sequences(some, placed, vocabulary).collect()}
+    for r in placed.collect():
+        ids = np.array(whole[r.sequence_id][r.offset : r.offset + r.length], "<u4")
+        assert zlib.crc32(ids.tobytes()) == r.ids_crc32
+
+
+# 2: quality
+
+
+def figures(text):
+    words = WORD.findall(text or "")
+    grams = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+    hit = {i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(8)}
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    return len(words), sum(map(len, words)), sum((text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(hit)
+
+
+def test_quality_figures(spark, odd, empty):
+    texts = ["a b c d e f g h " * 4, "x\nx\n\nx\ny", "# $ % & | < > *", "é" * 9, "a b c d e f g h a b c d e f g h"] + [r[1] for r in ODD if r[1] is None or len(r[1]) < 999]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in quality.apply_rules(frame, figures=True).collect()}
+    for i, t in enumerate(texts):
+        n = figures(t)
+        assert tuple(got[i][m] for m in quality.MEASURES) == n
+        assert got[i].base_failed == (n[0] < 20 or 100 * n[4] > 30 * n[0])
+    assert quality.apply_rules(odd, figures=True).count() == len(ODD) and quality.apply_rules(empty, figures=True).count() == 0
+
+
+def test_quality_order_never_changes_a_verdict(spark, docs, odd):
+    runs = [{r.doc_id: r.kept for r in quality.apply_rules(docs, rules).collect()} for rules in (quality.RULES, quality.RULES[::-1], None)]
+    assert runs[0] == runs[1] == runs[2]
+    assert quality.keep_good(spark, odd).columns == odd.columns
+    kept = quality.keep_good(spark, docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {k for k, v in runs[0].items() if v}
+
+
+def test_cheap_selective_rules_come_first(spark):
+    import time
+
+    frame = spark.createDataFrame([(i, "word " * 30) for i in range(64)], "doc_id long, text string")
+    slow = quality.Rule("slow", lambda t: time.sleep(0.002) or True)
+    never, good = quality.Rule("never", lambda t: False), quality.Rule("good", lambda t: True)
+    assert [r.name for r in quality.order_rules(frame, [never, slow, good])] == ["good", "slow", "never"]
+
+
+# 3: sharding
+
+
+def test_sharding(spark, docs, odd, empty):
+    for frame in (docs, odd):
+        rows = sharding.shard_rows(frame, 8).toPandas()
+        sizes = rows.groupby("shard")["slot"].agg(["count", "max"])
+        assert len(rows) == frame.count() and (sizes["count"] == sizes["max"] + 1).all() and sizes["count"].max() - sizes["count"].min() <= 1
+    assert sharding.shard_rows(empty).count() == 0
+    one, two, other = ([tuple(r) for r in sharding.shard_rows(docs, 4, seed=s).orderBy("shard", "slot").select("doc_id").collect()] for s in (1, 1, 2))
+    assert one == two != other
+    small = sharding.shuffle_rows(docs, bucket_bytes=2000).select("position").toPandas()["position"]
+    assert sorted(small) == list(range(docs.count()))
+
+
+# 4: WARC
+
+
+def test_archives(spark):
+    pages = [(1, "http://a", "x" * 5000), (2, None, None), (3, "http://b c\n", ""), (4, "u", "x" * 5000), (5, "u", "é\r\n\r\n0\r\n"), (5, "u", "é\r\n\r\n0\r\n"), (9, "u", "<b>")]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("payload", F.lit("clash"))
+    got = sorted(tuple(r) for r in warc.archive_digest(frame, segment_bytes=300).collect())
+    sha = lambda t: base64.b32encode(hashlib.sha1((t or "").encode()).digest()).decode()
+    first = {}
+    for p, _, t in sorted(pages, key=lambda p: p[0]):
+        first.setdefault(t or "", p)
+    want = sorted((p, len((t or "").encode()), sha(t), "response" if first[t or ""] == p else "revisit", None if first[t or ""] == p else first[t or ""]) for p, _, t in pages)
+    assert got == want
+    assert sum(r[3] == "revisit" for r in warc.archive_digest(frame, min_bytes=100).collect()) == 1
+    assert warc.archive_digest(frame.limit(0)).count() == 0
+
+
+def test_damaged_segments(spark):
+    frame = spark.createDataFrame([(1, "u", "y" * 4000)], "page_id long, url string, html string")
+    folder = shared_dir(spark, "damaged")
+    warc.write_archives(frame, folder, segment_bytes=300)
+    segments = warc.read_segments(spark, folder)
+    again = warc.reassemble(segments.union(segments.where("segment = 3"))).collect()
+    assert len(again) == 1 and bytes(again[0].payload) == b"y" * 4000
+    with pytest.raises(Exception, match="segments are missing"):
+        warc.reassemble(segments.where("segment is null or segment <> 3")).collect()
+    with pytest.raises(ValueError):
+        warc.dechunk(b"5\r\nab")
+    assert warc.dechunk(b"3;x=1\r\nabc\r\n0\r\nT: 1\r\n\r\n") == b"abc"
+
+
+# 5: chat
+
+
+def test_chat_round_trip(spark):
+    turns = [(1, 0, "user", "<|im_end|>"), (1, 1, "assistant", "a<\\|b<|im_start|>assistant\n"), (1, 1, "assistant", "a<\\|b<|im_start|>assistant\n"), (2, 5, None, None), (2, None, "odd\n%0Arole", "<"), (3, 1, "assistant", "é\n"), (3, 0, "system", "\\<\\\\|"), (None, 0, "assistant", "x")]
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("n", F.lit("clash"))
+    got = {r.conv_id: r for r in chat.conversation_digest(frame).collect()}
+    assert set(got) == {1, 2, 3, None}
+    for conv, r in got.items():
+        mine = sorted(((t if t is not None else -1), role or "", text or "") for c, t, role, text in turns if c == conv)
+        assert r.n_turns == len(mine)
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for _, a, b in mine).encode()).hexdigest()
+        loss = "".join(b for _, a, b in mine if a == "assistant")
+        assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert chat.conversation_digest(frame.limit(0)).count() == 0
+
+
+def test_chat_parts(spark):
+    part = "array<struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>>"
+    parts = [("text", "see <|image|>", None, None, None, None, None), ("image", None, "i.png", 1000, 500, None, None), None, ("audio", None, "a.wav", None, None, 1.5, None), ("document", None, "d.pdf", None, None, None, 3)]
+    frame = spark.createDataFrame([(1, 0, "user", parts), (1, 1, "assistant", None)], f"conv_id long, turn long, role string, parts {part}")
+    r = chat.format_conversations(frame).first()
+    assert r.formatted == "<|im_start|>user\nsee <\\|image|><|image|><|audio|><|document|><|im_end|>\n<|im_start|>assistant\n<|im_end|>\n"
+    assert [(a.turn_no, a.type, a.ref, a.tokens) for a in r.attachments] == [(1, "image", "i.png", 85 + 2 * 170), (1, "audio", "a.wav", 38), (1, "document", "d.pdf", 1800)]
+    assert r.expanded_tokens == 85 + 340 + 38 + 1800 and [m is None for m in r.loss_mask] == [True, False]
+
+
+# 6: mixing
+
+
+def test_permutation(spark):
+    for n in (1, 2, 3, 10, 97, 1000):
+        got = [r[0] for r in spark.range(n).select(mixing.permute(F.col("id"), F.lit(n).cast("long"), F.lit(5))).collect()]
+        assert sorted(got) == list(range(n)) and (n < 97 or got != list(range(n)))
+
+
+def water_fill(sizes):
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5.0, 2.0, 1.0)[i % 3] for i, s in enumerate(names)}
+    open_, target, left = set(names), {}, float(sum(sizes.values()))
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        over = {s for s in open_ if level * weight[s] > 3 * sizes[s]}
+        if not over:
+            return target | {s: level * weight[s] for s in open_}
+        target |= {s: 3.0 * sizes[s] for s in over}
+        left -= sum(target[s] for s in over)
+        open_ -= over
+    return target
+
+
+def test_mixing(spark, docs, odd, empty):
+    for frame in (docs, odd):
+        rows = frame.select("doc_id", "source", "text").collect()
+        sizes = {}
+        for r in rows:
+            sizes[r.source] = sizes.get(r.source, 0) + len(WORD.findall(r.text or ""))
+        target = water_fill(sizes)
+        got = mixing.mix_counts(frame).collect()
+        assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix_counts(frame).collect()), key=str)
+        source = {r.doc_id: r.source for r in rows}
+        taken = dict.fromkeys(sizes, 0)
+        assert len(got) == len(rows)
+        for r in got:
+            assert r.taken <= 3 * r.size and r.source_size == sizes[source[r.doc_id]] and abs(r.target - target[source[r.doc_id]]) < 1e-6
+            taken[source[r.doc_id]] += r.taken
+        for s in sizes:
+            assert abs(taken[s] - target[s]) <= mixing.BLOCK_WORDS
+    assert mixing.mix_counts(empty).count() == 0
+
+
+def test_mixed_documents(spark, docs):
+    counts = {r.doc_id: r.taken for r in mixing.mix_counts(docs).collect()}
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    words, texts = dict.fromkeys(counts, 0), {r.doc_id: WORD.findall(r.text or "") for r in docs.collect()}
+    for r in mixed.collect():
+        mine = WORD.findall(r.text)
+        words[r.doc_id] += len(mine)
+        assert set(mine) <= set(texts[r.doc_id]) and r.n_chars == len(r.text)
+    assert words == counts
+
+
+# 7: repeats
+
+
+def brute_cut(texts, span):
+    data, seen = [(t or "").encode() for t in texts], {}
+    for b in data:
+        for i in range(len(b) - span + 1):
+            seen[b[i : i + span]] = seen.get(b[i : i + span], 0) + 1
+    out = []
+    for b in data:
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - span + 1):
+            if seen[b[i : i + span]] > 1:
+                gone[i : i + span] = True
+        out.append((len(b), int(gone.sum()), int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum()), bytes(np.frombuffer(b, np.uint8)[~gone])))
+    return out
+
+
+def test_suffix_array():
+    import random
+
+    rng = random.Random(1)
+    for _ in range(1500):
+        x = [rng.randrange(rng.choice([1, 2, 4, 30])) for _ in range(rng.randrange(40))] * rng.choice([1, 1, 3])
+        assert suffix.suffix_array(x) == sorted(range(len(x)), key=lambda i: x[i:])
+
+
+@pytest.mark.parametrize("block", [64, 2])
+def test_repeats_against_brute_force(spark, block, monkeypatch):
+    import random
+
+    monkeypatch.setattr(suffix, "BLOCK", block)
+    monkeypatch.setattr(suffix, "DIGESTS_PER_GROUP", 4)
+    rng = random.Random(2)
+    letters = lambda n: "".join(rng.choice("abcdeé ") for _ in range(n))
+    base, passage = letters(900), letters(230)
+    texts = [base, base, base[:300] + "X" + base[301:], base[100:350], letters(199), None, "", "a" * 450, passage, letters(150) + "é" * 120 + letters(40)]
+    texts += [letters(90) + passage[rng.randrange(20) :] + letters(60) for _ in range(12)] + [base[k : k + 260] + letters(50) for k in range(0, 500, 60)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix.cut_documents(frame).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_cut(texts, 200)
+
+
+def test_repeats_on_odd_rows(spark, odd, empty):
+    rows = suffix.cut_documents(odd).collect()
+    want = brute_cut([r[1] for r in ODD], 200)
+    assert sorted((r.n_bytes, r.n_removed, r.n_spans) for r in rows) == sorted(w[:3] for w in want)
+    assert suffix.cut_documents(empty).count() == 0
+    out = suffix.without_repeats(spark, odd)
+    assert out.columns == odd.columns and out.count() == len(ODD)
+    twice = spark.createDataFrame([(9, "repeat me " * 30), (9, "repeat me " * 30)], "doc_id long, text string")
+    assert [r.n_removed for r in suffix.cut_documents(twice).collect()] == [300, 300]
+    stretched = suffix.text_contexts(bytes(range(256)) * 4500, 200)
+    assert stretched[3].max() == 256 * 4500 - 200 and (np.diff(stretched[2]) > 0).all()
+
+
+def test_cut_text_stays_valid(spark):
+    import random
+
+    rng = random.Random(4)
+    shared = "".join(rng.choice("éèüß€") for _ in range(130))
+    texts = ["intro " + shared + " one", "other " + shared + " two"]
+    out = suffix.without_repeats(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert all(shared[:60] not in r.text and r.text.startswith(t[:5]) for r, t in zip(out, texts))
+
+
+# 8: token shards
+
+
+def test_wavelet_matrix():
+    rng = np.random.default_rng(8)
+    for ids in (np.zeros(0, np.uint32), np.array([5], np.uint32), rng.integers(0, 70000, 3000).astype(np.uint32), np.minimum(rng.zipf(1.3, 3000), 900).astype(np.uint32)):
+        shard = tokenbin.Shard(tokenbin.build_shard([1, None], [len(ids), 0], ids))
+        assert (shard.all_ids() == ids).all() and shard.doc_ids == [1, None]
+        for i in rng.integers(0, max(1, len(ids)), 40 if len(ids) else 0).tolist():
+            token = int(ids[i])
+            at = np.flatnonzero(ids == token)
+            assert shard.access(i) == token and shard.count(token) == len(at) and shard.count(token, i) == int((at < i).sum())
+            j = int(rng.integers(len(at)))
+            assert shard.find(token, j) == at[j]
+        assert shard.count(1 << 20) == 0
+    with pytest.raises(ValueError):
+        tokenbin.Shard(b"nothing like it")
+
+
+def test_token_shards(spark, docs, odd, empty):
+    vocabulary = public_vocabulary("byte_bpe_50k.json")
+    library = WordEncoder(vocabulary).library
+    for frame in (docs, odd):
+        rows = sorted(frame.select("doc_id", "text").collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text or ""))
+        ids = [np.array([*library.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4") for r in rows]
+        starts = np.cumsum([0, *map(len, ids)])[:-1].tolist()
+        want = sorted(zip([r.doc_id for r in rows], starts, map(len, ids), [zlib.crc32(x.tobytes()) for x in ids]), key=str)
+        assert sorted(map(tuple, tokenbin.token_digest(frame, vocabulary).collect()), key=str) == want
+    assert tokenbin.token_digest(empty, vocabulary).count() == 0
+
+
+# 9: embeddings
+
+
+def brute_vectors(rows, threshold=0.98):
+    links = {r[0]: set() for r in rows}
+    ok = lambda v: bool(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)
+    for i, (a, v, x) in enumerate(rows):
+        for b, w, y in rows[:i]:
+            if x is not None and x == y and ok(v) and ok(w) and len(v) == len(w):
+                p, q = np.array(v, np.float32).astype(float), np.array(w, np.float32).astype(float)
+                if p @ q / np.linalg.norm(p) / np.linalg.norm(q) >= threshold:
+                    links[a].add(b)
+                    links[b].add(a)
+    out = {}
+    for r in links:
+        seen, todo = {r}, [r]
+        while todo:
+            for n in links[todo.pop()] - seen:
+                seen.add(n)
+                todo.append(n)
+        out[r] = (len(links[r]), min(seen))
+    return out
+
+
+def test_vectors(spark, monkeypatch):
+    monkeypatch.setattr(embeddup, "TREE_SIZE", 24)
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(12, 16))
+    vectors = [(centres[i % 12] + rng.normal(size=16) * rng.choice([0.02, 0.1, 0.16])).tolist() for i in range(150)]
+    rows = [(i, v, int(i % 12 > 8)) for i, v in enumerate(vectors)]
+    rows += [(200 + i, vectors[3], 0) for i in range(30)] + [(300, None, 0), (301, [0.0] * 16, 0), (302, [float("nan")] * 16, 0), (303, [float("inf")] + [1.0] * 15, 0), (304, vectors[0], None), (305, [2 * x for x in vectors[5]], 0), (306, [None] + [1.0] * 15, 0), (307, [1.0, 2.0], 0), (308, [], 0), (309, [-x for x in vectors[3]], 0)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("n_links", F.lit("clash"))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddup.near_duplicates(frame).collect()}
+    assert got == brute_vectors(rows)
+    assert embeddup.near_duplicates(frame.limit(0)).count() == 0
+
+
+def test_cover_tree_invariants():
+    rng = np.random.default_rng(1)
+    p = rng.normal(size=(120, 8))
+    p /= np.linalg.norm(p, axis=1, keepdims=True)
+    tree = embeddup.CoverTree(p)
+    assert sorted(tree.centres[-1].tolist()) == list(range(120))
+    i, j = embeddup.near_pairs(tree, tree, 0.5)
+    apart = np.linalg.norm(p[:, None] - p[None], axis=2)
+    assert {(a, b) for a, b in zip(i, j) if apart[a, b] <= 0.5} == set(zip(*np.nonzero(apart <= 0.5)))
+
+
+# 10: SimHash
+
+
+def test_gray_order_index():
+    rng = np.random.default_rng(10)
+    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    fps = np.unique(np.concatenate([base, *[base ^ (np.uint64(1) << rng.integers(0, 64, 40).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 40).astype(np.uint64)) for _ in range(4)]]))
+    left = fps[np.argsort(simhash.gray_rank(fps), kind="stable")]
+    i, j = simhash.near_pairs(left, left, 2)
+    near = np.bitwise_count(left[:, None] ^ left[None]) <= 2
+    assert set(zip(i.tolist(), j.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(near))))
+    order = np.sort(simhash.gray_rank(np.arange(16, dtype=np.uint64)))
+    assert order.tolist() == list(range(16))
+
+
+def brute_simhash(rows, most=2):
+    import xxhash
+
+    def fingerprint(text):
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        if not w:
+            return 0
+        g = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or [" ".join(w)]
+        h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in g]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    f = [fingerprint(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for _ in rows:
+        for i in range(len(rows)):
+            for j in range(i):
+                if bin(f[i] ^ f[j]).count("1") <= most and group[i] != group[j]:
+                    low, high = sorted((group[i], group[j]))
+                    group = [low if g == high else g for g in group]
+        break
+    names = [min((rows[j][0] for j in range(len(rows)) if group[j] == g and rows[j][0] is not None), default=None) for g in group]
+    return sorted(((d, f"{x:016x}", n) for (d, _), x, n in zip(rows, f, names)), key=str)
+
+
+@pytest.mark.parametrize("node,pack", [(256, 1024), (4, 3)])
+def test_simhash_against_brute_force(spark, docs, odd, empty, node, pack, monkeypatch):
+    monkeypatch.setattr(simhash, "PACK_SIZE", pack)
+    for frame in (docs, odd):
+        rows = [(r.doc_id, r.text) for r in frame.select("doc_id", "text").collect()]
+        monkeypatch.setattr(simhash.link_fingerprints, "__defaults__", (2, node))
+        got = sorted(((r.doc_id, r.fp, r.component_id) for r in simhash.near_duplicates(frame).select("doc_id", simhash.hex_of(F.col("fp")).alias("fp"), "component_id").collect()), key=str)
+        assert got == brute_simhash(rows)
+    assert simhash.near_duplicates(empty).count() == 0
+    kept = simhash.keep_one(spark, odd)
+    assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {1, 2, 5, 6, None, 8}
