@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from reelframe.errors import FAIL, reject
 from reelframe.functions.dims import AAC_PROFILES, ADTS_RATES, NAL_PICTURE_TYPES, NAL_TYPES, OPUS_RATES, OPUS_RUNS
-from reelframe.functions.octets import byte_at
+from reelframe.functions.octets import byte_at, read_uint
 
 ADTS = "struct<profile:string,sample_rate_index:int,sample_rate:int,channel_config:int,channels:int,frame_length:int,has_crc:boolean,header_size:int,payload_size:int>"
 
@@ -26,16 +26,14 @@ def adts_header(data: Column, mode: str = FAIL) -> Column:
     Too few bytes, no sync word, a reserved rate and a frame shorter than its header are errors. The frame's
     length is compared as a whole number.
     """
-    b = [byte_at(data, i) for i in range(7)]
-    profile = F.shiftright(b[2], 6).bitwiseAND(3)
-    rate = F.shiftright(b[2], 2).bitwiseAND(15)
-    config = F.shiftleft(b[2].bitwiseAND(1), 2).bitwiseOR(F.shiftright(b[3], 6).bitwiseAND(3))
-    length = F.shiftleft(b[3].bitwiseAND(3), 11).bitwiseOR(F.shiftleft(b[4], 3)).bitwiseOR(F.shiftright(b[5], 5))
-    crc = b[1].bitwiseAND(1) == 0
+    word = read_uint(data, 0, 7)  # all fields are cut from one number
+    cut = lambda shift, mask: F.shiftrightunsigned(word, shift).bitwiseAND(mask).cast("int")
+    profile, rate, config, length = cut(38, 3), cut(34, 15), cut(30, 7), cut(13, 0x1FFF)
+    crc = cut(40, 1) == 0
     header = F.when(crc, 9).otherwise(7)
     channels = F.when(config == 7, 8).otherwise(config)
     made = F.struct(F.get(_table(AAC_PROFILES), profile).alias("profile"), rate.alias("sample_rate_index"), F.get(_table(ADTS_RATES), rate).alias("sample_rate"), config.alias("channel_config"), channels.alias("channels"), length.alias("frame_length"), crc.alias("has_crc"), header.alias("header_size"), F.greatest(length - header, F.lit(0)).alias("payload_size")).cast(ADTS)
-    sound = (F.octet_length(data) >= 7) & (b[0] == 255) & (b[1].bitwiseAND(0xF0) == 0xF0) & (rate < len(ADTS_RATES)) & (length >= header)
+    sound = (F.octet_length(data) >= 7) & (cut(44, 0xFFF) == 0xFFF) & (rate < len(ADTS_RATES)) & (length >= header)
     return F.when(data.isNull(), F.lit(None).cast(ADTS)).when(sound, made).otherwise(reject("invalid ADTS header", ADTS, mode))
 
 
