@@ -274,19 +274,22 @@ def test_mixed_documents(spark, docs):
 # 7: repeats
 
 
-def brute_cut(texts, span):
+def brute_masks(texts, span):
+    """Per text its bytes and which of them go."""
     data, seen = [(t or "").encode() for t in texts], {}
     for b in data:
         for i in range(len(b) - span + 1):
             seen[b[i : i + span]] = seen.get(b[i : i + span], 0) + 1
-    out = []
     for b in data:
         gone = np.zeros(len(b), bool)
         for i in range(len(b) - span + 1):
             if seen[b[i : i + span]] > 1:
                 gone[i : i + span] = True
-        out.append((len(b), int(gone.sum()), int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum()), bytes(np.frombuffer(b, np.uint8)[~gone])))
-    return out
+        yield b, gone
+
+
+def brute_cut(texts, span):
+    return [(len(b), int(gone.sum()), int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum()), bytes(np.frombuffer(b, np.uint8)[~gone])) for b, gone in brute_masks(texts, span)]
 
 
 def test_suffix_array():
