@@ -28,6 +28,8 @@ BLOCK = 64
 CONTEXTS_PER_TASK = 4_000
 #: Bytes of a text hashed at once; texts longer than this are hashed in overlapping stretches.
 STRETCH = 1 << 20
+#: Digests of windows that one task holds against each other.
+DIGESTS_PER_GROUP = 1 << 16
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _U = np.uint64
 
@@ -185,7 +187,8 @@ def repeated_windows(contexts: list[tuple[bytes, int, int]], span: int) -> list[
     """Per context ``(bytes, number of windows, offset of the anchor)``: its windows' classes, by offset.
 
     Windows have the same class if their ``span`` bytes are equal. All contexts hold the same anchor, which
-    stands as one symbol in the suffix array's text.
+    stands as one symbol in the suffix array's text. No window starts after it, so the bytes that follow stand
+    seven to a symbol, counted from the anchor: the order of such symbols is that of their bytes.
     """
     text: list[int] = []
     starts: list[tuple[int, int] | None] = []
@@ -193,8 +196,8 @@ def repeated_windows(contexts: list[tuple[bytes, int, int]], span: int) -> list[
         starts += [(c, k) if k < windows else None for k in range(at + 1)]
         text += [x + 2 for x in data[:at]]
         text.append(1)
-        tail = data[at + ANCHOR :]
-        text += [x + 2 for x in tail]
+        tail = [int.from_bytes(data[i : i + 7].ljust(7, b"\0"), "big") + 2 for i in range(at + ANCHOR, len(data), 7)]
+        text += tail
         text.append(0)
         starts += [None] * (len(tail) + 1)
     classes: list[dict[int, int]] = [{} for _ in contexts]
@@ -275,7 +278,7 @@ def repeated_spans(docs: DataFrame, span: int, folder: str) -> DataFrame:
     spans = to_span(shared.where("alike")).unionByName(to_span(alike))
 
     # the bytes of one occurrence of each context
-    wanted = contexts.join(many, "a").select("first.*", "a", "n", F.pmod(F.col("c"), F.ceil(F.col("n_contexts") / BLOCK)).cast("int").alias("block"), (F.col("n_contexts") > BLOCK).alias("cut"))
+    wanted = contexts.join(many, "a").select("first.*", "a", "n", F.pmod(F.col("c"), F.ceil(F.col("n_contexts") / BLOCK)).cast("int").alias("block"), F.when(F.col("n_contexts") > BLOCK, F.ceil(F.col("n_contexts") * BLOCK / DIGESTS_PER_GROUP)).otherwise(0).cast("int").alias("cut"))
     by_doc = wanted.groupBy("doc_id", "h").agg(F.collect_list(F.struct("a", "block", "cut", "n", "lo", "windows", "off")).alias("wanted"))
 
     def fetch(batches):
@@ -285,20 +288,20 @@ def repeated_spans(docs: DataFrame, span: int, folder: str) -> DataFrame:
             for d, h, z, wanted_here in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 data = unpack(z)
                 rows += [(w["a"], w["block"], w["cut"], w["n"] > 1, d, h, w["lo"], w["windows"], w["off"], data[w["lo"] : w["lo"] + w["windows"] + span - 1]) for w in wanted_here]
-            kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 10, kinds)], names=["a", "block", "cut", "alike", "doc_id", "h", "lo", "windows", "off", "data"])
 
     pieces = _packed(docs, False).alias("d").join(by_doc.alias("w"), _same_doc("d", "w")).select("d.doc_id", "d.h", "z", "wanted")
-    pieces = pieces.mapInArrow(fetch, "a long, block int, cut boolean, alike boolean, doc_id long, h long, lo int, windows int, off int, data binary")
+    pieces = pieces.mapInArrow(fetch, "a long, block int, cut int, alike boolean, doc_id long, h long, lo int, windows int, off int, data binary")
     tasks = max(1, -(-contexts.count() // CONTEXTS_PER_TASK))
     dealt = pieces.repartition(tasks, "a", "block").sortWithinPartitions("a", "block", "doc_id", "h", "lo")
 
     def judge(batches):
-        names = ["a", "doc_id", "h", "lo", "hi", "key"]
+        names = ["a", "doc_id", "h", "lo", "hi", "part", "digests", "windows"]
 
         def emit(rows):
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 6, kinds)], names=names)
+            kinds = (*[pa.int64()] * 5, pa.int32(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 8, kinds)], names=names)
 
         def close(group, out):
             a, _, cut = group[0][:3]
@@ -314,15 +317,17 @@ def repeated_spans(docs: DataFrame, span: int, folder: str) -> DataFrame:
                 _, _, _, alike_here, d, h, lo, windows, _, data = g
                 repeated = [k for k in sorted(found_here) if times[found_here[k]] > 1]
                 if not alike_here:
-                    out += [(a, d, h, lo + p, lo + q + span, None) for p, q in _runs(repeated)]
-                if cut:
-                    for k, label in found_here.items():
-                        settled = alike_here or times[label] > 1
-                        if not settled:
-                            out.append((a, d, h, lo + k, lo + k + span, hashlib.blake2b(data[k : k + span], digest_size=16).digest()))
-                        elif label not in told:
-                            told.add(label)
-                            out.append((a, d, h, None, None, hashlib.blake2b(data[k : k + span], digest_size=16).digest()))
+                    out += [(a, d, h, lo + p, lo + q + span, None, None, None) for p, q in _runs(repeated)]
+                parts: dict[tuple[int, bool], list[tuple[bytes, int]]] = {}
+                for k, label in found_here.items() if cut else ():
+                    settled = alike_here or times[label] > 1
+                    if settled and label in told:
+                        continue
+                    told.add(label)
+                    digest = hashlib.blake2b(data[k : k + span], digest_size=16).digest()
+                    parts.setdefault((int.from_bytes(digest[:4], "big") % cut, settled), []).append((digest, k))
+                for (part, settled), found in parts.items():
+                    out.append((a, d, h, lo, None, part, b"".join(x for x, _ in found), b"" if settled else np.array([k for _, k in found], "<i4").tobytes()))
 
         group, out = [], []
         for batch in batches:
@@ -338,11 +343,34 @@ def repeated_spans(docs: DataFrame, span: int, folder: str) -> DataFrame:
             close(group, out)
         yield emit(out)
 
-    judged = settle(dealt.mapInArrow(judge, "a long, doc_id long, h long, lo long, hi long, key binary"), f"{folder}/judged")
-    across = judged.where("key is not null").groupBy("a", "key").agg(F.count("*").alias("blocks")).where("blocks > 1").select("a", "key")
-    more = judged.where("key is not null and lo is not null").join(across, ["a", "key"], "left_semi")
-    ends = ["doc_id", "h", "lo", "hi"]
-    return spans.unionByName(judged.where("key is null").select(*ends)).unionByName(more.select(*ends))
+    judged = settle(dealt.mapInArrow(judge, "a long, doc_id long, h long, lo long, hi long, part int, digests binary, windows binary"), f"{folder}/judged")
+
+    def across(batches):
+        """Windows whose digest another block has too; a block names each of its digests once."""
+
+        def close(group):
+            times: dict[bytes, int] = {}
+            for _, _, _, _, _, digests, _ in group:
+                for i in range(0, len(digests), 16):
+                    times[digests[i : i + 16]] = times.get(digests[i : i + 16], 0) + 1
+            for _, _, d, h, lo, digests, windows in group:
+                places = np.frombuffer(windows, "<i4").tolist()
+                again = sorted(k for i, k in enumerate(places) if times[digests[16 * i : 16 * i + 16]] > 1)
+                yield from ((d, h, lo + p, lo + q + span) for p, q in _runs(again))
+
+        group, out = [], []
+        for batch in batches:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(7))):
+                if group and row[:2] != group[0][:2]:
+                    out += close(group)
+                    group = []
+                group.append(row)
+        out += close(group)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*out)) or [[]] * 4], names=["doc_id", "h", "lo", "hi"])
+
+    named = judged.where("part is not null").select("a", "part", "doc_id", "h", "lo", "digests", "windows")
+    more = named.repartition("a", "part").sortWithinPartitions("a", "part").mapInArrow(across, "doc_id long, h long, lo long, hi long")
+    return spans.unionByName(judged.where("part is null").select("doc_id", "h", "lo", "hi")).unionByName(more)
 
 
 def cut_documents(docs: DataFrame, span: int = 200) -> DataFrame:
