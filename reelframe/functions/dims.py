@@ -111,7 +111,7 @@ def buffer_size(bytes_per_sample: Column, planar: Column, samples: Column, chann
 
 
 def _shifted_up(value: Column, bits: Column) -> Column:
-    scale = F.expr("1") * F.pow(F.lit(2), bits).cast("int")
+    scale = F.pow(F.lit(2), bits).cast("int")
     return F.call_function("div", value + scale - 1, scale)
 
 

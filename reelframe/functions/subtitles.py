@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CUES = "cue_no int, start_ms long, end_ms long, text string"
@@ -114,8 +115,6 @@ def _srt(text: str) -> Iterator[tuple[int, int, str]]:
 
 
 def _webvtt(text: str) -> Iterator[tuple[int, int, str]]:
-    import re
-
     lines = _lines(text.lstrip("﻿"))
     if not lines or not lines[0].startswith("WEBVTT"):
         raise ValueError("no WEBVTT header")
@@ -150,8 +149,6 @@ def cues(files: DataFrame, dialect: str, key: str, text: str = "text", mode: str
     """
     if dialect == "ass":
         rows = ass_cues(files.select(F.col(key), F.col(text).cast("string").alias(text)), text)
-        from pyspark.sql import Window
-
         number = F.row_number().over(Window.partitionBy(key).orderBy("__line")) - 1
         return rows.select(key, number.cast("int").alias("cue_no"), "start_ms", "end_ms", "text")
     parse = _DIALECTS[dialect]

@@ -1,7 +1,7 @@
 """Exact arithmetic on rationals and time bases as column expressions.
 
 A rational is ``struct<num:int,den:int>``; a denominator of 0 means unknown and gives null. Products of two
-64-bit numbers are formed in decimals of 38 digits, which hold them exactly, and stay in generated code.
+64-bit numbers that may be longer are formed in decimals of 38 digits, which hold them exactly, and stay in generated code.
 """
 
 from __future__ import annotations
@@ -166,7 +166,21 @@ def rescale(value, src, dst, rounding: str = "near", mode: str = FAIL) -> Column
     result = F.when(negative, -size).otherwise(size)
     outside = outside | (size > F.lit(_LONG_MAX))
     answer = F.when(d == 0, reject("rescale to zero", "long", mode)).when(s == 0, F.lit(0).cast("long")).when(outside, reject("rescale overflow", "long", mode)).otherwise(result.cast("long"))
-    return F.when(v.isNotNull() & s.isNotNull() & d.isNotNull(), answer)
+    quick, short = _rescale_short(_col(value).cast("long"), _col(src).cast("long"), _col(dst).cast("long"), rounding)
+    return F.when(v.isNotNull() & s.isNotNull() & d.isNotNull(), F.when(short, quick).otherwise(answer))
+
+
+def _rescale_short(v: Column, s: Column, d: Column, rounding: str) -> tuple[Column, Column]:
+    """The same in 64 bits, and where it holds: the product fits, and no operand is the smallest number."""
+    size = F.when(s > -_LONG_MAX, F.greatest(F.abs(s), F.lit(1))).otherwise(F.lit(_LONG_MAX))
+    most = F.call_function("div", F.lit(_LONG_MAX), size)
+    fits = (s > -_LONG_MAX) & (d > -_LONG_MAX) & (d != 0) & v.between(-most, most)
+    product, by = F.abs(v * s), F.abs(d)
+    rest = product % by
+    negative = (v < 0) != ((s < 0) != (d < 0))
+    more = {"zero": F.lit(False), "inf": rest > 0, "down": negative & (rest > 0), "up": ~negative & (rest > 0), "near": rest >= by - rest}[rounding]
+    whole = F.call_function("div", product, by) + F.when(more, 1).otherwise(0)
+    return F.when(negative, -whole).otherwise(whole), fits
 
 
 def rescale_q(value, src: Column, dst: Column, rounding: str = "near", mode: str = FAIL) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelframe.functions import timebase as T
@@ -17,7 +17,8 @@ EPOCH = 1704067200_000000  # 2024-01-01 in microseconds
 
 
 def micros(column: str = "ts"):
-    return F.unix_micros(F.col(column).cast("timestamp")) - F.lit(EPOCH)
+    """Microseconds since the epoch of the data, whatever the session's time zone."""
+    return F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'2024-01-01 00:00:00'"), F.col(column))
 
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,8 +57,6 @@ def stream_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = packets(spark, sf_dir).select("stream_index", "seq", micros().alias("us"))
     rows = rows.withColumn("dts", T.rescale_q(F.col("us"), T.rational(1, 1_000_000), T.rational(1, 90_000))).withColumn("tb", T.rational(1, 1_000_000))
     rows = timeline.mark_discontinuities(rows, ["stream_index"], ["us", "seq"], "us", "tb", 3600.0)
-    from pyspark.sql import Window
-
     rows = rows.withColumn("duration", F.col("dts") - F.lag("dts").over(Window.partitionBy("stream_index").orderBy("us", "seq")))
     return rows.groupBy("stream_index").agg(F.count("*").alias("packets"), F.sum("duration").alias("duration"), F.count_if("discontinuity").alias("discontinuities"))
 
@@ -138,8 +137,6 @@ _LINE = "l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedp
 
 def _samples(spark, sf_dir) -> DataFrame:
     """Line items as samples of their order."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("l_orderkey").orderBy(*_LINE.split(", "))
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("track"), F.row_number().over(w).cast("long").alias("sample_no"), F.col("l_partkey").alias("size"), F.col("l_quantity").cast("long").alias("duration"), (F.col("l_returnflag") == "R").alias("is_sync"))
 

@@ -64,7 +64,7 @@ def annex_b_pieces(data: bytes) -> tuple[list[bytes], bytes]:
     last = data.rfind(b"\x00\x00\x01")
     if last < 0:
         return [], data[-2:] if len(data) > 2 else data
-    return list(annex_b_units(data[:last] + b"\x00\x00\x01"))[:], data[last:]
+    return list(annex_b_units(data[:last] + b"\x00\x00\x01")), data[last:]
 
 
 def windowed_counts(rows: DataFrame, ts: str, keys: list[str], width: str, late: str) -> DataFrame:
