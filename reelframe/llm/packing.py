@@ -15,6 +15,8 @@ from reelframe.llm.tokens import encoder
 
 #: Pieces packed together in one task.
 PIECES_PER_TASK = 50_000
+#: Words a worker keeps the ids of while packing; fewer than elsewhere, as other stages' memory stays in use.
+MAX_WORDS = 400_000
 #: Exchange rounds; each leaves about one open sequence a task, so few are needed.
 MAX_ROUNDS = 8
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -31,7 +33,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int) -
 
     def cut(batches):
         for batch in batches:
-            ids = encoder(vocabulary).encode(batch.column(1).to_pylist())
+            ids = encoder(vocabulary, MAX_WORDS).encode(batch.column(1).to_pylist())
             out = [(d, i, a // 4, len(x) // 4, zlib.crc32(x)) for d, raw in zip(batch.column(0).to_pylist(), ids) for i, (a, x) in enumerate((a, (raw + end)[a : a + 4 * capacity]) for a in range(0, len(raw) + 4, 4 * capacity))]
             cols = list(zip(*out)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
@@ -170,7 +172,7 @@ def sequences(docs: DataFrame, placed: DataFrame, vocabulary: str, end_id: int =
 
     def ids_of(batches):
         for batch in batches:
-            raw = [np.frombuffer(x + end, "<i4") for x in encoder(vocabulary).encode(batch.column(1).to_pylist())]
+            raw = [np.frombuffer(x + end, "<i4") for x in encoder(vocabulary, MAX_WORDS).encode(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.list_(pa.int32()))], names=["doc_id", "all_ids"])
 
     ids = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(ids_of, "doc_id long, all_ids array<int>")

@@ -10,18 +10,23 @@ from __future__ import annotations
 
 import json
 import re
-from struct import pack
+from struct import Struct
 
 import numpy as np
 
 #: Words kept per worker; when reached, the table starts anew. Bounds memory only, never the result.
-MAX_WORDS = 1_000_000
+MAX_WORDS = 800_000
+#: Characters of texts that are taken apart at once; bounds the words in memory.
+CHARS_AT_ONCE = 500_000
 #: Unseen words given to the library in one call.
 WORDS_PER_CALL = 4_000
 
 
-#: Words of letters with closing marks: known to be a piece of letters and a piece of marks in both vocabularies.
-_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
+#: Marks that close a word, and letters beyond ASCII: a word of letters with closing marks is known to be a piece
+#: of letters and a piece of marks in both vocabularies. The apostrophe isn't among them (it opens endings).
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_PACKERS = [Struct("<%dI" % n) for n in range(64)]
 
 
 def _byte_letters() -> dict[int, int]:
@@ -57,9 +62,10 @@ class WordEncoder:
     Strings of special tokens inside a text are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, max_words: int = MAX_WORDS):
         from tokenizers import Tokenizer
 
+        self.max_words = max_words
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
@@ -70,6 +76,7 @@ class WordEncoder:
         self.mark_id = self._ids([self.mark])[0]
         if len(self.mark_id) != 1:
             raise ValueError("the separator isn't a single id in this vocabulary")
+        self.tokenize = self.library.model.tokenize
         self.seen = _Seen(self._plain)
         self.marks: dict[str, bytes] = {"": b""}
         self.newline = b"" if self.drops_space else self.mark_id[0].tobytes()
@@ -79,7 +86,8 @@ class WordEncoder:
         return self._piece_of(piece if piece.isascii() else piece.encode().decode("latin-1").translate(_LETTERS))
 
     def _piece_of(self, letters: str) -> bytes:
-        return pack("<%dI" % len(ids := [t.id for t in self.library.model.tokenize(letters)]), *ids)
+        ids = [t.id for t in self.tokenize(letters)]
+        return _PACKERS[len(ids)].pack(*ids) if len(ids) < 64 else np.array(ids, dtype="<u4").tobytes()
 
     def _piece_after_space(self, body: str) -> bytes:
         if body.isascii():
@@ -89,10 +97,11 @@ class WordEncoder:
     def _plain(self, word: str) -> bytes | None:
         """Ids of a word of letters and closing marks, else None."""
         opens = not self.drops_space and word[0] == "\n"
-        found = _PLAIN.fullmatch(word, 1 if opens else 0)
-        if found is None:
+        whole = word[1:] if opens else word
+        body = whole.rstrip(_MARKS)
+        if not (body.isascii() and body.isalpha() or _LATIN.fullmatch(body)):
             return None
-        body, marks = found.groups()
+        marks = whole[len(body) :]
         if marks not in self.marks:
             self.marks[marks] = self._piece(marks)
         ids = self.seen.get(body) if marks and not opens else None
@@ -127,7 +136,19 @@ class WordEncoder:
                 self.seen[w] = raw[4 * a if not self.drops_space and w[0] == "\n" else 4 * a + 4 : 4 * b]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.seen) > MAX_WORDS:
+        out: list[bytes] = []
+        some: list[str | None] = []
+        size = 0
+        for text in texts:
+            some.append(text)
+            size += len(text or "")
+            if size >= CHARS_AT_ONCE:
+                out += self._encode(some)
+                some, size = [], 0
+        return out + self._encode(some)
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
+        if len(self.seen) > self.max_words:
             self.seen.clear()
         get, seen = self.seen.__getitem__, self.seen
         out: list[bytes | None] = [None] * len(texts)
@@ -168,10 +189,10 @@ class WordEncoder:
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, max_words: int = MAX_WORDS) -> WordEncoder:
     """This worker's encoder for the vocabulary file."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
+        _ENCODERS[path] = WordEncoder(path, max_words)
     return _ENCODERS[path]
 
 
