@@ -29,8 +29,12 @@ def packet_size(data: Column) -> Column:
 
 def rescale_packets(packets: DataFrame, target: Column, rounding: str = "near", mode: str = FAIL) -> DataFrame:
     """pts, dts and duration in another time base; unknown ones stay unknown."""
-    times = {c: timebase.rescale_q(F.col(c), F.col("time_base"), target, rounding, mode) for c in ("pts", "dts", "duration")}
-    return packets.withColumns(times).withColumn("time_base", target)
+    tb = F.col("time_base")
+    factors = {"__up": tb["num"].cast("long") * target["den"].cast("long"), "__down": tb["den"].cast("long") * target["num"].cast("long"), "__known": timebase.is_valid(tb) & timebase.is_valid(target)}
+    unknown = reject("invalid time base", "long", mode)
+    one = lambda c: F.when(F.col(c).isNull(), F.lit(None).cast("long")).when(F.col("__known"), timebase.rescale(F.col(c), F.col("__up"), F.col("__down"), rounding, mode)).otherwise(unknown)
+    # the factors are columns of their own, so that the three times share them
+    return packets.withColumns(factors).withColumns({c: one(c) for c in ("pts", "dts", "duration")}).withColumn("time_base", target).drop(*factors)
 
 
 def known_streams(packets: DataFrame, streams: DataFrame) -> DataFrame:
