@@ -31,14 +31,15 @@ def build_shard(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray)
     known = np.array([0 if d is None else d for d in doc_ids], "<i8")
     null = np.array([d is None for d in doc_ids], "u1")
     sections = [known.tobytes(), null.tobytes(), np.array(lengths, "<i8").tobytes()]
-    order = ids.astype(np.uint32)
+    kind = np.uint16 if planes <= 16 else np.uint32
+    order = ids.astype(kind)
     for k in range(planes - 1, -1, -1):
-        bits = ((order >> np.uint32(k)) & np.uint32(1)).astype(bool)
+        bits = (order & kind(1 << k)) != 0
         padded = np.zeros(-(-max(1, len(bits)) // RANK_STEP) * RANK_STEP, bool)
         padded[: len(bits)] = bits
-        ranks = np.concatenate([[0], np.cumsum(padded.reshape(-1, RANK_STEP).sum(1))])
+        ranks = np.concatenate([[0], np.cumsum(np.count_nonzero(padded.reshape(-1, RANK_STEP), axis=1))])
         sections += [np.packbits(padded, bitorder="little").tobytes(), ranks.astype("<u4").tobytes()]
-        order = np.concatenate([order[~bits], order[bits]])
+        order = np.concatenate([order[np.flatnonzero(~bits)], order[np.flatnonzero(bits)]])  # several times as fast as masks
     pack = zstandard.ZstdCompressor(level=1).compress
     frames = [pack(s) for s in sections]
     return MAGIC + struct.pack("<QIII", len(ids), len(doc_ids), planes, len(frames)) + struct.pack(f"<{len(frames)}Q", *map(len, frames)) + b"".join(frames)
@@ -119,12 +120,13 @@ class Shard:
 
     def all_ids(self) -> np.ndarray:
         """Every id in order, from the lowest plane's order back to the first's."""
-        values = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if self.planes <= 16 else np.uint32
+        values = np.zeros(self.n, kind)
         for k in range(self.planes - 1, -1, -1):
             bits = np.unpackbits(self.bits[k], count=self.n, bitorder="little").astype(bool) if self.n else np.zeros(0, bool)
-            split, back = self.zeros[k], np.empty(self.n, np.uint32)
-            back[~bits] = values[:split]
-            back[bits] = values[split:] | np.uint32(1 << (self.planes - 1 - k))
+            split, back = self.zeros[k], np.empty(self.n, kind)
+            back[np.flatnonzero(~bits)] = values[:split]
+            back[np.flatnonzero(bits)] = values[split:] | kind(1 << (self.planes - 1 - k))
             values = back
         return values
 
