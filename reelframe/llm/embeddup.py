@@ -14,7 +14,7 @@ from reelframe.llm.simhash import spanning
 #: Distinct vectors of one tree. A label with more is cut into several trees, each pair of which is compared.
 TREE_SIZE = 1024
 #: Reference points by which a label's vectors are grouped, so that a tree covers near vectors where there are any.
-PIVOTS = 32
+PIVOTS = 8
 #: The radii of the levels halve from the largest distance of unit vectors down to below this one.
 SMALLEST_RADIUS = 0.05
 #: Slack for rounding in distances; candidates within it are decided by their cosine.
@@ -135,6 +135,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     nearest = F.array_max(F.transform("points", lambda p: F.struct((dot(F.col("v"), p["v"]) / F.sqrt(dot(p["v"], p["v"]))).alias("c"), p["slot"].alias("slot"))))["slot"]
     placed = entries.join(points, ["label", "width"]).join(sizes, ["label", "width"])
     placed = placed.withColumn("cell", F.when(F.col("n") <= TREE_SIZE, F.lit(0).cast("long")).otherwise(nearest)).select("label", "width", "entry", "copies", "v", "cell")
+    placed = settle(placed, f"{folder}/placed")
     cells = placed.groupBy("label", "width", "cell").count()
     # small cells share trees: a running sum over the at most PIVOTS cells of a label; large ones are cut by hash
     order = Window.partitionBy("label", "width").orderBy("cell")
