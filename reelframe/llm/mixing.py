@@ -12,7 +12,9 @@ BLOCK_WORDS = 128
 #: Slots of an output shard, a block each.
 SHARD_SLOTS = 4_096
 #: Rows of a source whose sizes are summed in one task.
-ROWS_PER_STRIPE = 20_000
+ROWS_PER_STRIPE = 2_000
+#: Slots filled by one task.
+SLOTS_PER_TASK = 65_536
 #: Rounds of the index permutation.
 ROUNDS = 24
 WEIGHTS = (5, 2, 1)
@@ -120,7 +122,9 @@ def draw_slots(targets: DataFrame, folder: str, block_words: int, shard_slots: i
     short = short.select("rank", F.explode(F.expr("sequence(0L, lack - 1)")).alias("i")).withColumn("place", F.row_number().over(Window.orderBy("rank", "i")))
     filled = counts.select("shard", "rank", F.col("keep").alias("n")).unionByName(freed.join(short, "place").groupBy("shard", "rank").agg(F.count("*").alias("n")))
     final = filled.groupBy("shard", "rank").agg(F.sum("n").alias("n")).where("n > 0").withColumn("from", F.coalesce(F.sum("n").over(by_source), F.lit(0)))
-    slots = final.select("shard", "rank", F.explode(F.expr("sequence(`from`, `from` + n - 1)")).alias("k")).join(plan.select("rank", "blocks"), "rank")
+    # few rows become many here, so they are dealt to tasks by the slots they become
+    spread = final.repartition(max(1, -(-total // SLOTS_PER_TASK)), "shard", "rank")
+    slots = spread.select("shard", "rank", F.explode(F.expr("sequence(`from`, `from` + n - 1)")).alias("k")).join(plan.select("rank", "blocks"), "rank")
     epoch = (F.col("k") / F.col("blocks")).cast("long")
     slots = slots.withColumn("epoch", epoch).withColumn("block", permute(F.pmod("k", "blocks"), F.col("blocks"), F.lit(seed), F.col("rank"), F.col("epoch")))
     return slots.select("rank", "block", "epoch", "shard", F.pmod(F.xxhash64(F.lit(seed), "rank", "k"), F.lit(1 << 40)).alias("slot_no"))
@@ -159,11 +163,14 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     ``doc_id`` must be unique.
     """
     line, _, pieces = mix(docs, **options)
-    drawn = pieces.groupBy("doc_id", "epoch").agg(F.array_sort(F.collect_list(F.struct("first", "words"))).alias("runs"))
-    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(rf"[\x20\x09-\x0D]*{_WORD}"), 0)
-    joined = docs.join(drawn.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id"))).withColumn("__words", words)
-    text = F.array_join(F.transform("runs", lambda r: F.array_join(F.slice("__words", r["first"].cast("int") + 1, r["words"].cast("int")), "")), "")
-    out = joined.withColumn("text", F.ltrim(text))
+    runs = F.array_sort(F.collect_list(F.struct("first", "words")))
+    drawn = pieces.groupBy("doc_id", "epoch").agg(runs.alias("__runs"), (F.sum("words") == F.first("size")).alias("__all")).select(F.col("doc_id").alias("__id"), "__runs", "__all")
+    words = F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{_WORD}"), 0)
+    joined = docs.join(drawn, F.col("doc_id").eqNullSafe(F.col("__id")))
+    # only a document of which words are missing is taken apart
+    some = F.transform(F.array(words), lambda w: F.array_join(F.transform("__runs", lambda r: F.array_join(F.slice(w, r["first"].cast("int") + 1, r["words"].cast("int")), "")), ""))[0]
+    text = F.when(F.col("__all"), F.col("text")).otherwise(some)
+    out = joined.withColumn("text", F.regexp_replace(text, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z", ""))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
