@@ -15,7 +15,7 @@ from struct import Struct
 import numpy as np
 
 #: Words kept per worker; when reached, the table starts anew. Bounds memory only, never the result.
-MAX_WORDS = 800_000
+MAX_WORDS = 1_500_000
 #: Characters of texts that are taken apart at once; bounds the words in memory.
 CHARS_AT_ONCE = 500_000
 #: Unseen words given to the library in one call.
