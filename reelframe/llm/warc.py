@@ -56,15 +56,11 @@ def _record(fields: dict[str, str], block: bytes) -> bytes:
     return gzip.compress(b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block + _END, 1, mtime=0)
 
 
-def _id(page_id: int | None, segment: int = 1) -> str:
-    return f"<urn:page:{'null' if page_id is None else page_id}{f':segment:{segment}' if segment > 1 else ''}>"
-
-
-def _page_records(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, segment_bytes: int) -> list[bytes]:
-    own = {"WARC-Record-ID": _id(page_id), "WARC-Target-URI": re.sub(r"[\s\x00-\x1f]", "%20", url or "about:blank"), "WARC-Payload-Digest": f"sha1:{digest}", "Content-Type": "application/http;msgtype=response"}
+def _page_records(record_id: str, url: str | None, payload: bytes | None, digest: str, refers_to: str | None, segment_bytes: int) -> list[bytes]:
+    own = {"WARC-Record-ID": f"<{record_id}>", "WARC-Target-URI": re.sub(r"[\s\x00-\x1f]", "%20", url or "about:blank"), "WARC-Payload-Digest": f"sha1:{digest}", "Content-Type": "application/http;msgtype=response"}
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
-    if revisit:
-        return [_record({"WARC-Type": "revisit", "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": _id(refers_to)} | own, head)]
+    if payload is None:
+        return [_record({"WARC-Type": "revisit", "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": f"<{refers_to}>"} | own, head)]
     block = head + _chunked(payload)
     if len(block) <= segment_bytes:
         return [_record({"WARC-Type": "response"} | own, block)]
@@ -72,48 +68,78 @@ def _page_records(page_id: int | None, url: str | None, payload: bytes, digest:
     out = [_record({"WARC-Type": "response", "WARC-Segment-Number": "1"} | own, parts[0])]
     for n, part in enumerate(parts[1:], 2):
         more = {"WARC-Segment-Total-Length": str(len(block))} if n == len(parts) else {}
-        out.append(_record({"WARC-Type": "continuation", "WARC-Record-ID": _id(page_id, n), "WARC-Segment-Origin-ID": _id(page_id), "WARC-Segment-Number": str(n)} | more, part))
+        out.append(_record({"WARC-Type": "continuation", "WARC-Record-ID": f"<{record_id}:segment:{n}>", "WARC-Segment-Origin-ID": f"<{record_id}>", "WARC-Segment-Number": str(n)} | more, part))
     return out
 
 
-def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
-    """Write ``pages(page_id, url, html)`` as WARC files and return their manifest ``(name, n_records)``.
+WRITTEN = "name string, n_records long, page_id long, sha string, record_id string"
 
-    Of pages with equal payloads of at least ``min_bytes`` bytes that with the smallest ``page_id`` is a
-    response and the others revisit it. Null html is an empty payload, a null url ``about:blank``. Rows repeated
-    with the smallest page_id are all responses; a null page_id sorts after every other.
+
+def _write(rows: DataFrame, folder: str, kind: str, segment_bytes: int) -> DataFrame:
+    """Write ``rows(page_id, url, sha, payload, refers_to, referred)`` as files: `WRITTEN`, a row a file, and one
+    without a name a ``referred`` row. A record id ends in its task's number and its own in that task.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    keys = rows.select("page_id", F.sha1("payload").alias("sha"), F.octet_length("payload").alias("n")).where(F.col("n") >= min_bytes)
-    # grouped before the shuffle; only payloads that repeat go on, and only ids and digests move
-    firsts = keys.groupBy("sha", "n").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    again = keys.join(firsts, ["sha", "n"]).where(~F.col("page_id").eqNullSafe(F.col("first"))).select(F.col("page_id").alias("again_id"), "first").distinct()
-    tagged = rows.join(again, F.col("page_id").eqNullSafe(F.col("again_id")), "left").select("page_id", "url", "payload", F.col("first").alias("refers_to"), F.col("first").isNotNull().alias("revisit"))
 
     def write(batches):
         from pyspark import TaskContext
 
-        part, held, size, made = TaskContext.get().partitionId(), [], 0, []
+        task = TaskContext.get()
+        part, held, size, files, count = task.partitionId(), [], 0, 0, 0
 
         def close():
-            nonlocal held, size
-            name = f"part-{part:06d}-{len(made):05d}.warc.gz"
+            nonlocal held, size, files
+            # an attempt's files are its own, so what a lost one leaves is never mistaken for them
+            name = f"{kind}-{part:06d}-{task.taskAttemptId()}-{files:05d}.warc.gz"
             put_file(folder, name, b"".join(held))
-            made.append((name, len(held)))
-            held, size = [], 0
+            made = (name, len(held), None, None, None)
+            held, size, files = [], 0, files + 1
+            return made
+
+        def rows_of(made):
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            return pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], k) for i, k in enumerate(kinds)], names=[x.split()[0] for x in WRITTEN.split(", ")])
 
         for batch in batches:
+            made = []
             for row in batch.to_pylist():
-                records = _page_records(row["page_id"], row["url"], row["payload"], digest_of(row["payload"]), row["refers_to"], row["revisit"], segment_bytes)
+                digest = base64.b32encode(bytes.fromhex(row["sha"])).decode()
+                record_id = f"urn:page:{'null' if row['page_id'] is None else row['page_id']}:{digest}:{kind}-{part}-{count}"
+                count += 1
+                records = _page_records(record_id, row["url"], row["payload"], digest, row["refers_to"], segment_bytes)
                 held += records
                 size += sum(map(len, records))
+                if row["referred"]:
+                    made.append((None, None, row["page_id"], row["sha"], record_id))
                 if size >= FILE_BYTES:
-                    close()
+                    made.append(close())
+            yield rows_of(made)
         if held:
-            close()
-        yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.int64())], names=["name", "n_records"])
+            yield rows_of([close()])
 
-    return settle(tagged.mapInArrow(write, "name string, n_records long"), folder + "-manifest")
+    return settle(rows.select("page_id", "url", "sha", "payload", "refers_to", "referred").mapInArrow(write, WRITTEN), f"{folder}-{kind}")
+
+
+def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
+    """Write ``pages(page_id, url, html)`` as WARC files and return their manifest ``(name, n_records)``.
+
+    Of pages with equal payloads of at least ``min_bytes`` bytes that with the smallest ``page_id`` is a
+    response and the others revisit it. Null html is an empty payload, a null url ``about:blank``. Rows repeated
+    with the smallest page_id are all responses; a null page_id sorts after every other. Every row has a record
+    id of its own, whatever page_ids repeat or are null.
+    """
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload")).withColumns({"sha": F.sha1("payload"), "n": F.octet_length("payload")})
+    keys = rows.drop("payload").where(F.col("n") >= min_bytes)
+    # grouped before the shuffle; only payloads that repeat go on, and only ids, urls and digests move
+    firsts = keys.groupBy("sha", "n").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    copies = settle(keys.join(firsts, ["sha", "n"]).select("page_id", "url", "sha", "n", "first"), f"{folder}-copies")
+    # a page_id may stand for several payloads, so rows are told by both
+    known = copies.select(F.col("page_id").alias("its_id"), F.col("sha").alias("its_sha"), F.col("n").alias("its_n"), (~F.col("page_id").eqNullSafe(F.col("first"))).alias("again")).distinct()
+    tagged = rows.join(known, F.col("page_id").eqNullSafe(F.col("its_id")) & (F.col("sha") == F.col("its_sha")) & (F.col("n") == F.col("its_n")), "left").where("again is null or not again")
+    responses = _write(tagged.withColumns({"refers_to": F.lit(None).cast("string"), "referred": F.col("again").isNotNull()}), folder, "response", segment_bytes)
+    ids = responses.where("name is null").groupBy(F.col("page_id").alias("first"), "sha").agg(F.min("record_id").alias("refers_to"))
+    revisits = copies.where("page_id is null and first is not null or page_id <> first").join(ids, ["first", "sha"], "left")
+    revisits = _write(revisits.withColumns({"payload": F.lit(None).cast("binary"), "referred": F.lit(False)}), folder, "revisit", segment_bytes)
+    return settle(responses.unionByName(revisits).where("name is not null").select("name", "n_records"), folder + "-manifest")
 
 
 def _records(content: bytes):
@@ -149,7 +175,7 @@ SEGMENTS = "record_id string, type string, origin string, segment int, total lon
 
 
 def read_segments(spark, folder: str) -> DataFrame:
-    """Every record of the archives below ``folder``, continuations apart."""
+    """Every record of the archives that the manifest of ``folder`` names, continuations apart."""
 
     def read(batches):
         for batch in batches:
@@ -162,8 +188,9 @@ def read_segments(spark, folder: str) -> DataFrame:
                 kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in SEGMENTS.split(", ")])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("content")
-    return files.mapInArrow(read, SEGMENTS)
+    names = spark.read.schema("name string, n_records long").parquet(folder + "-manifest").select("name")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).withColumn("name", F.substring_index("path", "/", -1))
+    return files.join(F.broadcast(names), "name", "left_semi").select("content").mapInArrow(read, SEGMENTS)
 
 
 RECORDS = "record_id string, type string, refers_to string, digest string, payload binary"
@@ -220,8 +247,9 @@ def archive_digest(pages: DataFrame, min_bytes: int = 0, segment_bytes: int = SE
             yield pd.DataFrame({"record_id": frame["record_id"], "record_type": frame["type"], "ref": frame["refers_to"], "payload_digest": said, "size": [len(p) for p in frame["payload"]]})
 
     records = settle(reassemble(read_segments(spark, folder)).mapInPandas(check, "record_id string, record_type string, ref string, payload_digest string, size long"), folder + "-records")
-    page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
+    page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+|null):", 1).try_cast("long")
     responses = records.where("record_type = 'response'").select(page("record_id").alias("page_id"), F.col("size").alias("payload_bytes"), "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"))
-    sizes = records.where("record_type = 'response'").select(F.col("record_id").alias("ref"), F.col("size").alias("payload_bytes"), F.col("payload_digest").alias("their_digest")).distinct()
-    revisits = records.where("record_type = 'revisit'").drop("size").join(sizes, "ref").where("payload_digest = their_digest")
+    sizes = records.where("record_type = 'response'").select(F.col("record_id").alias("ref"), F.col("size").alias("payload_bytes"), F.col("payload_digest").alias("their_digest"))
+    size = F.when(F.col("payload_digest") == F.col("their_digest"), F.col("payload_bytes")).otherwise(F.raise_error(F.concat("record_id", F.lit(": no such payload"))).cast("long"))
+    revisits = records.where("record_type = 'revisit'").drop("size").join(sizes, "ref", "left").withColumn("payload_bytes", size)
     return responses.unionByName(revisits.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("ref").alias("refers_to")))

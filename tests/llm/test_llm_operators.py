@@ -174,6 +174,31 @@ def test_archives(spark):
     assert warc.archive_digest(frame.limit(0)).count() == 0
 
 
+def test_archives_with_repeated_and_null_ids(spark):
+    sha = lambda t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
+    for n in (50, 5000):  # below and above a segment
+        a, b, c, d = ("abcd"[i] * n for i in range(4))
+        # equal rows with the smallest id; an id with several payloads, one of them a copy; null ids alike and not
+        pages = [(1, a), (1, a), (2, a), (2, a), (2, b), (2, c), (3, c), (None, a), (None, b), (None, d), (None, d), (None, "x" + d), (-4, c + c)]
+        frame = spark.createDataFrame([(p, "u", t) for p, t in pages], "page_id long, url string, html string")
+        first = {}
+        for p, t in pages:
+            first[t] = min((q for q, u in pages if u == t and q is not None), default=None)
+        want = [(p, len(t), sha(t), "response" if p == first[t] else "revisit", None if p == first[t] else first[t]) for p, t in pages]
+        assert sorted(map(tuple, warc.archive_digest(frame, segment_bytes=300).collect()), key=str) == sorted(want, key=str)
+
+
+def test_files_of_lost_attempts_do_not_count(spark):
+    import glob
+    import shutil
+
+    folder = shared_dir(spark, "attempts")
+    warc.write_archives(spark.createDataFrame([(1, "u", "y")], "page_id long, url string, html string"), folder)
+    (name,) = glob.glob(folder.removeprefix("file://") + "/*.warc.gz")
+    shutil.copy(name, name.replace(".warc.gz", "-lost.warc.gz"))
+    assert warc.read_segments(spark, folder).count() == 1
+
+
 def test_damaged_segments(spark):
     frame = spark.createDataFrame([(1, "u", "y" * 4000)], "page_id long, url string, html string")
     folder = shared_dir(spark, "damaged")
