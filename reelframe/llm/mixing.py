@@ -71,24 +71,26 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return levels.withColumn("target", F.when(settled.isNull(), F.col("cap")).otherwise(F.least("cap", settled * F.col("weight")))).select("source", "source_size", "rank", "weight", "target")
 
 
-def lay_out(docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Lay every document's words on its source's line: ``(doc_id, source, size, at, copy)`` and the sources.
+def lay_out(docs: DataFrame, folder: str, row: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Lay every document's words on its source's line: ``(doc_id, row, rank, size, at)`` and the sources.
 
     The order on the line is by hash. A source is summed in stripes that follow its number of rows, so a source
-    with a third of all rows is summed by many tasks. ``copy`` tells repeated rows apart.
+    with a third of all rows is summed by many tasks; rows without an id are dealt to stripes by their text.
+    ``row`` is the column of ``docs`` so named, null without one.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("h"), (F.col(row) if row else F.lit(None)).cast("long").alias("row"))
     rows = settle(rows, f"{folder}/sizes")
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     targets = settle(source_targets(sources.select("source", "source_size")).join(sources.select(F.col("source").alias("s"), "rows"), F.col("source").eqNullSafe(F.col("s"))).drop("s"), f"{folder}/sources")
     keyed = rows.join(targets.select(F.col("source").alias("s"), "rank", "rows"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "source")
-    keyed = keyed.withColumn("stripe", F.pmod(F.xxhash64(F.lit("stripe"), F.coalesce("doc_id", F.lit(-1))), F.ceil(F.col("rows") / ROWS_PER_STRIPE)))
+    keyed = keyed.withColumn("stripe", F.pmod(F.xxhash64(F.lit("stripe"), F.coalesce("doc_id", "h")), F.ceil(F.col("rows") / ROWS_PER_STRIPE)))
     sums = keyed.groupBy("rank", "stripe").agg(F.sum("size").alias("n"))
     stripes = Window.partitionBy("rank").orderBy("stripe").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("rank", "stripe", F.coalesce(F.sum("n").over(stripes), F.lit(0)).alias("before"))
-    within = Window.partitionBy("rank", "stripe").orderBy(F.xxhash64(F.lit("line"), "doc_id"), "doc_id", "size")
+    within = Window.partitionBy("rank", "stripe").orderBy(F.xxhash64(F.lit("line"), "doc_id"), "doc_id", "size", "h", "row")
     run = keyed.withColumn("inside", F.coalesce(F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    line = run.join(starts, ["rank", "stripe"]).select("doc_id", "rank", "size", (F.col("before") + F.col("inside")).alias("at"))
+    line = run.join(starts, ["rank", "stripe"]).select("doc_id", "row", "rank", "size", (F.col("before") + F.col("inside")).alias("at"))
     return settle(line, f"{folder}/line"), targets
 
 
@@ -130,15 +132,16 @@ def draw_slots(targets: DataFrame, folder: str, block_words: int, shard_slots: i
     return slots.select("rank", "block", "epoch", "shard", F.pmod(F.xxhash64(F.lit(seed), "rank", "k"), F.lit(1 << 40)).alias("slot_no"))
 
 
-def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 7) -> tuple[DataFrame, DataFrame, DataFrame]:
+def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 7, row: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Mix ``docs(doc_id, source, text)``; returns the documents' line, the sources, and the drawn pieces.
 
-    Pieces ``(doc_id, rank, at, size, epoch, block, shard, slot_no, first, words)``: words ``first`` (from 0) to
-    ``first + words`` of the document stand in that block of that shard. Empty texts take no place; null sources
-    are a source; repeated rows are each laid out. No rows give none.
+    Pieces ``(doc_id, row, rank, at, size, epoch, block, shard, slot_no, first, words)``: words ``first`` (from 0)
+    to ``first + words`` of the document stand in that block of that shard. Empty texts take no place; null
+    sources are a source; repeated rows are each laid out. ``row`` names a column that tells rows apart, if there
+    is one. No rows give none.
     """
     folder = shared_dir(docs.sparkSession, "mixing")
-    line, targets = lay_out(docs, folder)
+    line, targets = lay_out(docs, folder, row)
     slots = settle(draw_slots(targets, folder, block_words, shard_slots, seed), f"{folder}/slots")
     spans = line.where("size > 0").withColumn("block", F.explode(F.expr(f"sequence(at div {block_words}, (at + size - 1) div {block_words})")))
     first = F.greatest(F.lit(0), F.col("block") * block_words - F.col("at"))
@@ -157,16 +160,17 @@ def mix_counts(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix as documents: a row per document and epoch with the words drawn, other columns unchanged.
+    """The mix as documents: a row per row of ``docs`` and epoch with the words drawn, other columns unchanged.
 
     ``text`` keeps the white space before each drawn word but the first; ``n_chars``, if there, is its length.
-    ``doc_id`` must be unique.
+    Rows are numbered as they are written down once, so repeated and null ``doc_id`` are rows like any other.
     """
-    line, _, pieces = mix(docs, **options)
+    numbered = settle(docs.withColumn("__row", F.monotonically_increasing_id()), f"{shared_dir(docs.sparkSession, 'mixing')}/rows")
+    _, _, pieces = mix(numbered, row="__row", **options)
     runs = F.array_sort(F.collect_list(F.struct("first", "words")))
-    drawn = pieces.groupBy("doc_id", "epoch").agg(runs.alias("__runs"), (F.sum("words") == F.first("size")).alias("__all")).select(F.col("doc_id").alias("__id"), "__runs", "__all")
+    drawn = pieces.groupBy("row", "epoch").agg(runs.alias("__runs"), (F.sum("words") == F.first("size")).alias("__all")).select(F.col("row").alias("__drawn"), "__runs", "__all")
     words = F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{_WORD}"), 0)
-    joined = docs.join(drawn, F.col("doc_id").eqNullSafe(F.col("__id")))
+    joined = numbered.join(drawn, F.col("__row") == F.col("__drawn"))
     # only a document of which words are missing is taken apart
     some = F.transform(F.array(words), lambda w: F.array_join(F.transform("__runs", lambda r: F.array_join(F.slice(w, r["first"].cast("int") + 1, r["words"].cast("int")), "")), ""))[0]
     text = F.when(F.col("__all"), F.col("text")).otherwise(some)

@@ -296,6 +296,33 @@ def test_mixed_documents(spark, docs):
     assert words == counts
 
 
+def test_mixed_documents_with_repeated_and_null_ids(spark, odd, empty):
+    # every word names the row it is from, but for two wholly equal rows
+    sizes = [300, 900, 40, 500, 700, 128, 350, 200, 60, 450]
+    ids = [1, 1, 1, None, None, None, 2, 2, 3, 4]
+    rows = [(d, " ".join(f"r{i}_{k}" for k in range(n)), "en", "ab"[i % 2], 0) for i, (d, n) in enumerate(zip(ids, sizes))]
+    rows += [(5, " ".join(f"twin_{k}" for k in range(250)), "en", "a", 0)] * 2
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    mixed = mixing.mixed_documents(frame).collect()
+    owner = {w: (d, source) for d, text, _, source, _ in rows for w in text.split()}
+    seen, taken = {}, {"a": 0, "b": 0}
+    for r in mixed:
+        mine = r.text.split()
+        names = {w.split("_")[0] for w in mine}
+        places = [int(w.split("_")[1]) for w in mine]
+        assert len(names) == 1 and places == sorted(set(places)) and {owner[w] for w in mine} == {(r.doc_id, r.source)} and r.n_chars == len(r.text)
+        taken[r.source] += len(mine)
+        for w in mine:
+            seen[w] = seen.get(w, 0) + 1
+    target = water_fill({s: sum(len(r[1].split()) for r in rows if r[3] == s) for s in taken})
+    assert all(abs(taken[s] - target[s]) <= mixing.BLOCK_WORDS for s in taken)
+    assert all(n <= mixing.MAX_REPEATS * (2 if w.startswith("twin") else 1) for w, n in seen.items())
+    out = mixing.mixed_documents(odd)
+    assert out.columns == odd.columns
+    assert sum(len(WORD.findall(r.text)) for r in out.collect()) == sum(r.taken for r in mixing.mix_counts(odd).collect())
+    assert mixing.mixed_documents(empty).count() == 0
+
+
 # 7: repeats
 
 
