@@ -14,18 +14,23 @@ from pyspark.sql import functions as F
 from reelframe.llm.cluster import put_file, settle, shared_dir
 from reelframe.llm.tokens import encoder
 
-MAGIC = b"RFWM0001"
+MAGIC = b"RFWM0002"
 #: A shard file is closed at the first document end after so many ids.
 IDS_PER_SHARD = 4_000_000
 #: Bits between stored ranks.
 RANK_STEP = 512
+#: Bits of one value between stored places.
+SELECT_STEP = 4096
+#: A plane's bits, ranks, and places of its 0s and its 1s.
+PLANE_SECTIONS = 4
 
 
 def build_shard(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
     """One shard's file: header, document index, then for each bit from the highest its plane and ranks.
 
     Plane k holds that bit of every id in the plane's order; the next plane's order is this one's with the ids
-    whose bit is 0 first, both halves in order. Each section is a zstandard frame. An empty shard is allowed.
+    whose bit is 0 first, both halves in order. After a plane's ranks stand the blocks that hold every
+    `SELECT_STEP`-th 0 and 1. Each section is a zstandard frame. An empty shard is allowed.
     """
     planes = max(1, int(ids.max()).bit_length()) if len(ids) else 1
     known = np.array([0 if d is None else d for d in doc_ids], "<i8")
@@ -34,47 +39,68 @@ def build_shard(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray)
     kind = np.uint16 if planes <= 16 else np.uint32
     order = ids.astype(kind)
     for k in range(planes - 1, -1, -1):
-        bits = (order & kind(1 << k)) != 0
-        padded = np.zeros(-(-max(1, len(bits)) // RANK_STEP) * RANK_STEP, bool)
-        padded[: len(bits)] = bits
-        ranks = np.concatenate([[0], np.cumsum(np.count_nonzero(padded.reshape(-1, RANK_STEP), axis=1))])
+        padded = np.zeros(-(-max(1, len(order)) // RANK_STEP) * RANK_STEP, np.uint8)
+        padded[: len(order)] = order >> kind(k) & kind(1)
+        counts = padded.reshape(-1, RANK_STEP).sum(1, dtype=np.uint32)
+        ranks = np.concatenate([[0], np.cumsum(counts)])
+        before = np.arange(len(ranks)) * RANK_STEP - ranks
         sections += [np.packbits(padded, bitorder="little").tobytes(), ranks.astype("<u4").tobytes()]
-        order = np.concatenate([order[np.flatnonzero(~bits)], order[np.flatnonzero(bits)]])  # several times as fast as masks
+        for seen, total in ((before, len(order) - int(ranks[-1])), (ranks, int(ranks[-1]))):
+            sections.append((np.searchsorted(seen, np.arange(0, total, SELECT_STEP), side="right") - 1).astype("<u4").tobytes())
+        ones, split = padded[: len(order)].view(bool), len(order) - int(ranks[-1])
+        ordered = np.empty_like(order)
+        ordered[:split], ordered[split:] = order[~ones], order[ones]
+        order = ordered
     pack = zstandard.ZstdCompressor(level=1).compress
     frames = [pack(s) for s in sections]
     return MAGIC + struct.pack("<QIII", len(ids), len(doc_ids), planes, len(frames)) + struct.pack(f"<{len(frames)}Q", *map(len, frames)) + b"".join(frames)
 
 
 class Shard:
-    """Reader of one shard file. Positions and occurrence numbers count from 0."""
+    """Reader of one shard file; a section is inflated when first asked for. Positions and occurrence numbers
+    count from 0."""
 
     def __init__(self, content: bytes):
         if content[:8] != MAGIC:
             raise ValueError("not a shard file")
         self.n, n_docs, self.planes, n_frames = struct.unpack_from("<QIII", content, 8)
         sizes = struct.unpack_from(f"<{n_frames}Q", content, 28)
-        at, parts, unpack = 28 + 8 * n_frames, [], zstandard.ZstdDecompressor()
+        self.edges = [28 + 8 * n_frames]
         for size in sizes:
-            parts.append(unpack.decompress(content[at : at + size]) if size else b"")
-            at += size
-        if at != len(content) or len(parts) != 3 + 2 * self.planes:
+            self.edges.append(self.edges[-1] + size)
+        if self.edges[-1] != len(content) or n_frames != 3 + PLANE_SECTIONS * self.planes:
             raise ValueError("truncated shard file")
-        null = np.frombuffer(parts[1], "u1")
-        self.doc_ids = [None if z else int(d) for d, z in zip(np.frombuffer(parts[0], "<i8"), null)]
-        self.lengths = np.frombuffer(parts[2], "<i8")
-        self.bits = [np.frombuffer(p, "u1") for p in parts[3::2]]
-        self.ranks = [np.frombuffer(p, "<u4").astype(np.int64) for p in parts[4::2]]
-        self.zeros = [self.n - int(r[-1]) for r in self.ranks]
+        self.content, self.sections = content, {}
+        null = self._section(1, "u1")
+        self.doc_ids = [None if z else int(d) for d, z in zip(self._section(0, "<i8"), null)]
+        self.lengths = self._section(2, "<i8")
+
+    def _section(self, number: int, kind: str) -> np.ndarray:
+        if number not in self.sections:
+            frame = self.content[self.edges[number] : self.edges[number + 1]]
+            self.sections[number] = np.frombuffer(zstandard.ZstdDecompressor().decompress(frame), kind)
+        return self.sections[number]
+
+    def bits(self, k: int) -> np.ndarray:
+        """Plane k, eight bits a byte."""
+        return self._section(3 + PLANE_SECTIONS * k, "u1")
+
+    def ranks(self, k: int) -> np.ndarray:
+        """Ones of plane k before each block of `RANK_STEP` bits, and in all."""
+        return self._section(4 + PLANE_SECTIONS * k, "<u4")
+
+    def zeros(self, k: int) -> int:
+        return self.n - int(self.ranks(k)[-1])
 
     def _bit(self, k: int, i: int) -> int:
-        return int(self.bits[k][i >> 3]) >> (i & 7) & 1
+        return int(self.bits(k)[i >> 3]) >> (i & 7) & 1
 
     def _ones(self, k: int, i: int) -> int:
         """Ones of plane k before place i."""
         block = i // RANK_STEP
-        rest = self.bits[k][block * RANK_STEP // 8 : -(-i // 8)]
+        rest = self.bits(k)[block * RANK_STEP // 8 : -(-i // 8)]
         tail = np.unpackbits(rest, bitorder="little")[: i - block * RANK_STEP] if len(rest) else rest
-        return int(self.ranks[k][block]) + int(tail.sum())
+        return int(self.ranks(k)[block]) + int(tail.sum())
 
     def access(self, i: int) -> int:
         """The id at position i."""
@@ -83,7 +109,7 @@ class Shard:
         value = 0
         for k in range(self.planes):
             bit = self._bit(k, i)
-            i = self.zeros[k] + self._ones(k, i) if bit else i - self._ones(k, i)
+            i = self.zeros(k) + self._ones(k, i) if bit else i - self._ones(k, i)
             value = value << 1 | bit
         return value
 
@@ -93,7 +119,7 @@ class Shard:
         a, b = 0, i
         for k in range(self.planes):
             ones_a, ones_b = self._ones(k, a), self._ones(k, b)
-            a, b = (self.zeros[k] + ones_a, self.zeros[k] + ones_b) if token >> (self.planes - 1 - k) & 1 else (a - ones_a, b - ones_b)
+            a, b = (self.zeros(k) + ones_a, self.zeros(k) + ones_b) if token >> (self.planes - 1 - k) & 1 else (a - ones_a, b - ones_b)
         return a, b
 
     def count(self, token: int, i: int | None = None) -> int:
@@ -109,24 +135,29 @@ class Shard:
         i = a + j
         for k in range(self.planes - 1, -1, -1):
             bit = token >> (self.planes - 1 - k) & 1
-            want = i - self.zeros[k] if bit else i
-            low, high = 0, self.n  # the place of the want-th such bit
-            while low < high:
-                mid = (low + high) // 2
-                seen = self._ones(k, mid + 1) if bit else mid + 1 - self._ones(k, mid + 1)
-                low, high = (low, mid) if seen > want else (mid + 1, high)
-            i = low
+            i = self._select(k, bit, i - self.zeros(k) if bit else i)
         return i
 
+    def _select(self, k: int, bit: int, want: int) -> int:
+        """Place of plane k's want-th bit of this value: from two samples to a block, then inside it."""
+        samples = self._section((6 if bit else 5) + PLANE_SECTIONS * k, "<u4")
+        low = int(samples[want // SELECT_STEP])
+        high = int(samples[want // SELECT_STEP + 1]) if want // SELECT_STEP + 1 < len(samples) else len(self.ranks(k)) - 2
+        ranks = self.ranks(k)[low : high + 1].astype(np.int64)
+        before = ranks if bit else np.arange(low, high + 1) * RANK_STEP - ranks
+        block = int(np.searchsorted(before, want, side="right")) - 1
+        inside = np.unpackbits(self.bits(k)[(low + block) * RANK_STEP // 8 : (low + block + 1) * RANK_STEP // 8], bitorder="little")
+        return (low + block) * RANK_STEP + int(np.flatnonzero(inside == bit)[want - int(before[block])])
+
     def all_ids(self) -> np.ndarray:
         """Every id in order, from the lowest plane's order back to the first's."""
         kind = np.uint16 if self.planes <= 16 else np.uint32
         values = np.zeros(self.n, kind)
         for k in range(self.planes - 1, -1, -1):
-            bits = np.unpackbits(self.bits[k], count=self.n, bitorder="little").astype(bool) if self.n else np.zeros(0, bool)
-            split, back = self.zeros[k], np.empty(self.n, kind)
-            back[np.flatnonzero(~bits)] = values[:split]
-            back[np.flatnonzero(bits)] = values[split:] | kind(1 << (self.planes - 1 - k))
+            bits = np.unpackbits(self.bits(k), count=self.n, bitorder="little").view(bool) if self.n else np.zeros(0, bool)
+            split, back = self.zeros(k), np.empty(self.n, kind)
+            back[~bits] = values[:split]
+            back[bits] = values[split:] | kind(1 << (self.planes - 1 - k))
             values = back
         return values
 
@@ -154,15 +185,13 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int, ids
             rows.append((shard, f"{shard:016x}.wm", len(names), len(ids)))
 
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                some = batch.slice(a, 500)
-                for d, x in zip(some.column(0).to_pylist(), encoder(vocabulary).encode(some.column(1).to_pylist())):
-                    names.append(d)
-                    raw.append(x + end)
-                    held += len(x) // 4 + 1
-                    if held >= ids_per_shard:
-                        close()
-                        names, raw, held, number = [], [], 0, number + 1
+            for d, x in zip(batch.column(0).to_pylist(), encoder(vocabulary).encode(batch.column(1))):
+                names.append(d)
+                raw.append(x + end)
+                held += len(x) // 4 + 1
+                if held >= ids_per_shard:
+                    close()
+                    names, raw, held, number = [], [], 0, number + 1
         if names:
             close()
         cols = list(zip(*rows)) or [[]] * 4

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from reelframe.llm import chat, embeddup, mixing, packing, quality, sharding, simhash, suffix, tokenbin, warc
 from reelframe.llm.cluster import components, shared_dir
@@ -47,12 +48,26 @@ def test_components(spark):
     assert components(edges.limit(0), "none").count() == 0
 
 
+#: Every kind of white space, controls, combining and cased letters, numbers, marks, and strings of special tokens.
+ATOMS = [" ", " ", " ", " ", "\n", "\n", "  ", "\n\n", "a", "B", "the", "word", "Straße", "\u00e9", "e\u0301", "\u0301", "\u03a3", "\u0130", "\u01c5", "1", "\u00bd", "\u00b2", "\u0663", "\u6f22", "\ud55c", "\u1112\u1161", "'s", "'", "\u2019s", "n't", "|", ".", "...", "!?", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", "|>", ";", "\u212a", "\x00", "\x7f", "\u00aa", "\u00d7", "\U0001f600", "\ufb01"]
+ATOMS += [chr(c) for c in (*range(9, 14), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)]
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_agrees_with_the_library(docs, name):
-    e = WordEncoder(public_vocabulary(name))
-    texts = [r.text for r in docs.select("text").collect()] + [r[1] for r in ODD] + ["a  b", "\nx", "x\n y", "x \ny", "a|b | |", "they've\u0085we'll", "ΑΣ", "word,word. (x) it's 'tis"]
-    want = [np.array(x.ids, "<u4").tobytes() for x in e.library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-    assert e.encode(texts) == want and e.encode(texts) == want
+    """Over 100,000 texts a vocabulary against an untouched library object, and with special strings as text."""
+    import random
+
+    rng = random.Random(11)
+    plain, as_text = Tokenizer.from_file(public_vocabulary(name)), Tokenizer.from_file(public_vocabulary(name))
+    as_text.encode_special_tokens = True
+    fixed = [r.text for r in docs.select("text").collect()] + [r[1] for r in ODD] + ["a  b", "\nx", "x\n y", "x \ny", "a|b | |", "they've\u0085we'll", "\u0391\u03a3", "word,word. (x) it's 'tis", "\u00a0\u00a0x\n\u00a0\u00a0y", "a\x1cb", "", None, "x" * 300, "\n", " "]
+    for library, e in ((plain, WordEncoder(public_vocabulary(name))), (as_text, WordEncoder(public_vocabulary(name), max_words=5000, specials_as_text=True))):
+        for turn in range(26):
+            texts = fixed if not turn else ["".join(rng.choices(ATOMS if i % 2 else ATOMS[:42], k=rng.randrange(14))) for i in range(4000)]
+            want = [np.array(x.ids, "<u4").tobytes() for x in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+            assert e.encode(texts) == want
+        assert e.encode(fixed) == e.encode(fixed) and e.encode([]) == []
 
 
 # 1: packing
@@ -93,6 +108,36 @@ def test_packing_meets_its_bound(spark, docs, odd, empty, monkeypatch):
     assert packing.pack_documents(empty, vocabulary).count() == 0
 
 
+@pytest.mark.parametrize("capacity", [4096, 64])
+def test_packing_query_against_the_library(spark, docs, odd, capacity):
+    """Every piece's ids, order and place from an untouched library object."""
+    vocabulary = public_vocabulary("word_bpe_49k.json")
+    library = Tokenizer.from_file(vocabulary)
+    spaced = spark.createDataFrame([(21, "a\x1cb\x1fc"), (22, "x <|startoftext|> y"), (23, "\u00a0\u2003z")], "doc_id long, text string")
+    for frame in (docs, odd, spaced):
+        want = []
+        for r in frame.select("doc_id", "text").collect():
+            ids = np.array([*library.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4")
+            want += [(r.doc_id, i, a, len(ids[a : a + capacity]), zlib.crc32(ids[a : a + capacity].tobytes())) for i, a in enumerate(range(0, len(ids), capacity))]
+        placed = packing.pack_documents(frame, vocabulary, capacity).collect()
+        assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in placed), key=str) == sorted(want, key=str)
+        held = {}
+        for r in placed:
+            held.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        for parts in held.values():
+            parts.sort()
+            assert [o for o, _ in parts] == [sum(n for _, n in parts[:i]) for i in range(len(parts))] and sum(n for _, n in parts) <= capacity
+
+
+def test_packing_stops_without_gain(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PIECES_PER_TASK", 20)
+    rows = [(i, 0, 0, n, i) for i, n in enumerate([60, 41, 41, 30, 29, 25] * 40)]
+    placed = packing.pack(spark.createDataFrame(rows, packing.PIECES), 100).toPandas()
+    sizes, counts = np.unique([r[3] for r in rows], return_counts=True)
+    assert len(placed) == len(rows) and placed.groupby("sequence_id")["length"].sum().max() <= 100
+    assert placed["sequence_id"].nunique() <= packing.sequence_bound(sizes, counts, 100) * 1.1
+
+
 def test_packed_sequences(spark, docs):
     some = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).limit(30)
     vocabulary = public_vocabulary("word_bpe_49k.json")
@@ -413,8 +458,9 @@ def test_wavelet_matrix():
 
 def test_token_shards(spark, docs, odd, empty):
     vocabulary = public_vocabulary("byte_bpe_50k.json")
-    library = WordEncoder(vocabulary).library
-    for frame in (docs, odd):
+    library = Tokenizer.from_file(vocabulary)
+    spaced = spark.createDataFrame([(1, "\u00a0\u00a0if x:\n\u00a0\u00a0 y"), (2, "a\x1cb <|endoftext|>"), (3, "x\x1f \u2003")], "doc_id long, text string")
+    for frame in (docs, odd, spaced):
         rows = sorted(frame.select("doc_id", "text").collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text or ""))
         ids = [np.array([*library.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4") for r in rows]
         starts = np.cumsum([0, *map(len, ids)])[:-1].tolist()
