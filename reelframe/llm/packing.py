@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections import defaultdict
 
@@ -17,8 +18,6 @@ from reelframe.llm.tokens import encoder
 PIECES_PER_TASK = 50_000
 #: Words a worker keeps the ids of while packing; fewer than elsewhere, as other stages' memory stays in use.
 MAX_WORDS = 400_000
-#: Exchange rounds; each leaves about one open sequence a task, so few are needed.
-MAX_ROUNDS = 8
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long, sealed boolean, bound long, bins long"
 
@@ -33,7 +32,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int) -
 
     def cut(batches):
         for batch in batches:
-            ids = encoder(vocabulary, MAX_WORDS).encode(batch.column(1).to_pylist())
+            ids = encoder(vocabulary, MAX_WORDS).encode(batch.column(1))
             out = [(d, i, a // 4, len(x) // 4, zlib.crc32(x)) for d, raw in zip(batch.column(0).to_pylist(), ids) for i, (a, x) in enumerate((a, (raw + end)[a : a + 4 * capacity]) for a in range(0, len(raw) + 4, 4 * capacity))]
             cols = list(zip(*out)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
@@ -124,8 +123,8 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
 
     Each task packs its pieces best-fit decreasing and certifies its count by `sequence_bound`. A task with a
     gap gives up every sequence that isn't full, a certified one its emptiest; what is given up is dealt out
-    anew to fewer tasks and packed again, until the corpus-wide bound is met or everything left fits one task's
-    worth of pieces. Pieces are dealt by a hash of all their columns, so no key makes a task large; identical
+    anew to fewer tasks and packed again, until the corpus-wide bound is met, everything left fits one task's
+    worth of pieces, or a round saves no sequence. Pieces are dealt by a hash of all their columns, so no key makes a task large; identical
     pieces (repeated rows) are apart only by place. No rows give no rows. Result: the pieces with
     ``sequence_id`` and ``offset`` (gapless from 0 in each sequence).
     """
@@ -135,10 +134,10 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     sizes = waiting.groupBy("length").count().orderBy("length").collect()  # at most `capacity` rows
     count = sum(r["count"] for r in sizes)
     needed = sequence_bound(np.array([r["length"] for r in sizes], np.int64), np.array([r["count"] for r in sizes], np.int64), capacity)
-    done, sealed_bins = [], 0
-    for turn in range(MAX_ROUNDS):
+    done, sealed_bins, total = [], 0, None
+    for turn in itertools.count():
         tasks = max(1, -(-count // PIECES_PER_TASK))
-        last = tasks == 1 or turn == MAX_ROUNDS - 1
+        last = tasks == 1
         dealt = waiting.select(*PIECES.replace(" long", "").replace(" int", "").split(", "))
         dealt = dealt.repartition(tasks, F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(turn))) if tasks > 1 else dealt.coalesce(1)
         placed = settle(dealt.mapInArrow(_pack_task(capacity, turn, last), PLACED), f"{folder}/turn={turn}")
@@ -147,7 +146,8 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
             break
         whole, left = placed.agg(F.count_distinct(F.when(F.col("sealed"), F.col("sequence_id"))), F.count_if(~F.col("sealed"))).first()
         open_bins = placed.where("not sealed").select("sequence_id").distinct().count()
-        if sealed_bins + whole + open_bins <= needed or left >= count:
+        before, total = total, sealed_bins + whole + open_bins
+        if total <= needed or before is not None and total >= before:
             done[-1] = placed.withColumn("sealed", F.lit(True))
             break
         sealed_bins += whole
@@ -172,7 +172,7 @@ def sequences(docs: DataFrame, placed: DataFrame, vocabulary: str, end_id: int =
 
     def ids_of(batches):
         for batch in batches:
-            raw = [np.frombuffer(x + end, "<i4") for x in encoder(vocabulary, MAX_WORDS).encode(batch.column(1).to_pylist())]
+            raw = [np.frombuffer(x + end, "<i4") for x in encoder(vocabulary, MAX_WORDS).encode(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.list_(pa.int32()))], names=["doc_id", "all_ids"])
 
     ids = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(ids_of, "doc_id long, all_ids array<int>")
