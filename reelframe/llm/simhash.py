@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,28 +16,36 @@ NODE_SIZE = 256
 PACK_SIZE = 1024
 #: Fingerprints under one lowest inner node.
 LEAF_SIZE = 16
+#: Words of 64 bits of the fingerprints that find candidates for a similarity.
+WIDE_WORDS = 4
+#: Such fingerprints aimed at in a node of one table.
+WIDE_NODE_SIZE = 64
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
+_BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def _fingerprint(text: str | None, width: int, seed: int) -> int:
+def _hashes(text: str | None, width: int, seed: int) -> np.ndarray:
+    """XXH64 of each shingle in order: ``width`` ASCII-lower-cased words, or all if there are fewer; no words, none."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # both touch ASCII alone
-    if not words:
-        return 0
-    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    n = len(words) - width + 1
+    joined, digest, n = b" ".join(words), xxhash.xxh64_intdigest, len(words) - width + 1
     if n <= 1:
-        hashes = [digest(joined, seed)]
-    else:
-        ends = np.cumsum([len(w) + 1 for w in words])
-        starts = [0, *ends[: n - 1].tolist()]
-        hashes = [digest(joined[a:b], seed) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist())]
-    counts = np.zeros(BITS, np.int64)
-    for a in range(0, len(hashes), 1 << 16):
-        block = np.array(hashes[a : a + (1 << 16)], "<u8")
-        counts += np.unpackbits(block.view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(sum(1 << i for i in np.flatnonzero(2 * counts > len(hashes)).tolist()))
+        return np.array([digest(joined, seed)] if words else [], np.uint64)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = [0, *ends[: n - 1].tolist()]
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist())), np.uint64, n)
+
+
+def _majority(hashes: np.ndarray) -> np.ndarray:
+    """For each of 64 bits whether over half of the hashes have it, eight bits a byte."""
+    octets = hashes.astype("<u8").view("u1").reshape(-1, 8)
+    counts = np.concatenate([np.bincount(octets[:, k], minlength=256) @ _BITS_OF_BYTE for k in range(8)])
+    return np.packbits(2 * counts > len(hashes), bitorder="little")
+
+
+def _fingerprint(text: str | None, width: int, seed: int) -> int:
+    return int(_majority(_hashes(text, width, seed)).view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
@@ -135,32 +142,76 @@ def spanning(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return kept
 
 
+def gray_rank_column(view: Column) -> Column:
+    """`gray_rank` of a signed 64-bit column."""
+    for step in (1, 2, 4, 8, 16, 32):
+        view = view.bitwiseXOR(F.shiftrightunsigned(view, step))
+    return view
+
+
+def gray_packs(rows: DataFrame, lead: int, carried: list[str]) -> DataFrame:
+    """The index's packs over ``rows(table int, view long, *carried binary)`` of one or more tables.
+
+    Rows are range-partitioned in Gray order, so a node, which is a pattern of ``lead`` leading bits, is a run of
+    it, and a node with many rows is cut into shorter runs, however they are spread. A pack is a run of up to
+    `PACK_SIZE` rows of one node: ``(table, node, pack, shared, bits, views, *carried)`` with the bits that all its
+    views share, and views and carried columns one after another. Equal views are told apart by ``carried``.
+    """
+    shift, kinds = np.uint64(BITS - lead) if lead else np.uint64(0), [pa.binary()] * (1 + len(carried))
+    names = ["table", "node", "pack", "shared", "bits", "views", *carried]
+
+    def pack(batches):
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tables, views = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            nodes = views >> shift if lead else np.zeros(len(views), np.uint64)
+            cuts = np.flatnonzero((tables[1:] != tables[:-1]) | (nodes[1:] != nodes[:-1])) + 1
+            starts = [k for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(views)]) for k in range(a, b, PACK_SIZE)]
+            stops = np.minimum(np.array([*starts[1:], len(views)]), np.array(starts) + PACK_SIZE).tolist()
+            ones, zeros = np.bitwise_and.reduceat(views, starts), np.bitwise_and.reduceat(~views, starts)
+            held = [batch.column(2 + k).to_pylist() for k in range(len(carried))]
+            raw = views.astype("<u8").tobytes()
+            columns = [[raw[8 * a : 8 * b] for a, b in zip(starts, stops)], *([b"".join(h[a:b]) for a, b in zip(starts, stops)] for h in held)]
+            fixed = [pa.array(tables[starts]), pa.array(nodes[starts].view(np.int64)), pa.array(number + np.arange(len(starts))), pa.array((ones | zeros).view(np.int64)), pa.array(ones.view(np.int64))]
+            number += len(starts)
+            yield pa.RecordBatch.from_arrays([*fixed, *(pa.array(c, k) for c, k in zip(columns, kinds))], names=names)
+
+    ranked = rows.select("table", "view", *carried, gray_rank_column(F.col("view")).alias("__rank"))
+    order = ["table", "__rank", *carried]
+    ordered = ranked.repartitionByRange(*order).sortWithinPartitions(*order).drop("__rank")
+    return ordered.mapInArrow(pack, "table int, node long, pack long, shared long, bits long, views binary" + "".join(f", {c} binary" for c in carried))
+
+
+def pack_pairs(packs: DataFrame, masks: list[int], most: int, carried: list[str]) -> DataFrame:
+    """Pairs of `gray_packs` that can hold views ``most`` bits apart, each once: columns and ``their_`` columns.
+
+    They are met by equality: each pack goes to the patterns that differ from its own by one of ``masks``. Pairs
+    whose shared bits alone differ too much are left out.
+    """
+    held = ["pack", "shared", "bits", "views", *carried]
+    sent = packs.withColumn("to", F.explode(F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: F.col("node").bitwiseXOR(m)))).where("to >= node")
+    theirs = packs.select("table", F.col("node").alias("to"), *(F.col(c).alias(f"their_{c}") for c in held))
+    pairs = sent.join(theirs, ["table", "to"]).where("to > node or their_pack >= pack")
+    apart = F.bit_count(F.col("bits").bitwiseXOR(F.col("their_bits")).bitwiseAND(F.col("shared")).bitwiseAND(F.col("their_shared")))
+    return pairs.where(apart <= most).select("table", *(c for h in ["views", *carried] for c in (h, f"their_{h}")))
+
+
 def link_fingerprints(distinct: DataFrame, folder: str, most: int = 2, node_size: int = NODE_SIZE) -> DataFrame:
     """Links ``(a, b)`` that connect all distinct ``fp`` differing in ``most`` bits or fewer, none further apart.
 
-    The index's upper nodes are leading-bit patterns, each a run of the Gray order; their number follows the
-    number of fingerprints. A node's fingerprints travel as sorted packs. Node pairs are met by equality: every
-    pack goes to the patterns that differ from its own in up to ``most`` bits, each unordered pair once, and no
-    other pair of nodes can hold a link. Within a pair the hierarchy is descended by `near_pairs`. A pair of
-    packs returns links that span its components, never all pairs.
+    The index's upper nodes are leading-bit patterns; their number follows the number of fingerprints. Every pack
+    goes to the patterns that differ from its own in up to ``most`` bits, and no other pair of nodes can hold a
+    link. Within a pair of packs the hierarchy is descended by `near_pairs`. A pair of packs returns links that
+    span its components, never all pairs.
     """
     count = distinct.count()
     lead = min(24, max(0, int(np.ceil(np.log2(max(1, count) / node_size)))))
-    masks = [0] + [m for m in _patterns(lead, most)]
-    node = F.shiftrightunsigned("fp", BITS - lead) if lead else F.lit(0).cast("long")
-
-    def packed(frame: pd.DataFrame) -> pd.DataFrame:
-        fps = frame["fp"].to_numpy().view(np.uint64)
-        fps = fps[np.argsort(gray_rank(fps), kind="stable")]
-        return pd.DataFrame({"node": frame["node"].iloc[0], "pack": frame["pack"].iloc[0], "fps": [fps.astype("<u8").tobytes()]})
-
-    sizes = distinct.groupBy(node.alias("node")).count().select("node", F.ceil(F.col("count") / PACK_SIZE).alias("packs"))
-    # a node with many fingerprints is cut by rank bits below the pattern, so a pack stays a short run if it can
-    keyed = distinct.withColumn("node", node).join(sizes, "node").withColumn("pack", F.when(F.col("packs") == 1, F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("fp"), F.col("packs"))))
-    packs = settle(keyed.select("node", "pack", "fp").groupBy("node", "pack").applyInPandas(packed, "node long, pack long, fps binary"), f"{folder}/packs")
-    sent = packs.withColumn("to", F.explode(F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: F.col("node").bitwiseXOR(m)))).where("to >= node")
-    theirs = packs.select(F.col("node").alias("to"), F.col("pack").alias("their_pack"), F.col("fps").alias("their_fps"))
-    pairs = sent.join(theirs, "to").where("to > node or their_pack >= pack").select("fps", "their_fps")
+    packs = settle(gray_packs(distinct.select(F.lit(0).alias("table"), F.col("fp").alias("view")), lead, []), f"{folder}/packs")
+    pairs = pack_pairs(packs, [0, *_patterns(lead, most)], most, []).drop("table")
 
     def compare(batches):
         for batch in batches:
@@ -203,15 +254,177 @@ def near_duplicates(docs: DataFrame, width: int = 3, most: int = 2) -> DataFrame
     return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def _shingles(text: str, width: int) -> set[bytes]:
+    words = text.encode("utf-8", "surrogatepass").lower().split()  # both touch ASCII alone
+    return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def _wide_fingerprint(text: str, width: int, seed: int) -> bytes:
+    """`WIDE_WORDS` words of 64 bits over the text's different shingles; no words: zero."""
+    mixed, out = np.unique(_hashes(text, width, seed)), []
+    for _ in range(WIDE_WORDS):
+        out.append(_majority(mixed).tobytes())
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)  # the next word's hashes
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return b"".join(out)
+
+
+def _differing_share(similarity: float) -> float:
+    """Share of a fingerprint's bits that differ on average between sets of this Jaccard similarity."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def _radius(bits: int, share: float) -> int:
+    """Differing bits that a pair at this share has at most, but for one in about two thousand."""
+    return int(np.ceil(bits * share + 3.4 * np.sqrt(bits * share * (1 - share))))
+
+
+def _tables(lead: int, share: float, miss: float = 0.005) -> int:
+    """How many independent keys of ``lead`` bits, each met with up to one bit different, leave a miss this rare."""
+    met = (1 - share) ** lead + lead * share * (1 - share) ** (lead - 1) if lead else 1.0
+    return 1 if met >= 1 else int(np.ceil(np.log(miss) / np.log(1 - met)))
+
+
+def candidate_links(fingerprints: DataFrame, folder: str, share: float, group: bool) -> DataFrame:
+    """Pairs ``(a, b)`` of ``fingerprints(id, wide, grp)``, a > b, that may be as near as ``share`` of the bits.
+
+    Several tables of the index are used. A table's view of a fingerprint is 64 of its bits, other leading ones
+    in each table; nodes, packs, Gray order and levels are those of `link_fingerprints`, and packs meet where
+    their nodes' patterns differ in one bit or none. The number of leading bits follows the number of fingerprints,
+    the number of tables the share of pairs that a table misses. With ``group`` only pairs of different ``grp``
+    are given, all of them; without it each fingerprint's pair with its smallest and its nearest partner, so that
+    a large group gives few.
+    """
+    count = fingerprints.count()
+    lead = min(32, max(0, int(np.ceil(np.log2(max(1, count) / WIDE_NODE_SIZE)))))
+    narrow, wide = _radius(BITS, share), _radius(BITS * WIDE_WORDS, share)
+    order = np.random.default_rng(64).permutation(BITS * WIDE_WORDS)
+    # a table begins where the last one's leading bits end; the shuffled bits begin anew when they are used up
+    chosen = [order[(t * lead + np.arange(BITS)) % len(order)] for t in range(_tables(lead, share))]
+    carried = ["entry"]  # id, grp and the whole fingerprint
+
+    def viewed(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words = np.frombuffer(b"".join(batch.column(1).to_pylist()), "u1").reshape(batch.num_rows, -1)
+            bits = np.unpackbits(words, axis=1, bitorder="little")
+            entry = np.concatenate([batch.column(0).to_numpy().astype("<i8").view("u1").reshape(-1, 8), batch.column(2).to_numpy().astype("<i8").view("u1").reshape(-1, 8), words], axis=1)
+            entries = pa.array([e.tobytes() for e in entry], pa.binary())
+            for t, places in enumerate(chosen):  # the first place is the highest bit
+                view = np.ascontiguousarray(np.packbits(bits[:, places], axis=1)).view(">u8").ravel().astype(np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, t, np.int32)), pa.array(view), entries], names=["table", "view", "entry"])
+
+    rows = settle(fingerprints.select("id", "wide", "grp").mapInArrow(viewed, "table int, view long, entry binary"), f"{folder}/views")
+    packs = settle(gray_packs(rows, lead, carried), f"{folder}/packs")
+    pairs = pack_pairs(packs, [0, *_patterns(lead, 1)], narrow, carried).select("views", "their_views", "entry", "their_entry")
+
+    def compare(batches):
+        for batch in batches:
+            for x, y, mine, its in zip(*(batch.column(k) for k in range(4))):
+                i, j = near_pairs(np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8"), narrow)
+                left, right = (np.frombuffer(e.as_py(), "<i8").reshape(-1, 2 + WIDE_WORDS) for e in (mine, its))
+                other = left[i, 1] != right[j, 1] if group else left[i, 0] != right[j, 0]
+                i, j = i[other], j[other]
+                apart = np.bitwise_count(np.ascontiguousarray(left[i, 2:] ^ right[j, 2:]).view(np.uint64)).sum(1, dtype=np.int64)
+                near = apart <= wide
+                p, q, apart = left[i[near], 0], right[j[near], 0], apart[near]
+                if not group:
+                    p, q, apart = _first_and_nearest(p, q, apart)
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(p, q)), pa.array(np.minimum(p, q)), pa.array(apart)], names=["a", "b", "apart"])
+
+    found = pairs.mapInArrow(compare, "a long, b long, apart long")
+    if group:
+        return found.distinct()
+    both = found.union(found.select("b", "a", "apart"))
+    best = both.groupBy("a").agg(F.min("b").alias("first"), F.min_by("b", F.struct("apart", "b")).alias("nearest"))
+    links = best.select("a", F.explode(F.array("first", "nearest")).alias("b"))
+    return links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _first_and_nearest(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each member's pairs the one with the smallest and the one with the nearest partner."""
+    mine, other, far = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([apart, apart])
+    keep = np.zeros(len(mine), bool)
+    for order in (np.lexsort((other, mine)), np.lexsort((other, far, mine))) if len(mine) else ():
+        keep[order[np.flatnonzero(np.r_[True, mine[order][1:] != mine[order][:-1]])]] = True
+    keep = keep[: len(a)] | keep[len(a) :]
+    return a[keep], b[keep], apart[keep]
+
+
+def similar_links(links: DataFrame, texts: DataFrame, width: int, similarity: float, folder: str) -> DataFrame:
+    """Those of ``links(a, b)`` whose ``texts(id, text)`` have shingle sets of this Jaccard similarity or more.
+
+    Texts of linked rows alone are shuffled. The links of one ``a`` come together, so its shingles are taken once
+    unless Spark splits a skewed join.
+    """
+    wanted = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    held = settle(texts.join(wanted, "id"), f"{folder}/texts")
+    first = links.join(held.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    both = first.join(held.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+
+    def check(batches):
+        last, mine = None, set()
+        for batch in batches:
+            kept = []
+            for a, b, x, y in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                if b != last:
+                    last, mine = b, _shingles(y, width)
+                others = _shingles(x, width)
+                common = len(mine & others)
+                if common >= similarity * (len(mine) + len(others) - common):
+                    kept.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], pa.int64()), pa.array([k[1] for k in kept], pa.int64())], names=["a", "b"])
+
+    return both.mapInArrow(check, "a long, b long")
+
+
+def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``(doc_id, component_id)``: component_id is the smallest doc_id reachable over pairs of documents whose sets
+    of ``width``-word shingles have this Jaccard similarity or more.
+
+    Candidates come from the Gray-order index over wide SimHash fingerprints (see `candidate_links`, which gives
+    the rate of misses); each is decided by its shingles. Equal texts are one entry. First every entry is held
+    against its smallest and its nearest candidate, which joins large groups; then all candidates between what
+    is still apart are decided. Texts without words (null, empty, white space) are alike. A null doc_id is
+    reachable but never a component's name unless nothing else is. Repeated rows each get a row; no rows give
+    none.
+    """
+    folder = shared_dir(docs.sparkSession, "similar")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = settle(rows.withColumn("key", F.sha2(F.col("text").cast("binary"), 256)), f"{folder}/rows")
+
+    def hashed(batches):
+        for batch in batches:
+            wide = [_wide_fingerprint(t, width, 42) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(wide, pa.binary())], names=["id", "wide"])
+
+    classes = settle(rows.groupBy("key").agg(F.min("doc_id").alias("first")).withColumn("id", F.monotonically_increasing_id()), f"{folder}/classes")
+    texts = settle(rows.join(classes, "key").groupBy("id").agg(F.first("text").alias("text")), f"{folder}/distinct")
+    wide = settle(texts.select("id", "text").mapInArrow(hashed, "id long, wide binary"), f"{folder}/fingerprints")
+    share = _differing_share(similarity)
+    first = settle(candidate_links(wide.withColumn("grp", F.col("id")), f"{folder}/first", share, False), f"{folder}/first-links")
+    alike = settle(similar_links(first, texts, width, similarity, f"{folder}/first"), f"{folder}/first-alike")
+    groups = components(alike, "similar-first")
+    grouped = wide.join(groups, "id", "left").select("id", "wide", F.coalesce("root", "id").alias("grp"))
+    rest = settle(candidate_links(grouped, f"{folder}/rest", share, True).select("a", "b").join(first, ["a", "b"], "left_anti"), f"{folder}/rest-links")
+    more = settle(similar_links(rest, texts, width, similarity, f"{folder}/rest"), f"{folder}/rest-alike")
+    roots = components(alike.unionByName(more), "similar")
+    named = classes.join(roots, "id", "left").select("key", "first", F.coalesce("root", "id").alias("root"))
+    names = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    return rows.join(named.join(names, "root").select("key", "component_id"), "key").select("doc_id", "component_id")
+
+
 def hex_of(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def keep_one(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
-    """The documents of which none with a smaller doc_id is in their component, all columns unchanged.
+def keep_one(spark: SparkSession, docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The documents of which none with a smaller doc_id is in their component (`similar_documents`), all columns
+    unchanged.
 
     Rows repeated under one doc_id are one document and stay together; rows without a doc_id stay unless one
-    with a doc_id is in their component.
+    with a doc_id is in their component. An empty table gives none.
     """
-    first = near_duplicates(docs, **options).where("doc_id <=> component_id").select(F.col("doc_id").alias("__first")).distinct()
+    first = similar_documents(docs, width, similarity).where("doc_id <=> component_id").select(F.col("doc_id").alias("__first")).distinct()
     return docs.join(first, docs["doc_id"].eqNullSafe(F.col("__first")), "left_semi")

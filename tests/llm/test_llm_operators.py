@@ -567,3 +567,73 @@ def test_simhash_against_brute_force(spark, docs, odd, empty, node, pack, monkey
     assert simhash.near_duplicates(empty).count() == 0
     kept = simhash.keep_one(spark, odd)
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {1, 2, 5, 6, None, 8}
+
+
+def shingles(text):
+    w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def brute_similar(rows, similarity=0.8):
+    """(doc_id, smallest doc_id reachable) over pairs of this Jaccard similarity; texts without words are alike."""
+    sets, group = [shingles(t) for _, t in rows], list(range(len(rows)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            y = sets[j]
+            common = len(x & y)
+            if common >= similarity * (len(x) + len(y) - common) and group[i] != group[j]:
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    names: dict = {}
+    for g, (d, _) in zip(group, rows):
+        names[g] = min((x for x in (names.get(g), d) if x is not None), default=None)
+    return sorted(((d, names[g]) for g, (d, _) in zip(group, rows)), key=str)
+
+
+def edited_texts(seed, groups, copies):
+    """Groups of edited copies of one text, at every similarity, and texts of their own."""
+    import random
+
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randrange(2, 8)))
+    texts = []
+    for g in range(groups):
+        base = [word() for _ in range(rng.choice([20, 60, 200, 600]))]
+        for _ in range(copies):
+            edited = base[:]
+            for _ in range(rng.randrange(1 + len(base) // 30)):
+                edited[rng.randrange(len(edited))] = word()
+            texts.append(" ".join(edited))
+    return texts + [" ".join(word() for _ in range(rng.randrange(1, 90))) for _ in range(60)]
+
+
+@pytest.mark.parametrize("pack,node", [(1024, 64), (3, 4)])
+def test_similar_documents(spark, docs, odd, empty, pack, node, monkeypatch):
+    monkeypatch.setattr(simhash, "PACK_SIZE", pack)
+    monkeypatch.setattr(simhash, "WIDE_NODE_SIZE", node)
+    planted = spark.createDataFrame(list(enumerate(edited_texts(3, 8, 14))), "doc_id long, text string")
+    for frame in (planted, docs, odd):
+        rows = [(r.doc_id, r.text) for r in frame.select("doc_id", "text").collect()]
+        got = sorted(map(tuple, simhash.similar_documents(frame).collect()), key=str)
+        want = brute_similar(rows)
+        assert [d for d, _ in got] == [d for d, _ in want]
+        assert sum(g != w for g, w in zip(got, want)) <= len(rows) // 100  # candidates miss few; nothing else may differ
+    assert simhash.similar_documents(empty).count() == 0 and simhash.keep_one(spark, empty).count() == 0
+
+
+def test_packs_follow_gray_order(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PACK_SIZE", 16)
+    rng = np.random.default_rng(12)
+    fps = np.unique(np.concatenate([rng.integers(0, 1 << 64, 100, dtype=np.uint64), np.uint64(5 << 60) | rng.integers(0, 1 << 40, 300, dtype=np.uint64)]))
+    frame = spark.createDataFrame([(0, x) for x in fps.view(np.int64).tolist()], "table int, view long")
+    packs = simhash.gray_packs(frame, 4, []).collect()
+    seen = []
+    for p in packs:
+        views = np.frombuffer(p.views, "<u8")
+        rank = simhash.gray_rank(views)
+        assert len(views) <= 16 and (rank[1:] > rank[:-1]).all() and set((views >> np.uint64(60)).tolist()) == {p.node}
+        shared, bits = (np.array(x, np.int64).view(np.uint64) for x in (p.shared, p.bits))
+        assert ((views & shared) == bits).all()
+        seen += [(int(rank[0]), int(rank[-1]))]
+    seen.sort()
+    assert all(a[1] < b[0] for a, b in zip(seen, seen[1:])) and sum(len(p.views) // 8 for p in packs) == len(fps)
