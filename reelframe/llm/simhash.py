@@ -186,16 +186,16 @@ def gray_packs(rows: DataFrame, lead: int, carried: list[str]) -> DataFrame:
     return ordered.mapInArrow(pack, "table int, node long, pack long, shared long, bits long, views binary" + "".join(f", {c} binary" for c in carried))
 
 
-def pack_pairs(packs: DataFrame, masks: list[int], most: int, carried: list[str]) -> DataFrame:
+def pack_pairs(packs: DataFrame, masks: list[int], most: int, carried: list[str], own: bool = True) -> DataFrame:
     """Pairs of `gray_packs` that can hold views ``most`` bits apart, each once: columns and ``their_`` columns.
 
     They are met by equality: each pack goes to the patterns that differ from its own by one of ``masks``. Pairs
-    whose shared bits alone differ too much are left out.
+    whose shared bits alone differ too much are left out, and a pack's pair with itself unless ``own``.
     """
     held = ["pack", "shared", "bits", "views", *carried]
     sent = packs.withColumn("to", F.explode(F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: F.col("node").bitwiseXOR(m)))).where("to >= node")
     theirs = packs.select("table", F.col("node").alias("to"), *(F.col(c).alias(f"their_{c}") for c in held))
-    pairs = sent.join(theirs, ["table", "to"]).where("to > node or their_pack >= pack")
+    pairs = sent.join(theirs, ["table", "to"]).where("to > node or their_pack >= pack" if own else "to > node or their_pack > pack")
     apart = F.bit_count(F.col("bits").bitwiseXOR(F.col("their_bits")).bitwiseAND(F.col("shared")).bitwiseAND(F.col("their_shared")))
     return pairs.where(apart <= most).select("table", *(c for h in ["views", *carried] for c in (h, f"their_{h}")))
 
@@ -279,29 +279,29 @@ def _radius(bits: int, share: float) -> int:
     return int(np.ceil(bits * share + 3.4 * np.sqrt(bits * share * (1 - share))))
 
 
-def _tables(lead: int, share: float, miss: float = 0.005) -> int:
-    """How many independent keys of ``lead`` bits, each met with up to one bit different, leave a miss this rare."""
-    met = (1 - share) ** lead + lead * share * (1 - share) ** (lead - 1) if lead else 1.0
+def _tables(lead: int, share: float, miss: float = 0.02) -> int:
+    """How many keys of ``lead`` bits leave a miss this rare for a pair whose whole fingerprints differ by one
+    standard deviation more than on average."""
+    bits = BITS * WIDE_WORDS
+    met = (1 - share - np.sqrt(share * (1 - share) / bits)) ** lead
     return 1 if met >= 1 else int(np.ceil(np.log(miss) / np.log(1 - met)))
 
 
-def candidate_links(fingerprints: DataFrame, folder: str, share: float, group: bool) -> DataFrame:
-    """Pairs ``(a, b)`` of ``fingerprints(id, wide, grp)``, a > b, that may be as near as ``share`` of the bits.
+def candidate_links(fingerprints: DataFrame, folder: str, share: float) -> DataFrame:
+    """Pairs ``(a, b)``, a > b, of ``fingerprints(id, wide, grp)`` of different ``grp`` that may be as near as ``share``
+    of the bits: each fingerprint's pair with its smallest and with its nearest such partner.
 
-    Several tables of the index are used. A table's view of a fingerprint is 64 of its bits, other leading ones
-    in each table; nodes, packs, Gray order and levels are those of `link_fingerprints`, and packs meet where
-    their nodes' patterns differ in one bit or none. The number of leading bits follows the number of fingerprints,
-    the number of tables the share of pairs that a table misses. With ``group`` only pairs of different ``grp``
-    are given, all of them; without it each fingerprint's pair with its smallest and its nearest partner, so that
-    a large group gives few.
+    Several tables of the index are used. A table's view of a fingerprint is 64 of its bits, drawn anew for each
+    table; nodes, packs, Gray order and levels are those of `link_fingerprints`, and packs meet where their nodes'
+    patterns are equal. The number of leading bits follows the number of fingerprints, the number of tables the
+    share of pairs that a table misses. Packs of one node are taken in pairs of packs, and what comes out of a pair
+    is no more than two rows a fingerprint, so a large group gives few.
     """
     count = fingerprints.count()
     lead = min(32, max(0, int(np.ceil(np.log2(max(1, count) / WIDE_NODE_SIZE)))))
     narrow, wide = _radius(BITS, share), _radius(BITS * WIDE_WORDS, share)
-    order = np.random.default_rng(64).permutation(BITS * WIDE_WORDS)
-    # a table begins where the last one's leading bits end; the shuffled bits begin anew when they are used up
-    chosen = [order[(t * lead + np.arange(BITS)) % len(order)] for t in range(_tables(lead, share))]
-    carried = ["entry"]  # id, grp and the whole fingerprint
+    draw = np.random.default_rng(64)
+    chosen = [draw.permutation(BITS * WIDE_WORDS)[:BITS] for _ in range(_tables(lead, share))]
 
     def viewed(batches):
         for batch in batches:
@@ -309,33 +309,32 @@ def candidate_links(fingerprints: DataFrame, folder: str, share: float, group: b
                 continue
             words = np.frombuffer(b"".join(batch.column(1).to_pylist()), "u1").reshape(batch.num_rows, -1)
             bits = np.unpackbits(words, axis=1, bitorder="little")
-            entry = np.concatenate([batch.column(0).to_numpy().astype("<i8").view("u1").reshape(-1, 8), batch.column(2).to_numpy().astype("<i8").view("u1").reshape(-1, 8), words], axis=1)
-            entries = pa.array([e.tobytes() for e in entry], pa.binary())
+            numbers = [batch.column(k).to_numpy().astype("<i8").view("u1").reshape(-1, 8) for k in (0, 2)]
+            entries = pa.array([e.tobytes() for e in np.concatenate([*numbers, words], axis=1)], pa.binary())
             for t, places in enumerate(chosen):  # the first place is the highest bit
                 view = np.ascontiguousarray(np.packbits(bits[:, places], axis=1)).view(">u8").ravel().astype(np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, t, np.int32)), pa.array(view), entries], names=["table", "view", "entry"])
 
-    rows = settle(fingerprints.select("id", "wide", "grp").mapInArrow(viewed, "table int, view long, entry binary"), f"{folder}/views")
-    packs = settle(gray_packs(rows, lead, carried), f"{folder}/packs")
-    pairs = pack_pairs(packs, [0, *_patterns(lead, 1)], narrow, carried).select("views", "their_views", "entry", "their_entry")
+    rows = fingerprints.select("id", "wide", "grp").mapInArrow(viewed, "table int, view long, entry binary")
+    packs = settle(gray_packs(rows, lead, ["entry"]), f"{folder}/packs")
+    several = packs.groupBy("table", "node").count().where("count > 1").select("table", "node")
+    own = packs.select("views", F.col("views").alias("their_views"), "entry", F.col("entry").alias("their_entry"))
+    other = pack_pairs(packs.join(several, ["table", "node"], "left_semi"), [0], narrow, ["entry"], False)
+    pairs = own.unionByName(other.select("views", "their_views", "entry", "their_entry"))
 
     def compare(batches):
         for batch in batches:
             for x, y, mine, its in zip(*(batch.column(k) for k in range(4))):
                 i, j = near_pairs(np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8"), narrow)
                 left, right = (np.frombuffer(e.as_py(), "<i8").reshape(-1, 2 + WIDE_WORDS) for e in (mine, its))
-                other = left[i, 1] != right[j, 1] if group else left[i, 0] != right[j, 0]
-                i, j = i[other], j[other]
+                apart_groups = left[i, 1] != right[j, 1]
+                i, j = i[apart_groups], j[apart_groups]
                 apart = np.bitwise_count(np.ascontiguousarray(left[i, 2:] ^ right[j, 2:]).view(np.uint64)).sum(1, dtype=np.int64)
                 near = apart <= wide
-                p, q, apart = left[i[near], 0], right[j[near], 0], apart[near]
-                if not group:
-                    p, q, apart = _first_and_nearest(p, q, apart)
+                p, q, apart = _first_and_nearest(left[i[near], 0], right[j[near], 0], apart[near])
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(p, q)), pa.array(np.minimum(p, q)), pa.array(apart)], names=["a", "b", "apart"])
 
     found = pairs.mapInArrow(compare, "a long, b long, apart long")
-    if group:
-        return found.distinct()
     both = found.union(found.select("b", "a", "apart"))
     best = both.groupBy("a").agg(F.min("b").alias("first"), F.min_by("b", F.struct("apart", "b")).alias("nearest"))
     links = best.select("a", F.explode(F.array("first", "nearest")).alias("b"))
@@ -352,16 +351,13 @@ def _first_and_nearest(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> tuple
     return a[keep], b[keep], apart[keep]
 
 
-def similar_links(links: DataFrame, texts: DataFrame, width: int, similarity: float, folder: str) -> DataFrame:
+def similar_links(links: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
     """Those of ``links(a, b)`` whose ``texts(id, text)`` have shingle sets of this Jaccard similarity or more.
 
-    Texts of linked rows alone are shuffled. The links of one ``a`` come together, so its shingles are taken once
-    unless Spark splits a skewed join.
+    Links of one ``b`` in a row have its shingles taken once; Spark splits a join in which one is very common.
     """
-    wanted = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    held = settle(texts.join(wanted, "id"), f"{folder}/texts")
-    first = links.join(held.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = first.join(held.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    first = links.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    both = first.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
     def check(batches):
         last, mine = None, set()
@@ -383,36 +379,50 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8)
     """``(doc_id, component_id)``: component_id is the smallest doc_id reachable over pairs of documents whose sets
     of ``width``-word shingles have this Jaccard similarity or more.
 
-    Candidates come from the Gray-order index over wide SimHash fingerprints (see `candidate_links`, which gives
-    the rate of misses); each is decided by its shingles. Equal texts are one entry. First every entry is held
-    against its smallest and its nearest candidate, which joins large groups; then all candidates between what
-    is still apart are decided. Texts without words (null, empty, white space) are alike. A null doc_id is
-    reachable but never a component's name unless nothing else is. Repeated rows each get a row; no rows give
-    none.
+    Candidates come from the Gray-order index over wide SimHash fingerprints; each is decided by its shingles.
+    Equal texts are one entry. Entries with a candidate are held against their smallest and their nearest one that
+    isn't in their group yet, in rounds, until a round links nothing. So no group's pairs are listed, and nothing
+    unlike is linked; a pair at the threshold can be missed where no table of the index holds both (at most a
+    fiftieth of such pairs by design) or where both have nearer candidates that turn out unlike. Texts without
+    words (null, empty, white space) are alike. A null doc_id is reachable but never a component's name unless
+    nothing else is. Repeated rows each get a row; no rows give none.
     """
     folder = shared_dir(docs.sparkSession, "similar")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = settle(rows.withColumn("key", F.sha2(F.col("text").cast("binary"), 256)), f"{folder}/rows")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("key"), text.alias("text"))
 
     def hashed(batches):
         for batch in batches:
-            wide = [_wide_fingerprint(t, width, 42) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(wide, pa.binary())], names=["id", "wide"])
+            wide = [_wide_fingerprint(t, width, 42) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(wide, pa.binary())], names=["doc_id", "key", "wide"])
 
-    classes = settle(rows.groupBy("key").agg(F.min("doc_id").alias("first")).withColumn("id", F.monotonically_increasing_id()), f"{folder}/classes")
-    texts = settle(rows.join(classes, "key").groupBy("id").agg(F.first("text").alias("text")), f"{folder}/distinct")
-    wide = settle(texts.select("id", "text").mapInArrow(hashed, "id long, wide binary"), f"{folder}/fingerprints")
+    rows = settle(keyed.mapInArrow(hashed, "doc_id long, key binary, wide binary"), f"{folder}/rows")
+    entries = rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.first("wide").alias("wide"))
+    entries = settle(entries.withColumn("id", F.monotonically_increasing_id()), f"{folder}/entries")
     share = _differing_share(similarity)
-    first = settle(candidate_links(wide.withColumn("grp", F.col("id")), f"{folder}/first", share, False), f"{folder}/first-links")
-    alike = settle(similar_links(first, texts, width, similarity, f"{folder}/first"), f"{folder}/first-alike")
-    groups = components(alike, "similar-first")
-    grouped = wide.join(groups, "id", "left").select("id", "wide", F.coalesce("root", "id").alias("grp"))
-    rest = settle(candidate_links(grouped, f"{folder}/rest", share, True).select("a", "b").join(first, ["a", "b"], "left_anti"), f"{folder}/rest-links")
-    more = settle(similar_links(rest, texts, width, similarity, f"{folder}/rest"), f"{folder}/rest-alike")
-    roots = components(alike.unionByName(more), "similar")
-    named = classes.join(roots, "id", "left").select("key", "first", F.coalesce("root", "id").alias("root"))
+    active, tested, alike, turn = entries.select("id", "wide", F.col("id").alias("grp")), None, None, 0
+    while True:
+        links = candidate_links(active, f"{folder}/{turn}", share)
+        links = settle(links if tested is None else links.join(tested, ["a", "b"], "left_anti"), f"{folder}/{turn}/links")
+        wanted = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        texts = keyed.join(entries.join(wanted, "id", "left_semi").select("id", F.col("key").alias("k"), F.col("first").alias("f")), (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("f")))
+        texts = settle(texts.select("id", "text").dropDuplicates(["id"]), f"{folder}/{turn}/texts")
+        more = settle(similar_links(links, texts, width, similarity), f"{folder}/{turn}/alike")
+        found = more.count()
+        alike = more if alike is None else alike.unionByName(more)
+        if not found:
+            break
+        tested = links if tested is None else tested.unionByName(links)
+        groups = components(alike, "similar")
+        active = entries.join(wanted, "id", "left_semi").join(groups, "id", "left").select("id", "wide", F.coalesce("root", "id").alias("grp"))
+        turn += 1
+    named = entries.drop("wide")
+    if turn:
+        named = named.join(groups, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    else:
+        named = named.withColumn("root", F.col("id"))
     names = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.join(named.join(names, "root").select("key", "component_id"), "key").select("doc_id", "component_id")
+    return rows.select("doc_id", "key").join(named.join(names, "root").select("key", "component_id"), "key").select("doc_id", "component_id")
 
 
 def hex_of(fp: Column) -> Column:
