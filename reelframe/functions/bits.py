@@ -14,27 +14,56 @@ from reelframe.functions.dims import AAC_PROFILES, ADTS_RATES, NAL_PICTURE_TYPES
 from reelframe.functions.octets import byte_at, read_uint
 
 ADTS = "struct<profile:string,sample_rate_index:int,sample_rate:int,channel_config:int,channels:int,frame_length:int,has_crc:boolean,header_size:int,payload_size:int>"
+#: What a parsed header says of its stream, as `operators.packets.STREAM` has it.
+PARAMETERS = "struct<media_type:string,codec_id:string,profile:int,level:int,width:int,height:int,sample_rate:int,channels:int>"
 
 
 def _table(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def _parameters(media_type: str, codec_id: str, **known: Column) -> Column:
+    names = [f.split(":")[0] for f in PARAMETERS.removeprefix("struct<").removesuffix(">").split(",")]
+    given = {"media_type": F.lit(media_type), "codec_id": F.lit(codec_id)} | known
+    return F.struct(*[given.get(n, F.lit(None)).alias(n) for n in names]).cast(PARAMETERS)
+
+
+def adts_parameters(header: Column) -> Column:
+    """Codec parameters of a stream from one of its `adts_header`; null of null."""
+    profile = F.array_position(_table(AAC_PROFILES), header["profile"]) - 1
+    return F.when(header.isNotNull(), _parameters("audio", "aac", profile=profile, sample_rate=header["sample_rate"], channels=header["channels"]))
+
+
+def opus_parameters(toc: Column) -> Column:
+    """Codec parameters of a stream from its first packet's `opus_toc`: the clock is 48 kHz whatever the band."""
+    return F.when(toc.isNotNull(), _parameters("audio", "opus", sample_rate=F.lit(48_000), channels=F.when(toc["stereo"], 2).otherwise(1)))
+
+
+def sps_parameters(profile: Column, level: Column, width: Column, height: Column) -> Column:
+    """Codec parameters of a stream from the columns of `sps_info`; null where the set didn't parse."""
+    return F.when(width.isNotNull(), _parameters("video", "h264", profile=profile, level=level, width=width, height=height))
+
+
 def adts_header(data: Column, mode: str = FAIL) -> Column:
     """Header of an ADTS frame from its first seven bytes.
 
     Too few bytes, no sync word, a reserved rate and a frame shorter than its header are errors. The frame's
     length is compared as a whole number.
     """
-    word = read_uint(data, 0, 7)  # all fields are cut from one number
+    return adts_fields(read_uint(data, 0, 7), data.isNull(), mode)
+
+
+def adts_fields(word: Column, missing: Column, mode: str = FAIL) -> Column:
+    """`adts_header` of the first seven bytes as one number (null: too few), which is best a column of its own, as
+    every field is cut from it."""
     cut = lambda shift, mask: F.shiftrightunsigned(word, shift).bitwiseAND(mask).cast("int")
     profile, rate, config, length = cut(38, 3), cut(34, 15), cut(30, 7), cut(13, 0x1FFF)
     crc = cut(40, 1) == 0
     header = F.when(crc, 9).otherwise(7)
     channels = F.when(config == 7, 8).otherwise(config)
     made = F.struct(F.get(_table(AAC_PROFILES), profile).alias("profile"), rate.alias("sample_rate_index"), F.get(_table(ADTS_RATES), rate).alias("sample_rate"), config.alias("channel_config"), channels.alias("channels"), length.alias("frame_length"), crc.alias("has_crc"), header.alias("header_size"), F.greatest(length - header, F.lit(0)).alias("payload_size")).cast(ADTS)
-    sound = (F.octet_length(data) >= 7) & (cut(44, 0xFFF) == 0xFFF) & (rate < len(ADTS_RATES)) & (length >= header)
-    return F.when(data.isNull(), F.lit(None).cast(ADTS)).when(sound, made).otherwise(reject("invalid ADTS header", ADTS, mode))
+    sound = word.isNotNull() & (cut(44, 0xFFF) == 0xFFF) & (rate < len(ADTS_RATES)) & (length >= header)
+    return F.when(missing, F.lit(None).cast(ADTS)).when(sound, made).otherwise(reject("invalid ADTS header", ADTS, mode))
 
 
 def opus_toc(byte: Column) -> Column:

@@ -24,12 +24,37 @@ def running_start(rows: DataFrame, keys: list[str], order: list, amount: str, na
     return rows.withColumn(name, F.coalesce(before, F.lit(0)).cast("long"))
 
 
-def mark_discontinuities(rows: DataFrame, keys: list[str], order: list, ts: str, tb: str, threshold: float, name: str = "discontinuity") -> DataFrame:
-    """Whether a row's time is over ``threshold`` seconds from the one before it; null where either is unknown."""
+def mark_discontinuities(rows: DataFrame, keys: list[str], order: list, ts: str, tb: str, threshold: float, name: str = "discontinuity", span: Column | None = None) -> DataFrame:
+    """Whether a row's time is over ``threshold`` seconds from the one before it; null where either is unknown.
+
+    With ``span`` (see `with_previous`) each stream is ordered in stretches by many tasks.
+    """
+    if span is not None:
+        near = with_previous(rows, keys, order, span, [ts, tb])
+        return near.withColumn(name, timebase.discontinuity(F.col(ts), F.col(tb), F.col(f"__before.{ts}"), F.col(f"__before.{tb}"), threshold)).drop("__before")
     w = _stream(keys, order)
     return rows.withColumn(name, timebase.discontinuity(F.col(ts), F.col(tb), F.lag(ts).over(w), F.lag(tb).over(w), threshold))
 
 
+def with_previous(rows: DataFrame, keys: list[str], order: list[str], span: Column, columns: list[str]) -> DataFrame:
+    """``rows`` with ``__before``, a struct of ``columns`` of the row before in ``order`` (null: the first of its stream).
+
+    ``span`` is a number that never falls along ``order``, such as an hour; it cuts a stream into stretches that
+    are ordered by tasks of their own, so few streams still use many tasks. A stretch's first row takes the last
+    row of the stretch before it, from a table of one row a stretch. ``order`` must tell all rows apart.
+    """
+    cut = rows.withColumn("__span", span)
+    w = _stream([*keys, "__span"], order)
+    value = F.struct(*columns)
+    last = cut.groupBy(*keys, "__span").agg(F.max_by(value, F.struct(*order)).alias("__last"))
+    edges = last.withColumn("__edge", F.lag("__last").over(_stream(keys, ["__span"]))).drop("__last")
+    met = F.lit(True)
+    for k in (*keys, "__span"):
+        met = met & F.col(f"r.{k}").eqNullSafe(F.col(f"e.{k}"))
+    inside = cut.withColumn("__inside", F.lag(value).over(w))
+    return inside.alias("r").join(edges.alias("e"), met, "left").select("r.*", F.coalesce("r.__inside", "e.__edge").alias("__before")).drop("__span", "__inside")
+
+
 def interleave_keys(dts: Column, pts: Column, tb: Column) -> list[Column]:
     """Order of packets of different time bases: time to the microsecond, then what is finer, unknown times last.
 
@@ -84,12 +109,14 @@ def expand_runs(runs: DataFrame, keys: list[str], value: str, totals: DataFrame
 def chunk_runs(chunks: DataFrame, runs: DataFrame, keys: list[str]) -> DataFrame:
     """``chunks(*keys, chunk, offset)`` with the samples each holds, from ``runs(*keys, first_chunk, per_chunk)``.
 
-    A run holds until the next one's first chunk. The range join is an equality join on the stream with a
-    filter: a file has few runs, and its last run is open.
+    A run holds until the next one's first chunk. Chunks before a stream's first run, and all chunks of a stream
+    without runs, hold one sample each. Chunks and runs are laid in one order and each chunk takes the last run
+    before it, so no range join is needed.
     """
-    until = F.lead("first_chunk").over(_stream(keys, ["first_chunk"]))
-    spans = runs.withColumn("__until", until)
-    return chunks.join(spans, keys).where("chunk >= first_chunk and (__until is null or chunk < __until)").drop("first_chunk", "__until")
+    both = chunks.select(*keys, "chunk", "offset", F.lit(None).cast("long").alias("__run")).unionByName(runs.select(*keys, F.col("first_chunk").cast("long").alias("chunk"), F.lit(None).cast("long").alias("offset"), F.col("per_chunk").cast("long").alias("__run")))
+    order = _stream(keys, ["chunk", F.col("__run").asc_nulls_last()]).rowsBetween(Window.unboundedPreceding, 0)
+    held = both.withColumn("per_chunk", F.coalesce(F.last("__run", ignorenulls=True).over(order), F.lit(1).cast("long")))
+    return held.where("__run is null").drop("__run")
 
 
 def sample_table(chunks: DataFrame, runs: DataFrame, samples: DataFrame, keys: list[str], sync: DataFrame | None = None) -> DataFrame:
@@ -145,5 +172,7 @@ def conceal(rows: DataFrame, keys: list[str], order: list, columns: list[str]) -
 
 
 def first_registered(entries: DataFrame, key: str, order: list) -> DataFrame:
-    """Of entries with the same key the first: what a registry looks up."""
-    return entries.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__n = 1").drop("__n")
+    """Of entries with the same key the first: what a registry looks up. The least is kept before the shuffle, so a
+    key with very many entries costs no more than any other."""
+    rest = [c for c in entries.columns if c != key]
+    return entries.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__first")).select(*(key if c == key else F.col(f"__first.{c}").alias(c) for c in entries.columns))

@@ -41,11 +41,16 @@ def put_file(folder: str, name: str, content: bytes) -> None:
 
 
 def shared_dir(spark, name: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; only where none is set, on the local disk."""
+    """A fresh folder below ``spark.checkpoint.dir``; where none is set, on the local disk of a single machine.
+
+    On a cluster a folder must be named: what one executor wrote on its own disk no other could read.
+    """
     import tempfile
 
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="reelframe-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -1,4 +1,4 @@
-"""Stateful operators on unbounded streams: framing elementary streams, re-blocking samples, interleaving."""
+"""Operators on unbounded streams: framing elementary streams, re-blocking samples, counts by window."""
 
 from __future__ import annotations
 
@@ -14,6 +14,15 @@ def _grouped(rows: DataFrame, keys: list[str], run: Callable, output: str, state
     return rows.groupBy(*keys).applyInPandasWithState(run, output, state, "append", GroupStateTimeout.NoTimeout)
 
 
+def _keep(state: GroupState, value: tuple, ended: bool) -> None:
+    """What a stream needs for its next rows; a stream that has ended keeps nothing, and one that goes on under the
+    same key starts anew."""
+    if not ended:
+        state.update(value)
+    elif state.exists:
+        state.remove()
+
+
 def reblock(rows: DataFrame, key: str, frame_size: int, key_type: str = "string") -> DataFrame:
     """Frames of ``frame_size`` samples from ``rows(key, seq long, samples long, eos boolean)``.
 
@@ -32,7 +41,7 @@ def reblock(rows: DataFrame, key: str, frame_size: int, key_type: str = "string"
         if rows["eos"].any() and held:
             out.append((k[0], frame, held))
             frame, held = frame + 1, 0
-        state.update((frame, held))
+        _keep(state, (frame, held), rows["eos"].any())
         yield pd.DataFrame(out, columns=[key, "frame_no", "samples"])
 
     return _grouped(rows, [key], run, f"{key} {key_type}, frame_no long, samples long", "frame long, held long")
@@ -51,7 +60,7 @@ def frame_stream(rows: DataFrame, key: str, split: Callable[[bytes], tuple[list[
         units, rest = split(bytes(rest) + b"".join(bytes(d) for d in rows["data"] if d is not None))
         if rows["eos"].any() and rest:
             units, rest = [*units, rest], b""
-        state.update((number + len(units), rest))
+        _keep(state, (number + len(units), rest), rows["eos"].any())
         yield pd.DataFrame([(k[0], number + i, u) for i, u in enumerate(units)], columns=[key, "unit_no", "unit"])
 
     return _grouped(rows, [key], run, f"{key} {key_type}, unit_no long, unit binary", "number long, rest binary")
