@@ -323,32 +323,50 @@ def candidate_links(fingerprints: DataFrame, folder: str, share: float) -> DataF
     pairs = own.unionByName(other.select("views", "their_views", "entry", "their_entry"))
 
     def compare(batches):
+        held, size = [_NONE], 0  # combined in the task: a fingerprint of a large group meets many packs
+
+        def rows(best):
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in best], names=["a", "first", "nearest", "apart"])
+
         for batch in batches:
             for x, y, mine, its in zip(*(batch.column(k) for k in range(4))):
                 i, j = near_pairs(np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8"), narrow)
                 left, right = (np.frombuffer(e.as_py(), "<i8").reshape(-1, 2 + WIDE_WORDS) for e in (mine, its))
-                apart_groups = left[i, 1] != right[j, 1]
-                i, j = i[apart_groups], j[apart_groups]
+                other_group = left[i, 1] != right[j, 1]
+                i, j = i[other_group], j[other_group]
                 apart = np.bitwise_count(np.ascontiguousarray(left[i, 2:] ^ right[j, 2:]).view(np.uint64)).sum(1, dtype=np.int64)
                 near = apart <= wide
-                p, q, apart = _first_and_nearest(left[i[near], 0], right[j[near], 0], apart[near])
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(p, q)), pa.array(np.minimum(p, q)), pa.array(apart)], names=["a", "b", "apart"])
-
-    found = pairs.mapInArrow(compare, "a long, b long, apart long")
-    both = found.union(found.select("b", "a", "apart"))
-    best = both.groupBy("a").agg(F.min("b").alias("first"), F.min_by("b", F.struct("apart", "b")).alias("nearest"))
+                p, q, apart = left[i[near], 0], right[j[near], 0], apart[near]
+                both = np.concatenate([p, q]), np.concatenate([q, p]), np.concatenate([q, p]), np.concatenate([apart, apart])
+                held.append(_best(both))
+                size += len(held[-1][0])
+                if size > ROWS_COMBINED:
+                    held = [_best(tuple(map(np.concatenate, zip(*held))))]
+                    size = len(held[0][0])
+                    if size > ROWS_COMBINED // 2:
+                        yield rows(held[0])
+                        held, size = [_NONE], 0
+        yield rows(_best(tuple(map(np.concatenate, zip(*held)))))
+
+    found = pairs.mapInArrow(compare, "a long, first long, nearest long, apart long")
+    best = found.groupBy("a").agg(F.min("first").alias("first"), F.min(F.struct("apart", "nearest"))["nearest"].alias("nearest"))
     links = best.select("a", F.explode(F.array("first", "nearest")).alias("b"))
     return links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def _first_and_nearest(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each member's pairs the one with the smallest and the one with the nearest partner."""
-    mine, other, far = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([apart, apart])
-    keep = np.zeros(len(mine), bool)
-    for order in (np.lexsort((other, mine)), np.lexsort((other, far, mine))) if len(mine) else ():
-        keep[order[np.flatnonzero(np.r_[True, mine[order][1:] != mine[order][:-1]])]] = True
-    keep = keep[: len(a)] | keep[len(a) :]
-    return a[keep], b[keep], apart[keep]
+#: Rows of best partners that a task combines before it passes them on.
+ROWS_COMBINED = 400_000
+_NONE = tuple(np.zeros(0, np.int64) for _ in range(4))
+
+
+def _best(rows: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """``(a, first, nearest, apart)`` with one row an a: its smallest first, and the nearest with how far apart it is."""
+    a, first, nearest, apart = rows
+    if not len(a):
+        return rows
+    order = np.lexsort((nearest, apart, a))
+    starts = np.flatnonzero(np.r_[True, a[order][1:] != a[order][:-1]])
+    return a[order][starts], np.minimum.reduceat(first[order], starts), nearest[order][starts], apart[order][starts]
 
 
 def similar_links(links: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
