@@ -16,10 +16,13 @@ MAX_ROUNDS = 60
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``.
 
-    Only where the session names no folder (single-machine tests) is one made on the local disk.
+    Only where the session names no folder and runs on a single machine, as in tests, is one made on the local disk;
+    on a cluster that is an error, as no executor could read what another wrote on its own disk.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="reelframe-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -15,15 +15,12 @@ BUCKET_BYTES = 8 << 20
 
 
 def _fisher_yates(count: int, seed: int) -> list[int]:
-    """``rank[i]``: the place of element i after exchanging each place with a random one not before it."""
+    """The elements 0 .. count - 1 in a random order: each place is exchanged with a random one not after it."""
     order, draw = list(range(count)), random.Random(seed)
     for i in range(count - 1, 0, -1):
         j = draw.randrange(i + 1)
         order[i], order[j] = order[j], order[i]
-    rank = [0] * count
-    for place, i in enumerate(order):
-        rank[i] = place
-    return rank
+    return order
 
 
 def shuffle_rows(docs: DataFrame, seed: int = 0, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -43,7 +40,8 @@ def shuffle_rows(docs: DataFrame, seed: int = 0, bucket_bytes: int = BUCKET_BYTE
 
     def shuffle(key, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["doc_id", "text"], kind="stable", na_position="first", ignore_index=True)
-        frame["place"] = _fisher_yates(len(frame), hash((seed, int(key[0]))))
+        frame = frame.iloc[_fisher_yates(len(frame), hash((seed, int(key[0]))))].reset_index(drop=True)
+        frame["place"] = range(len(frame))
         return frame
 
     shuffled = rows.groupBy("bucket").applyInPandas(shuffle, "doc_id long, text string, bucket long, place long")
