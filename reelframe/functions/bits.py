@@ -14,7 +14,7 @@ from reelframe.functions.dims import AAC_PROFILES, ADTS_RATES, NAL_PICTURE_TYPES
 from reelframe.functions.octets import byte_at, read_uint
 
 ADTS = "struct<profile:string,sample_rate_index:int,sample_rate:int,channel_config:int,channels:int,frame_length:int,has_crc:boolean,header_size:int,payload_size:int>"
-#: What a parsed header says of its stream, as `operators.packets.STREAM` has it.
+#: What a parsed header says of its stream.
 PARAMETERS = "struct<media_type:string,codec_id:string,profile:int,level:int,width:int,height:int,sample_rate:int,channels:int>"
 
 
@@ -100,6 +100,15 @@ def annex_b_units(data: bytes) -> Iterator[bytes]:
             yield data[start:end]
 
 
+def annex_b_column(data: Column) -> Column:
+    """`annex_b_units` of a binary column as an array, without Python: bytes stand for the first 256 characters."""
+    pieces = F.split(F.decode(data, "ISO-8859-1"), r"\x00\x00\x01", -1)
+    found = F.slice(pieces, F.lit(2), F.size(pieces) - 1)  # what stands before the first start code is dropped
+    # a zero before a start code belongs to it
+    trimmed = F.transform(found, lambda u, i: F.when((i < F.size(found) - 1) & u.endswith("\x00"), F.left(u, F.char_length(u) - 1)).otherwise(u))
+    return F.transform(F.filter(trimmed, lambda u: u != ""), lambda u: F.encode(u, "ISO-8859-1"))
+
+
 def avcc_units(data: bytes, width: int) -> Iterator[bytes]:
     """Units after big-endian lengths of ``width`` bytes; empty ones are passed over, a length beyond the end is an error."""
     if width not in (1, 2, 3, 4):

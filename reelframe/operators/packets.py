@@ -50,6 +50,63 @@ def new_video_frame(width: Column, height: Column, mode: str = FAIL) -> Column:
     return F.when((width > 0) & (height > 0), made.cast(kind)).otherwise(reject("frame without size", kind, mode))
 
 
+def new_audio_frame(sample_rate: Column, channels: Column, samples: Column, mode: str = FAIL) -> Column:
+    """``struct<media_type,sample_rate,channels,samples,planes>``; rate and channels must be positive."""
+    kind = "struct<media_type:string,sample_rate:int,channels:int,samples:int,planes:array<binary>>"
+    planes = F.array_repeat(F.lit(None).cast("binary"), MAX_PLANES)
+    made = F.struct(F.lit("audio").alias("media_type"), sample_rate.cast("int").alias("sample_rate"), channels.cast("int").alias("channels"), samples.cast("int").alias("samples"), planes.alias("planes"))
+    return F.when((sample_rate > 0) & (channels > 0), made.cast(kind)).otherwise(reject("frame without rate or channels", kind, mode))
+
+
+def reset_frame(frame: Column) -> Column:
+    """The frame without its planes; kind and sizes stay."""
+    return frame.withField("planes", F.array_repeat(F.lit(None).cast("binary"), MAX_PLANES))
+
+
+def reset_packets(packets: DataFrame) -> DataFrame:
+    """Packets as new ones: no data, times, flags, position or side data; other columns stay."""
+    fresh = dict(zip(("data", "pts", "dts", "duration", "time_base", "stream_index", "flags", "pos", "side_data"), new_packet(F.lit(b""))))
+    return packets.withColumns({n: c for n, c in fresh.items() if n in packets.columns})
+
+
+#: Codec parameters and streams as rows.
+CODEC_PARAMETERS = f"struct<codec_id:string,media_type:string,extradata:binary,bit_rate:long,width:int,height:int,pixel_format:string,frame_rate:{timebase.RATIONAL},sample_aspect_ratio:{timebase.RATIONAL},sample_format:string,sample_rate:int,channel_layout:array<string>,channels:int,frame_size:int>"
+DISPOSITION = "struct<default:boolean,attached_pic:boolean,forced:boolean,hearing_impaired:boolean,visual_impaired:boolean>"
+
+
+def codec_parameters(**known: Column) -> Column:
+    """Parameters with what is known; by default video of no codec, sizes and rates 0, square pixels."""
+    none = F.lit(None)
+    zero = F.lit(0)
+    values = {
+        "codec_id": F.lit("none"), "media_type": F.lit("video"), "extradata": none.cast("binary"), "bit_rate": zero.cast("long"), "width": zero, "height": zero,
+        "pixel_format": none.cast("string"), "frame_rate": timebase.rational(0, 0), "sample_aspect_ratio": timebase.rational(1, 1), "sample_format": none.cast("string"),
+        "sample_rate": zero, "channel_layout": none.cast("array<string>"), "channels": zero, "frame_size": zero,
+    } | known
+    return F.struct(*[c.alias(n) for n, c in values.items()]).cast(CODEC_PARAMETERS)
+
+
+def video_parameters(codec_id: Column, width: Column, height: Column, mode: str = FAIL) -> Column:
+    """Parameters of a video stream; sides must be positive."""
+    made = codec_parameters(codec_id=codec_id, width=width, height=height)
+    return F.when((width > 0) & (height > 0), made).otherwise(reject("video without size", CODEC_PARAMETERS, mode))
+
+
+def audio_parameters(codec_id: Column, sample_rate: Column, channels: Column, mode: str = FAIL) -> Column:
+    """Parameters of an audio stream; rate and channels must be positive."""
+    made = codec_parameters(codec_id=codec_id, media_type=F.lit("audio"), sample_rate=sample_rate, channels=channels)
+    return F.when((sample_rate > 0) & (channels > 0), made).otherwise(reject("audio without rate or channels", CODEC_PARAMETERS, mode))
+
+
+def new_stream(index: Column, parameters: Column, disposition: tuple[str, ...] = ()) -> Column:
+    """A stream of which only number and parameters are known: no duration or frames, unknown time base."""
+    flags = [n.split(":")[0] for n in DISPOSITION.removeprefix("struct<").removesuffix(">").split(",")]
+    if unknown := set(disposition) - set(flags):
+        raise ValueError(f"unknown disposition {sorted(unknown)}")
+    marks = F.struct(*[F.lit(n in disposition).alias(n) for n in flags])
+    return F.struct(index.cast("int").alias("index"), parameters.alias("parameters"), timebase.rational(0, 0).alias("time_base"), F.lit(None).cast("long").alias("duration"), F.lit(None).cast("long").alias("nb_frames"), F.create_map().cast("map<string,string>").alias("metadata"), marks.alias("disposition"))
+
+
 def set_plane(planes: Column, index: int, data: Column) -> Column:
     if not 0 <= index < MAX_PLANES:
         raise ValueError("a frame has eight planes")

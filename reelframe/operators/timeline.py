@@ -110,13 +110,14 @@ def chunk_runs(chunks: DataFrame, runs: DataFrame, keys: list[str]) -> DataFrame
     """``chunks(*keys, chunk, offset)`` with the samples each holds, from ``runs(*keys, first_chunk, per_chunk)``.
 
     A run holds until the next one's first chunk. Chunks before a stream's first run, and all chunks of a stream
-    without runs, hold one sample each. Chunks and runs are laid in one order and each chunk takes the last run
-    before it, so no range join is needed.
+    without runs, hold one sample each. The range join is an equality join on the stream with a condition: a file
+    has few runs, and its last run is open.
     """
-    both = chunks.select(*keys, "chunk", "offset", F.lit(None).cast("long").alias("__run")).unionByName(runs.select(*keys, F.col("first_chunk").cast("long").alias("chunk"), F.lit(None).cast("long").alias("offset"), F.col("per_chunk").cast("long").alias("__run")))
-    order = _stream(keys, ["chunk", F.col("__run").asc_nulls_last()]).rowsBetween(Window.unboundedPreceding, 0)
-    held = both.withColumn("per_chunk", F.coalesce(F.last("__run", ignorenulls=True).over(order), F.lit(1).cast("long")))
-    return held.where("__run is null").drop("__run")
+    spans = runs.withColumn("__until", F.lead("first_chunk").over(_stream(keys, ["first_chunk"])))
+    met = (F.col("c.chunk") >= F.col("s.first_chunk")) & (F.col("s.__until").isNull() | (F.col("c.chunk") < F.col("s.__until")))
+    for k in keys:
+        met = met & (F.col(f"c.{k}") == F.col(f"s.{k}"))
+    return chunks.alias("c").join(spans.alias("s"), met, "left").select("c.*", F.coalesce("s.per_chunk", F.lit(1)).alias("per_chunk"))
 
 
 def sample_table(chunks: DataFrame, runs: DataFrame, samples: DataFrame, keys: list[str], sync: DataFrame | None = None) -> DataFrame:

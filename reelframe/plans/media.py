@@ -4,15 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from reelframe.functions import dims, octets
+from reelframe.errors import SKIP
+from reelframe.functions import dims, octets, timebase
+from reelframe.operators import packets
 from reelframe.plans.catalog import query, table
 from reelframe.sources import mp4, register
 from reelframe.sources.files import shared_dir
 from reelframe.streaming import stateful
 
-_PIX = "pix(id, name, components, bpp, planes, cw, ch, planar, bpc) AS (VALUES " + ", ".join(
-    f"({i}, '{n}', {x[0]}, {x[1]}, {x[2]}, {x[3]}, {x[4]}, {x[5] == 't'}, {x[8]})" for i, (n, *x) in enumerate(r.split() for r in dims.PIXEL_FORMATS.strip().splitlines())
-) + ")"
+# Fixed values, written out apart from the table in `dims` that they are held against.
+_PIX = """pix(id, name, components, bpp, planes, cw, ch, planar, bpc) AS (VALUES
+(0, 'yuv420p', 3, 12, 3, 1, 1, true, 8), (1, 'yuv422p', 3, 16, 3, 1, 0, true, 8), (2, 'yuv444p', 3, 24, 3, 0, 0, true, 8), (3, 'yuv420p10le', 3, 15, 3, 1, 1, true, 10), (4, 'yuv420p10be', 3, 15, 3, 1, 1, true, 10),
+(5, 'yuv422p10le', 3, 20, 3, 1, 0, true, 10), (6, 'yuv444p10le', 3, 30, 3, 0, 0, true, 10), (7, 'yuva420p', 4, 20, 4, 1, 1, true, 8), (8, 'nv12', 3, 12, 2, 1, 1, true, 8), (9, 'nv21', 3, 12, 2, 1, 1, true, 8),
+(10, 'rgb24', 3, 24, 1, 0, 0, false, 8), (11, 'bgr24', 3, 24, 1, 0, 0, false, 8), (12, 'rgba', 4, 32, 1, 0, 0, false, 8), (13, 'bgra', 4, 32, 1, 0, 0, false, 8), (14, 'argb', 4, 32, 1, 0, 0, false, 8), (15, 'abgr', 4, 32, 1, 0, 0, false, 8),
+(16, 'gbrp', 3, 24, 3, 0, 0, true, 8), (17, 'gray', 1, 8, 1, 0, 0, false, 8), (18, 'gray16le', 1, 16, 1, 0, 0, false, 16), (19, 'yuyv422', 3, 16, 1, 1, 0, false, 8), (20, 'uyvy422', 3, 16, 1, 1, 0, false, 8),
+(21, 'vaapi', 0, 0, 0, 0, 0, false, 0), (22, 'd3d11', 0, 0, 0, 0, 0, false, 0), (23, 'videotoolbox', 0, 0, 0, 0, 0, false, 0), (24, 'cuda', 0, 0, 0, 0, 0, false, 0))"""
 _LINE = lambda p: f"(CASE WHEN planar AND {p} IN (1, 2) THEN (w + (1 << cw) - 1) // (1 << cw) ELSE w END * CASE WHEN bpc > 8 THEN 2 ELSE 1 END * CASE WHEN planar THEN 1 ELSE components END)"
 _TALL = lambda p: f"(CASE WHEN planar AND {p} IN (1, 2) THEN (h + (1 << ch) - 1) // (1 << ch) ELSE h END)"
 
@@ -59,6 +65,26 @@ def image_sizes(spark, sf_dir):
     return rows.select("p_partkey", line(0, 32).alias("luma"), line(1, 1).alias("chroma"), whole.alias("bytes"))
 
 
+@query("""SELECT s_suppkey, (s_suppkey % 4)::INT AS stream_index, CASE WHEN s_suppkey % 2 = 0 THEN 'video' ELSE 'audio' END AS media_type, CASE WHEN s_suppkey % 2 = 0 THEN 'h264' ELSE 'aac' END AS codec_id,
+CASE WHEN s_suppkey % 2 = 0 THEN s_nationkey * 16 ELSE 0 END::INT AS width, CASE WHEN s_suppkey % 2 = 1 THEN 48000 ELSE 0 END::INT AS sample_rate, CASE WHEN s_suppkey % 2 = 1 THEN s_nationkey ELSE 0 END::INT AS channels, '1/1' AS aspect, true AS is_default, false AS is_forced
+FROM supplier WHERE s_nationkey > 0""")
+def stream_rows(spark, sf_dir):
+    """Suppliers as streams; those of nation 0 have no size or channels and are refused."""
+    n, video = F.col("s_nationkey").cast("int"), F.col("s_suppkey") % 2 == 0
+    made = F.when(video, packets.video_parameters(F.lit("h264"), n * 16, F.lit(720), SKIP)).otherwise(packets.audio_parameters(F.lit("aac"), F.lit(48_000), n, SKIP))
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", packets.new_stream(F.col("s_suppkey") % 4, made, ("default",)).alias("s")).where("s.parameters is not null")
+    return rows.select("s_suppkey", F.col("s.index").alias("stream_index"), "s.parameters.media_type", "s.parameters.codec_id", "s.parameters.width", "s.parameters.sample_rate", "s.parameters.channels", timebase.show(F.col("s.parameters.sample_aspect_ratio")).alias("aspect"), F.col("s.disposition.default").alias("is_default"), F.col("s.disposition.forced").alias("is_forced"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 3 > 0 THEN 48000 END::INT AS sample_rate, CASE WHEN p_size % 3 > 0 THEN p_size % 3 END::INT AS planes_set FROM part""")
+def audio_frames(spark, sf_dir):
+    """Parts as audio frames of a plane a channel; frames without channels are refused."""
+    channels = (F.col("p_size") % 3).cast("int")
+    rows = table(spark, sf_dir, "part").select("p_partkey", channels.alias("n"), packets.new_audio_frame(F.lit(48_000), channels, F.lit(1024), SKIP).alias("f"))
+    planes = F.transform("f.planes", lambda p, i: F.when(i < F.col("n"), F.encode(F.lit("x"), "utf-8")).otherwise(p))
+    return rows.select("p_partkey", "f.sample_rate", F.when(F.col("f").isNotNull(), packets.plane_count(planes)).alias("planes_set"))
+
+
 @query("""WITH d AS (SELECT source, sum(octet_length(encode(text)))::BIGINT AS n FROM documents GROUP BY source)
 SELECT source || '.wav' AS file, (n + 4095) // 4096 AS packets, n AS samples, n AS bytes, 'pcm_u8' AS codec_id FROM d""")
 def wav_roundtrip(spark, sf_dir):

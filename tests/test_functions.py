@@ -130,3 +130,27 @@ def test_dimensions(spark):
     assert (rows["rgb24"].l1920_0, rows["rgba"].l1920_0, rows["yuv420p10le"].l1920_0) == (5760, 7680, 3840)
     got = one(spark, dims.layout_name(dims.layout_of(F.lit("surround"))), dims.layout_name(F.array(F.lit("FL"), F.lit("LFE"))), dims.layout_of(F.lit("x")))
     assert list(got) == ["3.0", "FL+LFE", None]
+
+
+def test_annex_b_column_agrees(spark):
+    cases = [b"", b"\0\0\1", b"ab\0\0\1cd", b"\0\0\0\1e\xff\0\0\0\1\0\0\1f\0", b"\0\0\1\0\0\0\1x\0\0\0\0\1y", bytes(range(256)) + b"\0\0\1\n\r\x85"]
+    rng = random.Random(6)
+    cases += [bytes(rng.choice([0, 0, 0, 1, 1, 200]) for _ in range(rng.randrange(30))) for _ in range(300)]
+    rows = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, b binary").select("i", bits.annex_b_column(F.col("b")).alias("u")).collect()
+    for r in rows:
+        assert [bytes(u) for u in r.u] == list(bits.annex_b_units(cases[r.i]))
+
+
+def test_crc_queries_against_zlib(spark):
+    import zlib
+
+    import __spark_entry__ as entry
+
+    folder = "/root/testdata/sf0.001"
+    got = {r.doc_id: r.crc for r in entry.queries()["crc32_documents"](spark, folder).collect()}
+    assert got == {r.doc_id: f"{zlib.crc32(r.text.encode()):08x}" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    folds: dict = {}
+    for r in sorted(spark.read.parquet(f"{folder}/conversations.parquet").collect(), key=lambda r: (r.conv_id, r.turn)):
+        folds[r.conv_id] = zlib.crc32((r.text or "").encode(), folds.get(r.conv_id, 0))
+    got = {r.conv_id: r.crc for r in entry.queries()["crc32_incremental"](spark, folder).collect()}
+    assert got == {k: f"{v:08x}" for k, v in folds.items()}

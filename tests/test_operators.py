@@ -115,3 +115,25 @@ def test_transcode_and_concealment(spark):
     assert [(r.seq, bytes(r.data), r.codec_id) for r in out] == [(1, b"\x02\x01", "pcm_s16le")]
     rows = spark.createDataFrame([(1, 1, None), (1, 2, 5.0), (1, 3, None)], "k int, i int, v double")
     assert [r.v for r in timeline.conceal(rows, ["k"], ["i"], ["v"]).orderBy("i").collect()] == [None, 5.0, 5.0]
+
+
+def test_chunks_without_runs(spark):
+    """Without runs, and before the first run, a chunk holds one sample."""
+    chunks = spark.createDataFrame([(t, c, 100 * c) for t in (1, 2) for c in (1, 2, 3)], "track long, chunk long, offset long")
+    runs = spark.createDataFrame([(1, 3, 2)], "track long, first_chunk int, per_chunk int")
+    got = sorted((r.track, r.chunk, r.per_chunk) for r in timeline.chunk_runs(chunks, runs, ["track"]).collect())
+    assert got == [(1, 1, 1), (1, 2, 1), (1, 3, 2), (2, 1, 1), (2, 2, 1), (2, 3, 1)]
+
+
+def test_previous_across_stretches(spark):
+    rows = spark.createDataFrame([(k, t) for k in ("a", "b", None) for t in (0, 5, 9, 31, 32, 95)], "k string, t long")
+    got = sorted(((r.k or "", r.t, r["__before"].t if r["__before"] else None) for r in timeline.with_previous(rows, ["k"], ["t"], F.floor(F.col("t") / 10), ["t"]).collect()), key=str)
+    assert got == sorted(((k, t, b) for k in ("a", "b", "") for t, b in ((0, None), (5, 0), (9, 5), (31, 9), (32, 31), (95, 32))), key=str)
+
+
+def test_reset_and_new_streams(spark):
+    row = spark.range(1).select(packets.new_stream(F.lit(3), packets.video_parameters(F.lit("h264"), F.lit(0), F.lit(1), "skip")).alias("s"), packets.codec_parameters().alias("p"), packets.reset_frame(packets.new_audio_frame(F.lit(8000), F.lit(1), F.lit(4))).alias("f")).first()
+    assert row.s.parameters is None and row.s["index"] == 3 and not any(row.s.disposition) and (row.p.codec_id, row.p.media_type, row.p.width) == ("none", "video", 0)
+    assert row.f.samples == 4 and row.f.planes == [None] * 8
+    fresh = packets.reset_packets(spark.createDataFrame([(b"x", 5, 7)], "data binary, pts long, kept long")).first()
+    assert (bytes(fresh.data), fresh.pts, fresh.kept) == (b"", None, 7)
