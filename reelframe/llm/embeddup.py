@@ -110,7 +110,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
 
     Two rows are linked if their labels are equal and not null and the cosine, in double precision, is
     ``threshold`` or more. n_links counts the other rows linked directly; component_id is the smallest vec_id
-    reachable. Vectors that are null, empty, zero or hold null or non-finite components link with nothing, and
+    reachable; a null vec_id is reachable, but names a component only if no other does, and repeated vec_ids are
+    rows of their own. Vectors that are null, empty, zero or hold null or non-finite components link with nothing, and
     vectors of different lengths never do.
 
     Equal vectors are one entry with its number of rows, so copies are never paired with each other. A label's
@@ -124,8 +125,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.col("label").isNotNull() & F.coalesce(finite & F.exists("v", lambda x: x != 0), F.lit(False))
     rows = settle(rows.withColumn("usable", usable).withColumn("key", F.when(F.col("usable"), F.sha2(F.concat_ws(",", F.col("label"), F.transform("v", lambda x: (x + F.lit(0.0)).cast("string"))), 256))), f"{folder}/rows")
-    entries = rows.where("usable").groupBy("key", "label").agg(F.min("vec_id").alias("entry"), F.count("*").alias("copies"), F.first("v").alias("v"))
-    entries = settle(entries.withColumn("width", F.size("v")), f"{folder}/entries")
+    entries = rows.where("usable").groupBy("key", "label").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"), F.first("v").alias("v"))
+    # entries have numbers of their own, as vec_ids may be null or repeat
+    entries = settle(entries.withColumn("width", F.size("v")).withColumn("entry", F.monotonically_increasing_id()), f"{folder}/entries")
     # reference points: the first few by hash of each label and width, a bounded list
     first = F.min_by(F.struct("v"), F.xxhash64("key"))
     slots = entries.groupBy("label", "width", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(PIVOTS)).alias("slot")).agg(first.alias("p"))
@@ -185,7 +187,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     found = settle(pairs.repartition(F.xxhash64("entries", "entries2")).mapInArrow(compare, "a long, b long, n long"), f"{folder}/found")
     counts = found.where("b is null").groupBy(F.col("a").alias("entry")).agg(F.sum("n").alias("near"))
     reached = components(found.where("b is not null").select("a", "b"), "embeddings").withColumnRenamed("id", "entry")
-    known = entries.select("key", "entry", "copies").join(counts, "entry", "left").join(reached, "entry", "left").select("key", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"), F.coalesce("root", "entry").alias("component_id"))
+    known = entries.select("key", "entry", "first", "copies").join(counts, "entry", "left").join(reached, "entry", "left")
+    known = known.select("key", "first", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"), F.coalesce("root", "entry").alias("root"))
+    names = known.groupBy("root").agg(F.min("first").alias("component_id"))
+    known = known.join(names, "root").select("key", "n_links", "component_id")
     linked = rows.where("usable").select("vec_id", "label", "key").join(known, "key").select("vec_id", "label", "n_links", "component_id")
     alone = rows.where("not usable").select("vec_id", "label", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone)

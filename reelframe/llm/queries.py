@@ -57,7 +57,7 @@ def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = embeddup.near_duplicates(_table(spark, sf_dir, "embeddings"))
-    return found.select("vec_id", "n_links", "component_id", F.expr("vec_id = component_id").alias("kept"))
+    return found.select("vec_id", "n_links", "component_id", F.expr("vec_id <=> component_id").alias("kept"))
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from reelframe.llm import chat, embeddup, mixing, packing, quality, sharding, simhash, suffix, tokenbin, warc
+from reelframe.llm import chat, embeddup, mixing, packing, quality, queries, sharding, simhash, suffix, tokenbin, warc
 from reelframe.llm.cluster import components, shared_dir
 from reelframe.llm.tokens import WordEncoder, public_vocabulary
 
@@ -198,6 +198,17 @@ def test_sharding(spark, docs, odd, empty):
     assert sharding.shard_rows(empty).count() == 0
     one, two, other = ([tuple(r) for r in sharding.shard_rows(docs, 4, seed=s).orderBy("shard", "slot").select("doc_id").collect()] for s in (1, 1, 2))
     assert one == two != other
+    # a shard's files are read in shuffled order: within a bucket's run the slots ascend
+    folder = shared_dir(spark, "order")
+    sharding.write_shards(docs, folder, 2, bucket_bytes=1 << 30)
+    for shard in range(2):
+        slots = [r.slot for r in spark.read.parquet(f"{folder}/shard={shard}").coalesce(1).collect()]
+        assert slots == sorted(slots)
+    for frame in (docs, odd):  # the query's columns from the texts alone
+        frame.coalesce(1).write.mode("overwrite").parquet(f"{folder}-query/documents.parquet")
+        got = sorted(((r.doc_id, r.size, r.text_crc32, r.law, r.grown_shard) for r in queries.op3_sharding(spark, f"{folder}-query").collect()), key=str)
+        want = [(r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode()), "rows", None) for r in frame.select("doc_id", "text").collect()]
+        assert got == sorted(want, key=str)
     small = sharding.shuffle_rows(docs, bucket_bytes=2000).select("position").toPandas()["position"]
     assert sorted(small) == list(range(docs.count()))
 
@@ -506,6 +517,13 @@ def test_vectors(spark, monkeypatch):
     assert embeddup.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_vectors_with_null_and_repeated_ids(spark):
+    a, b, c = [1.0, 0.01], [1.0, 0.0], [0.0, 1.0]
+    rows = [(None, a, 0), (5, b, 0), (3, b, 0), (3, c, 0), (None, c, 1), (None, [0.01, 1.0], 1), (None, None, 0)]
+    got = sorted(map(tuple, embeddup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).select("vec_id", "label", "n_links", "component_id").collect()), key=str)
+    assert got == sorted([(None, "0", 2, 3), (5, "0", 2, 3), (3, "0", 2, 3), (3, "0", 0, 3), (None, "1", 1, None), (None, "1", 1, None), (None, "0", 0, None)], key=str)
+
+
 def test_cover_tree_invariants():
     rng = np.random.default_rng(1)
     p = rng.normal(size=(120, 8))
