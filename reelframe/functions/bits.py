@@ -102,11 +102,9 @@ def annex_b_units(data: bytes) -> Iterator[bytes]:
 
 def annex_b_column(data: Column) -> Column:
     """`annex_b_units` of a binary column as an array, without Python: bytes stand for the first 256 characters."""
-    pieces = F.split(F.decode(data, "ISO-8859-1"), r"\x00\x00\x01", -1)
-    found = F.slice(pieces, F.lit(2), F.size(pieces) - 1)  # what stands before the first start code is dropped
-    # a zero before a start code belongs to it
-    trimmed = F.transform(found, lambda u, i: F.when((i < F.size(found) - 1) & u.endswith("\x00"), F.left(u, F.char_length(u) - 1)).otherwise(u))
-    return F.transform(F.filter(trimmed, lambda u: u != ""), lambda u: F.encode(u, "ISO-8859-1"))
+    # a zero before a start code belongs to it; what stands before the first one is dropped
+    pieces = F.slice(F.split(F.decode(data, "ISO-8859-1"), r"\x00?\x00\x00\x01", -1), 2, 2147483640)
+    return F.transform(F.filter(pieces, lambda u: u != ""), lambda u: F.encode(u, "ISO-8859-1"))
 
 
 def avcc_units(data: bytes, width: int) -> Iterator[bytes]:
