@@ -19,7 +19,7 @@ LEAF_SIZE = 16
 #: Words of 64 bits of the fingerprints that find candidates for a similarity.
 WIDE_WORDS = 4
 #: Such fingerprints aimed at in a node of one table.
-WIDE_NODE_SIZE = 64
+WIDE_NODE_SIZE = 256
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -180,9 +180,10 @@ def gray_packs(rows: DataFrame, lead: int, carried: list[str]) -> DataFrame:
             number += len(starts)
             yield pa.RecordBatch.from_arrays([*fixed, *(pa.array(c, k) for c, k in zip(columns, kinds))], names=names)
 
-    ranked = rows.select("table", "view", *carried, gray_rank_column(F.col("view")).alias("__rank"))
+    ranked = rows.select("table", gray_rank_column(F.col("view")).alias("__rank"), *carried)
     order = ["table", "__rank", *carried]
-    ordered = ranked.repartitionByRange(*order).sortWithinPartitions(*order).drop("__rank")
+    view = F.col("__rank").bitwiseXOR(F.shiftrightunsigned("__rank", 1)).alias("view")  # back from its rank
+    ordered = ranked.repartitionByRange(*order).sortWithinPartitions(*order).select("table", view, *carried)
     return ordered.mapInArrow(pack, "table int, node long, pack long, shared long, bits long, views binary" + "".join(f", {c} binary" for c in carried))
 
 
@@ -418,13 +419,15 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8)
     entries = rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.first("wide").alias("wide"))
     entries = settle(entries.withColumn("id", F.monotonically_increasing_id()), f"{folder}/entries")
     share = _differing_share(similarity)
-    active, tested, alike, turn = entries.select("id", "wide", F.col("id").alias("grp")), None, None, 0
+    active, texts, tested, alike, turn = entries.select("id", "wide", F.col("id").alias("grp")), None, None, None, 0
     while True:
         links = candidate_links(active, f"{folder}/{turn}", share)
         links = settle(links if tested is None else links.join(tested, ["a", "b"], "left_anti"), f"{folder}/{turn}/links")
         wanted = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        texts = keyed.join(entries.join(wanted, "id", "left_semi").select("id", F.col("key").alias("k"), F.col("first").alias("f")), (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("f")))
-        texts = settle(texts.select("id", "text").dropDuplicates(["id"]), f"{folder}/{turn}/texts")
+        if texts is None:  # later rounds look among the entries of the first one's links
+            named = entries.join(wanted, "id", "left_semi").select("id", F.col("key").alias("k"), F.col("first").alias("f"))
+            held = keyed.join(named, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("f")))
+            texts = settle(held.select("id", "text").dropDuplicates(["id"]), f"{folder}/texts")
         more = settle(similar_links(links, texts, width, similarity), f"{folder}/{turn}/alike")
         found = more.count()
         alike = more if alike is None else alike.unionByName(more)
