@@ -16,13 +16,18 @@ def _place(uri: str) -> tuple[fs.FileSystem, str]:
 
 def list_files(uri: str, suffix: str) -> list[str]:
     """Files below ``uri`` that end in ``suffix``, or the file itself; hidden ones are passed over."""
+    return [path for path, _ in list_sizes(uri, suffix)]
+
+
+def list_sizes(uri: str, suffix: str) -> list[tuple[str, int]]:
+    """`list_files` with the bytes of each; nothing is opened."""
     place, path = _place(uri)
     scheme = "" if isinstance(place, fs.LocalFileSystem) else uri.split("://")[0] + "://"
     info = place.get_file_info(path)
     if info.type == fs.FileType.File:
-        return [uri]
+        return [(uri, info.size)]
     found = place.get_file_info(fs.FileSelector(path, recursive=True, allow_not_found=True))
-    return sorted(scheme + f.path for f in found if f.type == fs.FileType.File and f.path.endswith(suffix) and not f.base_name.startswith((".", "_")))
+    return sorted((scheme + f.path, f.size) for f in found if f.type == fs.FileType.File and f.path.endswith(suffix) and not f.base_name.startswith((".", "_")))
 
 
 def open_read(uri: str):

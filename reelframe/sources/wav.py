@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-from reelframe.sources.files import list_files, open_read, put_file
+from reelframe.sources.files import list_sizes, open_read, put_file
 
 # Sample format tag and bits of each codec.
 TAGS = {(1, 8): "pcm_u8", (1, 16): "pcm_s16le", (3, 32): "pcm_f32le"}
@@ -68,34 +68,30 @@ def wav_bytes(codec: str, channels: int, rate: int, payload: bytes) -> bytes:
 @dataclass
 class Stretch(InputPartition):
     path: str
-    header: Header
     first: int
-    packets: int
+    until: int
 
 
 class WavReader(DataSourceReader):
-    """Plans stretches of packets, so that a large file is read by many tasks."""
+    """Plans stretches of bytes from the listing alone, so that a large file is read by many tasks and none is opened
+    to plan. A task reads the header and takes the packets that start in its stretch."""
 
     def __init__(self, options: dict):
         self.path = options["path"]
         self.payload = options.get("payload", "true").lower() == "true"
-        self.step = int(options.get("packetsPerPartition", 4096))
+        self.step = int(options.get("bytesPerPartition", 16 << 20))
 
     def partitions(self) -> list[InputPartition]:
-        out: list[InputPartition] = []
-        for path in list_files(self.path, ".wav"):
-            with open_read(path) as f:
-                h = read_header(f)
-            n = -(-h.size // (FRAMES_PER_PACKET * h.align))
-            out += [Stretch(path, h, a, min(self.step, n - a)) for a in range(0, n, self.step)]
-        return out
+        return [Stretch(path, a, a + self.step) for path, size in list_sizes(self.path, ".wav") for a in range(0, max(size, 1), self.step)]
 
     def read(self, partition: Stretch) -> Iterator[tuple]:
         if partition is None:
             return
-        h, step = partition.header, FRAMES_PER_PACKET * partition.header.align
         with open_read(partition.path) as f:
-            for seq in range(partition.first, partition.first + partition.packets):
+            h = read_header(f)
+            step = FRAMES_PER_PACKET * h.align
+            low, high = (max(0, -(-(x - h.start) // step)) for x in (partition.first, partition.until))
+            for seq in range(low, min(high, -(-h.size // step))):
                 at = seq * step
                 size = min(step, h.size - at)
                 data = None

@@ -65,6 +65,8 @@ def test_wav_round_trip(spark, tmp_path):
     rows = spark.read.format("wav").load(f"file://{tmp_path}/w").orderBy("path", "seq").collect()
     assert bytes(rows[0].data) == payload and rows[0].duration == 100
     assert [(r.pts, r.duration) for r in rows[1:]] == [(0, 4096), (4096, 4096), (8192, 809)]
+    cut = spark.read.format("wav").option("bytesPerPartition", "1000").load(f"file://{tmp_path}/w")
+    assert cut.orderBy("path", "seq").collect() == rows and cut.rdd.getNumPartitions() == 11
     light = spark.read.format("wav").option("payload", "false").load(f"file://{tmp_path}/w")
     assert light.where("data is not null").count() == 0 and light.count() == 4
 
