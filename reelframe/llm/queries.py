@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelframe.llm import chat, embeddup, mixing, packing, quality, sharding, simhash, suffix, tokenbin, warc
+from reelframe.llm import alignment, chat, embeddup, mixing, packing, quality, runs, sharding, simhash, suffix, tokenbin, warc
 from reelframe.llm.tokens import public_vocabulary
 
 
@@ -65,8 +65,18 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digest(_table(spark, sf_dir, "documents"))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = lambda groups: F.when(groups == "", "").otherwise(F.sha2(groups, 256))
+    found = alignment.align_documents(_table(spark, sf_dir, "documents"), public_vocabulary("byte_bpe_50k.json"), public_vocabulary("piece_bpe_32k.model"), digest)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_sharding, op4_warc, op5_chat_formatting, op6_mixing_sources, op7_suffix_dedup, op8_token_binary, op9_embedding_near_dedup, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_sharding, op4_warc, op5_chat_formatting, op6_mixing_sources, op7_suffix_dedup, op8_token_binary, op9_embedding_near_dedup, op10_simhash_near_dedup, op11_periodic_runs, op12_tokenizer_alignment)}
 
 
 OP2_SQL = r"""
