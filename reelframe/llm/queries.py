@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelframe.llm import alignment, chat, embeddup, mixing, packing, quality, runs, sharding, simhash, suffix, tokenbin, warc
+from reelframe.llm import alignment, chat, decontamination, embeddup, mixing, packing, quality, runs, sharding, simhash, suffix, tokenbin, warc
 from reelframe.llm.tokens import public_vocabulary
 
 
@@ -75,8 +75,13 @@ def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("groups", "groups_sha256")
 
 
+def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_sharding, op4_warc, op5_chat_formatting, op6_mixing_sources, op7_suffix_dedup, op8_token_binary, op9_embedding_near_dedup, op10_simhash_near_dedup, op11_periodic_runs, op12_tokenizer_alignment)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_sharding, op4_warc, op5_chat_formatting, op6_mixing_sources, op7_suffix_dedup, op8_token_binary, op9_embedding_near_dedup, op10_simhash_near_dedup, op11_periodic_runs, op12_tokenizer_alignment, op13_benchmark_decontamination)}
 
 
 OP2_SQL = r"""
@@ -141,5 +146,42 @@ FROM embeddings e JOIN (SELECT id, min(root) AS root FROM reach GROUP BY id) r O
 """
 
 
+#: Every pair of equal words of a document is a period; islands of such pairs are its runs.
+OP11_SQL = r"""
+WITH RECURSIVE steps AS (SELECT i::BIGINT AS i, i::BIGINT AS c, 0 AS n FROM range(256) r(i) UNION ALL
+  SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n + 1 FROM steps WHERE n < 8),
+lut AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE n = 8),
+texts AS (SELECT doc_id, ws, len(ws) AS n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) AS h
+  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents), lut),
+placed AS (SELECT doc_id, n, i, ws[1 + CASE WHEN h % 10 = 0 AND i >= (h // 10) % n
+    THEN (h // 10) % n + (i - (h // 10) % n) % (1 + (n - (h // 10) % n) // (3 + (h // 10) % 8)) ELSE i END] AS w
+  FROM (SELECT *, unnest(range(n)) AS i FROM texts)),
+equal AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM placed x JOIN placed y ON x.doc_id = y.doc_id AND x.w = y.w AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+islands AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS len FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g FROM equal) GROUP BY doc_id, q, g),
+found AS (SELECT doc_id, s, len, min(q) AS q FROM islands WHERE len >= greatest(6, 4 * q) GROUP BY doc_id, s, len),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY len / q::DOUBLE DESC, s, q) AS r FROM found) WHERE r = 1),
+lines AS (SELECT doc_id, count(*) AS n, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS t FROM found GROUP BY doc_id),
+dropped AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + len)) AS i FROM found),
+kept AS (SELECT p.doc_id, string_agg(p.w, ' ' ORDER BY p.i) AS t FROM placed p ANTI JOIN dropped d ON p.doc_id = d.doc_id AND p.i = d.i GROUP BY p.doc_id)
+SELECT texts.doc_id, coalesce(lines.n, 0)::BIGINT AS n_runs, best.s::BIGINT AS start, best.len::BIGINT AS length, best.q::BIGINT AS period,
+  (1000 * best.len // best.q)::BIGINT AS exponent_milli, sha256(coalesce(lines.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+FROM texts LEFT JOIN lines USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+OP13_SQL = r"""
+WITH texts AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+items AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+windows AS (SELECT DISTINCT item_id, k, array_to_string(ws[1 + i:i + k], ' ') AS g FROM (SELECT *, unnest(range(len(ws) - k + 1)) AS i FROM (SELECT *, least(10, len(ws)) AS k FROM items WHERE len(ws) > 0))),
+grams AS (SELECT doc_id, k, i, array_to_string(ws[1 + i:i + k], ' ') AS g FROM (SELECT *, unnest(range(len(ws) - k + 1)) AS i FROM texts, (SELECT DISTINCT k FROM windows) WHERE len(ws) >= k)),
+hits AS (SELECT doc_id, item_id, k, i FROM grams JOIN windows USING (k, g)),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hits) GROUP BY doc_id),
+met AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS t FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id)
+SELECT texts.doc_id, len(ws)::BIGINT AS n_words, coalesce(covered.n, 0)::BIGINT AS n_hit, coalesce(met.n, 0)::BIGINT AS n_items, sha256(coalesce(met.t, '')) AS items_sha256,
+  coalesce(covered.n, 0) > 0 AS contaminated
+FROM texts LEFT JOIN covered USING (doc_id) LEFT JOIN met USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2_SQL, "op4_warc": OP4_SQL, "op5_chat_formatting": OP5_SQL, "op9_embedding_near_dedup": OP9_SQL}
+    return {"op2_quality_rules": OP2_SQL, "op4_warc": OP4_SQL, "op5_chat_formatting": OP5_SQL, "op9_embedding_near_dedup": OP9_SQL, "op11_periodic_runs": OP11_SQL, "op13_benchmark_decontamination": OP13_SQL}
