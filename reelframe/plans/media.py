@@ -8,7 +8,7 @@ from reelframe.errors import SKIP
 from reelframe.functions import dims, octets, timebase
 from reelframe.operators import packets
 from reelframe.plans.catalog import query, table
-from reelframe.sources import mp4, register
+from reelframe.sources import mp4, mp4_index, register
 from reelframe.sources.files import shared_dir
 from reelframe.streaming import stateful
 
@@ -97,17 +97,83 @@ def wav_roundtrip(spark, sf_dir):
     return back.groupBy(F.substring_index("path", "/", -1).alias("file")).agg(F.count("*").alias("packets"), F.sum("duration").alias("samples"), F.sum(F.octet_length("data")).cast("long").alias("bytes"), F.first("codec_id").alias("codec_id"))
 
 
-@query("""WITH e AS (SELECT user_id, event_id, encode(event_type || props) AS b, event_id % 50 + 1 AS d, event_type = 'view' AS k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq FROM events)
-SELECT user_id || '.mp4' AS file, seq, decode(b) AS payload, d AS duration, coalesce(sum(d) OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pts, k AS keyframe FROM e""")
-def mp4_roundtrip(spark, sf_dir):
-    """Each user's events as the samples of an MP4 file, written and read back through ``format("mp4")``."""
+_MP4 = """e AS (SELECT user_id, event_id, encode(event_type || props) AS b, event_id % 50 + 1 AS d, event_type = 'view' AS k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq FROM events),
+m AS (SELECT user_id || '.mp4' AS file, seq, b, d AS duration, coalesce(sum(d) OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pts, k AS keyframe FROM e)"""
+
+
+def _write_mp4(spark, sf_dir) -> str:
+    """Each user's events as the samples of an MP4 file; returns their folder."""
     register(spark)
     folder = shared_dir(spark, "mp4")
     none = lambda t: F.lit(None).cast(t)
     rows = table(spark, sf_dir, "events").select(F.concat(F.col("user_id").cast("string"), F.lit(".mp4")).alias("path"), F.lit(0).alias("stream_index"), F.col("event_id").alias("seq"), none("long").alias("pts"), none("long").alias("dts"), (F.col("event_id") % 50 + 1).alias("duration"), F.lit(90_000).alias("timescale"), F.lit("h264").alias("codec_id"), (F.col("event_type") == "view").alias("keyframe"), none("long").alias("pos"), none("int").alias("sample_rate"), none("int").alias("channels"), F.lit(1280).alias("width"), F.lit(720).alias("height"), F.encode(F.concat("event_type", "props"), "utf-8").alias("data"))
     rows.repartition("path").sortWithinPartitions("path", "seq").write.format("mp4").mode("append").save(folder)
-    back = spark.read.format("mp4").load(folder)
-    return back.select(F.substring_index("path", "/", -1).alias("file"), "seq", F.decode("data", "utf-8").alias("payload"), "duration", "pts", "keyframe")
+    return folder
+
+
+_NAMED = F.substring_index("path", "/", -1).alias("file")
+
+
+@query(f"WITH {_MP4} SELECT file, seq, decode(b) AS payload, duration, pts, keyframe FROM m")
+def mp4_roundtrip(spark, sf_dir):
+    """Each user's events as the samples of an MP4 file, written and read back through ``format("mp4")``."""
+    back = spark.read.format("mp4").load(_write_mp4(spark, sf_dir))
+    return back.select(_NAMED, "seq", F.decode("data", "utf-8").alias("payload"), "duration", "pts", "keyframe")
+
+
+def _indexed(spark, sf_dir) -> tuple[str, str]:
+    """Folder of the files and of their index, in stretches of 32 samples."""
+    folder = _write_mp4(spark, sf_dir)
+    mp4_index.index_files(spark, folder, samples=32).write.parquet(f"{folder}-index")
+    return folder, f"{folder}-index"
+
+
+@query(f"""WITH {_MP4}, aim AS (SELECT file, max(seq) AS i FROM m WHERE pts <= 450 GROUP BY file), k AS (SELECT m.file, max(m.seq) AS start FROM m JOIN aim ON m.file = aim.file AND m.seq <= aim.i AND keyframe GROUP BY m.file)
+SELECT m.file, m.seq, m.pts, decode(b) AS payload FROM m JOIN k ON m.file = k.file AND m.seq >= k.start WHERE m.pts < 1800""")
+def mp4_time_range(spark, sf_dir):
+    """What a player reads of every file to show 5 to 20 ms: from the last keyframe before, by the index."""
+    _, index = _indexed(spark, sf_dir)
+    rows = mp4_index.read_packets(spark.read.parquet(index), since=450 / 90_000, until=1800 / 90_000)
+    return rows.select(_NAMED, "seq", "pts", F.decode("data", "utf-8").alias("payload"))
+
+
+@query(f"WITH {_MP4} SELECT file, seq, pts, decode(b) AS payload FROM m WHERE keyframe AND pts >= 450 AND pts < 1800")
+def mp4_pushed_conditions(spark, sf_dir):
+    """Conditions on time and keyframes that the reader answers from the index before it opens a file."""
+    folder, index = _indexed(spark, sf_dir)
+    rows = spark.read.format("mp4").option("index", index).option("pushFilters", "true").load(folder).where("keyframe and pts >= 450 and pts < 1800")
+    return rows.select(_NAMED, "seq", "pts", F.decode("data", "utf-8").alias("payload"))
+
+
+@query(f"""WITH {_MP4}, o AS (SELECT file, seq, keyframe, pts, 36 + coalesce(sum(octet_length(b)) OVER (PARTITION BY file ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM m)
+SELECT file, max(seq) FILTER (pos <= 500) AS by_byte, max(seq) FILTER (pts <= 450) AS by_time, coalesce(max(seq) FILTER (pts <= 450 AND keyframe), -1) AS by_keyframe FROM o GROUP BY file""")
+def mp4_seek_flags(spark, sf_dir):
+    """Where reading would begin in each file: by a byte, by a time, and at the keyframe before it."""
+    _, folder = _indexed(spark, sf_dir)
+    index = spark.read.parquet(folder)
+    found = {n: mp4_index.starts(index, x, flag).select("path", F.col("start").alias(n)) for n, x, flag in (("by_byte", 500, mp4_index.BYTE), ("by_time", 450 / 90_000, mp4_index.ANY), ("by_keyframe", 450 / 90_000, mp4_index.BACKWARD))}
+    return found["by_time"].join(found["by_byte"], "path", "left").join(found["by_keyframe"], "path", "left").select(_NAMED, "by_byte", "by_time", F.coalesce("by_keyframe", F.lit(-1)).alias("by_keyframe"))
+
+
+@query("""WITH s AS (SELECT p_partkey, p_size AS z, unnest(range(0, 6)) AS seq FROM part)
+SELECT p_partkey, seq, (seq * 10)::BIGINT AS pts, (CASE seq WHEN 0 THEN 100 WHEN 1 THEN 200 WHEN 2 THEN 200 + z WHEN 3 THEN 300 WHEN 4 THEN 300 + z ELSE 100 END)::BIGINT AS pos, z::BIGINT AS size, seq IN (0, 3) AS keyframe FROM s""")
+def mp4_chunk_runs(spark, sf_dir):
+    """Tables of six samples in three chunks, the first run from chunk 2 on, a count beyond what the box holds, and a
+    sample that lies in no chunk."""
+    uint = lambda *values: b"".join(v.to_bytes(4, "big") for v in values)
+    size = octets.write_uint(F.col("p_size").cast("long"), 4)
+
+    def box(kind: bytes, *parts) -> tuple:
+        """(column, bytes it takes); a part is such a pair, or fixed bytes."""
+        pairs = [(F.lit(p), len(p)) if isinstance(p, bytes) else p for p in parts]
+        n = 8 + sum(m for _, m in pairs)
+        return F.concat(F.lit(uint(n) + kind), *(c for c, _ in pairs)), n
+
+    entry = box(b"mp4a", uint(0, 1, 0, 0) + b"\x00\x02\x00\x10" + uint(0, 44100 << 16))
+    stbl = box(b"stbl", box(b"stsd", uint(0, 1), entry), box(b"stts", uint(0, 1, 9, 10)), box(b"stsz", uint(0, 0, 6), *[(size, 4)] * 6), box(b"stsc", uint(0, 4_000_000_000, 2, 2, 1)), box(b"stco", uint(0, 3, 100, 200, 300)), box(b"stss", uint(0, 2, 1, 4)))
+    mdia = box(b"mdia", box(b"mdhd", uint(0, 0, 0, 1000, 60, 0)), box(b"hdlr", uint(0, 0) + b"soun" + uint(0, 0, 0)), box(b"minf", stbl))
+    rows = table(spark, sf_dir, "part").select("p_partkey", box(b"moov", box(b"trak", mdia))[0].alias("b"))
+    return mp4.sample_rows(rows, "p_partkey", "b").select("p_partkey", "seq", "pts", "pos", "size", "keyframe")
 
 
 @query("""SELECT p_partkey, k.depth, k.box_type, k.payload_size FROM part, LATERAL (VALUES (0, 'moov', 16 + p_size), (1, 'udta', 8 + p_size), (2, 'name', p_size), (0, 'free', 0)) k(depth, box_type, payload_size)""")

@@ -8,7 +8,7 @@ import uuid
 from pyarrow import fs
 
 
-def _place(uri: str) -> tuple[fs.FileSystem, str]:
+def place_of(uri: str) -> tuple[fs.FileSystem, str]:
     if uri.startswith("file:/") and not uri.startswith("file://"):
         uri = "file://" + uri[5:]
     return fs.FileSystem.from_uri(uri)
@@ -21,7 +21,7 @@ def list_files(uri: str, suffix: str) -> list[str]:
 
 def list_sizes(uri: str, suffix: str) -> list[tuple[str, int]]:
     """`list_files` with the bytes of each; nothing is opened."""
-    place, path = _place(uri)
+    place, path = place_of(uri)
     scheme = "" if isinstance(place, fs.LocalFileSystem) else uri.split("://")[0] + "://"
     info = place.get_file_info(path)
     if info.type == fs.FileType.File:
@@ -31,13 +31,13 @@ def list_sizes(uri: str, suffix: str) -> list[tuple[str, int]]:
 
 
 def open_read(uri: str):
-    place, path = _place(uri)
+    place, path = place_of(uri)
     return place.open_input_file(path)
 
 
 def put_file(folder: str, name: str, content: bytes) -> None:
     """Write a file whole: a repeated task replaces it."""
-    place, root = _place(folder)
+    place, root = place_of(folder)
     place.create_dir(root, recursive=True)
     hidden = f"{root}/.{name}.{os.getpid()}.{uuid.uuid4().hex}"
     with place.open_output_stream(hidden) as out:

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, WriterCommitMessage
 
-from reelframe.sources.files import list_files, open_read, put_file
+from reelframe.sources.files import list_sizes, open_read, put_file
 
 # Boxes that hold boxes, codecs by sample entry, sample entry by codec.
 CONTAINERS = (b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf")
@@ -19,6 +20,9 @@ ENTRY_OF = {"h264": b"avc1", "hevc": b"hev1", "vp9": b"vp09", "av1": b"av01", "a
 VIDEO = ("h264", "hevc", "vp9", "av1")
 U32_MAX = 0xFFFFFFFF
 SCHEMA = "path string, stream_index int, seq long, pts long, dts long, duration long, timescale int, codec_id string, keyframe boolean, pos long, sample_rate int, channels int, width int, height int, data binary"
+COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
+#: Whole numbers of a packet that a pushed condition may bound.
+RANGES = ("stream_index", "seq", "pts", "dts", "pos")
 
 
 def walk_boxes(data: bytes, start: int = 0, stop: int | None = None, depth: int = 0, parent: str = "") -> Iterator[tuple]:
@@ -61,6 +65,29 @@ def boxes(files: DataFrame, key: str, data: str) -> DataFrame:
     return files.select(key, data).mapInArrow(run, schema)
 
 
+def sample_rows(files: DataFrame, key: str, data: str) -> DataFrame:
+    """``(key, stream_index, seq, pts, duration, pos, size, keyframe)`` of the samples that each row's bytes, a ``moov``
+    box or a whole file, describe. Bytes without a track, and null, have none."""
+    schema = files.select(key).schema
+    for n, t in (("stream_index", "integer"), ("seq", "long"), ("pts", "long"), ("duration", "long"), ("pos", "long"), ("size", "long"), ("keyframe", "boolean")):
+        schema = schema.add(n, t)
+
+    def run(batches):
+        for batch in batches:
+            for k, raw in zip(batch.column(0), batch.column(1).to_pylist()):
+                try:
+                    tracks = read_tracks(raw or b"")
+                except ValueError:
+                    continue
+                for i, t in enumerate(tracks):
+                    s = track_samples("", i, t)
+                    n = len(s.seq)
+                    keys = pa.array([k.as_py()] * n, k.type)
+                    yield pa.RecordBatch.from_arrays([keys, pa.array(np.full(n, i), pa.int32()), *(pa.array(x, pa.int64()) for x in (s.seq, s.pts, s.durations, s.offsets, s.sizes)), pa.array(s.sync)], names=schema.names)
+
+    return files.select(key, data).mapInArrow(run, schema)
+
+
 @dataclass
 class Track:
     codec: str
@@ -82,8 +109,24 @@ def _entries(data: bytes, at: int, size: int, form: str) -> list[tuple]:
     return list(struct.iter_unpack(">" + form, data[at + 8 : at + 8 + count * step]))
 
 
-def parse_track(data: bytes, tables: dict[str, tuple[int, int]]) -> Track:
-    """One track from the places of its boxes. A missing table or an unknown codec is an error."""
+def _held(counts: np.ndarray, n: int) -> np.ndarray:
+    """Which entry each of ``n`` places falls under if the entries hold so many; one past the last where none does.
+    Counts from a file may be any number, so they are never laid out."""
+    return np.searchsorted(np.cumsum(np.minimum(counts, n)), np.arange(n), side="right")
+
+
+def _table_of(data: bytes, at: int, size: int, columns: int, form: str = ">u4") -> np.ndarray:
+    return np.array(_entries(data, at, size, ("Q" if form == ">u8" else "I") * columns), np.int64).reshape(-1, columns)
+
+
+def parse_track(data: bytes, tables: dict[str, tuple[int, int]], file_size: int | None = None) -> Track:
+    """One track from the places of its boxes, its sample tables as arrays. A missing table or an unknown codec is an
+    error.
+
+    A run of chunks holds from its first chunk on until a later entry says otherwise; chunks before the first run,
+    and all where there is no run, hold one sample. Samples beyond the last chunk's lie at the first chunk (without
+    runs: at the last). Of samples of one size there are no more than the file has room for.
+    """
     at, _ = tables["mdhd"]
     timescale = struct.unpack_from(">I", data, at + (20 if data[at] == 1 else 12))[0]
     handler = data[tables["hdlr"][0] + 8 : tables["hdlr"][0] + 12]
@@ -98,30 +141,37 @@ def parse_track(data: bytes, tables: dict[str, tuple[int, int]]) -> Track:
     at, size = tables["stsz"]
     same, count = struct.unpack_from(">II", data, at + 4)
     if same:
-        track.sizes = [same] * count
+        sizes = np.full(min(count, (len(data) if file_size is None else file_size) // same), same, np.int64)
+    else:
+        sizes = np.frombuffer(data, ">u4", min(count, max(0, size - 12) // 4), at + 12).astype(np.int64)
+    n = len(sizes)
+    chunks = (_table_of(data, *tables["co64"], 1, ">u8") if "co64" in tables else _table_of(data, *tables["stco"], 1)).ravel()
+    times = _table_of(data, *tables["stts"], 2)
+    times = times[times[:, 0] > 0]
+    of = _held(times[:, 0], n) if len(times) else np.zeros(n, np.int64)
+    track.durations = times[np.minimum(of, len(times) - 1), 1] if len(times) else np.ones(n, np.int64)
+    before = np.concatenate([[0], np.cumsum(sizes)])
+    runs = _table_of(data, *tables["stsc"], 3)
+    if len(runs) and len(chunks):
+        marks, starts = np.zeros(len(chunks), np.int64), np.maximum(runs[:, 0] - 1, 0)
+        here = np.flatnonzero(starts < len(chunks))
+        np.maximum.at(marks, starts[here], here + 1)  # of a chunk the last entry in the table's order that begins at or before it
+        per_chunk = np.append(1, runs[:, 1])[np.maximum.accumulate(marks)]
+        chunk = _held(per_chunk, n)
+        opens = np.concatenate([[0], np.cumsum(np.minimum(per_chunk, n))])
+        inside = before[:-1] - before[np.minimum(opens[np.minimum(chunk, len(chunks))], n)]
+        track.offsets = np.where(chunk < len(chunks), chunks[np.minimum(chunk, len(chunks) - 1)] + inside, chunks[0])
     else:
-        track.sizes = [x[0] for x in struct.iter_unpack(">I", data[at + 12 : at + 12 + 4 * min(count, (size - 12) // 4)])]
-    n = len(track.sizes)
-    chunks = [x[0] for x in (_entries(data, *tables["co64"], "Q") if "co64" in tables else _entries(data, *tables["stco"], "I"))]
-    for count, delta in _entries(data, *tables["stts"], "II"):
-        track.durations += [delta] * min(count, n - len(track.durations))
-    track.durations += [track.durations[-1] if track.durations else 1] * (n - len(track.durations))
-    runs = _entries(data, *tables["stsc"], "III") or [(1, 1, 1)]
-    sample = 0
-    for (first, per_chunk, _), until in zip(runs, [*(r[0] for r in runs[1:]), len(chunks) + 1]):
-        for chunk in range(first, min(until, len(chunks) + 1)):
-            place = chunks[chunk - 1]
-            for _ in range(min(per_chunk, n - sample)):
-                track.offsets.append(place)
-                place += track.sizes[sample]
-                sample += 1
-    track.offsets += [chunks[0] if chunks else 0] * (n - sample)
-    listed = {x[0] for x in _entries(data, *tables["stss"], "I")} if "stss" in tables else None
-    track.sync = [listed is None or i + 1 in listed for i in range(n)]
+        track.offsets = chunks[np.minimum(np.arange(n), len(chunks) - 1)] if len(chunks) else np.zeros(n, np.int64)
+    track.sizes, track.sync = sizes, np.ones(n, bool)
+    if "stss" in tables:
+        listed = _table_of(data, *tables["stss"], 1).ravel() - 1
+        track.sync = np.zeros(n, bool)
+        track.sync[listed[(listed >= 0) & (listed < n)]] = True
     return track
 
 
-def read_tracks(data: bytes) -> list[Track]:
+def read_tracks(data: bytes, file_size: int | None = None) -> list[Track]:
     """Tracks of a ``moov`` box or a whole file; one that doesn't parse is left out, none at all is an error."""
     found: list[dict[str, tuple[int, int]]] = []
     for _, _, kind, _, _, at, size in walk_boxes(data):
@@ -132,7 +182,7 @@ def read_tracks(data: bytes) -> list[Track]:
     tracks = []
     for tables in found:
         try:
-            tracks.append(parse_track(data, tables))
+            tracks.append(parse_track(data, tables, file_size))
         except (KeyError, struct.error, IndexError):
             continue
     if not tracks:
@@ -214,44 +264,166 @@ def mp4_bytes(tracks: list[Track], media: list[bytes]) -> bytes:
 
 
 @dataclass
-class Stretch(InputPartition):
+class Samples:
+    """Some samples of one track of one file, by their places in the track."""
+
     path: str
     stream: int
+    track: Track
+    seq: np.ndarray
+    pts: np.ndarray
+    offsets: np.ndarray
+    sizes: np.ndarray
+    durations: np.ndarray
+    sync: np.ndarray
+
+    def where(self, keep: np.ndarray) -> Samples:
+        return Samples(self.path, self.stream, self.track, *(x[keep] for x in (self.seq, self.pts, self.offsets, self.sizes, self.durations, self.sync)))
+
+
+def track_samples(path: str, stream: int, t: Track) -> Samples:
+    n = len(t.sizes)
+    return Samples(path, stream, t, np.arange(n), np.cumsum(t.durations) - t.durations, t.offsets, t.sizes, t.durations, t.sync)
+
+
+def read_batches(f, s: Samples, payload: bool, at_once: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The samples as rows of `SCHEMA`; what lies side by side in the file is read in one go, ``at_once`` bytes at most
+    unless one sample is longer. A sample that the file ends in has the bytes that are there."""
+    sizes = s.sizes if payload else np.full(len(s.sizes), 64)
+    a = 0
+    while a < len(s.seq):
+        total = np.cumsum(sizes[a : a + 65536])
+        b = a + max(1, int(np.searchsorted(total, at_once, side="right")))
+        part, n = s.where(slice(a, b)), b - a
+        data: list = [None] * n
+        if payload:
+            ends = part.offsets + part.sizes
+            breaks = np.flatnonzero(part.offsets[1:] != ends[:-1]) + 1
+            for x, y in zip([0, *breaks.tolist()], [*breaks.tolist(), n]):
+                f.seek(int(part.offsets[x]))
+                block, at = f.read(int(ends[y - 1] - part.offsets[x])), part.offsets[x]
+                for i in range(x, y):
+                    data[i] = block[part.offsets[i] - at : ends[i] - at]
+        t, number = s.track, lambda v, kind: pa.array(np.full(n, v), kind)
+        pts = pa.array(part.pts, pa.int64())
+        columns = [pa.array([s.path] * n), number(s.stream, pa.int32()), pa.array(part.seq, pa.int64()), pts, pts, pa.array(part.durations, pa.int64()), number(t.timescale, pa.int32()), pa.array([t.codec] * n),
+            pa.array(part.sync), pa.array(part.offsets, pa.int64()), *(number(v, pa.int32()) for v in (t.rate, t.channels, t.width, t.height)), pa.array(data, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=COLUMNS)
+        a = b
+
+
+class Bounds:
+    """What conditions pushed to a reader leave of streams, keyframes, places and times."""
+
+    def __init__(self):
+        self.low: dict[str, int] = {}
+        self.high: dict[str, int] = {}
+        self.paths: set | None = None
+        self.keyframe: bool | None = None
+
+    def take(self, condition: Filter) -> bool:
+        """Whether the condition is one that the reader answers itself, in full."""
+        name = condition.attribute[0] if len(getattr(condition, "attribute", ())) == 1 else None
+        if isinstance(condition, IsNotNull):
+            return name in (*RANGES, "path", "keyframe")  # these are never null
+        value = getattr(condition, "value", None)
+        if name in RANGES and type(value) is int:
+            low, high = {EqualTo: (value, value), GreaterThan: (value + 1, None), GreaterThanOrEqual: (value, None), LessThan: (None, value - 1), LessThanOrEqual: (None, value)}.get(type(condition), (None, None))
+            if low is not None:
+                self.low[name] = max(low, self.low.get(name, low))
+            if high is not None:
+                self.high[name] = min(high, self.high.get(name, high))
+            return low is not None or high is not None
+        if name == "path" and isinstance(condition, (EqualTo, In)):
+            wanted = {value} if isinstance(condition, EqualTo) else set(value)
+            self.paths = wanted if self.paths is None else self.paths & wanted
+            return True
+        if name == "keyframe" and isinstance(condition, EqualTo):
+            if self.keyframe is not None and self.keyframe != value:
+                self.paths = set()  # nothing is both
+            self.keyframe = value
+            return True
+        return False
+
+    def has_path(self, path: str) -> bool:
+        return self.paths is None or path in self.paths
+
+    def overlap(self, **spans: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Which rows, that reach from the first to the last value of each column named, may hold something wanted."""
+        keep = np.ones(len(next(iter(spans.values()))[0]), bool)
+        for name, (first, last) in spans.items():
+            for column in ("pts", "dts") if name == "pts" else (name,):
+                keep &= (last >= self.low.get(column, -(1 << 62))) & (first <= self.high.get(column, 1 << 62))
+        return keep
+
+    def pick(self, s: Samples) -> Samples:
+        stream = np.full(len(s.seq), s.stream)
+        keep = self.overlap(seq=(s.seq, s.seq), pts=(s.pts, s.pts), stream_index=(stream, stream), pos=(s.offsets, s.offsets))
+        return s.where(keep if self.keyframe is None else keep & (s.sync == self.keyframe))
+
+
+@dataclass
+class Stretch(InputPartition):
+    """Bytes of a file whose samples a task reads; or, with an index, the places in it of what a task reads."""
+
+    path: str
     first: int
-    samples: int
+    until: int
+    indexed: list = field(default_factory=list)
 
 
 class Mp4Reader(DataSourceReader):
-    """Plans stretches of samples of each track; only the header is read to plan, and each task reads it again."""
+    """Plans without opening a media file: from the listing, or from an index that `mp4_index.index_files` made.
+
+    Without one a task parses its file's tables; a file beyond ``bytesPerPartition`` is read by several tasks, each of
+    which does. With one no task does, and stretches that no condition allows aren't planned.
+    """
 
     def __init__(self, options: dict):
         self.path = options["path"]
         self.payload = options.get("payload", "true").lower() == "true"
-        self.step = int(options.get("samplesPerPartition", 65536))
+        self.step = int(options.get("bytesPerPartition", 256 << 20))
+        self.index = options.get("index")
+        self.bounds = Bounds()
 
     def partitions(self) -> list[InputPartition]:
-        out: list[InputPartition] = []
-        for path in list_files(self.path, ".mp4"):
-            with open_read(path) as f:
-                tracks = read_tracks(find_moov(f))
-            for i, t in enumerate(tracks):
-                n = len(t.sizes)
-                out += [Stretch(path, i, a, min(self.step, n - a)) for a in range(0, n, self.step)]
-        return out
-
-    def read(self, partition: Stretch) -> Iterator[tuple]:
+        if self.index:
+            from reelframe.sources.mp4_index import plan_stretches
+
+            return [Stretch("", 0, 0, keys) for keys in plan_stretches(self.index, self.bounds, self.step)]
+        return [Stretch(path, a, a + self.step) for path, size in list_sizes(self.path, ".mp4") if self.bounds.has_path(path) for a in range(0, max(size, 1), self.step)]
+
+    def read(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
         if partition is None:
             return
+        if partition.indexed:
+            from reelframe.sources.mp4_index import load_stretches
+
+            for samples in load_stretches(self.index, partition.indexed):
+                with open_read(samples.path) as f:
+                    yield from read_batches(f, self.bounds.pick(samples), self.payload)
+            return
         with open_read(partition.path) as f:
-            t = read_tracks(find_moov(f))[partition.stream]
-            pts = sum(t.durations[: partition.first])
-            for i in range(partition.first, partition.first + partition.samples):
-                data = None
-                if self.payload:
-                    f.seek(t.offsets[i])
-                    data = f.read(t.sizes[i])
-                yield partition.path, partition.stream, i, pts, pts, t.durations[i], t.timescale, t.codec, t.sync[i], t.offsets[i], t.rate, t.channels, t.width, t.height, data
-                pts += t.durations[i]
+            size = f.size()
+            for i, t in enumerate(read_tracks(find_moov(f), size)):
+                s = self.bounds.pick(track_samples(partition.path, i, t))
+                # what lies beyond the file's end, if anything does, is the last stretch's
+                at = np.minimum(s.offsets, max(size - 1, 0))
+                yield from read_batches(f, s.where((at >= partition.first) & (at < partition.until)), self.payload)
+
+
+class ConditionedMp4Reader(Mp4Reader):
+    """Takes conditions on path, stream, keyframe, place and time from the query and answers them itself.
+
+    Spark 4.1 keeps what a query pushed with the loaded table: a later query on the same DataFrame that pushes nothing
+    would see the earlier one's rows. So this is asked for by an option, for a DataFrame that serves one query; an
+    index filtered as a table (`mp4_index.read_packets`) has no such bound.
+    """
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for condition in filters:
+            if not self.bounds.take(condition):
+                yield condition
 
 
 @dataclass
@@ -297,7 +469,9 @@ class Mp4Writer(DataSourceWriter):
 
 
 class Mp4Source(DataSource):
-    """``spark.read.format("mp4").load(path)``; option ``payload=false`` leaves out the media."""
+    """``spark.read.format("mp4").load(path)``; options: ``payload=false`` leaves out the media, ``index`` names the
+    folder of an index, ``bytesPerPartition`` bounds what a task reads, ``pushFilters=true`` lets the query's conditions
+    reach the reader (see `ConditionedMp4Reader`)."""
 
     @classmethod
     def name(cls) -> str:
@@ -307,7 +481,7 @@ class Mp4Source(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> Mp4Reader:
-        return Mp4Reader(self.options)
+        return (ConditionedMp4Reader if self.options.get("pushFilters", "false").lower() == "true" else Mp4Reader)(self.options)
 
     def writer(self, schema, overwrite: bool) -> Mp4Writer:
         return Mp4Writer(self.options)

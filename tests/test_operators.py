@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from reelframe.functions.timebase import rational
 from reelframe.operators import packets, seek, timeline
-from reelframe.sources import mp4, register, wav
+from reelframe.sources import mp4, mp4_index, register, wav
 from reelframe.streaming import stateful
 
 
@@ -139,3 +139,111 @@ def test_reset_and_new_streams(spark):
     assert row.f.samples == 4 and row.f.planes == [None] * 8
     fresh = packets.reset_packets(spark.createDataFrame([(b"x", 5, 7)], "data binary, pts long, kept long")).first()
     assert (bytes(fresh.data), fresh.pts, fresh.kept) == (b"", None, 7)
+
+
+def _moov(sizes, chunks, runs, times, sync=None, same=0):
+    """A one-track moov box with these tables; ``same`` sizes claim four billion samples."""
+    import struct
+
+    entry = mp4.box(b"mp4a", struct.pack(">6xH8xHH4xI", 1, 2, 16, 44100 << 16))
+    stsz = struct.pack(">II", same, 4_000_000_000 if same else len(sizes)) + struct.pack(f">{len(sizes)}I", *sizes)
+    tables = [mp4.full_box(b"stsd", struct.pack(">I", 1), entry), mp4._table(b"stts", "II", times), mp4.full_box(b"stsz", stsz), mp4._table(b"stsc", "III", [(a, b, 1) for a, b in runs]), mp4._table(b"stco", "I", [(c,) for c in chunks])]
+    tables += [] if sync is None else [mp4._table(b"stss", "I", [(x,) for x in sync])]
+    mdia = mp4.box(b"mdia", mp4.full_box(b"mdhd", struct.pack(">4IHH", 0, 0, 1000, 0, 0, 0)), mp4.full_box(b"hdlr", struct.pack(">I4s12x", 0, b"soun")), mp4.box(b"minf", mp4.box(b"stbl", *tables)))
+    return mp4.box(b"moov", mp4.box(b"trak", mdia))
+
+
+def test_mp4_sample_tables():
+    """Against a plain reading of the rules; runs from any chunk on, counts beyond all bounds, samples in no chunk."""
+    import random
+
+    rng = random.Random(2)
+    for _ in range(1500):
+        n = rng.randrange(12)
+        sizes, chunks = [rng.randrange(1, 50) for _ in range(n)], [rng.randrange(1000) for _ in range(rng.randrange(6))]
+        runs = sorted({rng.randrange(1, 6): rng.choice([0, 1, 2, 3, 4_000_000_000]) for _ in range(rng.randrange(3))}.items())
+        times = [(rng.choice([0, 1, 2, 3, 4_294_967_295]), rng.randrange(5)) for _ in range(rng.randrange(4))]
+        sync = [rng.randrange(14) for _ in range(3)] if rng.random() < 0.5 else None
+        durations = [d for c, d in times for _ in range(min(c, n))]
+        durations = (durations + [durations[-1] if durations else 1] * n)[:n]
+        if runs and chunks:
+            held = [(c, s) for c in range(len(chunks)) for s in range(min(n, next((p for f, p in reversed(runs) if f <= c + 1), 1)))][:n]
+            offsets = [chunks[c] + sum(sizes[i - s : i]) for i, (c, s) in enumerate(held)] + [chunks[0]] * (n - len(held))
+        else:
+            offsets = [chunks[min(i, len(chunks) - 1)] if chunks else 0 for i in range(n)]
+        t = mp4.read_tracks(_moov(sizes, chunks, runs, times, sync))[0]
+        assert (t.offsets.tolist(), t.durations.tolist(), t.sync.tolist()) == (offsets, durations, [sync is None or i + 1 in sync for i in range(n)])
+    assert mp4.read_tracks(_moov([1, 1, 1], [36, 39, 44], [(2, 1)], [(3, 1)]))[0].offsets.tolist() == [36, 39, 44]
+    assert len(mp4.read_tracks(_moov([], [36], [(1, 4_000_000_000)], [(4_000_000_000, 1)], same=7), 1000)[0].sizes) == 1000 // 7
+
+
+def _written_mp4(spark, folder):
+    rows = [(f"{name}.mp4", s, i, None, None, 10 * (1 + i % 3), 1000, "aac" if s else "h264", s == 1 or i % 7 == 3, None, 44100, 2, 64, 48, bytes([s, i]) * (5 + i)) for name in "ab" for i in range(60) for s in (0, 1)]
+    spark.createDataFrame(rows, mp4.SCHEMA).repartition("path").sortWithinPartitions("path", "seq").write.format("mp4").mode("append").save(f"file://{folder}")
+    return spark.read.format("mp4").load(f"file://{folder}").collect()
+
+
+def test_mp4_index_and_time_ranges(spark, tmp_path):
+    """Reading by time, kind and byte against all packets; any length of stretches."""
+    register(spark)
+    whole = sorted(_written_mp4(spark, f"{tmp_path}/m"))
+    (tmp_path / "m" / "bad.mp4").write_bytes(b"\0\0\0\x08free")
+    for step in (7, 1000):
+        mp4_index.index_files(spark, f"file://{tmp_path}/m", step, errors="skip").write.parquet(f"{tmp_path}/i{step}")
+        index = spark.read.parquet(f"{tmp_path}/i{step}")
+        assert index.count() == (36 if step == 7 else 4)
+        assert sorted(mp4_index.read_packets(index).collect()) == whole
+        for since, until in ((0.0, 0.1), (0.305, 0.4), (-1, 0.05), (0.02, 9), (5, 9)):
+            for flag in ("any", "backward"):
+                want = []
+                for key in {(r.path, r.stream_index) for r in whole}:
+                    track = [r for r in whole if (r.path, r.stream_index) == key]
+                    i = max([r.seq for r in track if r.pts <= since * 1000], default=0)
+                    start = i if flag == "any" else max([r.seq for r in track[: i + 1] if r.keyframe], default=None)
+                    want += [r for r in track if start is not None and r.seq >= start and r.pts < until * 1000]
+                assert sorted(mp4_index.read_packets(index, since, until, flag).collect()) == sorted(want)
+        first = {key: max(r.seq for r in whole if (r.path, r.stream_index) == key and r.pos <= 500) for key in {(r.path, r.stream_index) for r in whole}}
+        assert {(r.path, r.stream_index): r.start for r in mp4_index.starts(index, 500, "byte").collect()} == first
+        assert mp4_index.starts(index, 3, "byte").count() == 0
+        assert mp4_index.read_packets(index.where("stream_index = 1"), payload=False).where("data is null").count() == 120
+    with pytest.raises(ValueError, match="flag"):
+        mp4_index.starts(index, 0, "sideways")
+    with pytest.raises(Exception, match="no moov"):
+        mp4_index.index_files(spark, f"file://{tmp_path}/m").count()
+
+
+def test_mp4_pushed_conditions_read_no_more(spark, tmp_path, monkeypatch):
+    """The conditions' rows by both plans; with an index no table is parsed and only the wanted samples' bytes are read."""
+    import io
+
+    from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, IsNotNull, LessThan, StringContains
+
+    register(spark)
+    whole = _written_mp4(spark, f"{tmp_path}/m")
+    mp4_index.index_files(spark, f"file://{tmp_path}/m", 16).write.parquet(f"{tmp_path}/i")
+    load = lambda **o: spark.read.format("mp4").options(**o).load(f"file://{tmp_path}/m")
+    indexed, cut = load(index=f"file://{tmp_path}/i"), load(bytesPerPartition="700")
+    assert sorted(cut.collect()) == sorted(whole) == sorted(indexed.collect()) and cut.rdd.getNumPartitions() > 8
+    one = whole[0].path
+    for condition, keep in (
+        ("pts >= 100 and pts < 300 and stream_index = 0", lambda r: 100 <= r.pts < 300 and r.stream_index == 0), ("keyframe and seq > 50", lambda r: r.keyframe and r.seq > 50),
+        (f"path = '{one}' and not keyframe", lambda r: r.path == one and not r.keyframe), ("pos = 36 or seq = 59", lambda r: r.pos == 36 or r.seq == 59), ("keyframe and keyframe = false", lambda r: False), ("dts > 400 and pts <= 500", lambda r: 400 < r.pts <= 500),
+    ):
+        want = sorted(filter(keep, whole))
+        one_query = (load(index=f"file://{tmp_path}/i", pushFilters="true"), load(bytesPerPartition="700", pushFilters="true"))
+        assert all(sorted(frame.where(condition).collect()) == want for frame in (indexed, cut, *one_query))
+    reader = mp4.ConditionedMp4Reader({"path": f"file://{tmp_path}/m", "index": f"file://{tmp_path}/i"})
+    odd = StringContains(("path",), "x")
+    assert list(reader.pushFilters([IsNotNull(("pts",)), GreaterThanOrEqual(("pts",), 100), LessThan(("pts",), 300), EqualTo(("stream_index",), 0), odd])) == [odd]
+    monkeypatch.setattr(mp4, "find_moov", None)
+    taken = []
+
+    class Counted(io.FileIO):
+        def read(self, n=-1):
+            out = super().read(n)
+            taken.append(len(out))
+            return out
+
+    monkeypatch.setattr(mp4, "open_read", lambda path: Counted(path))
+    got = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+    assert len(got) == sum(100 <= r.pts < 300 and r.stream_index == 0 for r in whole) and sum(taken) == sum(len(r["data"]) for r in got) < sum(len(r.data) for r in whole) / 4
