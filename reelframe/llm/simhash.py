@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelframe.llm.cluster import components, settle, shared_dir
@@ -288,15 +288,18 @@ def _tables(lead: int, share: float, miss: float = 0.02) -> int:
     return 1 if met >= 1 else int(np.ceil(np.log(miss) / np.log(1 - met)))
 
 
-def candidate_links(fingerprints: DataFrame, folder: str, share: float) -> DataFrame:
-    """Pairs ``(a, b)``, a > b, of ``fingerprints(id, wide, grp)`` of different ``grp`` that may be as near as ``share``
-    of the bits: each fingerprint's pair with its smallest and with its nearest such partner.
+def candidate_links(fingerprints: DataFrame, folder: str, share: float, keep: int) -> DataFrame:
+    """``(a, b, apart, place)``: partners b of ``fingerprints(id, wide, grp, apart, after)`` a of another ``grp`` that
+    may be as near as ``share`` of the bits, in the order of how many bits they are apart, then of their id.
+
+    Of each fingerprint those count that come after its own (``apart``, ``after``) in this order: the first ``keep``
+    (``place`` from 1), and the one with the smallest id. So a caller that moves this mark on meets every partner.
 
     Several tables of the index are used. A table's view of a fingerprint is 64 of its bits, drawn anew for each
     table; nodes, packs, Gray order and levels are those of `link_fingerprints`, and packs meet where their nodes'
     patterns are equal. The number of leading bits follows the number of fingerprints, the number of tables the
     share of pairs that a table misses. Packs of one node are taken in pairs of packs, and what comes out of a pair
-    is no more than two rows a fingerprint, so a large group gives few.
+    is no more than ``keep + 1`` rows a fingerprint, so a large group gives few.
     """
     count = fingerprints.count()
     lead = min(32, max(0, int(np.ceil(np.log2(max(1, count) / WIDE_NODE_SIZE)))))
@@ -310,13 +313,13 @@ def candidate_links(fingerprints: DataFrame, folder: str, share: float) -> DataF
                 continue
             words = np.frombuffer(b"".join(batch.column(1).to_pylist()), "u1").reshape(batch.num_rows, -1)
             bits = np.unpackbits(words, axis=1, bitorder="little")
-            numbers = [batch.column(k).to_numpy().astype("<i8").view("u1").reshape(-1, 8) for k in (0, 2)]
+            numbers = [batch.column(k).to_numpy().astype("<i8").view("u1").reshape(-1, 8) for k in (0, 2, 3, 4)]
             entries = pa.array([e.tobytes() for e in np.concatenate([*numbers, words], axis=1)], pa.binary())
             for t, places in enumerate(chosen):  # the first place is the highest bit
                 view = np.ascontiguousarray(np.packbits(bits[:, places], axis=1)).view(">u8").ravel().astype(np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, t, np.int32)), pa.array(view), entries], names=["table", "view", "entry"])
 
-    rows = fingerprints.select("id", "wide", "grp").mapInArrow(viewed, "table int, view long, entry binary")
+    rows = fingerprints.select("id", "wide", "grp", "apart", "after").mapInArrow(viewed, "table int, view long, entry binary")
     packs = settle(gray_packs(rows, lead, ["entry"]), f"{folder}/packs")
     several = packs.groupBy("table", "node").count().where("count > 1").select("table", "node")
     own = packs.select("views", F.col("views").alias("their_views"), "entry", F.col("entry").alias("their_entry"))
@@ -327,47 +330,56 @@ def candidate_links(fingerprints: DataFrame, folder: str, share: float) -> DataF
         held, size = [_NONE], 0  # combined in the task: a fingerprint of a large group meets many packs
 
         def rows(best):
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in best], names=["a", "first", "nearest", "apart"])
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in best], names=["a", "b", "apart"])
 
         for batch in batches:
             for x, y, mine, its in zip(*(batch.column(k) for k in range(4))):
                 i, j = near_pairs(np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8"), narrow)
-                left, right = (np.frombuffer(e.as_py(), "<i8").reshape(-1, 2 + WIDE_WORDS) for e in (mine, its))
+                left, right = (np.frombuffer(e.as_py(), "<i8").reshape(-1, 4 + WIDE_WORDS) for e in (mine, its))
                 other_group = left[i, 1] != right[j, 1]
                 i, j = i[other_group], j[other_group]
-                apart = np.bitwise_count(np.ascontiguousarray(left[i, 2:] ^ right[j, 2:]).view(np.uint64)).sum(1, dtype=np.int64)
+                apart = np.bitwise_count(np.ascontiguousarray(left[i, 4:] ^ right[j, 4:]).view(np.uint64)).sum(1, dtype=np.int64)
                 near = apart <= wide
-                p, q, apart = left[i[near], 0], right[j[near], 0], apart[near]
-                both = np.concatenate([p, q]), np.concatenate([q, p]), np.concatenate([q, p]), np.concatenate([apart, apart])
-                held.append(_best(both))
+                i, j, apart = i[near], j[near], apart[near]
+                both = [(left[i], right[j, 0]), (right[j], left[i, 0])]
+                ahead = [(apart > a[:, 2]) | (apart == a[:, 2]) & (b > a[:, 3]) for a, b in both]
+                held.append(_best(tuple(np.concatenate(c) for c in zip(*((a[some, 0], b[some], apart[some]) for (a, b), some in zip(both, ahead)))), keep))
                 size += len(held[-1][0])
                 if size > ROWS_COMBINED:
-                    held = [_best(tuple(map(np.concatenate, zip(*held))))]
+                    held = [_best(tuple(map(np.concatenate, zip(*held))), keep)]
                     size = len(held[0][0])
                     if size > ROWS_COMBINED // 2:
                         yield rows(held[0])
                         held, size = [_NONE], 0
-        yield rows(_best(tuple(map(np.concatenate, zip(*held)))))
+        yield rows(_best(tuple(map(np.concatenate, zip(*held))), keep))
 
-    found = pairs.mapInArrow(compare, "a long, first long, nearest long, apart long")
-    best = found.groupBy("a").agg(F.min("first").alias("first"), F.min(F.struct("apart", "nearest"))["nearest"].alias("nearest"))
-    links = best.select("a", F.explode(F.array("first", "nearest")).alias("b"))
-    return links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    found = pairs.mapInArrow(compare, "a long, b long, apart long").distinct()
+    each = Window.partitionBy("a")  # at most keep + 1 rows from a task
+    ranked = found.withColumn("place", F.row_number().over(each.orderBy("apart", "b"))).withColumn("least", F.min("b").over(each))
+    return ranked.where((F.col("place") <= keep) | (F.col("b") == F.col("least"))).select("a", "b", "apart", "place")
 
 
 #: Rows of best partners that a task combines before it passes them on.
 ROWS_COMBINED = 400_000
-_NONE = tuple(np.zeros(0, np.int64) for _ in range(4))
+#: Partners that a fingerprint is held against in the first round, and in any; each round takes four times as many.
+FIRST_ROUND, ANY_ROUND = 1, 64
+_NONE = tuple(np.zeros(0, np.int64) for _ in range(3))
 
 
-def _best(rows: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
-    """``(a, first, nearest, apart)`` with one row an a: its smallest first, and the nearest with how far apart it is."""
-    a, first, nearest, apart = rows
+def _best(rows: tuple[np.ndarray, ...], keep: int) -> tuple[np.ndarray, ...]:
+    """Of rows (a, b, apart) each a's first ``keep`` by (apart, b), and the one with its smallest b."""
+    a, b, apart = rows
     if not len(a):
         return rows
-    order = np.lexsort((nearest, apart, a))
-    starts = np.flatnonzero(np.r_[True, a[order][1:] != a[order][:-1]])
-    return a[order][starts], np.minimum.reduceat(first[order], starts), nearest[order][starts], apart[order][starts]
+    order = np.lexsort((b, apart, a))
+    a, b, apart = a[order], b[order], apart[order]
+    fresh = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]  # several tables find the same pair
+    a, b, apart = a[fresh], b[fresh], apart[fresh]
+    starts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+    lengths = np.diff(np.append(starts, len(a)))
+    place = np.arange(len(a)) - np.repeat(starts, lengths)
+    some = (place < keep) | (b == np.repeat(np.minimum.reduceat(b, starts), lengths))
+    return a[some], b[some], apart[some]
 
 
 def similar_links(links: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -399,12 +411,12 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8)
     of ``width``-word shingles have this Jaccard similarity or more.
 
     Candidates come from the Gray-order index over wide SimHash fingerprints; each is decided by its shingles.
-    Equal texts are one entry. Entries with a candidate are held against their smallest and their nearest one that
-    isn't in their group yet, in rounds, until a round links nothing. So no group's pairs are listed, and nothing
-    unlike is linked; a pair at the threshold can be missed where no table of the index holds both (at most a
-    fiftieth of such pairs by design) or where both have nearer candidates that turn out unlike. Texts without
-    words (null, empty, white space) are alike. A null doc_id is reachable but never a component's name unless
-    nothing else is. Repeated rows each get a row; no rows give none.
+    Equal texts are one entry. In rounds an entry is held against its next candidates, nearest first, that aren't in
+    its group yet, and against the smallest of them, until no entry has any left. So no group's pairs are listed,
+    nothing unlike is linked, and every candidate is decided; a pair at the threshold is missed only where no table
+    of the index holds both, at most a fiftieth of such pairs by design. Texts without words (null, empty, white
+    space) are alike. A null doc_id is reachable but never a component's name unless nothing else is. Repeated rows
+    each get a row; no rows give none.
     """
     folder = shared_dir(docs.sparkSession, "similar")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -419,26 +431,34 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8)
     entries = rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.first("wide").alias("wide"))
     entries = settle(entries.withColumn("id", F.monotonically_increasing_id()), f"{folder}/entries")
     share = _differing_share(similarity)
-    active, texts, tested, alike, turn = entries.select("id", "wide", F.col("id").alias("grp")), None, None, None, 0
+    start = F.lit(-1).cast("long")
+    active = entries.select("id", "wide", F.col("id").alias("grp"), start.alias("apart"), start.alias("after"))
+    texts = tested = alike = groups = None
+    turn, keep = 0, FIRST_ROUND
     while True:
-        links = candidate_links(active, f"{folder}/{turn}", share)
+        met = settle(candidate_links(active, f"{folder}/{turn}", share, keep), f"{folder}/{turn}/met")
+        links = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         links = settle(links if tested is None else links.join(tested, ["a", "b"], "left_anti"), f"{folder}/{turn}/links")
-        wanted = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         if texts is None:  # later rounds look among the entries of the first one's links
+            wanted = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
             named = entries.join(wanted, "id", "left_semi").select("id", F.col("key").alias("k"), F.col("first").alias("f"))
             held = keyed.join(named, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("f")))
             texts = settle(held.select("id", "text").dropDuplicates(["id"]), f"{folder}/texts")
         more = settle(similar_links(links, texts, width, similarity), f"{folder}/{turn}/alike")
-        found = more.count()
-        alike = more if alike is None else alike.unionByName(more)
-        if not found:
+        if not more.isEmpty():
+            alike = more if alike is None else alike.unionByName(more)
+            groups = components(alike, "similar")
+        # who met as many as it may has perhaps not met all; whoever met fewer has, and so have its partners met it
+        marks = met.where(F.col("place") <= keep).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n"), F.max(F.struct("apart", "b")).alias("m")).where(F.col("n") == keep)
+        left = marks.select("id", "m.apart", F.col("m.b").alias("after"))
+        if left.isEmpty():
             break
         tested = links if tested is None else tested.unionByName(links)
-        groups = components(alike, "similar")
-        active = entries.join(wanted, "id", "left_semi").join(groups, "id", "left").select("id", "wide", F.coalesce("root", "id").alias("grp"))
-        turn += 1
+        active = entries.join(left, "id")
+        active = active.select("id", "wide", F.col("id").alias("grp"), "apart", "after") if groups is None else active.join(groups, "id", "left").select("id", "wide", F.coalesce("root", "id").alias("grp"), "apart", "after")
+        turn, keep = turn + 1, min(4 * keep, ANY_ROUND)
     named = entries.drop("wide")
-    if turn:
+    if groups is not None:
         named = named.join(groups, "id", "left").withColumn("root", F.coalesce("root", "id"))
     else:
         named = named.withColumn("root", F.col("id"))

@@ -655,3 +655,32 @@ def test_packs_follow_gray_order(spark, monkeypatch):
         seen += [(int(rank[0]), int(rank[-1]))]
     seen.sort()
     assert all(a[1] < b[0] for a, b in zip(seen, seen[1:])) and sum(len(p.views) // 8 for p in packs) == len(fps)
+
+
+def test_every_candidate_is_decided(spark):
+    """Pairs above the threshold among many just below it, and families of copies edited to every similarity."""
+    import random
+
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randrange(2, 8)))
+    texts, pairs = [], []
+    for _ in range(3):
+        one = [word() for _ in range(400)]
+        other = [word() if i in range(10, 82, 9) else w for i, w in enumerate(one)]
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [" ".join(one), " ".join(other)]
+        for base in (one, other):
+            for _ in range(40):
+                changed = {5 * k - 8 for k in rng.sample(range(20, 80), 9)}
+                texts.append(" ".join(word() if i in changed else w for i, w in enumerate(base)))
+    for _ in range(15):
+        base = [word() for _ in range(rng.randrange(60, 300))]
+        for _ in range(15):
+            copy = list(base)
+            for _ in range(rng.randrange(1 + len(copy) // 25)):
+                copy[rng.randrange(len(copy))] = word()
+            texts.append(" ".join(copy))
+    got = dict(map(tuple, simhash.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()))
+    want = dict(brute_similar(list(enumerate(texts))))
+    assert all(want[b] == a for a, b in pairs)
+    assert got == want
