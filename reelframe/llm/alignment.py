@@ -19,14 +19,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelframe.llm.cluster import settle, shared_dir
+from reelframe.llm.cluster import release_memory, settle, shared_dir
 from reelframe.llm.tokens import _LETTERS, _gather, _gather_runs, encoder
 
 #: Bytes of texts whose tokens are laid side by side at once, and of texts that share a block's pairs. Longer texts
 #: are taken alone. Both bound memory only.
-BYTES_AT_ONCE, BYTES_IN_BLOCK = 2_000_000, 8_000_000
+BYTES_AT_ONCE, BYTES_IN_BLOCK = 500_000, 4_000_000
 #: Words kept per worker and vocabulary; when reached, the table starts anew.
-MAX_WORDS = 400_000
+MAX_WORDS = 120_000
 _SPACE = "▁"
 #: No piece holds a space after another character, so a single space between two others starts pieces anew.
 _SAFE_SPACE = re.compile("(?<=[^ ]) (?=[^ ])")
@@ -157,12 +157,12 @@ def _blocks(both: Vocabularies, batches):
     """(doc_ids, figures, groups, pairs, times) of blocks of documents as they come in, with one entry a document."""
     ids, figures, groups, pairs, times, size = [], {k: [] for k in (*_FIGURES, "entries")}, [], [], [], 0
     for batch in batches:
-        texts = pc.fill_null(batch.column(1).cast(pa.large_string()), "")
-        ends, a = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)), 0
+        texts = batch.column(1)
+        ends, a = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)), 0
         while a < len(texts):
             done = int(ends[a - 1]) if a else 0
             b = max(a + 1, int(np.searchsorted(ends, done + BYTES_AT_ONCE, side="right")))
-            some = texts.slice(a, b - a)
+            some = pc.fill_null(texts.slice(a, b - a).cast(pa.large_string()), "")
             full = pc.greater(pc.binary_length(some), 0).to_numpy(zero_copy_only=False)
             places = np.where(full, np.cumsum(full) - 1, 0)
             if full.any():
@@ -179,6 +179,7 @@ def _blocks(both: Vocabularies, batches):
             size, a = size + int(ends[b - 1]) - done, b
             if size >= BYTES_IN_BLOCK:
                 yield ids, figures, groups, pairs, times
+                release_memory()
                 ids, figures, groups, pairs, times, size = [], {k: [] for k in figures}, [], [], [], 0
     if ids:
         yield ids, figures, groups, pairs, times

@@ -46,6 +46,19 @@ def put_file(folder: str, name: str, content: bytes) -> None:
     place.move(hidden, f"{root}/{name}")
 
 
+def release_memory() -> None:
+    """Hand what this worker has freed back to the system: workers share their executor's memory, and large arrays that
+    come and go leave holes in the heap."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # there with glibc alone
+    if trim is not None:
+        trim(0)
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """Connected components of undirected ``edges(a, b)`` (long ids): rows ``(id, root)``, root = smallest id reachable.
 
