@@ -55,6 +55,35 @@ def crc32_hex(data: Column) -> Column:
     return F.lower(F.lpad(F.hex(F.crc32(data)), 8, "0"))
 
 
+def _crc_shifts() -> list[int]:
+    """For k from 0 to 47 what each of the 32 bits of a CRC becomes when 2^k zero bytes follow."""
+    step = lambda c: c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+    row, out = [1 << j for j in range(32)], []
+    for _ in range(8):
+        row = [step(c) for c in row]
+    for _ in range(48):
+        out += row
+        square = []
+        for c in row:  # twice as many zeros: the same map once more
+            total = 0
+            for j in range(32):
+                total ^= row[j] if c >> j & 1 else 0
+            square.append(total)
+        row = square
+    return out
+
+
+def crc32_before(crc: Column, following: Column) -> Column:
+    """What a piece's CRC-32 adds to the whole's when ``following`` bytes come after it.
+
+    The CRC of a text is the exclusive or of these over its pieces, in any order.
+    """
+    shifts = F.array(*map(F.lit, _crc_shifts()))
+    bits = F.filter(F.sequence(F.lit(0), F.lit(47)), lambda k: F.getbit(following, k) == 1)
+    through = lambda c, k: F.aggregate(F.sequence(F.lit(0), F.lit(31)), F.lit(0).cast("long"), lambda r, j: r.bitwiseXOR(F.when(F.getbit(c, j) == 1, F.get(shifts, k * 32 + j)).otherwise(F.lit(0).cast("long"))))
+    return F.aggregate(bits, crc.cast("long"), through)
+
+
 def base64_encode(data: Column) -> Column:
     """Standard alphabet, padded, never broken into lines whatever the session says."""
     return F.regexp_replace(F.base64(data), r"[\r\n]", "")

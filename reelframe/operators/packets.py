@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from reelframe.errors import FAIL, reject
 from reelframe.functions import timebase
-from reelframe.functions.octets import swap_groups
+from reelframe.functions.octets import crc32_before, swap_groups
+from reelframe.operators import timeline
 
 FLAGS = "struct<keyframe:boolean,corrupt:boolean,discard:boolean>"
 PACKET = f"path string, stream_index int, seq long, pts long, dts long, duration long, time_base {timebase.RATIONAL}, flags {FLAGS}, pos long, side_data map<string,binary>, data binary"
@@ -122,6 +123,25 @@ def channel_count(layout: Column, channels: Column) -> Column:
     return F.coalesce(F.when(F.size(layout) > 0, F.size(layout)), channels)
 
 
+def crc32_fold(pieces: DataFrame, keys: list[str], order: list, data: str, span: Column | None = None) -> DataFrame:
+    """``(*keys, crc long, bytes long)``: the CRC-32 of each stream's pieces, one after another in ``order``.
+
+    A piece is hashed where it lies, and only its CRC and length are moved: with what follows it they say what it adds
+    to the whole's CRC, and these are joined by exclusive or in any order. Null pieces are empty. ``span``: see
+    `timeline.running_start`; it must not look at ``data``.
+    """
+    whole = F.coalesce(F.col(data), F.lit(b""))
+    names = [c for c in pieces.columns if c != data]
+    short = pieces.select(*names, F.crc32(whole).alias("__crc"), F.octet_length(whole).cast("long").alias("__n"))
+    placed = timeline.running_start(short, keys, order, "__n", "__from", span)
+    totals = short.groupBy(*keys).agg(F.sum("__n").alias("__all")).select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), "__all")
+    met = F.lit(True)
+    for i, k in enumerate(keys):
+        met = met & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    rest = F.col("__all") - F.col("__from") - F.col("__n")
+    return placed.join(totals, met).groupBy(*keys).agg(F.bit_xor(crc32_before(F.col("__crc"), rest)).alias("crc"), F.sum("__n").alias("bytes"))
+
+
 #: PCM codecs: bytes a sample and whether the high byte comes first.
 PCM = {"pcm_u8": (1, False), "pcm_s16le": (2, False), "pcm_s16be": (2, True), "pcm_f32le": (4, False), "pcm_f32be": (4, True)}
 

@@ -18,8 +18,51 @@ def _stream(keys: list[str], order: list):
     return Window.partitionBy(*keys).orderBy(*order)
 
 
-def running_start(rows: DataFrame, keys: list[str], order: list, amount: str, name: str) -> DataFrame:
-    """Sum of ``amount`` over the rows before: presentation times from durations, offsets from sizes."""
+#: Stretches that `even_spans` cuts rows into at most, and cells it counts for each; both bound a small table.
+MOST_SPANS, CELLS_PER_SPAN = 4096, 64
+
+
+def even_spans(rows: DataFrame, column: str, rows_per_span: int = 1_000_000, name: str = "span") -> DataFrame:
+    """``rows`` with a number ``name`` that never falls as the number ``column`` grows (nulls: -1), for stretches of about
+    ``rows_per_span`` rows; of more where there would be over `MOST_SPANS`.
+
+    The rows are counted in cells of equal width, and neighbouring cells share a stretch until it is full, so what
+    lies dense is cut finer. Rows equal in ``column`` stay together. Only counts of cells are looked at in one place.
+    """
+    value = F.col(column).cast("double")
+    low, high, count = rows.agg(F.min(value), F.max(value), F.count(value)).first()
+    spans = min(MOST_SPANS, -(-count // rows_per_span))
+    if spans <= 1 or low == high:
+        return rows.withColumn(name, F.when(F.col(column).isNull(), -1).otherwise(0))
+    cells = spans * CELLS_PER_SPAN
+    cut = rows.withColumn("__cell", F.coalesce(F.floor((value - low) / (high - low) * cells), F.lit(-1)).cast("long"))
+    before = F.coalesce(F.sum("count").over(Window.orderBy("__cell").rowsBetween(*UNTIL_NOW)), F.lit(0))
+    placed = cut.where("__cell >= 0").groupBy("__cell").count().select("__cell", F.floor(before * spans / count).cast("int").alias(name))
+    return cut.join(F.broadcast(placed), "__cell", "left").withColumn(name, F.coalesce(name, F.lit(-1))).drop("__cell")
+
+
+def _with_totals(rows: DataFrame, keys: list[str], amount: Column, name: str) -> DataFrame:
+    """``rows(*keys, __span)`` with ``name``: the sum of ``amount`` over all earlier stretches of the row's stream."""
+    totals = rows.groupBy(*keys, "__span").agg(F.sum(amount).alias("__sum"))
+    base = F.coalesce(F.sum("__sum").over(_stream(keys, ["__span"]).rowsBetween(*UNTIL_NOW)), F.lit(0)).cast("long")
+    bases = totals.select(*(F.col(k).alias(f"__{i}") for i, k in enumerate(keys)), F.col("__span").alias("__of"), base.alias(name))
+    met = F.col("__span") == F.col("__of")
+    for i, k in enumerate(keys):
+        met = met & F.col(k).eqNullSafe(F.col(f"__{i}"))
+    return rows.join(bases, met).drop("__of", *(f"__{i}" for i in range(len(keys))))
+
+
+def running_start(rows: DataFrame, keys: list[str], order: list, amount: str, name: str, span: Column | None = None) -> DataFrame:
+    """Sum of ``amount`` over the rows before: presentation times from durations, offsets from sizes.
+
+    With ``span`` (see `with_previous`, `even_spans`) a stream is summed in stretches by many tasks; a stretch goes on
+    from the sum of the stretches before it, of which only totals are moved.
+    """
+    if span is not None:
+        value = F.coalesce(F.col(amount), F.lit(0))
+        local = F.sum(value).over(_stream([*keys, "__span"], order).rowsBetween(*UNTIL_NOW))
+        summed = _with_totals(rows.withColumn("__span", span).withColumn("__local", F.coalesce(local, F.lit(0))), keys, value, "__base")
+        return summed.withColumn(name, (F.col("__base") + F.col("__local")).cast("long")).drop("__span", "__local", "__base")
     before = F.sum(F.coalesce(F.col(amount), F.lit(0))).over(_stream(keys, order).rowsBetween(*UNTIL_NOW))
     return rows.withColumn(name, F.coalesce(before, F.lit(0)).cast("long"))
 
@@ -56,7 +99,7 @@ def with_previous(rows: DataFrame, keys: list[str], order: list[str], span: Colu
 
 
 def interleave_keys(dts: Column, pts: Column, tb: Column) -> list[Column]:
-    """Order of packets of different time bases: time to the microsecond, then what is finer, unknown times last.
+    """What orders packets of different time bases: time to the microsecond, then what is finer; unknown times (null) last.
 
     A packet without dts counts by its pts. Within one time base the order is that of ticks; across time bases
     it differs from comparing microseconds only inside one microsecond.
@@ -68,20 +111,44 @@ def interleave_keys(dts: Column, pts: Column, tb: Column) -> list[Column]:
     scaled = (ts.cast("decimal(19,0)") * (tb["num"].cast("long") * F.lit(1_000_000)).cast("decimal(19,0)")).cast("decimal(38,0)")
     den = F.nullif(tb["den"], F.lit(0)).cast("decimal(19,0)")
     rest = F.pmod(scaled, den).cast("double") / den.cast("double")
-    return [near.asc_nulls_last(), down.asc_nulls_last(), rest.asc_nulls_last()]
+    return [near, down, rest]
 
 
-def interleave(rows: DataFrame, keys: list[str], seq: str, by_time: bool = True, name: str = "place") -> DataFrame:
+def interleave(rows: DataFrame, keys: list[str], seq: str, by_time: bool = True, name: str = "place", rows_per_span: int | None = None) -> DataFrame:
     """Number each file's packets in the order a writer takes them: by time, of equal times by ``seq``, or by ``seq``.
 
-    Needs columns dts, pts and time_base. One file's packets are ordered by one task; files are independent.
+    Needs columns dts, pts and time_base. One file's packets are ordered by one task; with ``rows_per_span`` they are
+    cut into stretches of about so many (of time, or of ``seq``), which are ordered by tasks of their own.
     """
-    order = [*(interleave_keys(F.col("dts"), F.col("pts"), F.col("time_base")) if by_time else ()), seq]
+    by = interleave_keys(F.col("dts"), F.col("pts"), F.col("time_base")) if by_time else []
+    order = [*(k.asc_nulls_last() for k in by), seq]
+    if rows_per_span is not None:
+        named = [f"__key{i}" for i in range(len(by))]
+        keyed = rows.withColumns(dict(zip(named, by)))  # columns of their own, as they are used several times
+        if by_time:  # whole milliseconds, exactly
+            scaled = (F.coalesce("dts", "pts").cast("decimal(19,0)") * (F.col("time_base.num").cast("decimal(10,0)") * 1000)).cast("decimal(38,0)")
+            keyed = keyed.withColumn("__ms", F.when(F.col("__key0").isNotNull(), F.call_function("div", scaled, F.col("time_base.den").cast("decimal(10,0)"))))
+        cut = even_spans(keyed, "__ms" if by_time else seq, rows_per_span, "__span")
+        if by_time:  # packets of unknown time come last
+            cut = cut.withColumn("__span", F.when(F.col("__span") < 0, MOST_SPANS).otherwise(F.col("__span")))
+        order = [*(F.col(n).asc_nulls_last() for n in named), seq]
+        placed = _with_totals(cut.withColumn("__local", F.row_number().over(_stream([*keys, "__span"], order))), keys, F.lit(1), "__base")
+        return placed.withColumn(name, F.col("__base") + F.col("__local")).drop("__span", "__local", "__base", "__ms", *named)
     return rows.withColumn(name, F.row_number().over(_stream(keys, order)))
 
 
-def run_lengths(rows: DataFrame, keys: list[str], order: list, value: str) -> DataFrame:
-    """Consecutive equal values as ``(*keys, run, count, value)``, runs numbered from 1."""
+def run_lengths(rows: DataFrame, keys: list[str], order: list, value: str, span: Column | None = None) -> DataFrame:
+    """Consecutive equal values as ``(*keys, run, count, value)``, runs numbered from 1.
+
+    With ``span`` (see `with_previous`) the runs of each stretch are found by a task of its own; only these are then
+    ordered by stream, and neighbours of equal value become one.
+    """
+    if span is not None:
+        parts = run_lengths(rows.withColumn("__span", span), [*keys, "__span"], order, value).withColumnRenamed("run", "__run")
+        w = _stream(keys, ["__span", "__run"])
+        new = F.when(F.col(value).eqNullSafe(F.lag(value).over(w)) & (F.row_number().over(w) > 1), 0).otherwise(1)
+        whole = parts.withColumn("__new", new).withColumn("run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        return whole.groupBy(*keys, "run").agg(F.sum("count").alias("count"), F.first(value).alias(value))
     w = _stream(keys, order)
     new = F.when(F.col(value).eqNullSafe(F.lag(value).over(w)) & (F.row_number().over(w) > 1), 0).otherwise(1)
     numbered = rows.withColumn("__new", new).withColumn("run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -153,12 +220,12 @@ def sync_list(samples: DataFrame, keys: list[str]) -> DataFrame:
     return samples.where("is_sync").join(partial, keys).select(*keys, "sample_no")
 
 
-def reblock(packets: DataFrame, keys: list[str], order: list, samples: str, frame_size: int) -> DataFrame:
+def reblock(packets: DataFrame, keys: list[str], order: list, samples: str, frame_size: int, span: Column | None = None) -> DataFrame:
     """Re-cut packets of ``samples`` samples into frames of ``frame_size``: parts ``(*keys, order.., frame_no, first, count)``.
 
-    ``first`` counts from the packet's own start. The last frame of a stream may be short.
+    ``first`` counts from the packet's own start. The last frame of a stream may be short. ``span``: see `running_start`.
     """
-    placed = running_start(packets, keys, order, samples, "__at").where(F.col(samples) > 0)
+    placed = running_start(packets, keys, order, samples, "__at", span).where(F.col(samples) > 0)
     frames = F.expr(f"sequence(__at div {frame_size}, (__at + {samples} - 1) div {frame_size})")
     parts = placed.withColumn("frame_no", F.explode(frames))
     first = F.greatest(F.lit(0), F.col("frame_no") * frame_size - F.col("__at"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reelframe.functions import bits, dicts, octets, subtitles
+from reelframe.operators.packets import crc32_fold
 from reelframe.plans.catalog import query, table
 
 # CRC-32 by table: 256 entries from the reflected polynomial, then a fold over the bytes.
@@ -25,11 +26,11 @@ def crc32_events(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", octets.crc32_hex(F.encode(F.concat("event_type", "props"), "utf-8")).alias("crc"))
 
 
-@query()
+@query(f"WITH {_CRC}, d AS (SELECT conv_id, encode(string_agg(text, '' ORDER BY turn)) AS b FROM conversations GROUP BY conv_id) SELECT conv_id, lower(printf('%08x', {_FOLD})) AS crc, octet_length(b)::BIGINT AS bytes FROM d, lut")
 def crc32_incremental(spark, sf_dir):
-    """CRC-32 over each conversation's texts in order of turn, as if fed one after another."""
-    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
-    return turns.select("conv_id", octets.crc32_hex(F.encode(F.array_join("t.text", ""), "utf-8")).alias("crc"))
+    """CRC-32 over each conversation's texts in order of turn: pieces are hashed apart and combined, no text is joined."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.encode("text", "utf-8").alias("data"))
+    return crc32_fold(turns, ["conv_id"], ["turn"], "data").select("conv_id", F.lower(F.lpad(F.hex("crc"), 8, "0")).alias("crc"), "bytes")
 
 
 @query("SELECT doc_id, base64(encode(text)) AS encoded, octet_length(encode(text))::INT AS size FROM documents")

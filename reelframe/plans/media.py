@@ -8,7 +8,7 @@ from reelframe.errors import SKIP
 from reelframe.functions import dims, octets, timebase
 from reelframe.operators import packets
 from reelframe.plans.catalog import query, table
-from reelframe.sources import mp4, mp4_index, register
+from reelframe.sources import mp4, mp4_index, mux, register
 from reelframe.sources.files import shared_dir
 from reelframe.streaming import stateful
 
@@ -92,7 +92,7 @@ def wav_roundtrip(spark, sf_dir):
     register(spark)
     folder = shared_dir(spark, "wav")
     rows = table(spark, sf_dir, "documents").select(F.concat("source", F.lit(".wav")).alias("path"), F.lit(0).alias("stream_index"), F.col("doc_id").alias("seq"), F.lit(None).cast("long").alias("pts"), F.lit(None).cast("long").alias("duration"), F.lit(8000).alias("sample_rate"), F.lit(1).alias("channels"), F.lit("pcm_u8").alias("codec_id"), F.lit(None).cast("long").alias("pos"), F.encode("text", "utf-8").alias("data"))
-    rows.repartition("path").sortWithinPartitions("path", "seq").write.format("wav").mode("append").save(folder)
+    mux.write_media(rows, folder, "wav", rows_per_part=2_500)
     back = spark.read.format("wav").load(folder)
     return back.groupBy(F.substring_index("path", "/", -1).alias("file")).agg(F.count("*").alias("packets"), F.sum("duration").alias("samples"), F.sum(F.octet_length("data")).cast("long").alias("bytes"), F.first("codec_id").alias("codec_id"))
 
@@ -111,6 +111,22 @@ def _write_mp4(spark, sf_dir) -> str:
     return folder
 
 
+@query("""WITH e AS (SELECT event_id AS seq, encode(event_type || props) AS b, event_id % 50 + 1 AS d, (event_id % 2)::INT AS s FROM events), b AS (SELECT *, coalesce(sum(octet_length(b)) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e)
+SELECT s AS stream_index, seq, md5(b) AS payload, d AS duration, (seq % 5 = 0 OR s = 1) AS keyframe FROM b""")
+def mp4_many_tasks(spark, sf_dir):
+    """All events as one film of a video and an audio track, written by many tasks and read back by its index."""
+    register(spark)
+    folder = shared_dir(spark, "film")
+    stream = (F.col("event_id") % 2).cast("int")
+    rows = table(spark, sf_dir, "events").select(F.lit("film.mp4").alias("path"), stream.alias("stream_index"), F.col("event_id").alias("seq"), (F.col("event_id") % 50 + 1).alias("duration"), F.lit(90_000).alias("timescale"), F.when(stream == 0, "h264").otherwise("aac").alias("codec_id"), ((F.col("event_id") % 5 == 0) | (stream == 1)).alias("keyframe"),
+        F.when(stream == 1, 48_000).alias("sample_rate"), F.when(stream == 1, 2).alias("channels"), F.lit(640).alias("width"), F.lit(360).alias("height"), F.encode(F.concat("event_type", "props"), "utf-8").alias("data"))
+    mux.write_media(rows, folder, "mp4", rows_per_part=2_500)
+    mp4_index.index_files(spark, folder, samples=1024).write.parquet(f"{folder}-index")
+    back = mp4_index.read_packets(spark.read.parquet(f"{folder}-index"))
+    first = table(spark, sf_dir, "events").groupBy(stream.alias("stream_index")).agg(F.min("event_id").alias("least"))  # ids have no gaps: every second one is the stream's
+    return back.join(first, "stream_index").select("stream_index", (F.col("least") + 2 * F.col("seq")).alias("seq"), F.md5("data").alias("payload"), "duration", "keyframe")
+
+
 _NAMED = F.substring_index("path", "/", -1).alias("file")
 
 

@@ -166,6 +166,27 @@ def interleave_passthrough(spark, sf_dir):
     return timeline.interleave(rows, ["path", "user_id"], "seq", by_time=False).select("seq", "user_id", F.col("place").cast("long").alias("place"))
 
 
+#: Rows of a stretch in the queries that order one stream by many tasks.
+ROWS_A_STRETCH = 2_500
+
+
+@query(f"""WITH {_SAMPLES}, n AS (SELECT *, row_number() OVER (ORDER BY track, sample_no) AS place FROM s)
+SELECT track, sample_no, coalesce(sum(duration) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pts FROM n""")
+def packet_pts_stretches(spark, sf_dir):
+    """All tracks one after another as one stream, which no task orders as a whole."""
+    rows = timeline.even_spans(_samples(spark, sf_dir), "track", ROWS_A_STRETCH)
+    one = rows.withColumn("stream", F.lit(0))
+    return timeline.running_start(one, ["stream"], ["track", "sample_no"], "duration", "pts", F.col("span")).select("track", "sample_no", "pts")
+
+
+@query(f"""WITH {_PACKETS}, k AS (SELECT seq, coalesce(dts, pts) * num * 1000000 AS scaled, den FROM p)
+SELECT seq, row_number() OVER (ORDER BY (scaled * 2 + den) // (den * 2), scaled // den, (scaled % den)::DOUBLE / den::DOUBLE, seq) AS place FROM k""")
+def interleave_stretches(spark, sf_dir):
+    """All packets into one file, ordered by many tasks."""
+    rows = timeline.interleave(packets(spark, sf_dir), ["path"], "seq", rows_per_span=ROWS_A_STRETCH)
+    return rows.select("seq", F.col("place").cast("long").alias("place"))
+
+
 def _index(spark, sf_dir) -> DataFrame:
     """Events as a seek index of their user; views are keyframes, sizes add up to positions."""
     rows = table(spark, sf_dir, "events").select(F.col("user_id"), F.col("event_id").alias("seq"), micros().alias("timestamp"), (F.col("event_id") % 500 + 1).alias("size"), (F.col("event_type") == "view").alias("keyframe"))
@@ -218,6 +239,13 @@ def stts_encode(spark, sf_dir):
     return timeline.run_lengths(_ticks(spark, sf_dir), ["user_id"], ["event_id"], "delta")
 
 
+@query(f"WITH {_RUNS} SELECT * FROM runs")
+def run_length_stretches(spark, sf_dir):
+    """`stts_encode` with the runs of each stretch found apart and neighbours joined."""
+    ticks = timeline.even_spans(_ticks(spark, sf_dir), "event_id", ROWS_A_STRETCH)
+    return timeline.run_lengths(ticks, ["user_id"], ["event_id"], "delta", F.col("span")).select("user_id", "run", "count", "delta")
+
+
 @query(f"""WITH {_RUNS}, n AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS sample_no, delta FROM d),
 last AS (SELECT user_id, max(sample_no) AS m, arg_max(delta, sample_no) AS delta FROM n GROUP BY user_id)
 SELECT user_id, sample_no, delta FROM n UNION ALL SELECT user_id, m + k, delta FROM last, (SELECT unnest(range(1, 4)) AS k)""")
@@ -267,6 +295,16 @@ def fifo_reblock(spark, sf_dir):
     return timeline.reblock(rows, ["user_id"], ["event_id"], "samples", 1024).select("user_id", "event_id", "frame_no", "first", "count")
 
 
+@query("""WITH a AS (SELECT event_id, event_id % 700 + 1 AS n, coalesce(sum(event_id % 700 + 1) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS base FROM events),
+f AS (SELECT *, unnest(range(base // 1024, (base + n - 1) // 1024 + 1)) AS frame_no FROM a)
+SELECT event_id, frame_no, greatest(0, frame_no * 1024 - base)::BIGINT AS first, (least(n, (frame_no + 1) * 1024 - base) - greatest(0, frame_no * 1024 - base))::BIGINT AS count FROM f""")
+def reblock_stretches(spark, sf_dir):
+    """All events as one stream of samples, cut into frames by many tasks."""
+    rows = table(spark, sf_dir, "events").select(F.lit(0).alias("stream"), "event_id", (F.col("event_id") % 700 + 1).alias("samples"))
+    rows = timeline.even_spans(rows, "event_id", ROWS_A_STRETCH)
+    return timeline.reblock(rows, ["stream"], ["event_id"], "samples", 1024, F.col("span")).select("event_id", "frame_no", "first", "count")
+
+
 @query("""WITH e AS (SELECT event_id, user_id, CASE WHEN event_id % 5 <> 0 THEN round(value, 2) END AS value FROM events)
 SELECT event_id, last_value(value IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value FROM e""")
 def conceal_last_good(spark, sf_dir):

@@ -251,16 +251,21 @@ def _track_box(number: int, t: Track) -> bytes:
     return box(b"trak", tkhd, box(b"mdia", mdhd, hdlr, box(b"minf", dinf, box(b"stbl", *tables))))
 
 
-def mp4_bytes(tracks: list[Track], media: list[bytes]) -> bytes:
-    """A whole file; offsets of the tracks count from the start of ``media`` and are moved to its place."""
+def mp4_frame(tracks: list[Track], size: int) -> tuple[bytes, bytes]:
+    """What stands before and after ``size`` bytes of media; offsets of the tracks count from the start of the media and
+    are moved to its place."""
     ftyp = box(b"ftyp", b"isom", struct.pack(">I", 0x200), b"isomiso2mp41")
-    body = b"".join(media)
-    wide = len(body) + 8 > U32_MAX
-    head = struct.pack(">I4sQ", 1, b"mdat", len(body) + 16) if wide else struct.pack(">I4s", len(body) + 8, b"mdat")
+    head = ftyp + (struct.pack(">I4sQ", 1, b"mdat", size + 16) if size + 8 > U32_MAX else struct.pack(">I4s", size + 8, b"mdat"))
     for t in tracks:
-        t.offsets = [o + len(ftyp) + len(head) for o in t.offsets]
+        t.offsets = [o + len(head) for o in t.offsets]
     mvhd = full_box(b"mvhd", struct.pack(">4II H10x", 0, 0, 1000, 0, 0x10000, 0x100), struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000), bytes(24), struct.pack(">I", len(tracks) + 1))
-    return ftyp + head + body + box(b"moov", mvhd, *(_track_box(i + 1, t) for i, t in enumerate(tracks)))
+    return head, box(b"moov", mvhd, *(_track_box(i + 1, t) for i, t in enumerate(tracks)))
+
+
+def mp4_bytes(tracks: list[Track], media: list[bytes]) -> bytes:
+    """A whole file."""
+    head, tables = mp4_frame(tracks, sum(map(len, media)))
+    return b"".join((head, *media, tables))
 
 
 @dataclass

@@ -52,17 +52,22 @@ def read_header(f) -> Header:
         f.seek(at)
 
 
-def wav_bytes(codec: str, channels: int, rate: int, payload: bytes) -> bytes:
-    """A whole file; an odd payload is padded."""
+def wav_header(codec: str, channels: int, rate: int, size: int) -> bytes:
+    """What stands before ``size`` bytes of samples; an odd number of them is followed by a byte of padding."""
     found = [k for k, c in TAGS.items() if c == codec]
     if not found or channels < 1:
         raise ValueError(f"{codec} with {channels} channels can't be written as WAV")
+    if size + size % 2 + 36 >= 1 << 32:
+        raise ValueError("a WAV file ends at 4 GiB; mux.write_media goes on in a further one")
     tag, bits = found[0]
     align = channels * bits // 8
     head = struct.pack("<4sIHHIIHH", b"fmt ", 16, tag, channels, rate, rate * align, align, bits)
-    pad = b"\0" * (len(payload) % 2)
-    body = b"WAVE" + head + struct.pack("<4sI", b"data", len(payload)) + payload + pad
-    return b"RIFF" + struct.pack("<I", len(body)) + body
+    return struct.pack("<4sI4s", b"RIFF", 36 + size + size % 2, b"WAVE") + head + struct.pack("<4sI", b"data", size)
+
+
+def wav_bytes(codec: str, channels: int, rate: int, payload: bytes) -> bytes:
+    """A whole file; an odd payload is padded."""
+    return wav_header(codec, channels, rate, len(payload)) + payload + b"\0" * (len(payload) % 2)
 
 
 @dataclass

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from reelframe.functions.timebase import rational
 from reelframe.operators import packets, seek, timeline
-from reelframe.sources import mp4, mp4_index, register, wav
+from reelframe.sources import mp4, mp4_index, mux, register, wav
 from reelframe.streaming import stateful
 
 
@@ -247,3 +247,70 @@ def test_mp4_pushed_conditions_read_no_more(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(mp4, "open_read", lambda path: Counted(path))
     got = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
     assert len(got) == sum(100 <= r.pts < 300 and r.stream_index == 0 for r in whole) and sum(taken) == sum(len(r["data"]) for r in got) < sum(len(r.data) for r in whole) / 4
+
+
+def test_stretches_give_the_same(spark):
+    """Sums, places, runs and frames in stretches of any length against one task's."""
+    import random
+
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", "b", None]), i, rng.choice([None, *range(8)]), rng.choice([1, 1, 1, 2]), rng.choice([None, rng.randrange(-900, 900), 3 * i]), rng.choice([1, 3, 1001]), rng.choice([0, 1000, 90_000, 7])) for i in range(400)]
+    frame = spark.createDataFrame(rows, "k string, i long, n long, d long, dts long, num int, den int").withColumn("time_base", rational(F.col("num"), F.col("den"))).withColumn("pts", F.lit(None).cast("long"))
+    for width in (1, 7, 100, 10_000):
+        cut = timeline.even_spans(frame, "i", width)
+        spans = [r.span for r in cut.orderBy("i").collect()]
+        assert spans == sorted(spans) and (width > 1000) == (len(set(spans)) == 1) and len(spans) == 400
+        if width == 100:
+            assert 3 <= len(set(spans)) <= 5 and max(map(spans.count, spans)) <= 110
+        same = lambda f, *names: sorted((tuple(r) for r in f.select(*names).collect()), key=str)
+        assert same(timeline.running_start(cut, ["k"], ["i"], "n", "at", F.col("span")), "k", "i", "at") == same(timeline.running_start(frame, ["k"], ["i"], "n", "at"), "k", "i", "at")
+        assert same(timeline.run_lengths(cut, ["k"], ["i"], "d", F.col("span")), "k", "run", "count", "d") == same(timeline.run_lengths(frame, ["k"], ["i"], "d"), "k", "run", "count", "d")
+        assert same(timeline.reblock(cut, ["k"], ["i"], "n", 5, F.col("span")), "k", "i", "frame_no", "first", "count") == same(timeline.reblock(frame, ["k"], ["i"], "n", 5), "k", "i", "frame_no", "first", "count")
+        for by_time in (True, False):
+            assert same(timeline.interleave(frame, ["k"], "i", by_time, rows_per_span=width), "k", "i", "place") == same(timeline.interleave(frame, ["k"], "i", by_time), "k", "i", "place")
+    dense = spark.range(1000).select(F.when(F.col("id") < 900, F.col("id")).otherwise(F.col("id") * 1_000_000).alias("t"), "id").union(spark.createDataFrame([(None, 5)], "t long, id long"))
+    sizes = {r.span: r["count"] for r in timeline.even_spans(dense, "t", 50).groupBy("span").count().collect()}
+    assert sizes[-1] == 1 and sum(sizes.values()) == 1001
+    assert timeline.even_spans(dense.limit(0), "t", 5).count() == 0 and set(r.span for r in timeline.even_spans(dense.where("id = 5"), "t", 1).collect()) <= {0, -1}
+
+
+def test_crc_of_pieces(spark):
+    """Any cut of a stream, empty and null pieces, against zlib over the whole."""
+    import random
+    import zlib
+
+    rng = random.Random(3)
+    pieces = [(k, i, rng.choice([None, b"", rng.randbytes(rng.randrange(1, 70)), bytes(rng.randrange(400))])) for k in ("a", None, "c") for i in range(60)] + [("long", 0, b"x"), ("long", 1, bytes(3_000_000)), ("none", 0, None)]
+    frame = spark.createDataFrame(pieces, "k string, i int, data binary").repartition(5)
+    whole = {k: b"".join(d or b"" for kk, _, d in pieces if kk == k) for k in ("a", None, "c", "long", "none")}
+    for cut in (None, F.floor(F.col("i") / 7)):
+        got = {r.k: (r.crc, r.bytes) for r in packets.crc32_fold(frame, ["k"], ["i"], "data", cut).collect()}
+        assert got == {k: (zlib.crc32(v), len(v)) for k, v in whole.items()}
+
+
+def test_muxing_by_many_tasks(spark, tmp_path):
+    """Parts of any size give the bytes that one task writes; beyond a file's end a further one goes on."""
+    register(spark)
+    rows = [(f"{name}.mp4", s, i, None, None, 10 + i % 3, 1000, "aac" if s else "h264", s == 1 or i % 7 == 3, None, 44100, 2, 64, 48, bytes([s, i]) * (5 + i)) for name in "ab" for i in range(60) for s in (0, 1)]
+    frame = spark.createDataFrame(rows, mp4.SCHEMA).repartition(4)
+    frame.repartition("path").sortWithinPartitions("path", "seq", "stream_index").write.format("mp4").mode("append").save(f"file://{tmp_path}/one")
+    for rows_per_part, part_bytes in ((10_000, 64 << 20), (16, 500), (5, 1)):
+        made = mux.write_media(frame, f"file://{tmp_path}/{rows_per_part}", "mp4", rows_per_part=rows_per_part, part_bytes=part_bytes).collect()
+        assert sorted((r.path, r.file_no, r.file) for r in made) == [("a.mp4", 0, "a.mp4"), ("b.mp4", 0, "b.mp4")]
+        for r in made:
+            assert (tmp_path / str(rows_per_part) / r.file).read_bytes() == (tmp_path / "one" / r.file).read_bytes() and r.bytes == (tmp_path / "one" / r.file).stat().st_size
+    made = mux.write_media(frame, f"file://{tmp_path}/rolled", "mp4", rows_per_part=16, part_bytes=500, file_bytes=3000).collect()
+    assert {r.file for r in made} >= {"a.mp4", "a-1.mp4", "b-1.mp4"}
+    back = sorted((tuple(r) for r in spark.read.format("mp4").load(f"file://{tmp_path}/rolled").select(F.regexp_extract("path", "([ab])[-0-9]*.mp4$", 1), "stream_index", "data").collect()), key=str)
+    assert back == sorted(((r[0][0], r[1], r[-1]) for r in rows), key=str)
+    sound = [("w", 0, i, 8000, 1, "pcm_u8", bytes([i]) * (i % 5)) for i in range(99)]
+    frame = spark.createDataFrame(sound, "path string, stream_index int, seq long, sample_rate int, channels int, codec_id string, data binary").repartition(3)
+    assert [r.file for r in mux.write_media(frame, f"file://{tmp_path}/w", "wav", rows_per_part=9).collect()] == ["w"]
+    assert (tmp_path / "w" / "w").read_bytes() == wav.wav_bytes("pcm_u8", 1, 8000, b"".join(r[-1] for r in sound))
+    assert mux.write_media(frame.limit(0), f"file://{tmp_path}/none", "wav").count() == 0
+    with pytest.raises(ValueError, match="4 GiB"):
+        mux.write_media(frame, "x", "wav", file_bytes=1 << 32)
+    with pytest.raises(ValueError, match="no writer"):
+        mux.write_media(frame, "x", "avi")
+    with pytest.raises(ValueError, match="4 GiB"):
+        wav.wav_header("pcm_u8", 1, 8000, 1 << 32)
