@@ -314,3 +314,81 @@ def test_muxing_by_many_tasks(spark, tmp_path):
         mux.write_media(frame, "x", "avi")
     with pytest.raises(ValueError, match="4 GiB"):
         wav.wav_header("pcm_u8", 1, 8000, 1 << 32)
+
+
+def _cuts(spark, tmp_path, rows, schema, sizes, build, name):
+    """What a stream gives for the same rows cut into micro-batches in several ways."""
+    out = []
+    for n, size in enumerate(sizes):
+        folder = tmp_path / f"{name}{n}"
+        for i in range(0, len(rows), size):
+            spark.createDataFrame(rows[i : i + size], schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+            for part in (folder / "in").glob("part-0*"):  # read in this order, one a trigger
+                if not part.name.startswith("part-x"):
+                    part.rename(part.with_name(f"part-x{i:05d}.parquet"))
+                    import os
+
+                    os.utime(folder / "in" / f"part-x{i:05d}.parquet", (1_000_000 + i, 1_000_000 + i))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        stateful.drain(build(stream), str(folder))
+        out.append(sorted((tuple(map(lambda v: [bytes(x) for x in v] if isinstance(v, list) else bytes(v) if isinstance(v, bytearray) else v, r)) for r in spark.read.parquet(f"{folder}/out").collect()), key=str))
+    return out
+
+
+def test_streams_end_where_they_end(spark, tmp_path):
+    """Rows after an end start anew in the same micro-batch too; any cut gives the same frames."""
+    rows = [("a", 0, 600, True), ("a", 1, 600, False), ("b", 0, 2100, False), ("a", 2, 700, True), ("b", 1, 5, False), ("b", 2, 0, True), ("b", 3, 9, False)]
+    got = _cuts(spark, tmp_path, rows, "k string, seq long, samples long, eos boolean", (1, 3, 7), lambda s: stateful.reblock(s, "k", 1024), "r")
+    assert got[0] == got[1] == got[2] == sorted([("a", 0, 600), ("a", 0, 1024), ("a", 1, 276), ("b", 0, 1024), ("b", 1, 1024), ("b", 2, 57)], key=str)
+    pieces = [("a", 0, b"\0\0\1\x67\x42", False), ("a", 1, b"\x00\0\0\1\x68", True), ("a", 2, b"\0\0\1\x01\0\0", False), ("a", 3, b"\1\x02", True)]
+    got = _cuts(spark, tmp_path, pieces, "k string, seq long, data binary, eos boolean", (1, 2, 4), lambda s: stateful.frame_stream(s, "k", stateful.annex_b_pieces), "f")
+    assert got[0] == got[1] == got[2] and len(got[0]) == 4
+
+
+def test_sample_frames_and_pcm(spark, tmp_path):
+    import random
+
+    rng, rows, whole = random.Random(5), [], {}
+    for k in "ab":
+        for i in range(7):
+            n = rng.randrange(0, 9)
+            planes = [rng.randbytes(2 * n) for _ in range(2)]
+            rows.append((k, i, n, [p + b"zz" for p in planes], i == 6))
+            whole[k] = [x + p for x, p in zip(whole.get(k, [b""] * 2), planes)]
+    schema = "k string, seq long, samples long, planes array<binary>, eos boolean"
+    got = _cuts(spark, tmp_path, rows, schema, (3, 14), lambda s: stateful.sample_frames(s, "k", 4, 2, 2), "s")
+    want = sorted(((k, f, min(4, len(p[0]) // 2 - 4 * f), [x[8 * f : 8 * f + 8] for x in p]) for k, p in whole.items() for f in range(-(-len(p[0]) // 8))), key=str)
+    assert got[0] == got[1] == want
+    for options, message in (({"capacity": 3}, "waiting"), ({"short": "fail"}, "at a stream's end")):
+        bad = [("a", 0, 5, [bytes(10)] * 2, True)]
+        with pytest.raises(Exception, match=message):
+            _cuts(spark, tmp_path, bad, schema, (1,), lambda s, o=options: stateful.sample_frames(s, "k", 4, 2, 2, **o), message[:2])
+    with pytest.raises(Exception, match="without their bytes"):
+        _cuts(spark, tmp_path, [("a", 0, 5, [bytes(9)], True)], schema, (1,), lambda s: stateful.sample_frames(s, "k", 4, 2, 2), "few")
+    dropped = _cuts(spark, tmp_path, rows, schema, (14,), lambda s: stateful.sample_frames(s, "k", 4, 2, 2, short="drop"), "d")[0]
+    assert dropped == [w for w in want if w[2] == 4]
+
+    data = {k: rng.randbytes(41) for k in "ab"}
+    cut = [(k, i, data[k][a:b], b == 41) for k in "ab" for i, (a, b) in enumerate(((0, 3), (3, 3), (3, 20), (20, 41)))]
+    for got in _cuts(spark, tmp_path, cut, "k string, seq long, data binary, eos boolean", (1, 5), lambda s: stateful.pcm_stream(s, "k", "pcm_s16be", 2), "p"):
+        for k in "ab":
+            mine = sorted((r for r in got if r[0] == k), key=lambda r: r[1])
+            native = b"".join(data[k][i : i + 2][::-1] for i in range(0, 40, 2))
+            assert b"".join(r[3] for r in mine) == native + data[k][40:] and sum(r[2] for r in mine) == 10 and mine[-1][2:] == (0, data[k][40:])
+
+
+def test_stream_interleaving(spark, tmp_path):
+    """The order of the batch operator, whatever the micro-batches, as long as nothing is later than allowed."""
+    import datetime
+    import random
+
+    rng, start = random.Random(8), datetime.datetime(2024, 1, 1)
+    times = [(f, s, start + datetime.timedelta(milliseconds=40 * i + (13 if s else 0))) for f in "xy" for i in range(20) for s in (0, 1)]
+    times.sort(key=lambda t: t[2].timestamp() + rng.uniform(0, 0.3))  # up to 0.3 s out of order
+    rows = [(f, s, q, t, bytes([q]), False) for q, (f, s, t) in enumerate(times)] + [(f, 0, 100, start + datetime.timedelta(seconds=2), b"", True) for f in "xy"]
+    schema = "f string, stream_index int, seq long, ts timestamp, data binary, eos boolean"
+    want = sorted((f, p, q) for f in "xy" for p, (_, q) in enumerate(sorted((r[3], r[2]) for r in rows if r[0] == f), 1))
+    for got in _cuts(spark, tmp_path, rows, schema, (9, 40, 100), lambda s: stateful.interleave_stream(s, "f", "ts", "1 second"), "i"):
+        assert sorted((r[0], r[1], r[3]) for r in got) == want
+    open_end = _cuts(spark, tmp_path, rows[:-2], schema, (20,), lambda s: stateful.interleave_stream(s, "f", "ts", "100 milliseconds"), "o")[0]
+    assert 0 < len(open_end) < len(rows) - 2 and all(sorted(r[1] for r in open_end if r[0] == f) == list(range(1, 1 + sum(r[0] == f for r in open_end))) for f in "xy")
