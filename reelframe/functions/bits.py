@@ -100,11 +100,17 @@ def annex_b_units(data: bytes) -> Iterator[bytes]:
             yield data[start:end]
 
 
-def annex_b_column(data: Column) -> Column:
-    """`annex_b_units` of a binary column as an array, without Python: bytes stand for the first 256 characters."""
+def annex_b_pieces(data: Column) -> Column:
+    """`annex_b_units` of a binary column as an array of strings, without Python: bytes stand for the first 256
+    characters. Explode it, then encode each as ISO-8859-1."""
     # a zero before a start code belongs to it; what stands before the first one is dropped
     pieces = F.slice(F.split(F.decode(data, "ISO-8859-1"), r"\x00?\x00\x00\x01", -1), 2, 2147483640)
-    return F.transform(F.filter(pieces, lambda u: u != ""), lambda u: F.encode(u, "ISO-8859-1"))
+    return F.when(F.array_contains(pieces, ""), F.array_remove(pieces, "")).otherwise(pieces)
+
+
+def annex_b_column(data: Column) -> Column:
+    """`annex_b_units` of a binary column as an array of binaries."""
+    return F.transform(annex_b_pieces(data), lambda u: F.encode(u, "ISO-8859-1"))
 
 
 def avcc_units(data: bytes, width: int) -> Iterator[bytes]:

@@ -210,9 +210,9 @@ def from_seconds(seconds, tb: Column, mode: str = FAIL) -> Column:
 
 
 def show_ts(value, tb: Column) -> Column:
-    """Seconds to six places, or NOPTS where there is no time."""
+    """Seconds to six places, of the binary number's exact value, or NOPTS where there is no time."""
     seconds = to_seconds(value, tb)
-    return F.when(seconds.isNull(), "NOPTS").otherwise(F.format_string("%.6fs", seconds))
+    return F.when(seconds.isNull(), "NOPTS").otherwise(F.concat(F.call_function("format_number", seconds, F.lit("0.000000")), F.lit("s")))
 
 
 def discontinuity(now, tb_now: Column, before, tb_before: Column, threshold: float) -> Column:

@@ -28,6 +28,19 @@ def find(targets: DataFrame, index: DataFrame, keys: list[str], keyframe_only: b
     return merged.join(first, keys, "left").select(*keys, "target_id", "timestamp", found.alias("entry"))
 
 
+#: How a target is sought: the last keyframe at or before its time, the last entry, or the last one at or before its byte.
+BACKWARD, ANY, BYTE = "backward", "any", "byte"
+
+
+def seek(targets: DataFrame, index: DataFrame, keys: list[str], flag: str = BACKWARD) -> DataFrame:
+    """`find` or `find_by_pos` as the flag says; ``targets(*keys, target_id, at)`` with the ``entry`` of each."""
+    if flag == BYTE:
+        return find_by_pos(targets.withColumnRenamed("at", "pos"), index, keys).select(*keys, "target_id", "entry")
+    if flag not in (BACKWARD, ANY):
+        raise ValueError(f"unknown seek flag {flag!r}")
+    return find(targets.withColumnRenamed("at", "timestamp"), index, keys, flag == BACKWARD).select(*keys, "target_id", "entry")
+
+
 def find_by_pos(targets: DataFrame, index: DataFrame, keys: list[str]) -> DataFrame:
     """``targets(*keys, target_id, pos)`` with the last inserted entry at or before the byte position, or none."""
     entry = F.struct("seq", "timestamp", "pos", "size", "keyframe")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelframe.errors import CONCEAL, FAIL, SKIP
 from reelframe.functions import timebase
 
 UNTIL_NOW = (Window.unboundedPreceding, -1)
@@ -191,22 +192,28 @@ def sample_table(chunks: DataFrame, runs: DataFrame, samples: DataFrame, keys: l
     """Where every sample lies and when it is shown: ``samples`` with chunk, offset, pts and is_sync.
 
     ``samples(*keys, sample_no from 1, size, duration)``; ``sync(*keys, sample_no)`` lists the sync samples (a
-    stream that lists none has only such). Samples beyond the last chunk's lie in none and have a null offset.
+    stream that lists none has only such). Samples beyond the last chunk's lie in none and have a null offset. Chunks,
+    samples and sync marks are merged by one shuffle on ``keys`` and a sort.
     """
     held = chunk_runs(chunks, runs, keys)
-    w = _stream(keys, ["chunk"])
-    held = held.withColumn("__first", F.sum("per_chunk").over(w) - F.col("per_chunk") + 1)
-    slots = held.where("per_chunk > 0").select(*keys, "chunk", F.col("offset").alias("__base"), F.explode(F.expr("sequence(__first, __first + per_chunk - 1)")).alias("sample_no"))
-    placed = samples.join(slots, [*keys, "sample_no"], "left")
-    before = _stream([*keys, "chunk"], ["sample_no"]).rowsBetween(*UNTIL_NOW)
-    placed = placed.withColumn("offset", (F.col("__base") + F.coalesce(F.sum("size").over(before), F.lit(0))).cast("long")).drop("__base")
-    placed = running_start(placed, keys, ["sample_no"], "duration", "pts")
-    if sync is None:
-        return placed.withColumn("is_sync", F.lit(True))
-    listed = sync.select(*keys, "sample_no").distinct().withColumn("__listed", F.lit(True))
-    lists = sync.select(*keys).distinct().withColumn("__lists", F.lit(True))
-    marked = placed.join(listed, [*keys, "sample_no"], "left").join(lists, keys, "left")
-    return marked.withColumn("is_sync", F.col("__listed").isNotNull() | F.col("__lists").isNull()).drop("__listed", "__lists")
+    held = held.withColumn("__first", F.sum("per_chunk").over(_stream(keys, ["chunk"])) - F.col("per_chunk") + 1).where("per_chunk > 0")
+    # chunks and sync marks stand before the sample they name, and samples take the last ones up to them
+    opens = held.select(*keys, F.col("__first").cast("long").alias("sample_no"), F.lit(0).alias("__kind"), F.struct("chunk", F.col("offset").alias("base"), (F.col("__first") + F.col("per_chunk")).alias("until")).alias("__chunk"))
+    rows = samples.withColumn("__kind", F.lit(2)).unionByName(opens, allowMissingColumns=True)
+    if sync is not None:
+        rows = rows.unionByName(sync.select(*keys, F.col("sample_no").cast("long").alias("sample_no"), F.lit(1).alias("__kind")), allowMissingColumns=True)
+    w = _stream(keys, ["sample_no", "__kind"])
+    before, now = w.rowsBetween(*UNTIL_NOW), w.rowsBetween(Window.unboundedPreceding, 0)
+    so_far = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0)).cast("long")
+    summed = rows.withColumns({"__bytes": so_far("size"), "pts": so_far("duration")})
+    last = lambda kind, value: F.last(F.when(F.col("__kind") == kind, value), ignorenulls=True).over(now)
+    carried = summed.withColumns({"__in": last(0, F.struct("__chunk.*", "__bytes")), "__mark": last(1, F.col("sample_no")), "__lists": F.max(F.col("__kind") == 1).over(Window.partitionBy(*keys))}).where("__kind = 2")
+    inside = F.col("sample_no") < F.col("__in.until")
+    placed = carried.withColumns({
+        "chunk": F.when(inside, F.col("__in.chunk")), "offset": F.when(inside, F.col("__in.base") + F.col("__bytes") - F.col("__in.__bytes")).cast("long"),
+        "is_sync": ~F.col("__lists") | F.coalesce(F.col("__mark") == F.col("sample_no"), F.lit(False)),
+    })
+    return placed.drop("__kind", "__chunk", "__bytes", "__in", "__mark", "__lists")
 
 
 def track_summary(samples: DataFrame, keys: list[str]) -> DataFrame:
@@ -239,6 +246,21 @@ def conceal(rows: DataFrame, keys: list[str], order: list, columns: list[str]) -
     return rows.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
 
 
+def with_policy(rows: DataFrame, bad: Column, keys: list[str], order: list, columns: list[str], mode: str = FAIL) -> DataFrame:
+    """What becomes of rows that are ``bad``: the query fails, they are left out, or their ``columns`` repeat the last
+    good ones of their stream (null before the first)."""
+    if mode == SKIP:
+        return rows.where(~F.coalesce(bad, F.lit(False)))
+    if mode == CONCEAL:
+        hidden = rows.withColumn("__bad", F.coalesce(bad, F.lit(False)))
+        good = F.when(~F.col("__bad"), F.struct(*columns))  # one value, as a good row's columns may be null
+        kept = hidden.withColumn("__good", F.last(good, ignorenulls=True).over(_stream(keys, order).rowsBetween(Window.unboundedPreceding, 0)))
+        return kept.withColumns({c: F.col(f"__good.{c}") for c in columns}).drop("__bad", "__good")
+    if mode == FAIL:
+        return rows.withColumns({c: F.when(bad, F.raise_error(F.lit("corrupt data")).cast(rows.schema[c].dataType)).otherwise(F.col(c)) for c in columns})
+    raise ValueError(f"unknown error mode {mode!r}")
+
+
 def first_registered(entries: DataFrame, key: str, order: list) -> DataFrame:
     """Of entries with the same key the first: what a registry looks up. The least is kept before the shuffle, so a
     key with very many entries costs no more than any other."""

@@ -275,8 +275,8 @@ def nal_annexb_split(spark, sf_dir):
     """Words as units between start codes of three and four bytes."""
     joined = F.array_join(F.transform("w", lambda w, i: F.concat(F.when(i % 2 == 0, "\x00\x00\x01").otherwise("\x00\x00\x00\x01"), w)), "")
     rows = _words(spark, sf_dir).select("doc_id", F.encode(joined, "utf-8").alias("b"))
-    units = rows.select("doc_id", F.posexplode(bits.annex_b_column(F.col("b"))).alias("unit_no", "unit"))
-    return units.select("doc_id", "unit_no", F.decode("unit", "utf-8").alias("word"))
+    units = rows.select("doc_id", F.posexplode(bits.annex_b_pieces(F.col("b"))).alias("unit_no", "unit"))
+    return units.select("doc_id", "unit_no", F.decode(F.encode("unit", "ISO-8859-1"), "utf-8").alias("word"))
 
 
 @query(_WORDS)

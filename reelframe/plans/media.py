@@ -227,3 +227,49 @@ def stream_reblock(spark, sf_dir):
     rows = _stream(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("seq"), (F.col("event_id") % 700 + 1).alias("samples"), F.lit(False).alias("eos"))
     stateful.drain(stateful.reblock(rows, "user_id", 1024, "long"), folder)
     return spark.read.parquet(f"{folder}/out")
+
+
+@query("""SELECT p_partkey, (CASE WHEN p_size % 2 = 0 THEN p_size % 4 + 1 ELSE 1 END)::INT AS planes, (p_size * CASE WHEN p_size % 2 = 0 THEN 1 ELSE p_size % 4 + 1 END)::INT AS plane_bytes,
+substr(upper(to_hex(encode(repeat('A', p_size)))) || '', 1, 2 * least(3, p_size)) || repeat('00', greatest(p_size - 3, 0)::INT) AS copied FROM part""")
+def sample_buffers(spark, sf_dir):
+    """Zeroed planes of planar and interleaved samples, and the first bytes of a plane copied into another."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("int").alias("n"), octets.alloc_samples(F.col("p_size") % 2 == 0, (F.col("p_size") % 4 + 1).cast("int"), F.col("p_size").cast("int")).alias("p"))
+    target = octets.filled(0, F.col("n"))
+    copied = octets.copied(octets.filled(0x41, F.col("n")), target, F.least(F.lit(3), F.col("n")))
+    return rows.select("p_partkey", F.size("p").alias("planes"), F.octet_length(F.get("p", F.lit(0))).alias("plane_bytes"), F.hex(copied).alias("copied"))
+
+
+@query(r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w, generate_subscripts(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), 1) AS i FROM documents)
+SELECT doc_id, (i - 1)::BIGINT AS unit_no, w AS word FROM w""")
+def stream_annexb(spark, sf_dir):
+    """Words as units of elementary streams that arrive in pieces of 100 bytes."""
+    folder = shared_dir(spark, "annexb")
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), 1)
+    data = F.encode(F.array_join(F.transform(words, lambda w: F.concat(F.lit("\x00\x00\x01"), w)), ""), "utf-8")
+    whole = _stream(spark, sf_dir, "documents").select("doc_id", data.alias("b")).where("octet_length(b) > 0")
+    pieces = whole.select("doc_id", "b", F.explode(F.expr("sequence(0, (octet_length(b) - 1) div 100)")).alias("n"))
+    rows = pieces.select("doc_id", F.col("n").cast("long").alias("seq"), F.substring(F.col("b"), F.col("n") * 100 + 1, F.lit(100)).alias("data"), F.expr("n = (octet_length(b) - 1) div 100").alias("eos"))
+    stateful.drain(stateful.frame_stream(rows, "doc_id", stateful.annex_b_pieces, "long"), folder)
+    # the unit that a stream's end gives out still has its start code
+    return spark.read.parquet(f"{folder}/out").select("doc_id", "unit_no", F.regexp_replace(F.decode("unit", "utf-8"), "^\\x00\\x00\\x01", "").alias("word"))
+
+
+@query("""WITH s AS (SELECT user_id, string_agg(event_type || props, '' ORDER BY event_id) AS t FROM events GROUP BY user_id), f AS (SELECT user_id, t, unnest(range(0, length(t) // 64)) AS frame_no FROM s)
+SELECT user_id, frame_no, 64::BIGINT AS samples, substr(t, frame_no * 64 + 1, 64) AS data FROM f""")
+def stream_frames(spark, sf_dir):
+    """Events as 8-bit samples of their user, cut into frames of 64 that carry them."""
+    folder = shared_dir(spark, "frames")
+    data = F.encode(F.concat("event_type", "props"), "utf-8")
+    rows = _stream(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("seq"), F.octet_length(data).cast("long").alias("samples"), F.array(data).alias("planes"), F.lit(False).alias("eos"))
+    stateful.drain(stateful.sample_frames(rows, "user_id", 64, 1, 1, key_type="long"), folder)
+    return spark.read.parquet(f"{folder}/out").select("user_id", "frame_no", "samples", F.decode(F.get("planes", F.lit(0)), "utf-8").alias("data"))
+
+
+@query("""WITH l AS (SELECT epoch_us(max(ts)) // 1000 * 1000 - 86400000000 AS passed FROM events)
+SELECT user_id, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM events, l WHERE epoch_us(ts) <= passed""")
+def stream_interleave(spark, sf_dir):
+    """Each user's events in the order of their times, as far as the watermark, a day behind, has come."""
+    folder = shared_dir(spark, "interleave")
+    rows = _stream(spark, sf_dir, "events").select("user_id", F.lit(0).alias("stream_index"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.encode("event_type", "utf-8").alias("data"), F.lit(False).alias("eos"))
+    stateful.drain(stateful.interleave_stream(rows, "user_id", "ts", "1 day", "long"), folder)
+    return spark.read.parquet(f"{folder}/out").select("user_id", "seq", "place")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from reelframe.errors import CONCEAL, SKIP
 from reelframe.functions import timebase as T
 from reelframe.operators import packets as P
 from reelframe.operators import seek, timeline
@@ -327,8 +328,9 @@ def _transcoded(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 @query(f"""WITH {_PACKETS} SELECT stream_index, count(*)::BIGINT AS packets_read, count(*) FILTER (stream_index IN (0, 4))::BIGINT AS packets_written FROM p GROUP BY stream_index""")
 def transcode_counts(spark, sf_dir):
     p, streams = _transcoded(spark, sf_dir)
-    written = P.transcode(p, streams).groupBy("stream_index").agg(F.count("*").alias("w"))
-    return p.groupBy("stream_index").agg(F.count("*").alias("packets_read")).join(written, "stream_index", "left").select("stream_index", "packets_read", F.coalesce("w", F.lit(0)).alias("packets_written"))
+    # packets of no stream stay in the scan: both counts come from one pass
+    known = streams.select("path", F.col("index").alias("stream_index"), F.lit(1).alias("known"))
+    return p.join(known, ["path", "stream_index"], "left").groupBy("stream_index").agg(F.count("*").alias("packets_read"), F.count("known").alias("packets_written"))
 
 
 @query(f"""WITH {_PACKETS} SELECT seq, upper(to_hex(encode(event_type || seq))) AS data, CASE stream_index WHEN 0 THEN 'pcm_s16be' ELSE 'pcm_u8' END AS codec_id FROM p WHERE stream_index IN (0, 4)""")
@@ -341,3 +343,66 @@ def transcode_identity(spark, sf_dir):
 def known_stream_packets(spark, sf_dir):
     p, streams = _transcoded(spark, sf_dir)
     return P.known_streams(p, streams).select("seq", "stream_index")
+
+
+@query(f"""WITH {_PACKETS} SELECT seq, CASE WHEN seq % 3 > 0 THEN octet_length(encode(event_type)) ELSE 0 END::INT AS size, seq % 3 = 0 AS is_empty, '' AS reset_data, -1::BIGINT AS reset_pos FROM p""")
+def packet_predicates(spark, sf_dir):
+    """Size and emptiness of packets, of which every third has no data, and what a reset leaves."""
+    p = packets(spark, sf_dir).withColumn("data", F.when(F.col("seq") % 3 > 0, F.encode("event_type", "utf-8"))).withColumn("pos", F.col("seq"))
+    sized = p.withColumn("size", P.packet_size(F.col("data")))
+    return P.reset_packets(sized).where("pts is null").select("seq", "size", (F.col("size") == 0).alias("is_empty"), F.decode("data", "utf-8").alias("reset_data"), F.col("pos").cast("long").alias("reset_pos"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 5 > 0 THEN (p_partkey % 97 + 1) || '/' || (p_size % 5) END AS inverted FROM part""")
+def rational_invert(spark, sf_dir):
+    r = T.rational(F.col("p_size") % 5, F.col("p_partkey") % 97 + 1)
+    return table(spark, sf_dir, "part").select("p_partkey", T.invert(r, SKIP).alias("i")).select("p_partkey", F.when(F.col("i").isNotNull(), T.show(F.col("i"))).alias("inverted"))
+
+
+@query(f"""WITH {_PACKETS} SELECT seq, CASE WHEN dts IS NULL THEN 'NOPTS' ELSE printf('%.6fs', dts::DOUBLE * (num::DOUBLE / den::DOUBLE)) END AS shown FROM p""")
+def timestamp_show(spark, sf_dir):
+    return packets(spark, sf_dir).select("seq", T.show_ts(F.col("dts"), F.col("time_base")).alias("shown"))
+
+
+@query("SELECT p_partkey, i.name AS codec_id, i.name LIKE 'pcm%' AS decodes FROM part JOIN (SELECT unnest(['pcm_u8', 'pcm_s16le', 'h264', 'pcm_f32be', 'opus', 'vorbis']) AS name, unnest(range(6)) AS n) i ON p_partkey % 6 = i.n")
+def codec_support(spark, sf_dir):
+    """Which codecs the registry can decode; compressed ones are known and refuse."""
+    registry, rows = P.default_registry(), []
+    for n, name in enumerate(("pcm_u8", "pcm_s16le", "h264", "pcm_f32be", "opus", "vorbis")):
+        try:
+            registry.decoder(name)(F.lit(b""))
+            rows.append((n, name, True))
+        except NotImplementedError:
+            rows.append((n, name, False))
+    listed = spark.createDataFrame(rows, "n int, codec_id string, decodes boolean")  # a row a registered name
+    return table(spark, sf_dir, "part").join(F.broadcast(listed), F.col("p_partkey") % 6 == F.col("n")).select("p_partkey", "codec_id", "decodes")
+
+
+@query(f"""WITH {_PACKETS} SELECT seq, {_round('pts', 'num * 1000', 'den', 'near')} AS pts, upper(to_hex(encode(event_type))) AS data FROM p WHERE stream_index IN (0, 4)""")
+def filter_chain(spark, sf_dir):
+    """Three filters in a row: streams that exist, milliseconds, and bytes turned round twice."""
+    p, streams = _transcoded(spark, sf_dir)
+    swap = lambda rows: rows.withColumn("data", P.pcm_encode(F.col("data"), "pcm_s16be"))
+    run = P.chain(lambda rows: P.known_streams(rows, streams), lambda rows: P.rescale_packets(rows, T.rational(1, 1000)), swap, swap)
+    return run(p.withColumn("data", F.encode("event_type", "utf-8"))).select("seq", "pts", F.hex("data").alias("data"))
+
+
+@query("""WITH e AS (SELECT event_id, user_id, round(value, 2) AS value, event_id % 5 = 0 AS bad FROM events)
+SELECT 'skip' AS mode, event_id, value FROM e WHERE NOT bad UNION ALL
+SELECT 'conceal', event_id, last_value(CASE WHEN NOT bad THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) FROM e""")
+def error_policies(spark, sf_dir):
+    """Corrupt rows left out, and hidden by what their stream said last."""
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", F.round("value", 2).alias("value"))
+    both = [timeline.with_policy(rows, F.col("event_id") % 5 == 0, ["user_id"], ["event_id"], ["value"], m).select(F.lit(m).alias("mode"), "event_id", "value") for m in (SKIP, CONCEAL)]
+    return both[0].unionByName(both[1])
+
+
+@query(f"""WITH {_INDEX}, {_TARGETS}, b AS (SELECT user_id, event_id AS target_id, event_id * 13 % 20000 - 50 AS pos FROM events)
+SELECT 'byte' AS flag, b.user_id, b.target_id, (SELECT max(i.seq) FROM i WHERE i.user_id = b.user_id AND i.pos <= b.pos) AS seq FROM b UNION ALL
+SELECT 'any', t.user_id, t.target_id, coalesce((SELECT max(struct_pack(ts := timestamp, seq := seq)) FROM i WHERE i.user_id = t.user_id AND i.timestamp <= t.timestamp).seq, (SELECT min(struct_pack(ts := timestamp, seq := seq)) FROM i WHERE i.user_id = t.user_id).seq) FROM t""")
+def seek_flags(spark, sf_dir):
+    index = _index(spark, sf_dir)
+    places = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("target_id"), (F.col("event_id") * 13 % 20000 - 50).alias("at"))
+    by = {seek.BYTE: places, seek.ANY: _targets(spark, sf_dir).withColumnRenamed("timestamp", "at")}
+    found = [seek.seek(t, index, ["user_id"], flag).select(F.lit(flag).alias("flag"), "user_id", "target_id", "entry.seq") for flag, t in by.items()]
+    return found[0].unionByName(found[1])

@@ -12,12 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelframe.errors import FAIL, SKIP
+from reelframe.operators.seek import ANY, BACKWARD, BYTE
 from reelframe.sources.files import open_read, place_of
 from reelframe.sources.mp4 import SCHEMA, Bounds, Samples, Track, find_moov, read_batches, read_tracks, track_samples
 
-#: Where reading begins: at the last keyframe at or before a time, at the last packet of any kind, or at the last
-#: packet that lies at or before a byte of the file.
-BACKWARD, ANY, BYTE = "backward", "any", "byte"
 _ARRAYS = ["offsets", "sizes", "durations"]
 _PLAIN = "path string, stream_index int, first long, samples int, pts long, last_pts long, low long, high long, key_before long, timescale int, codec_id string, sample_rate int, channels int, width int, height int"
 INDEX = f"{_PLAIN}, offsets array<long>, sizes array<long>, durations array<long>, keyframes array<int>"

@@ -392,3 +392,22 @@ def test_stream_interleaving(spark, tmp_path):
         assert sorted((r[0], r[1], r[3]) for r in got) == want
     open_end = _cuts(spark, tmp_path, rows[:-2], schema, (20,), lambda s: stateful.interleave_stream(s, "f", "ts", "100 milliseconds"), "o")[0]
     assert 0 < len(open_end) < len(rows) - 2 and all(sorted(r[1] for r in open_end if r[0] == f) == list(range(1, 1 + sum(r[0] == f for r in open_end))) for f in "xy")
+
+
+def test_error_policies_and_seek_flags(spark):
+    from reelframe.errors import KINDS, MediaError, kind_of
+
+    rows = spark.createDataFrame([("a", 0, 1.0, True), ("a", 1, 2.0, False), ("a", 2, 3.0, True), ("b", 3, None, False), ("b", 4, 5.0, None)], "k string, i int, v double, bad boolean")
+    get = lambda mode: [(r.i, r.v) for r in timeline.with_policy(rows, F.col("bad"), ["k"], ["i"], ["v"], mode).orderBy("i").collect()]
+    assert get("skip") == [(1, 2.0), (3, None), (4, 5.0)] and get("conceal") == [(0, None), (1, 2.0), (2, 2.0), (3, None), (4, 5.0)]
+    with pytest.raises(Exception, match="corrupt data"):
+        get("fail")
+    with pytest.raises(ValueError, match="mode"):
+        get("guess")
+    index = spark.createDataFrame([(1, i, 1000 * i, 5000 * i, 10, i % 2 == 0) for i in range(5)], "f int, seq long, timestamp long, pos long, size long, keyframe boolean")
+    targets = spark.createDataFrame([(1, 0, 3500)], "f int, target_id long, at long")
+    assert [seek.seek(targets, index, ["f"], flag).first().entry.seq for flag in ("backward", "any", "byte")] == [2, 3, 0]
+    with pytest.raises(ValueError, match="flag"):
+        seek.seek(targets, index, ["f"], "frame")
+    assert [kind_of(e) for e in (EOFError(), FileNotFoundError(), MemoryError(), ValueError(), OSError(), MediaError("again"))] == ["eof", "not_found", "no_memory", "invalid_argument", "io", "again"]
+    assert str(MediaError("eof", "x")) == KINDS["eof"] and str(MediaError("unsupported", "h264")) == "unsupported: h264"
