@@ -75,7 +75,7 @@ def lay_out(docs: DataFrame, folder: str, row: str | None = None) -> tuple[DataF
     """Lay every document's words on its source's line: ``(doc_id, row, rank, size, at)`` and the sources.
 
     The order on the line is by hash. A source is summed in stripes that follow its number of rows, so a source
-    with a third of all rows is summed by many tasks; rows without an id are dealt to stripes by their text.
+    with a third of all rows is summed by many tasks; rows without an id, or with the same, are dealt to stripes by their text.
     ``row`` is the column of ``docs`` so named, null without one.
     """
     text = F.col("text").cast("string")
@@ -84,7 +84,7 @@ def lay_out(docs: DataFrame, folder: str, row: str | None = None) -> tuple[DataF
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     targets = settle(source_targets(sources.select("source", "source_size")).join(sources.select(F.col("source").alias("s"), "rows"), F.col("source").eqNullSafe(F.col("s"))).drop("s"), f"{folder}/sources")
     keyed = rows.join(targets.select(F.col("source").alias("s"), "rank", "rows"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "source")
-    keyed = keyed.withColumn("stripe", F.pmod(F.xxhash64(F.lit("stripe"), F.coalesce("doc_id", "h")), F.ceil(F.col("rows") / ROWS_PER_STRIPE)))
+    keyed = keyed.withColumn("stripe", F.pmod(F.xxhash64(F.lit("stripe"), "doc_id", "h"), F.ceil(F.col("rows") / ROWS_PER_STRIPE)))
     sums = keyed.groupBy("rank", "stripe").agg(F.sum("size").alias("n"))
     stripes = Window.partitionBy("rank").orderBy("stripe").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("rank", "stripe", F.coalesce(F.sum("n").over(stripes), F.lit(0)).alias("before"))

@@ -26,15 +26,15 @@ def _fisher_yates(count: int, seed: int) -> list[int]:
 def shuffle_rows(docs: DataFrame, seed: int = 0, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``docs(doc_id, text)`` with ``position long``, a seeded uniform shuffle of all rows, gapless from 0.
 
-    Pass one scatters rows over buckets by a seeded hash of ``doc_id``; pass two sorts each bucket (so reruns
-    agree), Fisher-Yates shuffles it and numbers it after the buckets before it. The number of buckets follows
-    the bytes of text. A null ``doc_id`` hashes like a value; rows equal in ``doc_id`` share a bucket (doc_id is
-    meant to be a key). Null texts count no bytes. No rows give no rows.
+    Pass one scatters rows over buckets by a seeded hash of ``doc_id`` and text; pass two sorts each bucket (so
+    reruns agree), Fisher-Yates shuffles it and numbers it after the buckets before it. The number of buckets
+    follows the bytes of text. Rows without a ``doc_id``, or with the same, are told apart by their text; only rows
+    equal in both share a bucket. Null texts count no bytes. No rows give no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     weight = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 64)).first()[0] or 0
     buckets = max(1, -(-weight // bucket_bytes))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id"), F.lit(-1))), F.lit(buckets)))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(buckets)))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket
     starts = rows.groupBy("bucket").agg(F.count("*").alias("n")).select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
 

@@ -163,7 +163,7 @@ class Shard:
 
 
 def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int, ids_per_shard: int = IDS_PER_SHARD) -> DataFrame:
-    """Encode ``docs(doc_id, text)`` and write shard files in ascending ``doc_id`` order (null first, ties by text).
+    """Encode ``docs(doc_id, text)`` and write shard files in ascending ``doc_id`` order (null first, ties by a hash of the text, then by it).
 
     Null and empty texts have the end id alone; repeated rows are written as often as they come; other columns
     are ignored. Rows are range-partitioned, so a file holds consecutive documents and files ascend with their
@@ -197,7 +197,9 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int, ids
         cols = list(zip(*rows)) or [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=["shard", "name", "n_docs", "n_tokens"])
 
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("h", F.xxhash64("text"))
+    # rows without a doc_id, or with the same, are dealt out by their text
+    ordered = ordered.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     return settle(ordered.mapInArrow(write, "shard long, name string, n_docs long, n_tokens long"), folder + "-manifest")
 
 

@@ -190,7 +190,7 @@ def read_segments(spark, folder: str) -> DataFrame:
 
     names = spark.read.schema("name string, n_records long").parquet(folder + "-manifest").select("name")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).withColumn("name", F.substring_index("path", "/", -1))
-    return files.join(F.broadcast(names), "name", "left_semi").select("content").mapInArrow(read, SEGMENTS)
+    return files.join(names, "name", "left_semi").select("content").mapInArrow(read, SEGMENTS)
 
 
 RECORDS = "record_id string, type string, refers_to string, digest string, payload binary"

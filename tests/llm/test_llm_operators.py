@@ -684,3 +684,23 @@ def test_every_candidate_is_decided(spark):
     want = dict(brute_similar(list(enumerate(texts))))
     assert all(want[b] == a for a, b in pairs)
     assert got == want
+
+
+def test_rows_without_ids_spread(spark, tmp_path):
+    """Rows that all lack a doc_id, or share one, go to many buckets, shards and stripes."""
+    texts = [" ".join(f"w{i}x{k}" for k in range(50)) for i in range(400)]
+    for doc in (None, 7):
+        frame = spark.createDataFrame([(doc, t, "en", "a", 1) for t in texts], SCHEMA)
+        placed = sharding.shuffle_rows(frame, bucket_bytes=4000)
+        assert sorted(r.position for r in placed.collect()) == list(range(400))
+        assert {r.text for r in placed.collect()} == set(texts)
+        folder = shared_dir(spark, "spread")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        manifest = tokenbin.write_shards(frame, folder, public_vocabulary("byte_bpe_50k.json"), 2)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert manifest.count() >= 3 and manifest.agg(F.sum("n_docs")).first()[0] == 400
+        digest = tokenbin.read_shards(manifest, folder).collect()
+        starts = sorted((r.start, r.n_tokens) for r in digest)
+        assert [s for s, _ in starts] == [sum(n for _, n in starts[:i]) for i in range(400)]
+        counts = mixing.mix_counts(frame).collect()
+        assert len(counts) == 400 and sum(r.taken for r in counts) > 0
