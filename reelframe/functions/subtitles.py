@@ -139,9 +139,61 @@ def _webvtt(text: str) -> Iterator[tuple[int, int, str]]:
             yield times[0], times[1], re.sub(r"<[^>]*>?|>", "", "\n".join(body))
 
 
+def _ass_time(x: str) -> int | None:
+    parts = x.strip().split(":")
+    last = parts[-1].split(".")
+    if len(parts) != 3 or len(last) != 2:
+        return None
+    values = [_whole(v) for v in (*parts[:2], last[0], last[1][:2].ljust(2, "0"))]
+    return None if None in values else (values[0] * 60 + values[1]) * 60_000 + values[2] * 1000 + values[3] * 10
+
+
+def _ass(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """Cues and their styles; lines that don't parse are dropped."""
+    for line in re.split("\r?\n", text):
+        fields = line[9:].split(",", 9) if line.startswith("Dialogue:") else []
+        times = [_ass_time(f) for f in fields[1:3]]
+        if len(fields) == 10 and None not in times:
+            shown = re.sub(r"\{[^}]*\}?|\}", "", fields[9]).replace("\\N", "\n").replace("\\n", "\n")
+            yield times[0], times[1], shown, fields[3]
+
+
 _DIALECTS = {"srt": _srt, "webvtt": _webvtt}
 
 
+class SubtitleCues:
+    """Table function ``subtitle_cues(codec, data)``: the cues of one file, to be called by ``LATERAL`` in SQL.
+
+    The codec is a constant (``srt``, ``webvtt`` or ``ass``) and decides the parser and the columns: ASS adds the style.
+    A file that doesn't parse is an error; a null one has no cues. ``register_functions`` makes it known.
+    """
+
+    @staticmethod
+    def analyze(codec, data):
+        from pyspark.sql.types import BinaryType, StringType, StructType
+        from pyspark.sql.udtf import AnalyzeResult
+
+        if not codec.isConstantExpression or codec.value not in (*_DIALECTS, "ass"):
+            raise ValueError("the codec must be one of 'srt', 'webvtt' and 'ass'")
+        if not isinstance(data.dataType, (StringType, BinaryType)):
+            raise ValueError("a subtitle file is a string or binary")
+        schema = StructType().add("cue_no", "integer").add("start_ms", "long").add("end_ms", "long").add("text", "string")
+        return AnalyzeResult(schema.add("style", "string") if codec.value == "ass" else schema)
+
+    def eval(self, codec, data):
+        if data is not None:
+            text = bytes(data).decode() if isinstance(data, (bytes, bytearray)) else data
+            for i, cue in enumerate(_ass(text) if codec == "ass" else _DIALECTS[codec](text)):
+                yield (i, *cue)
+
+
+def register_functions(spark) -> None:
+    """Make `SubtitleCues` known to SQL as ``subtitle_cues``."""
+    from pyspark.sql.functions import udtf
+
+    spark.udtf.register("subtitle_cues", udtf(SubtitleCues))
+
+
 def cues(files: DataFrame, dialect: str, key: str, text: str = "text", mode: str = "fail") -> DataFrame:
     """``(key, cue_no, start_ms, end_ms, text)`` of each row's whole file (string or UTF-8 bytes).
 

@@ -143,6 +143,16 @@ def ass_parse(spark, sf_dir):
     return subtitles.cues(_cue_files(spark, sf_dir, "[Events]\nFormat: Layer, Start, End\nDialogue: broken\n", cue), "ass", "conv_id")
 
 
+@query(f"SELECT conv_id, codec, cue_no, start_ms, end_ms, text FROM ({_CONV}) c, (SELECT unnest(['ass', 'srt']) AS codec) k")
+def subtitles_by_sql(spark, sf_dir):
+    """Two dialects of the same cues, parsed by a table function that SQL calls for each file."""
+    subtitles.register_functions(spark)
+    srt = lambda t, x: F.concat((t + 1).cast("string"), F.lit("\n"), _stamp(t, 0, "%02d:%02d:%02d,%03d"), F.lit(" --> "), _stamp(t, 750, "%02d:%02d:%02d,%03d"), F.lit("\n"), x, F.lit("\n"))
+    ass = lambda t, x: F.concat(F.lit("Dialogue: 0,"), _stamp(t, 0, "%d:%02d:%02d.%02d"), F.lit(","), _stamp(t, 75, "%d:%02d:%02d.%02d"), F.lit(",Default,,0,0,0,,{\\b1}"), x, F.lit("{\\b0}"))
+    return spark.sql("""SELECT f.conv_id, 'srt' AS codec, c.cue_no, c.start_ms, c.end_ms, c.text FROM {srt} f, LATERAL subtitle_cues('srt', f.text) c
+        UNION ALL SELECT f.conv_id, 'ass', c.cue_no, c.start_ms, c.end_ms, c.text FROM {ass} f, LATERAL subtitle_cues('ass', f.text) c WHERE c.style = 'Default'""", srt=_cue_files(spark, sf_dir, "", srt), ass=_cue_files(spark, sf_dir, "[Events]\n", ass))
+
+
 @query("SELECT page_id, md5(regexp_replace(html, '<[^>]*>?|>', '', 'g')) AS stripped FROM pages")
 def strip_vtt_tags(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(F.encode(subtitles.strip_webvtt_tags(F.col("html")), "utf-8")).alias("stripped"))

@@ -9,7 +9,7 @@ from reelframe.functions import dims, octets, timebase
 from reelframe.operators import packets
 from reelframe.plans.catalog import query, table
 from reelframe.sources import mp4, mp4_index, mux, register
-from reelframe.sources.files import shared_dir
+from reelframe.sources.files import place_of, shared_dir
 from reelframe.streaming import stateful
 
 # Fixed values, written out apart from the table in `dims` that they are held against.
@@ -273,3 +273,47 @@ def stream_interleave(spark, sf_dir):
     rows = _stream(spark, sf_dir, "events").select("user_id", F.lit(0).alias("stream_index"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.encode("event_type", "utf-8").alias("data"), F.lit(False).alias("eos"))
     stateful.drain(stateful.interleave_stream(rows, "user_id", "ts", "1 day", "long"), folder)
     return spark.read.parquet(f"{folder}/out").select("user_id", "seq", "place")
+
+
+def _write_raw(rows, folder: str):
+    """Append ``rows(path, data)``, a file's rows standing together, to raw files, and mark each as ended."""
+    import pyarrow as pa
+
+    def write(batches):
+        done: dict[str, int] = {}
+        place, root = place_of(folder)
+        place.create_dir(root, recursive=True)
+        name = out = None
+        for batch in batches:
+            for path, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if path != name:
+                    if out is not None:
+                        out.close()
+                    name, out = path, place.open_output_stream(f"{root}/{path}.raw")
+                out.write(data.as_py())
+                done[path] = done.get(path, 0) + 1
+        if out is not None:
+            out.close()
+        for path in done:
+            place.open_output_stream(f"{root}/{path}.raw.end").close()
+        yield pa.RecordBatch.from_arrays([pa.array(list(done), pa.string()), pa.array(list(done.values()), pa.int64())], names=["path", "n"])
+
+    rows.repartition("path").sortWithinPartitions("path", "seq").select("path", "data").mapInArrow(write, "path string, n long").write.format("noop").mode("overwrite").save()
+
+
+@query(r"""WITH w AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w, generate_subscripts(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), 1) AS i FROM conversations)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) - 1 AS unit_no, w AS word FROM w""")
+def raw_stream_units(spark, sf_dir):
+    """Conversations as raw files of units, framed by a stream that is stopped, finds further files and goes on."""
+    register(spark)
+    folder = shared_dir(spark, "raw")
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), 1)
+    data = F.encode(F.array_join(F.transform(words, lambda w: F.concat(F.lit("\x00\x00\x01"), w)), ""), "utf-8")
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("path"), F.col("turn").alias("seq"), data.alias("data"), (F.col("conv_id") % 2).alias("half")).where("octet_length(data) > 0")
+    for half in (0, 1):
+        _write_raw(rows.where(F.col("half") == half), f"{folder}/files")
+        pieces = spark.readStream.format("rawstream").option("bytesPerPartition", "8192").load(f"{folder}/files")
+        stateful.drain(stateful.frame_stream(pieces, "path", stateful.annex_b_pieces), folder)
+    back = spark.read.parquet(f"{folder}/out").select(F.regexp_extract("path", r"(-?\d+)\.raw$", 1).cast("long").alias("conv_id"), "unit_no", "unit")
+    # the unit that a stream's end gives out still has its start code
+    return back.select("conv_id", "unit_no", F.regexp_replace(F.decode("unit", "utf-8"), "^\\x00\\x00\\x01", "").alias("word"))

@@ -15,7 +15,8 @@ TYPES = ("click", "error", "purchase", "signup", "view")
 # Fixed choice: a time base for each event type.
 BASES = ((1, 1000), (1, 48000), (1, 90000), (1001, 30000), (1, 44100))
 EPOCH = 1704067200_000000  # 2024-01-01 in microseconds
-DAY = 86_400_000_000  # in microseconds
+#: Rows of a stretch of time in the queries that order few streams by many tasks.
+STRETCH_ROWS = 250_000
 
 
 def micros(column: str = "ts"):
@@ -58,8 +59,8 @@ def stream_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: exact 90 kHz timestamps, durations between packets and gaps over an hour, by stream."""
     rows = packets(spark, sf_dir).select("stream_index", "seq", micros().alias("us"))
     rows = rows.withColumn("dts", T.rescale_q(F.col("us"), T.rational(1, 1_000_000), T.rational(1, 90_000)))
-    # five streams, so each is ordered in stretches of a day
-    rows = timeline.with_previous(rows, ["stream_index"], ["us", "seq"], F.floor(F.col("us") / DAY), ["us", "dts"])
+    # five streams, so each is ordered in stretches that follow the number of rows
+    rows = timeline.with_previous(timeline.even_spans(rows, "us", STRETCH_ROWS), ["stream_index"], ["us", "seq"], F.col("span"), ["us", "dts"])
     tb = T.rational(1, 1_000_000)
     gap = T.discontinuity(F.col("us"), tb, F.col("__before.us"), tb, 3600.0)
     rows = rows.select("stream_index", (F.col("dts") - F.col("__before.dts")).alias("duration"), gap.alias("discontinuity"))
@@ -133,7 +134,8 @@ def timestamp_seconds(spark, sf_dir):
 @query(f"""WITH {_PACKETS}, d AS (SELECT seq, abs(pts * (num::DOUBLE / den::DOUBLE) - lag(pts) OVER w * (num::DOUBLE / den::DOUBLE)) > 60 AS discontinuity FROM p WINDOW w AS (PARTITION BY stream_index ORDER BY ts, seq))
 SELECT seq, discontinuity FROM d""")
 def discontinuity(spark, sf_dir):
-    rows = timeline.mark_discontinuities(packets(spark, sf_dir), ["path", "stream_index"], ["ts", "seq"], "pts", "time_base", 60.0, span=F.floor(micros() / DAY))
+    rows = timeline.even_spans(packets(spark, sf_dir).withColumn("us", micros()), "us", STRETCH_ROWS)
+    rows = timeline.mark_discontinuities(rows, ["path", "stream_index"], ["ts", "seq"], "pts", "time_base", 60.0, span=F.col("span"))
     return rows.select("seq", "discontinuity")
 
 

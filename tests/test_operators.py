@@ -411,3 +411,43 @@ def test_error_policies_and_seek_flags(spark):
         seek.seek(targets, index, ["f"], "frame")
     assert [kind_of(e) for e in (EOFError(), FileNotFoundError(), MemoryError(), ValueError(), OSError(), MediaError("again"))] == ["eof", "not_found", "no_memory", "invalid_argument", "io", "again"]
     assert str(MediaError("eof", "x")) == KINDS["eof"] and str(MediaError("unsupported", "h264")) == "unsupported: h264"
+
+
+def test_growing_raw_streams(spark, tmp_path):
+    """A file that grows between triggers and restarts is framed once; its end comes when its mark does."""
+    register(spark)
+    folder = tmp_path / "raw"
+    folder.mkdir()
+    pieces = lambda: spark.readStream.format("rawstream").option("bytesPerPartition", "5").load(f"file://{folder}")
+
+    def run():
+        stateful.drain(stateful.frame_stream(pieces(), "path", stateful.annex_b_pieces), str(tmp_path / "o"))
+        return sorted((r.path.rsplit("/", 1)[1], r.unit_no, bytes(r.unit)) for r in spark.read.schema("path string, unit_no long, unit binary").parquet(f"{tmp_path}/o/out").collect())
+
+    unit = lambda n: b"\0\0\1" + bytes([65 + n]) * (4 + n)
+    (folder / "a.raw").write_bytes(unit(0) + unit(1)[:5])
+    assert run() == [("a.raw", 0, b"AAAA")]
+    with (folder / "a.raw").open("ab") as f:
+        f.write(unit(1)[5:] + unit(2))
+    (folder / "b.raw").write_bytes(unit(3))
+    assert run() == [("a.raw", 0, b"AAAA"), ("a.raw", 1, b"BBBBB")]
+    for name in "ab":
+        (folder / f"{name}.raw.end").touch()
+    want = [("a.raw", 0, b"AAAA"), ("a.raw", 1, b"BBBBB"), ("a.raw", 2, unit(2)), ("b.raw", 0, unit(3))]
+    assert run() == want and run() == want
+
+
+def test_subtitles_by_sql(spark):
+    from reelframe.functions import subtitles
+
+    subtitles.register_functions(spark)
+    ass = "[Events]\nDialogue: 0,0:00:01.5,0:00:02.25,Top,,0,0,0,,{\\b1}a, b\\Nc\nDialogue: broken\r\nDialogue: 0,0:00:03.00,0:00:04.00,,,0,0,0,,d"
+    files = spark.createDataFrame([(1, ass), (2, None)], "id int, t string")
+    got = spark.sql("SELECT f.id, c.* FROM {f} f, LATERAL subtitle_cues('ass', encode(f.t, 'utf-8')) c ORDER BY cue_no", f=files).collect()
+    assert [tuple(r) for r in got] == [(1, 0, 1500, 2250, "a, b\nc", "Top"), (1, 1, 3000, 4000, "d", "")]
+    assert [r.text for r in subtitles.cues(files, "ass", "id", "t").orderBy("cue_no").collect()] == [r.text for r in got]
+    vtt = spark.sql("SELECT * FROM subtitle_cues('webvtt', 'WEBVTT\n\n00:01.000 --> 00:02.000\n<b>x</b>\n')").collect()
+    assert [tuple(r) for r in vtt] == [(0, 1000, 2000, "x")]
+    for bad, message in (("SELECT * FROM subtitle_cues('sub', 'x')", "codec must be"), ("SELECT * FROM subtitle_cues('srt', 1)", "string or binary")):
+        with pytest.raises(Exception, match=message):
+            spark.sql(bad).collect()
