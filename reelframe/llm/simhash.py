@@ -288,6 +288,43 @@ def _tables(lead: int, share: float, miss: float = 0.02) -> int:
     return 1 if met >= 1 else int(np.ceil(np.log(miss) / np.log(1 - met)))
 
 
+def _views(fingerprints: DataFrame, chosen: list[np.ndarray]) -> DataFrame:
+    """``(table, view, entry)`` of ``fingerprints(id, wide, *numbers, *carried binary)`` for each table's draw of bits: an
+    entry is id, numbers and wide fingerprint as 64-bit numbers; ``carried`` columns follow unchanged."""
+    kinds = dict(fingerprints.dtypes)
+    numbers = [c for c in fingerprints.columns if c != "wide" and kinds[c] == "bigint"]
+    carried = [c for c in fingerprints.columns if c != "wide" and kinds[c] == "binary"]
+
+    def viewed(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words = np.frombuffer(b"".join(batch.column("wide").to_pylist()), "u1").reshape(batch.num_rows, -1)
+            bits = np.unpackbits(words, axis=1, bitorder="little")
+            fixed = [batch.column(c).to_numpy().astype("<i8").view("u1").reshape(-1, 8) for c in numbers]
+            entries = pa.array([e.tobytes() for e in np.concatenate([*fixed, words], axis=1)], pa.binary())
+            for t, places in enumerate(chosen):  # the first place is the highest bit
+                view = np.ascontiguousarray(np.packbits(bits[:, places], axis=1)).view(">u8").ravel().astype(np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, t, np.int32)), pa.array(view), entries, *map(batch.column, carried)], names=["table", "view", "entry", *carried])
+
+    return fingerprints.mapInArrow(viewed, "table int, view long, entry binary" + "".join(f", {c} binary" for c in carried))
+
+
+def _plan(count: int, share: float) -> tuple[int, list[np.ndarray]]:
+    """Leading bits of a node for so many fingerprints, and the bits that each table draws."""
+    lead = min(32, max(0, int(np.ceil(np.log2(max(1, count) / WIDE_NODE_SIZE)))))
+    draw = np.random.default_rng(64)
+    return lead, [draw.permutation(BITS * WIDE_WORDS)[:BITS] for _ in range(_tables(lead, share))]
+
+
+def _met_packs(packs: DataFrame, narrow: int, carried: list[str]) -> DataFrame:
+    """Pairs of packs of one node, each with itself too: columns and ``their_`` columns."""
+    several = packs.groupBy("table", "node").count().where("count > 1").select("table", "node")
+    own = packs.select(*(c for h in ["views", *carried] for c in (F.col(h), F.col(h).alias(f"their_{h}"))))
+    other = pack_pairs(packs.join(several, ["table", "node"], "left_semi"), [0], narrow, carried, False)
+    return own.unionByName(other.drop("table"))
+
+
 def candidate_links(fingerprints: DataFrame, folder: str, share: float, keep: int) -> DataFrame:
     """``(a, b, apart, place)``: partners b of ``fingerprints(id, wide, grp, apart, after)`` a of another ``grp`` that
     may be as near as ``share`` of the bits, in the order of how many bits they are apart, then of their id.
@@ -301,30 +338,11 @@ def candidate_links(fingerprints: DataFrame, folder: str, share: float, keep: in
     share of pairs that a table misses. Packs of one node are taken in pairs of packs, and what comes out of a pair
     is no more than ``keep + 1`` rows a fingerprint, so a large group gives few.
     """
-    count = fingerprints.count()
-    lead = min(32, max(0, int(np.ceil(np.log2(max(1, count) / WIDE_NODE_SIZE)))))
+    lead, chosen = _plan(fingerprints.count(), share)
     narrow, wide = _radius(BITS, share), _radius(BITS * WIDE_WORDS, share)
-    draw = np.random.default_rng(64)
-    chosen = [draw.permutation(BITS * WIDE_WORDS)[:BITS] for _ in range(_tables(lead, share))]
-
-    def viewed(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            words = np.frombuffer(b"".join(batch.column(1).to_pylist()), "u1").reshape(batch.num_rows, -1)
-            bits = np.unpackbits(words, axis=1, bitorder="little")
-            numbers = [batch.column(k).to_numpy().astype("<i8").view("u1").reshape(-1, 8) for k in (0, 2, 3, 4)]
-            entries = pa.array([e.tobytes() for e in np.concatenate([*numbers, words], axis=1)], pa.binary())
-            for t, places in enumerate(chosen):  # the first place is the highest bit
-                view = np.ascontiguousarray(np.packbits(bits[:, places], axis=1)).view(">u8").ravel().astype(np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, t, np.int32)), pa.array(view), entries], names=["table", "view", "entry"])
-
-    rows = fingerprints.select("id", "wide", "grp", "apart", "after").mapInArrow(viewed, "table int, view long, entry binary")
+    rows = _views(fingerprints.select("id", "wide", "grp", "apart", "after"), chosen)
     packs = settle(gray_packs(rows, lead, ["entry"]), f"{folder}/packs")
-    several = packs.groupBy("table", "node").count().where("count > 1").select("table", "node")
-    own = packs.select("views", F.col("views").alias("their_views"), "entry", F.col("entry").alias("their_entry"))
-    other = pack_pairs(packs.join(several, ["table", "node"], "left_semi"), [0], narrow, ["entry"], False)
-    pairs = own.unionByName(other.select("views", "their_views", "entry", "their_entry"))
+    pairs = _met_packs(packs, narrow, ["entry"])
 
     def compare(batches):
         held, size = [_NONE], 0  # combined in the task: a fingerprint of a large group meets many packs
@@ -361,8 +379,9 @@ def candidate_links(fingerprints: DataFrame, folder: str, share: float, keep: in
 
 #: Rows of best partners that a task combines before it passes them on.
 ROWS_COMBINED = 400_000
-#: Partners that a fingerprint is held against in the first round, and in any; each round takes four times as many.
-FIRST_ROUND, ANY_ROUND = 1, 64
+#: Partners that a fingerprint is held against in the rounds that look at texts; who has more after them is decided
+#: in packs, with all partners at once.
+ROUNDS = (1, 4, 16)
 _NONE = tuple(np.zeros(0, np.int64) for _ in range(3))
 
 
@@ -382,6 +401,64 @@ def _best(rows: tuple[np.ndarray, ...], keep: int) -> tuple[np.ndarray, ...]:
     return a[some], b[some], apart[some]
 
 
+#: Shingles that are told apart at once, and pairs, when sets of shingles are compared.
+_SHINGLES_AT_ONCE, _PAIRS_AT_ONCE = 8192, 20_000
+
+
+def _alike(i: np.ndarray, j: np.ndarray, left: list[np.ndarray], right: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which pairs (i, j) of sets ``left[i]`` and ``right[j]``, sorted numbers without repeats, are this similar."""
+    rows, cols = np.unique(i, return_inverse=True), np.unique(j, return_inverse=True)
+    sets = [left[k] for k in rows[0]] + [right[k] for k in cols[0]]
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = times > 1  # what one set alone has is in no intersection
+    owner, at = owner[common[at]], (np.cumsum(common) - 1)[at[common[at]]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    i, j = rows[1], len(rows[0]) + cols[1]
+    shared = np.zeros(len(i), np.int64)
+    for first in range(0, int(common.sum()), _SHINGLES_AT_ONCE):
+        a, b = np.searchsorted(at, [first, first + _SHINGLES_AT_ONCE])
+        grid = np.zeros((len(sets), min(_SHINGLES_AT_ONCE, int(common.sum()) - first)), bool)
+        grid[owner[a:b], at[a:b] - first] = True
+        packed = np.packbits(np.pad(grid, ((0, 0), (0, -grid.shape[1] % 64))), axis=1).view(np.uint64)
+        for k in range(0, len(i), _PAIRS_AT_ONCE):
+            some = slice(k, k + _PAIRS_AT_ONCE)
+            shared[some] += np.bitwise_count(packed[i[some]] & packed[j[some]]).sum(1, dtype=np.int64)
+    return shared >= similarity * (sizes[i] + sizes[j] - shared)
+
+
+def decided_links(fingerprints: DataFrame, folder: str, share: float, similarity: float) -> DataFrame:
+    """Links ``(a, b)`` that connect all candidates among ``fingerprints(id, wide, grp, size, sets)`` of different ``grp``
+    whose sets, ``size`` sorted 64-bit hashes, are this similar.
+
+    Candidates are those of `candidate_links`, all of them: sets travel with the packs, a pair of packs decides its
+    candidates on the spot and returns links that span what is alike, never all pairs.
+    """
+    lead, chosen = _plan(fingerprints.count(), share)
+    narrow, wide = _radius(BITS, share), _radius(BITS * WIDE_WORDS, share)
+    packs = settle(gray_packs(_views(fingerprints.select("id", "wide", "grp", "size", "sets"), chosen), lead, ["entry", "sets"]), f"{folder}/packs")
+
+    def compare(batches):
+        for batch in batches:
+            found = []
+            for x, y, mine, its, sets, their_sets in zip(*(batch.column(k) for k in range(6))):
+                i, j = near_pairs(np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8"), narrow)
+                left, right = (np.frombuffer(e.as_py(), "<i8").reshape(-1, 3 + WIDE_WORDS) for e in (mine, its))
+                keep = left[i, 1] != right[j, 1]
+                i, j = i[keep], j[keep]
+                keep = np.bitwise_count(np.ascontiguousarray(left[i, 3:] ^ right[j, 3:]).view(np.uint64)).sum(1, dtype=np.int64) <= wide
+                i, j = i[keep], j[keep]
+                if len(i):
+                    cut = [np.split(np.frombuffer(z.as_py(), "<u8"), np.cumsum(e[:, 2])[:-1]) for z, e in ((sets, left), (their_sets, right))]
+                    keep = _alike(i, j, *cut, similarity)
+                    found += spanning(left[i[keep], 0], right[j[keep], 0])
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
+
+    return _met_packs(packs, narrow, ["entry", "sets"]).mapInArrow(compare, "a long, b long").distinct()
+
+
 def similar_links(links: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
     """Those of ``links(a, b)`` whose ``texts(id, text)`` have shingle sets of this Jaccard similarity or more.
 
@@ -411,8 +488,9 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8)
     of ``width``-word shingles have this Jaccard similarity or more.
 
     Candidates come from the Gray-order index over wide SimHash fingerprints; each is decided by its shingles.
-    Equal texts are one entry. In rounds an entry is held against its next candidates, nearest first, that aren't in
-    its group yet, and against the smallest of them, until no entry has any left. So no group's pairs are listed,
+    Equal texts are one entry. In a few rounds an entry is held against its next candidates, nearest first, that
+    aren't in its group yet, and against the smallest of them; entries that have more then travel with their sets of
+    shingles, and pairs of packs decide all candidates that are left. So no group's pairs are listed,
     nothing unlike is linked, and every candidate is decided; a pair at the threshold is missed only where no table
     of the index holds both, at most a fiftieth of such pairs by design. Texts without words (null, empty, white
     space) are alike. A null doc_id is reachable but never a component's name unless nothing else is. Repeated rows
@@ -434,8 +512,7 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8)
     start = F.lit(-1).cast("long")
     active = entries.select("id", "wide", F.col("id").alias("grp"), start.alias("apart"), start.alias("after"))
     texts = tested = alike = groups = None
-    turn, keep = 0, FIRST_ROUND
-    while True:
+    for turn, keep in enumerate(ROUNDS):
         met = settle(candidate_links(active, f"{folder}/{turn}", share, keep), f"{folder}/{turn}/met")
         links = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         links = settle(links if tested is None else links.join(tested, ["a", "b"], "left_anti"), f"{folder}/{turn}/links")
@@ -456,7 +533,16 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8)
         tested = links if tested is None else tested.unionByName(links)
         active = entries.join(left, "id")
         active = active.select("id", "wide", F.col("id").alias("grp"), "apart", "after") if groups is None else active.join(groups, "id", "left").select("id", "wide", F.coalesce("root", "id").alias("grp"), "apart", "after")
-        turn, keep = turn + 1, min(4 * keep, ANY_ROUND)
+    else:
+        def shingle_sets(batches):
+            for batch in batches:
+                sets = [np.unique(_hashes(t, width, 42)).astype("<u8") for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "size", "sets"])
+
+        sets = texts.join(active.select("id"), "id", "left_semi").select("id", "text").mapInArrow(shingle_sets, "id long, size long, sets binary")
+        more = settle(decided_links(active.join(sets, "id"), f"{folder}/last", share, similarity), f"{folder}/last/alike")
+        if not more.isEmpty():
+            groups = components(more if alike is None else alike.unionByName(more), "similar")
     named = entries.drop("wide")
     if groups is not None:
         named = named.join(groups, "id", "left").withColumn("root", F.coalesce("root", "id"))
