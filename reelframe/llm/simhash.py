@@ -381,7 +381,7 @@ def candidate_links(fingerprints: DataFrame, folder: str, share: float, keep: in
 ROWS_COMBINED = 400_000
 #: Partners that a fingerprint is held against in the rounds that look at texts; who has more after them is decided
 #: in packs, with all partners at once.
-ROUNDS = (1, 4, 16)
+ROUNDS = (1, 4)
 _NONE = tuple(np.zeros(0, np.int64) for _ in range(3))
 
 
