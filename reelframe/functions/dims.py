@@ -6,49 +6,52 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Name, components, bits a pixel, planes, log2 of chroma width and height, planar, alpha, hardware, bits a component.
-PIXEL_FORMATS = """
-yuv420p 3 12 3 1 1 t f f 8
-yuv422p 3 16 3 1 0 t f f 8
-yuv444p 3 24 3 0 0 t f f 8
-yuv420p10le 3 15 3 1 1 t f f 10
-yuv420p10be 3 15 3 1 1 t f f 10
-yuv422p10le 3 20 3 1 0 t f f 10
-yuv444p10le 3 30 3 0 0 t f f 10
-yuva420p 4 20 4 1 1 t t f 8
-nv12 3 12 2 1 1 t f f 8
-nv21 3 12 2 1 1 t f f 8
-rgb24 3 24 1 0 0 f f f 8
-bgr24 3 24 1 0 0 f f f 8
-rgba 4 32 1 0 0 f t f 8
-bgra 4 32 1 0 0 f t f 8
-argb 4 32 1 0 0 f t f 8
-abgr 4 32 1 0 0 f t f 8
-gbrp 3 24 3 0 0 t f f 8
-gray 1 8 1 0 0 f f f 8
-gray16le 1 16 1 0 0 f f f 16
-yuyv422 3 16 1 1 0 f f f 8
-uyvy422 3 16 1 1 0 f f f 8
-vaapi 0 0 0 0 0 f f t 0
-d3d11 0 0 0 0 0 f f t 0
-videotoolbox 0 0 0 0 0 f f t 0
-cuda 0 0 0 0 0 f f t 0
-"""
+PIXEL_FORMATS = (
+    ("yuv420p", 3, 12, 3, 1, 1, True, False, False, 8),
+    ("yuv422p", 3, 16, 3, 1, 0, True, False, False, 8),
+    ("yuv444p", 3, 24, 3, 0, 0, True, False, False, 8),
+    ("yuv420p10le", 3, 15, 3, 1, 1, True, False, False, 10),
+    ("yuv420p10be", 3, 15, 3, 1, 1, True, False, False, 10),
+    ("yuv422p10le", 3, 20, 3, 1, 0, True, False, False, 10),
+    ("yuv444p10le", 3, 30, 3, 0, 0, True, False, False, 10),
+    ("yuva420p", 4, 20, 4, 1, 1, True, True, False, 8),
+    ("nv12", 3, 12, 2, 1, 1, True, False, False, 8),
+    ("nv21", 3, 12, 2, 1, 1, True, False, False, 8),
+    ("rgb24", 3, 24, 1, 0, 0, False, False, False, 8),
+    ("bgr24", 3, 24, 1, 0, 0, False, False, False, 8),
+    ("rgba", 4, 32, 1, 0, 0, False, True, False, 8),
+    ("bgra", 4, 32, 1, 0, 0, False, True, False, 8),
+    ("argb", 4, 32, 1, 0, 0, False, True, False, 8),
+    ("abgr", 4, 32, 1, 0, 0, False, True, False, 8),
+    ("gbrp", 3, 24, 3, 0, 0, True, False, False, 8),
+    ("gray", 1, 8, 1, 0, 0, False, False, False, 8),
+    ("gray16le", 1, 16, 1, 0, 0, False, False, False, 16),
+    ("yuyv422", 3, 16, 1, 1, 0, False, False, False, 8),
+    ("uyvy422", 3, 16, 1, 1, 0, False, False, False, 8),
+    ("vaapi", 0, 0, 0, 0, 0, False, False, True, 0),
+    ("d3d11", 0, 0, 0, 0, 0, False, False, True, 0),
+    ("videotoolbox", 0, 0, 0, 0, 0, False, False, True, 0),
+    ("cuda", 0, 0, 0, 0, 0, False, False, True, 0),
+)
 # Name and bytes a sample; planar twins end in p.
 SAMPLE_BYTES = {"u8": 1, "s16": 2, "s32": 4, "flt": 4, "dbl": 8}
 # Layouts and their channels.
 LAYOUTS = {
-    "mono": "FC",
-    "stereo": "FL FR",
-    "2.1": "FL FR LFE",
-    "3.0": "FL FR FC",
-    "quad": "FL FR BL BR",
-    "5.0": "FL FR FC BL BR",
-    "5.1": "FL FR FC LFE BL BR",
-    "7.1": "FL FR FC LFE BL BR SL SR",
+    "mono": ("FC",),
+    "stereo": ("FL", "FR"),
+    "2.1": ("FL", "FR", "LFE"),
+    "3.0": ("FL", "FR", "FC"),
+    "quad": ("FL", "FR", "BL", "BR"),
+    "5.0": ("FL", "FR", "FC", "BL", "BR"),
+    "5.1": ("FL", "FR", "FC", "LFE", "BL", "BR"),
+    "7.1": ("FL", "FR", "FC", "LFE", "BL", "BR", "SL", "SR"),
 }
 LAYOUT_ALIASES = {"surround": "3.0", "4.0": "quad"}
 # Codecs by kind. Subtitle codecs are reported as audio.
-CODECS = {"video": "h264 hevc vp8 vp9 av1 png none", "audio": "pcm_s16le pcm_s16be pcm_f32le pcm_f32be pcm_u8 flac aac opus mp3 vorbis srt ass webvtt"}
+CODECS = {
+    "video": ("h264", "hevc", "vp8", "vp9", "av1", "png", "none"),
+    "audio": ("pcm_s16le", "pcm_s16be", "pcm_f32le", "pcm_f32be", "pcm_u8", "flac", "aac", "opus", "mp3", "vorbis", "srt", "ass", "webvtt"),
+}
 # NAL unit types.
 NAL_TYPES = {1: "Slice", 2: "SlicePartA", 3: "SlicePartB", 4: "SlicePartC", 5: "SliceIdr", 6: "Sei", 7: "Sps", 8: "Pps", 9: "Aud", 10: "EndSequence", 11: "EndStream", 12: "Filler", 13: "SpsExt", 19: "AuxSlice", 20: "SliceExt"}
 NAL_PICTURE_TYPES = (1, 2, 3, 4, 5, 19, 20)
@@ -65,7 +68,7 @@ OPUS_RATES = {"NB": 8000, "MB": 12000, "WB": 16000, "SWB": 24000, "FB": 48000}
 
 
 def pixel_formats(spark: SparkSession) -> DataFrame:
-    rows = [(i, n, *map(int, x[:5]), *(f == "t" for f in x[5:8]), int(x[8])) for i, (n, *x) in enumerate(line.split() for line in PIXEL_FORMATS.strip().splitlines())]
+    rows = [(i, *row) for i, row in enumerate(PIXEL_FORMATS)]
     return spark.createDataFrame(rows, "id int, name string, components int, bpp int, planes int, log2_cw int, log2_ch int, planar boolean, alpha boolean, hardware boolean, bpc int")
 
 
@@ -75,11 +78,11 @@ def sample_formats(spark: SparkSession) -> DataFrame:
 
 
 def channel_layouts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, n, c.split()) for i, (n, c) in enumerate(LAYOUTS.items())], "id int, name string, channels array<string>")
+    return spark.createDataFrame([(i, n, list(c)) for i, (n, c) in enumerate(LAYOUTS.items())], "id int, name string, channels array<string>")
 
 
 def codecs(spark: SparkSession) -> DataFrame:
-    rows = [(n, kind) for kind, names in CODECS.items() for n in names.split()]
+    rows = [(n, kind) for kind, names in CODECS.items() for n in names]
     return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, name string, media_type string")
 
 
@@ -95,13 +98,13 @@ def opus_configs(spark: SparkSession) -> DataFrame:
 def layout_of(name: Column) -> Column:
     """Channels of a named layout, aliases included; null if unknown."""
     known = LAYOUTS | {a: LAYOUTS[n] for a, n in LAYOUT_ALIASES.items()}
-    table = F.create_map(*[x for n, c in known.items() for x in (F.lit(n), F.array(*map(F.lit, c.split())))])
+    table = F.create_map(*[x for n, c in known.items() for x in (F.lit(n), F.array(*map(F.lit, c)))])
     return F.try_element_at(table, name)
 
 
 def layout_name(channels: Column) -> Column:
     """Name of a layout, or its channels joined by +."""
-    found = F.coalesce(*[F.when(channels == F.array(*map(F.lit, c.split())), n) for n, c in LAYOUTS.items()])
+    found = F.coalesce(*[F.when(channels == F.array(*map(F.lit, c)), n) for n, c in LAYOUTS.items()])
     return F.coalesce(found, F.array_join(channels, "+"))
 
 
