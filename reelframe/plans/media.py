@@ -127,14 +127,15 @@ def mp4_many_tasks(spark, sf_dir):
     return back.join(first, "stream_index").select("stream_index", (F.col("least") + 2 * F.col("seq")).alias("seq"), F.md5("data").alias("payload"), "duration", "keyframe")
 
 
-_NAMED = F.substring_index("path", "/", -1).alias("file")
+def _named():
+    return F.substring_index("path", "/", -1).alias("file")
 
 
 @query(f"WITH {_MP4} SELECT file, seq, decode(b) AS payload, duration, pts, keyframe FROM m")
 def mp4_roundtrip(spark, sf_dir):
     """Each user's events as the samples of an MP4 file, written and read back through ``format("mp4")``."""
     back = spark.read.format("mp4").load(_write_mp4(spark, sf_dir))
-    return back.select(_NAMED, "seq", F.decode("data", "utf-8").alias("payload"), "duration", "pts", "keyframe")
+    return back.select(_named(), "seq", F.decode("data", "utf-8").alias("payload"), "duration", "pts", "keyframe")
 
 
 def _indexed(spark, sf_dir) -> tuple[str, str]:
@@ -150,7 +151,7 @@ def mp4_time_range(spark, sf_dir):
     """What a player reads of every file to show 5 to 20 ms: from the last keyframe before, by the index."""
     _, index = _indexed(spark, sf_dir)
     rows = mp4_index.read_packets(spark.read.parquet(index), since=450 / 90_000, until=1800 / 90_000)
-    return rows.select(_NAMED, "seq", "pts", F.decode("data", "utf-8").alias("payload"))
+    return rows.select(_named(), "seq", "pts", F.decode("data", "utf-8").alias("payload"))
 
 
 @query(f"WITH {_MP4} SELECT file, seq, pts, decode(b) AS payload FROM m WHERE keyframe AND pts >= 450 AND pts < 1800")
@@ -158,7 +159,7 @@ def mp4_pushed_conditions(spark, sf_dir):
     """Conditions on time and keyframes that the reader answers from the index before it opens a file."""
     folder, index = _indexed(spark, sf_dir)
     rows = spark.read.format("mp4").option("index", index).option("pushFilters", "true").load(folder).where("keyframe and pts >= 450 and pts < 1800")
-    return rows.select(_NAMED, "seq", "pts", F.decode("data", "utf-8").alias("payload"))
+    return rows.select(_named(), "seq", "pts", F.decode("data", "utf-8").alias("payload"))
 
 
 @query(f"""WITH {_MP4}, o AS (SELECT file, seq, keyframe, pts, 36 + coalesce(sum(octet_length(b)) OVER (PARTITION BY file ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM m)
@@ -168,7 +169,7 @@ def mp4_seek_flags(spark, sf_dir):
     _, folder = _indexed(spark, sf_dir)
     index = spark.read.parquet(folder)
     found = {n: mp4_index.starts(index, x, flag).select("path", F.col("start").alias(n)) for n, x, flag in (("by_byte", 500, mp4_index.BYTE), ("by_time", 450 / 90_000, mp4_index.ANY), ("by_keyframe", 450 / 90_000, mp4_index.BACKWARD))}
-    return found["by_time"].join(found["by_byte"], "path", "left").join(found["by_keyframe"], "path", "left").select(_NAMED, "by_byte", "by_time", F.coalesce("by_keyframe", F.lit(-1)).alias("by_keyframe"))
+    return found["by_time"].join(found["by_byte"], "path", "left").join(found["by_keyframe"], "path", "left").select(_named(), "by_byte", "by_time", F.coalesce("by_keyframe", F.lit(-1)).alias("by_keyframe"))
 
 
 @query("""WITH s AS (SELECT p_partkey, p_size AS z, unnest(range(0, 6)) AS seq FROM part)

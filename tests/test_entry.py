@@ -29,3 +29,12 @@ def test_against_sql(spark, name):
     cols = sorted(rows.columns)
     want = db.execute(f"select {', '.join(chr(34) + c + chr(34) for c in cols)} from ({entry.oracle_sql()[name]})").fetchall()
     assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in rows.select(*cols).collect())
+
+
+def test_import_needs_no_session():
+    """Importing the entry and listing its queries works before a session is there."""
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    subprocess.run([sys.executable, "-c", code], check=True, capture_output=True, cwd=str(entry.ROOT))
