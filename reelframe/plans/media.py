@@ -85,18 +85,31 @@ def audio_frames(spark, sf_dir):
     return rows.select("p_partkey", "f.sample_rate", F.when(F.col("f").isNotNull(), packets.plane_count(planes)).alias("planes_set"))
 
 
-@query("""WITH d AS (SELECT source, sum(octet_length(encode(text)))::BIGINT AS n FROM documents GROUP BY source)
-SELECT source || '.wav' AS file, (n + 4095) // 4096 AS packets, n AS samples, n AS bytes, 'pcm_u8' AS codec_id FROM d""")
-def wav_roundtrip(spark, sf_dir):
-    """Each source's texts as the audio of a WAV file, written and read back through ``format("wav")``."""
+def _write_wav(spark, sf_dir) -> str:
+    """Each source's texts as the audio of a WAV file, written by many tasks; returns their folder."""
     register(spark)
     folder = shared_dir(spark, "wav")
     rows = table(spark, sf_dir, "documents").select(F.concat("source", F.lit(".wav")).alias("path"), F.lit(0).alias("stream_index"), F.col("doc_id").alias("seq"), F.lit(None).cast("long").alias("pts"), F.lit(None).cast("long").alias("duration"), F.lit(8000).alias("sample_rate"), F.lit(1).alias("channels"), F.lit("pcm_u8").alias("codec_id"), F.lit(None).cast("long").alias("pos"), F.encode("text", "utf-8").alias("data"))
     mux.write_media(rows, folder, "wav", rows_per_part=2_500)
-    back = spark.read.format("wav").load(folder)
+    return folder
+
+
+@query("""WITH d AS (SELECT source, sum(octet_length(encode(text)))::BIGINT AS n FROM documents GROUP BY source)
+SELECT source || '.wav' AS file, (n + 4095) // 4096 AS packets, n AS samples, n AS bytes, 'pcm_u8' AS codec_id FROM d""")
+def wav_roundtrip(spark, sf_dir):
+    """Each source's texts as the audio of a WAV file, written and read back through ``format("wav")``."""
+    back = spark.read.format("wav").load(_write_wav(spark, sf_dir))
     return back.groupBy(F.substring_index("path", "/", -1).alias("file")).agg(F.count("*").alias("packets"), F.sum("duration").alias("samples"), F.sum(F.octet_length("data")).cast("long").alias("bytes"), F.first("codec_id").alias("codec_id"))
 
 
+@query("""WITH d AS (SELECT source, sum(octet_length(encode(text)))::BIGINT AS n FROM documents GROUP BY source), p AS (SELECT source, n, unnest(range(0, (n + 4095) // 4096)) AS seq FROM d)
+SELECT source || '.wav' AS file, seq, seq * 4096 AS pts, least(4096, n - seq * 4096)::BIGINT AS duration FROM p WHERE seq >= 3 * 8000 // 4096 AND seq * 4096 < 5 * 8000""")
+def wav_time_range(spark, sf_dir):
+    """The packets of every file that sound between 3 and 5 seconds; only these are read."""
+    rows = spark.read.format("wav").option("since", "3").option("until", "5").load(_write_wav(spark, sf_dir))
+    return rows.select(F.substring_index("path", "/", -1).alias("file"), "seq", "pts", "duration")
+
+
 _MP4 = """e AS (SELECT user_id, event_id, encode(event_type || props) AS b, event_id % 50 + 1 AS d, event_type = 'view' AS k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq FROM events),
 m AS (SELECT user_id || '.mp4' AS file, seq, b, d AS duration, coalesce(sum(d) OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pts, k AS keyframe FROM e)"""
 

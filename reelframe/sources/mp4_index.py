@@ -6,6 +6,8 @@ from it opens only what is read.
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +18,10 @@ from reelframe.operators.seek import ANY, BACKWARD, BYTE
 from reelframe.sources.files import open_read, place_of
 from reelframe.sources.mp4 import SCHEMA, Bounds, Samples, Track, find_moov, read_batches, read_tracks, track_samples
 
+INDEX = "path string, stream_index int, first long, samples int, pts long, last_pts long, low long, high long, key_before long, timescale int, codec_id string, sample_rate int, channels int, width int, height int, offsets array<long>, sizes array<long>, durations array<long>, keyframes array<int>"
+_KINDS = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
+_ARROW = pa.schema([(c.split(" ")[0], _KINDS[c.split(" ")[1]]) for c in INDEX.split(", ")])
 _ARRAYS = ["offsets", "sizes", "durations"]
-_PLAIN = "path string, stream_index int, first long, samples int, pts long, last_pts long, low long, high long, key_before long, timescale int, codec_id string, sample_rate int, channels int, width int, height int"
-INDEX = f"{_PLAIN}, offsets array<long>, sizes array<long>, durations array<long>, keyframes array<int>"
 _KEYS = ["path", "stream_index"]
 
 
@@ -29,7 +32,6 @@ def index_files(spark: SparkSession, path: str, samples: int = 16384, errors: st
     ``key_before`` is the last keyframe before the stretch. A file that can't be parsed is an error or left out.
     Write the index before reading by it, else its tables are parsed again.
     """
-    names = INDEX.split(", ")
 
     def parse(batches):
         for batch in batches:
@@ -37,7 +39,7 @@ def index_files(spark: SparkSession, path: str, samples: int = 16384, errors: st
                 try:
                     with open_read(name) as f:
                         tracks = read_tracks(find_moov(f), f.size())
-                except ValueError:
+                except (ValueError, struct.error):
                     if errors == SKIP:
                         continue
                     raise
@@ -46,15 +48,10 @@ def index_files(spark: SparkSession, path: str, samples: int = 16384, errors: st
                     if rows:
                         yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
-    assert len(names) == len(_ARROW)
     listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.mp4").option("recursiveFileLookup", "true").load(path)
     return listed.select(F.regexp_replace("path", "^file:/+", "/").alias("path")).mapInArrow(parse, INDEX)
 
 
-_KINDS = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
-_ARROW = pa.schema([(c.split(" ")[0], _KINDS[c.split(" ")[1]]) for c in INDEX.split(", ")])
-
-
 def _stretches(s: Samples, step: int):
     t, keys = s.track, np.where(s.sync, s.seq, -1)
     before = np.concatenate([[-1], np.maximum.accumulate(keys)]) if len(keys) else keys

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -79,12 +80,14 @@ class Stretch(InputPartition):
 
 class WavReader(DataSourceReader):
     """Plans stretches of bytes from the listing alone, so that a large file is read by many tasks and none is opened
-    to plan. A task reads the header and takes the packets that start in its stretch."""
+    to plan. A task reads the header and takes the packets that start in its stretch; of these, with ``since`` and
+    ``until`` (seconds), those from the packet that holds the one time to before the other."""
 
     def __init__(self, options: dict):
         self.path = options["path"]
         self.payload = options.get("payload", "true").lower() == "true"
         self.step = int(options.get("bytesPerPartition", 16 << 20))
+        self.since, self.until = float(options.get("since", "0")), float(options.get("until", "inf"))
 
     def partitions(self) -> list[InputPartition]:
         return [Stretch(path, a, a + self.step) for path, size in list_sizes(self.path, ".wav") for a in range(0, max(size, 1), self.step)]
@@ -96,6 +99,10 @@ class WavReader(DataSourceReader):
             h = read_header(f)
             step = FRAMES_PER_PACKET * h.align
             low, high = (max(0, -(-(x - h.start) // step)) for x in (partition.first, partition.until))
+            # packets lie at even places: the one that holds a time is known from the rate
+            low = max(low, int(self.since * h.rate // FRAMES_PER_PACKET))
+            if self.until != float("inf"):
+                high = min(high, math.ceil(self.until * h.rate / FRAMES_PER_PACKET))
             for seq in range(low, min(high, -(-h.size // step))):
                 at = seq * step
                 size = min(step, h.size - at)
@@ -140,7 +147,8 @@ class WavWriter(DataSourceWriter):
 
 
 class WavSource(DataSource):
-    """``spark.read.format("wav").load(path)``; option ``payload=false`` leaves out the samples."""
+    """``spark.read.format("wav").load(path)``; options: ``payload=false`` leaves out the samples,
+    ``since`` and ``until`` bound the time, ``bytesPerPartition`` what a task reads."""
 
     @classmethod
     def name(cls) -> str:

@@ -67,6 +67,8 @@ def test_wav_round_trip(spark, tmp_path):
     assert [(r.pts, r.duration) for r in rows[1:]] == [(0, 4096), (4096, 4096), (8192, 809)]
     cut = spark.read.format("wav").option("bytesPerPartition", "1000").load(f"file://{tmp_path}/w")
     assert cut.orderBy("path", "seq").collect() == rows and cut.rdd.getNumPartitions() == 11
+    part = spark.read.format("wav").option("since", 0.6).option("until", 1.03).option("bytesPerPartition", "1000").load(f"file://{tmp_path}/w")
+    assert [(r.path[-5:], r.seq) for r in part.orderBy("path", "seq").collect()] == [("b.wav", 1), ("b.wav", 2)]
     light = spark.read.format("wav").option("payload", "false").load(f"file://{tmp_path}/w")
     assert light.where("data is not null").count() == 0 and light.count() == 4
 
