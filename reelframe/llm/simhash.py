@@ -155,7 +155,7 @@ def gray_packs(rows: DataFrame, lead: int, carried: list[str]) -> DataFrame:
     Rows are range-partitioned in Gray order, so a node, which is a pattern of ``lead`` leading bits, is a run of
     it, and a node with many rows is cut into shorter runs, however they are spread. A pack is a run of up to
     `PACK_SIZE` rows of one node: ``(table, node, pack, shared, bits, views, *carried)`` with the bits that all its
-    views share, and views and carried columns one after another. Equal views are told apart by ``carried``.
+    views share, and views and carried columns one after another. Equal views are told apart by the first carried column.
     """
     shift, kinds = np.uint64(BITS - lead) if lead else np.uint64(0), [pa.binary()] * (1 + len(carried))
     names = ["table", "node", "pack", "shared", "bits", "views", *carried]
@@ -181,7 +181,7 @@ def gray_packs(rows: DataFrame, lead: int, carried: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*fixed, *(pa.array(c, k) for c, k in zip(columns, kinds))], names=names)
 
     ranked = rows.select("table", gray_rank_column(F.col("view")).alias("__rank"), *carried)
-    order = ["table", "__rank", *carried]
+    order = ["table", "__rank", *carried[:1]]  # what is sampled for the ranges stays short
     view = F.col("__rank").bitwiseXOR(F.shiftrightunsigned("__rank", 1)).alias("view")  # back from its rank
     ordered = ranked.repartitionByRange(*order).sortWithinPartitions(*order).select("table", view, *carried)
     return ordered.mapInArrow(pack, "table int, node long, pack long, shared long, bits long, views binary" + "".join(f", {c} binary" for c in carried))
@@ -352,16 +352,15 @@ def candidate_links(fingerprints: DataFrame, folder: str, share: float, keep: in
 
         for batch in batches:
             for x, y, mine, its in zip(*(batch.column(k) for k in range(4))):
-                i, j = near_pairs(np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8"), narrow)
+                all_i, all_j = near_pairs(np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8"), narrow)
                 left, right = (np.frombuffer(e.as_py(), "<i8").reshape(-1, 4 + WIDE_WORDS) for e in (mine, its))
-                other_group = left[i, 1] != right[j, 1]
-                i, j = i[other_group], j[other_group]
-                apart = np.bitwise_count(np.ascontiguousarray(left[i, 4:] ^ right[j, 4:]).view(np.uint64)).sum(1, dtype=np.int64)
-                near = apart <= wide
-                i, j, apart = i[near], j[near], apart[near]
-                both = [(left[i], right[j, 0]), (right[j], left[i, 0])]
-                ahead = [(apart > a[:, 2]) | (apart == a[:, 2]) & (b > a[:, 3]) for a, b in both]
-                held.append(_best(tuple(np.concatenate(c) for c in zip(*((a[some, 0], b[some], apart[some]) for (a, b), some in zip(both, ahead)))), keep))
+                best = [_NONE]
+                for k in range(0, len(all_i), _PAIRS_HELD):
+                    i, j, apart = _apart(left, right, all_i[k : k + _PAIRS_HELD], all_j[k : k + _PAIRS_HELD], wide)
+                    p, q = left[i, 0], right[j, 0]
+                    forth, back = ((apart > e[n, 2]) | (apart == e[n, 2]) & (o > e[n, 3]) for e, n, o in ((left, i, q), (right, j, p)))
+                    best.append(_best((np.concatenate([p[forth], q[back]]), np.concatenate([q[forth], p[back]]), np.concatenate([apart[forth], apart[back]])), keep))
+                held.append(_best(tuple(map(np.concatenate, zip(*best))), keep))
                 size += len(held[-1][0])
                 if size > ROWS_COMBINED:
                     held = [_best(tuple(map(np.concatenate, zip(*held))), keep)]
@@ -377,6 +376,20 @@ def candidate_links(fingerprints: DataFrame, folder: str, share: float, keep: in
     return ranked.where((F.col("place") <= keep) | (F.col("b") == F.col("least"))).select("a", "b", "apart", "place")
 
 
+#: Pairs of a pack with another that are looked at together; bounds memory alone.
+_PAIRS_HELD = 1 << 17
+
+
+def _apart(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Those pairs of entries of different groups whose wide fingerprints, the last numbers, differ in ``most`` bits or
+    fewer, and in how many."""
+    other = left[i, 1] != right[j, 1]
+    i, j, first = i[other], j[other], left.shape[1] - WIDE_WORDS
+    apart = sum(np.bitwise_count((left[i, w] ^ right[j, w]).view(np.uint64)).astype(np.int64) for w in range(first, left.shape[1]))
+    near = apart <= most
+    return i[near], j[near], apart[near]
+
+
 #: Rows of best partners that a task combines before it passes them on.
 ROWS_COMBINED = 400_000
 #: Partners that a fingerprint is held against in the rounds that look at texts; who has more after them is decided
@@ -444,16 +457,15 @@ def decided_links(fingerprints: DataFrame, folder: str, share: float, similarity
         for batch in batches:
             found = []
             for x, y, mine, its, sets, their_sets in zip(*(batch.column(k) for k in range(6))):
-                i, j = near_pairs(np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8"), narrow)
+                all_i, all_j = near_pairs(np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8"), narrow)
                 left, right = (np.frombuffer(e.as_py(), "<i8").reshape(-1, 3 + WIDE_WORDS) for e in (mine, its))
-                keep = left[i, 1] != right[j, 1]
-                i, j = i[keep], j[keep]
-                keep = np.bitwise_count(np.ascontiguousarray(left[i, 3:] ^ right[j, 3:]).view(np.uint64)).sum(1, dtype=np.int64) <= wide
-                i, j = i[keep], j[keep]
-                if len(i):
-                    cut = [np.split(np.frombuffer(z.as_py(), "<u8"), np.cumsum(e[:, 2])[:-1]) for z, e in ((sets, left), (their_sets, right))]
-                    keep = _alike(i, j, *cut, similarity)
-                    found += spanning(left[i[keep], 0], right[j[keep], 0])
+                cut = None
+                for k in range(0, len(all_i), _PAIRS_HELD):
+                    i, j, _ = _apart(left, right, all_i[k : k + _PAIRS_HELD], all_j[k : k + _PAIRS_HELD], wide)
+                    if len(i):
+                        cut = cut or [np.split(np.frombuffer(z.as_py(), "<u8"), np.cumsum(e[:, 2])[:-1]) for z, e in ((sets, left), (their_sets, right))]
+                        keep = _alike(i, j, *cut, similarity)
+                        found += spanning(left[i[keep], 0], right[j[keep], 0])
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
 
     return _met_packs(packs, narrow, ["entry", "sets"]).mapInArrow(compare, "a long, b long").distinct()
