@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +60,19 @@ def release_memory() -> None:
         trim(0)
 
 
+def lean(task: Callable) -> Callable:
+    """``task`` of ``mapInArrow``, after which its worker hands back what the task has freed: Spark keeps more workers
+    than run at a time, for the next stages, and what idle ones hold counts as their executor's memory."""
+
+    def run(batches):
+        try:
+            yield from task(batches)
+        finally:
+            release_memory()
+
+    return run
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """Connected components of undirected ``edges(a, b)`` (long ids): rows ``(id, root)``, root = smallest id reachable.
 

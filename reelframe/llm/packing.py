@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelframe.llm.cluster import settle, shared_dir
+from reelframe.llm.cluster import lean, settle, shared_dir
 from reelframe.llm.tokens import encoder
 
 #: Pieces packed together in one task.
@@ -37,7 +37,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int) -
             cols = list(zip(*out)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(cut), PIECES)
 
 
 def sequence_bound(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> int:
@@ -140,7 +140,7 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
         last = tasks == 1
         dealt = waiting.select(*PIECES.replace(" long", "").replace(" int", "").split(", "))
         dealt = dealt.repartition(tasks, F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(turn))) if tasks > 1 else dealt.coalesce(1)
-        placed = settle(dealt.mapInArrow(_pack_task(capacity, turn, last), PLACED), f"{folder}/turn={turn}")
+        placed = settle(dealt.mapInArrow(lean(_pack_task(capacity, turn, last)), PLACED), f"{folder}/turn={turn}")
         done.append(placed)
         if last:
             break
@@ -175,6 +175,6 @@ def sequences(docs: DataFrame, placed: DataFrame, vocabulary: str, end_id: int =
             raw = [np.frombuffer(x + end, "<i4") for x in encoder(vocabulary, MAX_WORDS).encode(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.list_(pa.int32()))], names=["doc_id", "all_ids"])
 
-    ids = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(ids_of, "doc_id long, all_ids array<int>")
+    ids = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(ids_of), "doc_id long, all_ids array<int>")
     parts = placed.join(ids, placed["doc_id"].eqNullSafe(ids["doc_id"])).select("sequence_id", "offset", F.slice("all_ids", F.col("start").cast("int") + 1, F.col("length").cast("int")).alias("ids"))
     return parts.groupBy("sequence_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("offset", "ids"))), lambda x: x["ids"])).alias("ids"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -12,8 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reelframe.llm.cluster import release_memory
+
 #: Rows on which cost and selectivity of the rules are estimated. The order they give never changes a verdict.
 SAMPLE_ROWS = 512
+#: Texts of a batch that are Python strings at once; bounds memory only.
+TEXTS_AT_ONCE = 256
 #: Words of a repeated window.
 WINDOW = 8
 _MARKS = bytes(set(range(256)) - set(b"#*$%&|<>"))
@@ -169,6 +173,19 @@ def apply_rules(docs: DataFrame, rules: list[Rule] | None = None, figures: bool
 
 
 def keep_good(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The documents that every rule lets pass, all columns unchanged."""
-    whole = docs.select("doc_id", "text", F.struct(*docs.columns).alias("__row"))  # whatever the columns are called
-    return apply_rules(whole, keep=["__row"]).where("kept").select("__row.*")
+    """The documents that every rule lets pass, all columns unchanged.
+
+    Only texts go to the Python workers and only verdicts come back; the rows themselves stay in the JVM.
+    """
+    rules = order_rules(docs)
+
+    @F.arrow_udf("boolean")
+    def passes(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in columns:
+            kept: list[bool] = []
+            for a in range(0, len(texts), TEXTS_AT_ONCE):
+                kept += [not any(r.rejects(t) for r in rules) for t in map(Text, texts.slice(a, TEXTS_AT_ONCE).to_pylist())]
+            yield pa.array(kept, pa.bool_())
+            release_memory()
+
+    return docs.where(passes(F.col("text").cast("string")))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reelframe.llm.cluster import components, settle, shared_dir
+from reelframe.llm.cluster import components, lean, settle, shared_dir
 
 BITS = 64
 #: Fingerprints aimed at in an index node; decides how many leading bits name a node.
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
             fps = np.array([_fingerprint(t, width, seed) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(hashed, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(hashed), "doc_id long, fp long")
 
 
 def gray_rank(fp: np.ndarray) -> np.ndarray:
@@ -184,7 +184,7 @@ def gray_packs(rows: DataFrame, lead: int, carried: list[str]) -> DataFrame:
     order = ["table", "__rank", *carried[:1]]  # what is sampled for the ranges stays short
     view = F.col("__rank").bitwiseXOR(F.shiftrightunsigned("__rank", 1)).alias("view")  # back from its rank
     ordered = ranked.repartitionByRange(*order).sortWithinPartitions(*order).select("table", view, *carried)
-    return ordered.mapInArrow(pack, "table int, node long, pack long, shared long, bits long, views binary" + "".join(f", {c} binary" for c in carried))
+    return ordered.mapInArrow(lean(pack), "table int, node long, pack long, shared long, bits long, views binary" + "".join(f", {c} binary" for c in carried))
 
 
 def pack_pairs(packs: DataFrame, masks: list[int], most: int, carried: list[str], own: bool = True) -> DataFrame:
@@ -225,7 +225,7 @@ def link_fingerprints(distinct: DataFrame, folder: str, most: int = 2, node_size
                 found += spanning(p[apart], q[apart])
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
 
-    return pairs.mapInArrow(compare, "a long, b long")
+    return pairs.mapInArrow(lean(compare), "a long, b long")
 
 
 def _patterns(bits: int, most: int) -> list[int]:
@@ -307,7 +307,7 @@ def _views(fingerprints: DataFrame, chosen: list[np.ndarray]) -> DataFrame:
                 view = np.ascontiguousarray(np.packbits(bits[:, places], axis=1)).view(">u8").ravel().astype(np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, t, np.int32)), pa.array(view), entries, *map(batch.column, carried)], names=["table", "view", "entry", *carried])
 
-    return fingerprints.mapInArrow(viewed, "table int, view long, entry binary" + "".join(f", {c} binary" for c in carried))
+    return fingerprints.mapInArrow(lean(viewed), "table int, view long, entry binary" + "".join(f", {c} binary" for c in carried))
 
 
 def _plan(count: int, share: float) -> tuple[int, list[np.ndarray]]:
@@ -370,7 +370,7 @@ def candidate_links(fingerprints: DataFrame, folder: str, share: float, keep: in
                         held, size = [_NONE], 0
         yield rows(_best(tuple(map(np.concatenate, zip(*held))), keep))
 
-    found = pairs.mapInArrow(compare, "a long, b long, apart long").distinct()
+    found = pairs.mapInArrow(lean(compare), "a long, b long, apart long").distinct()
     each = Window.partitionBy("a")  # at most keep + 1 rows from a task
     ranked = found.withColumn("place", F.row_number().over(each.orderBy("apart", "b"))).withColumn("least", F.min("b").over(each))
     return ranked.where((F.col("place") <= keep) | (F.col("b") == F.col("least"))).select("a", "b", "apart", "place")
@@ -468,7 +468,7 @@ def decided_links(fingerprints: DataFrame, folder: str, share: float, similarity
                         found += spanning(left[i[keep], 0], right[j[keep], 0])
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
 
-    return _met_packs(packs, narrow, ["entry", "sets"]).mapInArrow(compare, "a long, b long").distinct()
+    return _met_packs(packs, narrow, ["entry", "sets"]).mapInArrow(lean(compare), "a long, b long").distinct()
 
 
 def similar_links(links: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -492,7 +492,7 @@ def similar_links(links: DataFrame, texts: DataFrame, width: int, similarity: fl
                     kept.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], pa.int64()), pa.array([k[1] for k in kept], pa.int64())], names=["a", "b"])
 
-    return both.mapInArrow(check, "a long, b long")
+    return both.mapInArrow(lean(check), "a long, b long")
 
 
 def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -517,7 +517,7 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8)
             wide = [_wide_fingerprint(t, width, 42) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(wide, pa.binary())], names=["doc_id", "key", "wide"])
 
-    rows = settle(keyed.mapInArrow(hashed, "doc_id long, key binary, wide binary"), f"{folder}/rows")
+    rows = settle(keyed.mapInArrow(lean(hashed), "doc_id long, key binary, wide binary"), f"{folder}/rows")
     entries = rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.first("wide").alias("wide"))
     entries = settle(entries.withColumn("id", F.monotonically_increasing_id()), f"{folder}/entries")
     share = _differing_share(similarity)
@@ -551,7 +551,7 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8)
                 sets = [np.unique(_hashes(t, width, 42)).astype("<u8") for t in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "size", "sets"])
 
-        sets = texts.join(active.select("id"), "id", "left_semi").select("id", "text").mapInArrow(shingle_sets, "id long, size long, sets binary")
+        sets = texts.join(active.select("id"), "id", "left_semi").select("id", "text").mapInArrow(lean(shingle_sets), "id long, size long, sets binary")
         more = settle(decided_links(active.join(sets, "id"), f"{folder}/last", share, similarity), f"{folder}/last/alike")
         if not more.isEmpty():
             groups = components(more if alike is None else alike.unionByName(more), "similar")

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelframe.llm.cluster import settle, shared_dir
+from reelframe.llm.cluster import lean, settle, shared_dir
 
 #: Bytes of an anchor; at least one lies in every window.
 ANCHOR = 64
@@ -238,7 +238,7 @@ def _packed(docs: DataFrame, keep_empty: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([pack(t.encode("utf-8", "surrogatepass")) for t in batch.column(2).to_pylist()], pa.binary())], names=["doc_id", "h", "z"])
 
     rows = _keyed(docs)
-    return (rows if keep_empty else rows.where("text <> ''")).mapInArrow(press, "doc_id long, h long, z binary")
+    return (rows if keep_empty else rows.where("text <> ''")).mapInArrow(lean(press), "doc_id long, h long, z binary")
 
 
 def _same_doc(left: str, right: str):
@@ -266,7 +266,7 @@ def repeated_spans(docs: DataFrame, span: int, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), pa.array(d, mask=null), pa.array(h), pa.array(lo.astype(np.int32)), pa.array(more[:, 0].astype(np.int32)), pa.array(more[:, 1].astype(np.int32))], names=["a", "c", "doc_id", "h", "lo", "windows", "off"])
 
     long_enough = _keyed(docs).where(F.octet_length("text") >= span)
-    found = long_enough.mapInArrow(find, "a long, c long, doc_id long, h long, lo int, windows int, off int")
+    found = long_enough.mapInArrow(lean(find), "a long, c long, doc_id long, h long, lo int, windows int, off int")
     anchors = found.groupBy("a").agg(F.count("*").alias("n"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("n > 1").select("a", (F.col("c1") == F.col("c2")).alias("alike"))
     shared = settle(found.join(anchors, "a"), f"{folder}/shared")
     to_span = lambda df: df.select("doc_id", "h", F.col("lo").cast("long").alias("lo"), (F.col("lo") + F.col("windows") + (span - 1)).cast("long").alias("hi"))
@@ -292,7 +292,7 @@ def repeated_spans(docs: DataFrame, span: int, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 10, kinds)], names=["a", "block", "cut", "alike", "doc_id", "h", "lo", "windows", "off", "data"])
 
     pieces = _packed(docs, False).alias("d").join(by_doc.alias("w"), _same_doc("d", "w")).select("d.doc_id", "d.h", "z", "wanted")
-    pieces = pieces.mapInArrow(fetch, "a long, block int, cut int, alike boolean, doc_id long, h long, lo int, windows int, off int, data binary")
+    pieces = pieces.mapInArrow(lean(fetch), "a long, block int, cut int, alike boolean, doc_id long, h long, lo int, windows int, off int, data binary")
     tasks = max(1, -(-contexts.count() // CONTEXTS_PER_TASK))
     dealt = pieces.repartition(tasks, "a", "block").sortWithinPartitions("a", "block", "doc_id", "h", "lo")
 
@@ -343,7 +343,7 @@ def repeated_spans(docs: DataFrame, span: int, folder: str) -> DataFrame:
             close(group, out)
         yield emit(out)
 
-    judged = settle(dealt.mapInArrow(judge, "a long, doc_id long, h long, lo long, hi long, part int, digests binary, windows binary"), f"{folder}/judged")
+    judged = settle(dealt.mapInArrow(lean(judge), "a long, doc_id long, h long, lo long, hi long, part int, digests binary, windows binary"), f"{folder}/judged")
 
     def across(batches):
         """Windows whose digest another block has too; a block names each of its digests once."""
@@ -369,7 +369,7 @@ def repeated_spans(docs: DataFrame, span: int, folder: str) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*out)) or [[]] * 4], names=["doc_id", "h", "lo", "hi"])
 
     named = judged.where("part is not null").select("a", "part", "doc_id", "h", "lo", "digests", "windows")
-    more = named.repartition("a", "part").sortWithinPartitions("a", "part").mapInArrow(across, "doc_id long, h long, lo long, hi long")
+    more = named.repartition("a", "part").sortWithinPartitions("a", "part").mapInArrow(lean(across), "doc_id long, h long, lo long, hi long")
     return spans.unionByName(judged.where("part is null").select("doc_id", "h", "lo", "hi")).unionByName(more)
 
 
@@ -401,7 +401,7 @@ def cut_documents(docs: DataFrame, span: int = 200) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [[]] * 7, kinds)], names=["doc_id", "h", "n_bytes", "n_removed", "n_spans", "kept", "removed"])
 
-    return rows.mapInArrow(cut, "doc_id long, h long, n_bytes long, n_removed long, n_spans long, kept binary, removed array<struct<lo:long,hi:long>>")
+    return rows.mapInArrow(lean(cut), "doc_id long, h long, n_bytes long, n_removed long, n_spans long, kept binary, removed array<struct<lo:long,hi:long>>")
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, span: int = 200) -> DataFrame:
@@ -435,7 +435,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, span: int = 200) -> Da
     keyed = docs.withColumn("__h", F.xxhash64(text))
     runs = cut.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h2"), F.col("removed").alias("__removed")).dropDuplicates(["__id", "__h2"])
     joined = keyed.join(runs, keyed["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__h2")), "left").drop("__h", "__h2", "__id")
-    out = joined.mapInArrow(rewrite, docs.schema)
+    out = joined.mapInArrow(lean(rewrite), docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

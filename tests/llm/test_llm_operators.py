@@ -6,12 +6,13 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from reelframe.llm import chat, embeddup, mixing, packing, quality, queries, sharding, simhash, suffix, tokenbin, warc
-from reelframe.llm.cluster import components, shared_dir
+from reelframe.llm.cluster import components, lean, shared_dir
 from reelframe.llm.tokens import WordEncoder, public_vocabulary
 
 SF = "/root/testdata/sf0.001"
@@ -48,6 +49,31 @@ def test_components(spark):
     assert components(edges.limit(0), "none").count() == 0
 
 
+def test_idle_workers_hand_memory_back(spark):
+    """A task that frees all but the last of many objects, in a worker that goes on afterwards."""
+
+    def anonymous_mb():
+        with open("/proc/self/smaps_rollup") as f:
+            return next(int(x.split()[1]) / 1024 for x in f if x.startswith("Pss_Anon:"))
+
+    def probe(batches):
+        held = []
+
+        def task(inner):
+            for _ in inner:
+                many = [bytes(600) for _ in range(200_000)]
+                held.append(many[-1])
+                yield anonymous_mb()
+
+        for _ in batches:
+            began = anonymous_mb()
+            (full,) = lean(task)(iter([0]))
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (began, full, anonymous_mb())], names=["began", "full", "after"])
+
+    (r,) = spark.range(1).coalesce(1).mapInArrow(probe, "began double, full double, after double").collect()
+    assert r.full - r.began > 90 and r.after - r.began < 30
+
+
 #: Every kind of white space, controls, combining and cased letters, numbers, marks, and strings of special tokens.
 ATOMS = [" ", " ", " ", " ", "\n", "\n", "  ", "\n\n", "a", "B", "the", "word", "Straße", "\u00e9", "e\u0301", "\u0301", "\u03a3", "\u0130", "\u01c5", "1", "\u00bd", "\u00b2", "\u0663", "\u6f22", "\ud55c", "\u1112\u1161", "'s", "'", "\u2019s", "n't", "|", ".", "...", "!?", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", "|>", ";", "\u212a", "\x00", "\x7f", "\u00aa", "\u00d7", "\U0001f600", "\ufb01"]
 ATOMS += [chr(c) for c in (*range(9, 14), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)]
@@ -187,6 +213,29 @@ def test_cheap_selective_rules_come_first(spark):
     assert [r.name for r in quality.order_rules(frame, [never, slow, good])] == ["good", "slow", "never"]
 
 
+def python_traffic(frame, folder):
+    """Bytes sent to Python workers and back while ``frame`` is written."""
+    store = frame.sparkSession._jsparkSession.sharedState().statusStore()
+    known = store.executionsCount()
+    frame.write.parquet(folder)
+    frame.sparkSession.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    total = {"data sent to Python workers": 0.0, "data returned from Python workers": 0.0}
+    runs = store.executionsList()
+    for at in range(known, runs.size()):
+        values = store.executionMetrics(runs.apply(at).executionId())
+        for m in (runs.apply(at).metrics().apply(k) for k in range(runs.apply(at).metrics().size())):
+            if m.name() in total and values.contains(m.accumulatorId()):
+                number, unit = re.search(r"([\d.]+) (B|[KMG]iB)", values.apply(m.accumulatorId())).groups()
+                total[m.name()] += float(number) * {"B": 1, "KiB": 1 << 10, "MiB": 1 << 20, "GiB": 1 << 30}[unit]
+    return tuple(total.values())
+
+
+def test_quality_sends_texts_once_and_gets_verdicts(spark, docs):
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    sent, returned = python_traffic(quality.keep_good(spark, docs), shared_dir(spark, "traffic"))
+    assert size <= sent < 1.3 * size and 0 < returned < size / 20
+
+
 # 3: sharding
 
 
