@@ -28,8 +28,9 @@ def shuffle_rows(docs: DataFrame, seed: int = 0, bucket_bytes: int = BUCKET_BYTE
 
     Pass one scatters rows over buckets by a seeded hash of ``doc_id`` and text; pass two sorts each bucket (so
     reruns agree), Fisher-Yates shuffles it and numbers it after the buckets before it. The number of buckets
-    follows the bytes of text. Rows without a ``doc_id``, or with the same, are told apart by their text; only rows
-    equal in both share a bucket. Null texts count no bytes. No rows give no rows.
+    follows the bytes of text; where each starts, a number a bucket, is broadcast, so that texts are shuffled once.
+    Rows without a ``doc_id``, or with the same, are told apart by their text; only rows equal in both share a bucket.
+    Null texts count no bytes. No rows give no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     weight = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 64)).first()[0] or 0
@@ -45,7 +46,7 @@ def shuffle_rows(docs: DataFrame, seed: int = 0, bucket_bytes: int = BUCKET_BYTE
         return frame
 
     shuffled = rows.groupBy("bucket").applyInPandas(shuffle, "doc_id long, text string, bucket long, place long")
-    return shuffled.join(starts, "bucket").select("doc_id", "text", (F.col("before") + F.col("place")).alias("position"))
+    return shuffled.join(F.broadcast(starts), "bucket").select("doc_id", "text", (F.col("before") + F.col("place")).alias("position"))
 
 
 def write_shards(docs: DataFrame, folder: str, shards: int, seed: int = 0, bucket_bytes: int = BUCKET_BYTES) -> None:

@@ -262,6 +262,17 @@ def test_sharding(spark, docs, odd, empty):
     assert sorted(small) == list(range(docs.count()))
 
 
+def test_sharding_shuffles_texts_once(spark, docs):
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        plan = sharding.shuffle_rows(docs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(name, before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 # 4: WARC
 
 
