@@ -123,9 +123,12 @@ def _below(level: Level, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.n
     return np.repeat(level.starts[i], sizes) + inner, np.repeat(j, sizes)
 
 
-def spanning(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Links that connect what ``zip(a, b)`` connects: one fewer than there are members of each component."""
-    parent: dict[int, int] = {}
+def spanning(a: np.ndarray, b: np.ndarray, parent: dict[int, int] | None = None) -> list[tuple[int, int]]:
+    """Links that connect what ``zip(a, b)`` connects: one fewer than there are members of each component.
+
+    With the same ``parent`` over several calls, only what the calls before haven't connected is returned.
+    """
+    parent = {} if parent is None else parent
 
     def root(x: int) -> int:
         while (up := parent.setdefault(x, x)) != x:
@@ -317,63 +320,98 @@ def _plan(count: int, share: float) -> tuple[int, list[np.ndarray]]:
     return lead, [draw.permutation(BITS * WIDE_WORDS)[:BITS] for _ in range(_tables(lead, share))]
 
 
-def _met_packs(packs: DataFrame, narrow: int, carried: list[str]) -> DataFrame:
-    """Pairs of packs of one node, each with itself too: columns and ``their_`` columns."""
-    several = packs.groupBy("table", "node").count().where("count > 1").select("table", "node")
+def _met_packs(packs: DataFrame, narrow: int, carried: list[str], several: DataFrame | None = None) -> DataFrame:
+    """Pairs of packs of one node, each with itself too: columns and ``their_`` columns.
+
+    ``several``, if given, stands for the packs of `_shared_nodes`.
+    """
     own = packs.select(*(c for h in ["views", *carried] for c in (F.col(h), F.col(h).alias(f"their_{h}"))))
-    other = pack_pairs(packs.join(several, ["table", "node"], "left_semi"), [0], narrow, carried, False)
+    other = pack_pairs(_shared_nodes(packs) if several is None else several, [0], narrow, carried, False)
     return own.unionByName(other.drop("table"))
 
 
-def candidate_links(fingerprints: DataFrame, folder: str, share: float, keep: int) -> DataFrame:
-    """``(a, b, apart, place)``: partners b of ``fingerprints(id, wide, grp, apart, after)`` a of another ``grp`` that
-    may be as near as ``share`` of the bits, in the order of how many bits they are apart, then of their id.
+def _shared_nodes(packs: DataFrame) -> DataFrame:
+    """Packs of nodes that have several."""
+    several = packs.groupBy("table", "node").count().where("count > 1").select("table", "node")
+    return packs.join(several, ["table", "node"], "left_semi")
+
+
+def _entries(raw: bytes, numbers: int) -> np.ndarray:
+    return np.frombuffer(raw, "<i8").reshape(-1, numbers + WIDE_WORDS)
 
-    Of each fingerprint those count that come after its own (``apart``, ``after``) in this order: the first ``keep``
-    (``place`` from 1), and the one with the smallest id. So a caller that moves this mark on meets every partner.
+
+def _crowded(packs: DataFrame, narrow: int, wide: int, keep: int) -> DataFrame:
+    """``packs`` with ``crowded``, a byte for each entry: whether it has more than ``keep`` candidates in its own pack."""
+
+    def count(batches):
+        for batch in batches:
+            found = []
+            for x, mine in zip(batch.column("views"), batch.column("entry")):
+                views, entries = np.frombuffer(x.as_py(), "<u8"), _entries(mine.as_py(), 2)
+                all_i, all_j = near_pairs(views, views, narrow)
+                partners = np.zeros(len(views), np.int64)
+                for k in range(0, len(all_i), _PAIRS_HELD):
+                    i, _, _ = _apart(entries, entries, all_i[k : k + _PAIRS_HELD], all_j[k : k + _PAIRS_HELD], wide)
+                    partners += np.bincount(i, minlength=len(views))
+                found.append((partners > keep).tobytes())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(found, pa.binary())], names=[*names, "crowded"])
+
+    names = ["table", "node", "pack", "shared", "bits", "views", "entry"]
+    return packs.select(*names).mapInArrow(lean(count), "table int, node long, pack long, shared long, bits long, views binary, entry binary, crowded binary")
+
+
+def candidate_links(fingerprints: DataFrame, folder: str, share: float, keep: int) -> DataFrame:
+    """``(a, b, more)``: partners b of ``fingerprints(id, wide, grp)`` a of another ``grp`` that may be as near as
+    ``share`` of the bits. Of two fingerprints that are such partners one lists the other, or both have ``more``.
 
     Several tables of the index are used. A table's view of a fingerprint is 64 of its bits, drawn anew for each
     table; nodes, packs, Gray order and levels are those of `link_fingerprints`, and packs meet where their nodes'
     patterns are equal. The number of leading bits follows the number of fingerprints, the number of tables the
-    share of pairs that a table misses. Packs of one node are taken in pairs of packs, and what comes out of a pair
-    is no more than ``keep + 1`` rows a fingerprint, so a large group gives few.
+    share of pairs that a table misses.
+
+    A task lists all partners of a fingerprint that meets up to ``keep``, and of others the nearest and the smallest, with
+    ``more``. Who has more than ``keep`` in its own pack has ``more`` from there and lists none from other packs. So a
+    group that fills many packs gives a few rows a fingerprint and table, not some for each pair of its packs.
     """
     lead, chosen = _plan(fingerprints.count(), share)
     narrow, wide = _radius(BITS, share), _radius(BITS * WIDE_WORDS, share)
-    rows = _views(fingerprints.select("id", "wide", "grp", "apart", "after"), chosen)
-    packs = settle(gray_packs(rows, lead, ["entry"]), f"{folder}/packs")
-    pairs = _met_packs(packs, narrow, ["entry"])
+    packs = settle(gray_packs(_views(fingerprints.select("id", "wide", "grp"), chosen), lead, ["entry"]), f"{folder}/packs")
+    several = settle(_crowded(_shared_nodes(packs), narrow, wide, keep), f"{folder}/several")
+    pairs = _met_packs(packs.withColumn("crowded", F.lit(b"")), narrow, ["entry", "crowded"], several)
 
     def compare(batches):
-        held, size = [_NONE], 0  # combined in the task: a fingerprint of a large group meets many packs
+        held, size = [_NONE], 0  # combined in the task: a fingerprint meets several packs, in several tables
 
-        def rows(best):
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in best], names=["a", "b", "apart"])
+        def rows(listed):
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in _once(listed)], names=["a", "b", "apart", "more"])
 
         for batch in batches:
-            for x, y, mine, its in zip(*(batch.column(k) for k in range(4))):
+            for x, y, mine, its, crowded, theirs in zip(*(batch.column(k) for k in range(6))):
                 all_i, all_j = near_pairs(np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8"), narrow)
-                left, right = (np.frombuffer(e.as_py(), "<i8").reshape(-1, 4 + WIDE_WORDS) for e in (mine, its))
-                best = [_NONE]
+                left, right = _entries(mine.as_py(), 2), _entries(its.as_py(), 2)
+                free, their_free = (~np.frombuffer(c.as_py(), bool) for c in (crowded, theirs))
+                listed = [_NONE]
                 for k in range(0, len(all_i), _PAIRS_HELD):
                     i, j, apart = _apart(left, right, all_i[k : k + _PAIRS_HELD], all_j[k : k + _PAIRS_HELD], wide)
                     p, q = left[i, 0], right[j, 0]
-                    forth, back = ((apart > e[n, 2]) | (apart == e[n, 2]) & (o > e[n, 3]) for e, n, o in ((left, i, q), (right, j, p)))
-                    best.append(_best((np.concatenate([p[forth], q[back]]), np.concatenate([q[forth], p[back]]), np.concatenate([apart[forth], apart[back]])), keep))
-                held.append(_best(tuple(map(np.concatenate, zip(*best))), keep))
+                    if len(free):
+                        forth, back = free[i], their_free[j]
+                        p, q, apart = np.concatenate([p[forth], q[back]]), np.concatenate([q[forth], p[back]]), np.concatenate([apart[forth], apart[back]])
+                    listed.append(_listed((p, q, apart, np.zeros(len(p), bool)), keep))  # with itself a pack has both ways
+                held.append(_listed(tuple(map(np.concatenate, zip(*listed))), keep))
                 size += len(held[-1][0])
                 if size > ROWS_COMBINED:
-                    held = [_best(tuple(map(np.concatenate, zip(*held))), keep)]
+                    held = [_listed(tuple(map(np.concatenate, zip(*held))), keep)]
                     size = len(held[0][0])
                     if size > ROWS_COMBINED // 2:
                         yield rows(held[0])
                         held, size = [_NONE], 0
-        yield rows(_best(tuple(map(np.concatenate, zip(*held))), keep))
+        yield rows(_listed(tuple(map(np.concatenate, zip(*held))), keep))
 
-    found = pairs.mapInArrow(lean(compare), "a long, b long, apart long").distinct()
-    each = Window.partitionBy("a")  # at most keep + 1 rows from a task
+    found = pairs.mapInArrow(lean(compare), "a long, b long, apart long, more boolean").distinct()
+    each = Window.partitionBy("a", "more")  # tasks name several nearest and smallest; what others list stays
     ranked = found.withColumn("place", F.row_number().over(each.orderBy("apart", "b"))).withColumn("least", F.min("b").over(each))
-    return ranked.where((F.col("place") <= keep) | (F.col("b") == F.col("least"))).select("a", "b", "apart", "place")
+    return ranked.where(~F.col("more") | (F.col("place") == 1) | (F.col("b") == F.col("least"))).select("a", "b", "more")
 
 
 #: Pairs of a pack with another that are looked at together; bounds memory alone.
@@ -390,28 +428,44 @@ def _apart(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray, mo
     return i[near], j[near], apart[near]
 
 
-#: Rows of best partners that a task combines before it passes them on.
+#: Rows of partners that a task combines before it passes them on.
 ROWS_COMBINED = 400_000
-#: Partners that a fingerprint is held against in the rounds that look at texts; who has more after them is decided
-#: in packs, with all partners at once.
+#: Partners that a fingerprint lists from a task in the rounds that look at texts; who has more is decided in packs, with
+#: all partners at once.
 ROUNDS = (1, 4)
-_NONE = tuple(np.zeros(0, np.int64) for _ in range(3))
+_NONE = (*(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, bool))
 
 
-def _best(rows: tuple[np.ndarray, ...], keep: int) -> tuple[np.ndarray, ...]:
-    """Of rows (a, b, apart) each a's first ``keep`` by (apart, b), and the one with its smallest b."""
-    a, b, apart = rows
+def _listed(rows: tuple[np.ndarray, ...], keep: int) -> tuple[np.ndarray, ...]:
+    """Of rows (a, b, apart, more) all of each a that has up to ``keep`` and no ``more`` yet; of another a the nearest, by
+    (apart, b), and the one with its smallest b, with ``more``."""
+    a, b, apart, more = rows
     if not len(a):
         return rows
     order = np.lexsort((b, apart, a))
-    a, b, apart = a[order], b[order], apart[order]
+    a, b, apart, more = (x[order] for x in rows)
+    starts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+    lengths = np.diff(np.append(starts, len(a)))
+    more = np.repeat(np.logical_or.reduceat(more, starts), lengths)
     fresh = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]  # several tables find the same pair
-    a, b, apart = a[fresh], b[fresh], apart[fresh]
+    a, b, apart, more = a[fresh], b[fresh], apart[fresh], more[fresh]
     starts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
     lengths = np.diff(np.append(starts, len(a)))
+    more |= np.repeat(lengths > keep, lengths)
     place = np.arange(len(a)) - np.repeat(starts, lengths)
-    some = (place < keep) | (b == np.repeat(np.minimum.reduceat(b, starts), lengths))
-    return a[some], b[some], apart[some]
+    some = ~more | (place == 0) | (b == np.repeat(np.minimum.reduceat(b, starts), lengths))
+    return a[some], b[some], apart[some], more[some]
+
+
+def _once(rows: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """Rows of `_listed`, but of two without ``more`` that list each other one."""
+    a, b, _, more = rows
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((low, high, more))
+    low, high = low[order], high[order]
+    fresh = np.ones(len(a), bool)
+    fresh[1:] = more[order][1:] | (high[1:] != high[:-1]) | (low[1:] != low[:-1])
+    return tuple(x[order][fresh] for x in rows)
 
 
 #: Shingles that are told apart at once, and pairs, when sets of shingles are compared.
@@ -447,25 +501,26 @@ def decided_links(fingerprints: DataFrame, folder: str, share: float, similarity
     whose sets, ``size`` sorted 64-bit hashes, are this similar.
 
     Candidates are those of `candidate_links`, all of them: sets travel with the packs, a pair of packs decides its
-    candidates on the spot and returns links that span what is alike, never all pairs.
+    candidates on the spot, and a task returns links that span what is alike, never all pairs.
     """
     lead, chosen = _plan(fingerprints.count(), share)
     narrow, wide = _radius(BITS, share), _radius(BITS * WIDE_WORDS, share)
     packs = settle(gray_packs(_views(fingerprints.select("id", "wide", "grp", "size", "sets"), chosen), lead, ["entry", "sets"]), f"{folder}/packs")
 
     def compare(batches):
+        parent: dict[int, int] = {}  # over the whole task
         for batch in batches:
             found = []
             for x, y, mine, its, sets, their_sets in zip(*(batch.column(k) for k in range(6))):
                 all_i, all_j = near_pairs(np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8"), narrow)
-                left, right = (np.frombuffer(e.as_py(), "<i8").reshape(-1, 3 + WIDE_WORDS) for e in (mine, its))
+                left, right = _entries(mine.as_py(), 3), _entries(its.as_py(), 3)
                 cut = None
                 for k in range(0, len(all_i), _PAIRS_HELD):
                     i, j, _ = _apart(left, right, all_i[k : k + _PAIRS_HELD], all_j[k : k + _PAIRS_HELD], wide)
                     if len(i):
                         cut = cut or [np.split(np.frombuffer(z.as_py(), "<u8"), np.cumsum(e[:, 2])[:-1]) for z, e in ((sets, left), (their_sets, right))]
                         keep = _alike(i, j, *cut, similarity)
-                        found += spanning(left[i[keep], 0], right[j[keep], 0])
+                        found += spanning(left[i[keep], 0], right[j[keep], 0], parent)
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
 
     return _met_packs(packs, narrow, ["entry", "sets"]).mapInArrow(lean(compare), "a long, b long").distinct()
@@ -500,8 +555,8 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8)
     of ``width``-word shingles have this Jaccard similarity or more.
 
     Candidates come from the Gray-order index over wide SimHash fingerprints; each is decided by its shingles.
-    Equal texts are one entry. In a few rounds an entry is held against its next candidates, nearest first, that
-    aren't in its group yet, and against the smallest of them; entries that have more then travel with their sets of
+    Equal texts are one entry. In a few rounds an entry is held against its candidates that aren't in its group yet if
+    they are few, else against the nearest and the smallest of them; entries that have more then travel with their sets of
     shingles, and pairs of packs decide all candidates that are left. So no group's pairs are listed,
     nothing unlike is linked, and every candidate is decided; a pair at the threshold is missed only where no table
     of the index holds both, at most a fiftieth of such pairs by design. Texts without words (null, empty, white
@@ -521,8 +576,7 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8)
     entries = rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.first("wide").alias("wide"))
     entries = settle(entries.withColumn("id", F.monotonically_increasing_id()), f"{folder}/entries")
     share = _differing_share(similarity)
-    start = F.lit(-1).cast("long")
-    active = entries.select("id", "wide", F.col("id").alias("grp"), start.alias("apart"), start.alias("after"))
+    active = entries.select("id", "wide", F.col("id").alias("grp"))
     texts = tested = alike = groups = None
     for turn, keep in enumerate(ROUNDS):
         met = settle(candidate_links(active, f"{folder}/{turn}", share, keep), f"{folder}/{turn}/met")
@@ -537,14 +591,13 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8)
         if not more.isEmpty():
             alike = more if alike is None else alike.unionByName(more)
             groups = components(alike, "similar")
-        # who met as many as it may has perhaps not met all; whoever met fewer has, and so have its partners met it
-        marks = met.where(F.col("place") <= keep).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n"), F.max(F.struct("apart", "b")).alias("m")).where(F.col("n") == keep)
-        left = marks.select("id", "m.apart", F.col("m.b").alias("after"))
+        # a pair that neither lists is one of two entries that both have more
+        left = met.where("more").select(F.col("a").alias("id")).distinct()
         if left.isEmpty():
             break
         tested = links if tested is None else tested.unionByName(links)
-        active = entries.join(left, "id")
-        active = active.select("id", "wide", F.col("id").alias("grp"), "apart", "after") if groups is None else active.join(groups, "id", "left").select("id", "wide", F.coalesce("root", "id").alias("grp"), "apart", "after")
+        active = entries.join(left, "id").select("id", "wide")
+        active = active.withColumn("grp", F.col("id")) if groups is None else active.join(groups, "id", "left").select("id", "wide", F.coalesce("root", "id").alias("grp"))
     else:
         def shingle_sets(batches):
             for batch in batches:

@@ -746,6 +746,45 @@ def test_every_candidate_is_decided(spark):
     assert got == want
 
 
+def test_rows_of_a_group_do_not_grow_with_its_square(spark, tmp_path, monkeypatch):
+    """Near fingerprints that fill many packs, dealt over tasks that grow with them: four times the group, about four times
+    the rows listed."""
+    lean, made = simhash.lean, {}
+
+    def counting(task):
+        rows = made[size]
+
+        def run(batches):
+            for batch in task(batches):
+                rows.add(batch.num_rows)
+                yield batch
+
+        return lean(run if task.__name__ == "compare" else task)
+
+    monkeypatch.setattr(simhash, "lean", counting)
+    monkeypatch.setattr(simhash, "PACK_SIZE", 16)
+    monkeypatch.setattr(simhash, "WIDE_NODE_SIZE", 4096)  # one node a table
+    settings = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "2k", "spark.sql.files.openCostInBytes": "2k"}
+    before = {k: spark.conf.get(k) for k in settings}
+    rng = np.random.default_rng(29)
+    bits = np.repeat(rng.integers(0, 2, (1, 256), dtype=np.uint8), 512, 0) ^ (rng.random((512, 256)) < 0.07)
+    wide = np.packbits(bits.astype(np.uint8), axis=1, bitorder="little")
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        for size in (128, 512):
+            spark.conf.set("spark.sql.shuffle.partitions", size // 8)
+            made[size] = spark.sparkContext.accumulator(0)
+            rows = [(i, wide[i].tobytes(), i, -1, -1) for i in range(size)]
+            frame = spark.createDataFrame(rows, "id long, wide binary, grp long, apart long, after long")
+            found = simhash.candidate_links(frame, f"file://{tmp_path}/{size}", simhash._differing_share(0.8), 4).collect()
+            assert {r.a for r in found} == set(range(size))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert made[512].value < 6 * made[128].value, {k: v.value for k, v in made.items()}
+
+
 def test_rows_without_ids_spread(spark, tmp_path):
     """Rows that all lack a doc_id, or share one, go to many buckets, shards and stripes."""
     texts = [" ".join(f"w{i}x{k}" for k in range(50)) for i in range(400)]
