@@ -251,6 +251,19 @@ def test_mp4_pushed_conditions_read_no_more(spark, tmp_path, monkeypatch):
     assert len(got) == sum(100 <= r.pts < 300 and r.stream_index == 0 for r in whole) and sum(taken) == sum(len(r["data"]) for r in got) < sum(len(r.data) for r in whole) / 4
 
 
+def test_small_mp4_files_share_tasks(spark, tmp_path):
+    """A task reads many small files and gives their rows in few batches; a large file still has several tasks."""
+    rows = [(f"{n}.mp4", 0, i, None, None, 10, 1000, "h264", True, None, 0, 0, 64, 48, bytes([n, i]) * 4) for n in range(60) for i in range(2)]
+    register(spark)
+    spark.createDataFrame(rows, mp4.SCHEMA).repartition(2, "path").sortWithinPartitions("path", "seq").write.format("mp4").mode("append").save(f"file://{tmp_path}/m")
+    reader = lambda **o: mp4.Mp4Reader({"path": f"file://{tmp_path}/m", **o})
+    whole = spark.read.format("mp4").load(f"file://{tmp_path}/m")
+    assert whole.rdd.getNumPartitions() == 1 and sorted((r.path.rsplit("/", 1)[1], r.seq, r.data) for r in whole.collect()) == sorted((r[0], r[2], r[-1]) for r in rows)
+    assert [b.num_rows for p in reader().partitions() for b in reader().read(p)] == [120]
+    assert [len(p.files) for p in reader(bytesPerPartition=str(20 << 20)).partitions()] == [19, 19, 19, 3]
+    assert len(reader(bytesPerPartition="700").partitions()) == sum(-(-f.stat().st_size // 700) for f in (tmp_path / "m").glob("*.mp4"))
+
+
 def test_stretches_give_the_same(spark):
     """Sums, places, runs and frames in stretches of any length against one task's."""
     import random
