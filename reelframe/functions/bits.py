@@ -92,12 +92,10 @@ def nal_type(byte: Column) -> Column:
 
 def annex_b_units(data: bytes) -> Iterator[bytes]:
     """Units between start codes of three or four bytes; empty ones and what stands before the first are dropped."""
-    at = data.find(b"\x00\x00\x01")
-    while at >= 0:
-        start, at = at + 3, data.find(b"\x00\x00\x01", at + 3)
-        end = len(data) if at < 0 else at - 1 if at > start and data[at - 1] == 0 else at
-        if end > start:
-            yield data[start:end]
+    units = data.split(b"\x00\x00\x01")[1:]
+    if b"\x00\x00\x00\x01" in data:  # a zero before a start code belongs to it
+        units[:-1] = [u[:-1] if u.endswith(b"\x00") else u for u in units[:-1]]
+    return filter(None, units)
 
 
 def annex_b_pieces(data: Column) -> Column:

@@ -17,6 +17,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Rows of one frame that goes back to Spark, and bytes of pieces that are split at once.
 ROWS_AT_ONCE, BYTES_AT_ONCE = 4096, 1 << 20
+#: Units in one list, and about the bytes of a list: Spark holds as many lists as rows before it sends them.
+UNITS_A_LIST, BYTES_A_LIST = 64, 4096
 
 
 def _grouped(rows: DataFrame, keys: list[str], run: Callable, output: str, state: str, timeout: str = GroupStateTimeout.NoTimeout) -> DataFrame:
@@ -25,8 +27,9 @@ def _grouped(rows: DataFrame, keys: list[str], run: Callable, output: str, state
 
 def _in_order(batches: Iterator[pd.DataFrame], columns: list[str], order: list[str]) -> Iterator[tuple]:
     """Rows of a micro-batch by ``order``, as tuples of ``order`` and ``columns``; each frame is sorted, then they are merged."""
-    frames = [b.sort_values(order)[[*order, *columns]] for b in batches]
-    return merge(*(f.itertuples(index=False, name=None) for f in frames), key=lambda r: r[: len(order)])
+    frames = [b if len(order) == 1 and b[order[0]].is_monotonic_increasing else b.sort_values(order) for b in batches]
+    rows = [zip(*(f[c].tolist() if f[c].dtype == object else f[c] for c in (*order, *columns))) for f in frames]
+    return rows[0] if len(rows) == 1 else merge(*rows, key=lambda r: r[: len(order)])
 
 
 def _out(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
@@ -144,21 +147,54 @@ def pcm_stream(rows: DataFrame, key: str, codec: str, channels: int = 1, key_typ
 def frame_stream(rows: DataFrame, key: str, split: Callable[[bytes], tuple[list[bytes], bytes]], key_type: str = "string") -> DataFrame:
     """Units of an elementary stream that arrives in pieces ``rows(key, seq long, data binary, eos boolean)``.
 
-    ``split`` gives the whole units of what is there and the rest, which waits for the next piece; at the end of
-    the stream the rest is a unit too, if there is any. Emits ``(key, unit_no, unit)``.
+    ``split`` gives the whole units of what is there and the rest, which waits for what follows; at the end of
+    the stream the rest is a unit too, if there is any. Emits ``(key, unit_no, unit)``. Pieces that follow one another
+    in a micro-batch are split together, and units leave the task in lists.
     """
+    names = [key, "__first", "__units"]
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[bytes, bool]]:
+        """Bytes of neighbouring pieces, `BYTES_AT_ONCE` at most, and whether the stream ends after them."""
+        held, size = [], 0
+        for _, data, eos in _in_order(batches, ["data", "eos"], ["seq"]):
+            data, ended = data or b"", bool(eos)
+            if held and size + len(data) > BYTES_AT_ONCE:
+                yield b"".join(held), False
+                held, size = [], 0
+            if len(data) > BYTES_AT_ONCE:
+                cuts = [data[i : i + BYTES_AT_ONCE] for i in range(0, len(data), BYTES_AT_ONCE)]
+                yield from ((c, False) for c in cuts[:-1])
+                data = cuts[-1]
+            held.append(data)
+            size += len(data)
+            if ended:
+                yield b"".join(held), True
+                held, size = [], 0
+        if held:
+            yield b"".join(held), False
 
-    def step(state: tuple, row: tuple, ended: bool):
-        number, units, rest = state[0], [], bytes(state[1])
-        data = bytes(row[0] or b"")
-        for at in range(0, len(data), BYTES_AT_ONCE):
-            more, rest = split(rest + data[at : at + BYTES_AT_ONCE])
-            units += more
-        if ended and rest:
-            units, rest = [*units, rest], b""
-        return (number + len(units), rest), [(number + i, u) for i, u in enumerate(units)]
-
-    return _stateful(rows, key, key_type, ["data"], (0, b""), step, [("unit_no", "long"), ("unit", "binary")], "number long, rest binary")
+    def run(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        number, rest = state.get if state.exists else (0, b"")
+        rest, any_yet = bytes(rest), False
+        for data, ended in whole(batches):
+            units, rest = split(rest + data) if data else ([], rest)
+            if ended and rest:
+                units, rest = [*units, rest], b""
+            if units:
+                most = max(1, min(UNITS_A_LIST, BYTES_A_LIST * len(units) // max(1, sum(map(len, units)))))
+                starts = range(0, len(units), most)
+                yield pd.DataFrame({key: [k[0]] * len(starts), "__first": [number + i for i in starts], "__units": [units[i : i + most] for i in starts]})
+                any_yet = True
+            number = 0 if ended else number + len(units)
+        if not any_yet:
+            yield pd.DataFrame([], columns=names)
+        if number or rest:
+            state.update((number, rest))
+        elif state.exists:
+            state.remove()
+
+    found = _grouped(rows, [key], run, f"{key} {key_type}, __first long, __units array<binary>", "number long, rest binary")
+    return found.select(key, "__first", F.posexplode("__units").alias("__place", "unit")).select(key, (F.col("__first") + F.col("__place")).alias("unit_no"), "unit")
 
 
 def interleave_stream(rows: DataFrame, key: str, ts: str, late: str, key_type: str = "string") -> DataFrame:

@@ -428,6 +428,56 @@ def test_error_policies_and_seek_flags(spark):
     assert str(MediaError("eof", "x")) == KINDS["eof"] and str(MediaError("unsupported", "h264")) == "unsupported: h264"
 
 
+def test_framing_splits_pieces_together(monkeypatch):
+    """Any cut into pieces, frames and micro-batches gives the same units; neighbouring pieces are split at once."""
+    import random
+
+    import pandas as pd
+
+    held, calls, rng = {}, [], random.Random(5)
+
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+        def remove(self):
+            self.exists, self.get = False, None
+
+    def split(data):
+        calls.append(len(data))
+        return stateful.annex_b_pieces(data)
+
+    def grouped(rows, keys, run, *_):
+        held["run"] = run
+        raise InterruptedError
+
+    monkeypatch.setattr(stateful, "_grouped", grouped)
+    with pytest.raises(InterruptedError):
+        stateful.frame_stream(None, "k", split, "long")
+    unit = lambda: bytes(rng.choice(b"\1ABCD") for _ in range(rng.randrange(1, 9)))
+    streams = [[unit() for _ in range(rng.randrange(1, 200))] for _ in range(3)]
+    rows = []
+    for units in streams:
+        data = b"".join(b"\0\0\1" + u for u in units)
+        cuts = sorted({0, len(data), *(rng.randrange(len(data)) for _ in range(20))})
+        rows += [(data[a:b], b == len(data)) for a, b in zip(cuts, cuts[1:])]
+    want = [(i, u) for units in streams for i, u in enumerate([*units[:-1], b"\0\0\1" + units[-1]])]
+    for at_once, batches in ((1 << 20, 1), (1 << 20, 3), (7, 2)):
+        monkeypatch.setattr(stateful, "BYTES_AT_ONCE", at_once)
+        calls.clear()
+        state, got, step = State(), [], -(-len(rows) // batches)
+        for a in range(0, len(rows), step):
+            part = [(9, i, *rows[i]) for i in range(a, min(a + step, len(rows)))]
+            rng.shuffle(part)
+            frames = [pd.DataFrame(part[i::2], columns=["k", "seq", "data", "eos"]) for i in (0, 1)]
+            for frame in held["run"]((9,), iter(frames), state):
+                got += [(first + i, u) for first, units in zip(frame["__first"], frame["__units"]) for i, u in enumerate(units)]
+        assert got == want and not state.exists
+        assert at_once == 7 or len(calls) <= len(streams) + batches - 1
+
+
 def test_growing_raw_streams(spark, tmp_path):
     """A file that grows between triggers and restarts is framed once; its end comes when its mark does."""
     register(spark)
