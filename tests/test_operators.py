@@ -502,6 +502,26 @@ def test_growing_raw_streams(spark, tmp_path):
     assert run() == want and run() == want
 
 
+def test_raw_files_share_tasks(tmp_path):
+    """Small files share a task, of which each file is opened once; large ones have several tasks; nothing is left out."""
+    from reelframe.sources.raw_stream import RawStreamReader
+
+    for i in range(300):
+        (tmp_path / f"{i:03}.raw").write_bytes(bytes([i % 256]) * (i % 40))
+        (tmp_path / f"{i:03}.raw.end").touch()
+    (tmp_path / "big.raw").write_bytes(bytes(130 << 20))
+    reader = RawStreamReader({"path": f"file://{tmp_path}", "bytesPerPartition": str(20)})
+    end = reader.latestOffset()
+    end["taken"] = {p: n for p, n in end["taken"].items() if "big" not in p}
+    tasks = reader.partitions(reader.initialOffset(), end)
+    rows = [r for t in tasks for r in reader.read(t)]
+    assert len(tasks) == 2 and len(rows) == sum(max(1, -(-(i % 40) // 20)) for i in range(300)) and sum(r[3] for r in rows) == 300
+    assert all(b"".join(r[2] for r in rows if r[0].endswith(f"/{i:03}.raw")) == bytes([i % 256]) * (i % 40) for i in range(300))
+    assert reader.partitions(end, end) == []
+    large = RawStreamReader({"path": f"file://{tmp_path}/big.raw"})
+    assert len(large.partitions(large.initialOffset(), {"taken": dict([*large.latestOffset()["taken"].items()]), "ended": []})) == 3
+
+
 def test_subtitles_by_sql(spark):
     from reelframe.functions import subtitles
 
