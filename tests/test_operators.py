@@ -1,5 +1,8 @@
 """Timelines, seeking, containers and streams on small known inputs."""
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -251,6 +254,24 @@ def test_mp4_pushed_conditions_read_no_more(spark, tmp_path, monkeypatch):
     assert len(got) == sum(100 <= r.pts < 300 and r.stream_index == 0 for r in whole) and sum(taken) == sum(len(r["data"]) for r in got) < sum(len(r.data) for r in whole) / 4
 
 
+def test_index_plans_keep_no_rows(spark, tmp_path):
+    """What the driver holds of an index grows with the tasks, not with the stretches; together they are read once."""
+    import pickle
+
+    tables = []
+    for n in range(400):
+        rows = list(mp4_index._stretches(mp4.track_samples(f"/m/{n % 200:03}.mp4", n // 200, mp4.Track("h264", 1000, offsets=np.arange(90) * 10, sizes=np.full(90, 10), durations=np.full(90, 1), sync=np.arange(90) % 9 == 0)), 3))
+        tables.append(pa.Table.from_pylist(rows, schema=mp4_index._ARROW))
+    pq.write_table(pa.concat_tables(tables), f"{tmp_path}/x.parquet", row_group_size=5000)
+    keys = lambda tasks, bounds: sorted((s.path, s.stream, int(s.seq[0])) for t in tasks for s in mp4_index.load_stretches(f"file://{tmp_path}", t, bounds))
+    bounds = mp4.Bounds()
+    tasks = mp4_index.plan_stretches(f"file://{tmp_path}", bounds, 256 << 20)
+    assert len(pickle.dumps(tasks)) < 2000 and len(tasks) <= 3 and len(keys(tasks, bounds)) == len(set(keys(tasks, bounds))) == 12_000
+    assert len(mp4_index.plan_stretches(f"file://{tmp_path}", bounds, 16 << 20)) >= 25
+    bounds.low["seq"], bounds.high["seq"], bounds.paths = 40, 44, {"/m/007.mp4", "/m/100.mp4", "none"}
+    assert keys(mp4_index.plan_stretches(f"file://{tmp_path}", bounds, 1), bounds) == [(p, s, a) for p in ("/m/007.mp4", "/m/100.mp4") for s in (0, 1) for a in (39, 42)]
+
+
 def test_small_mp4_files_share_tasks(spark, tmp_path):
     """A task reads many small files and gives their rows in few batches; a large file still has several tasks."""
     rows = [(f"{n}.mp4", 0, i, None, None, 10, 1000, "h264", True, None, 0, 0, 64, 48, bytes([n, i]) * 4) for n in range(60) for i in range(2)]
