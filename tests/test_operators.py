@@ -182,6 +182,64 @@ def test_mp4_sample_tables():
     assert len(mp4.read_tracks(_moov([], [36], [(1, 4_000_000_000)], [(4_000_000_000, 1)], same=7), 1000)[0].sizes) == 1000 // 7
 
 
+def test_long_tables_in_blocks():
+    """Blocks of any length give the samples that the whole tables do, also of odd tables and of several tracks."""
+    import io
+    import random
+
+    rng = random.Random(4)
+    for case in range(300):
+        n = rng.randrange(0, 40)
+        sizes = [rng.randrange(0, 9) for _ in range(n)]
+        chunks = [rng.randrange(0, 5000) for _ in range(rng.choice([0, 1, 3, 12, 40]))]
+        runs = [(rng.randrange(0, 14), rng.choice([0, 1, 2, 5, 4_000_000_000])) for _ in range(rng.choice([0, 1, 3]))]
+        times = [(rng.choice([0, 1, 3, 7, 4_000_000_000]), rng.randrange(0, 4)) for _ in range(rng.choice([0, 1, 2, 9]))]
+        sync = rng.choice([None, [rng.randrange(0, 45) for _ in range(5)]])
+        data = _moov(sizes, chunks, runs, times, sync, same=rng.choice([0, 0, 7]))
+        if case % 3 == 0:
+            data = mp4.box(b"moov", data[8:], mp4.box(b"trak", b""), data[8:])
+        size = max(300, len(data))
+        want = [mp4.track_samples("p", i, t) for i, t in enumerate(mp4.read_tracks(data, size))]
+        for at_once in (1, 3, 16, 1000):
+            blocks = list(mp4.file_samples(io.BytesIO(data), "p", size, at_once, 0))
+            assert all(len(b.seq) <= at_once for b in blocks)
+            for s in want:
+                own = [b for b in blocks if b.stream == s.stream]
+                for name in ("seq", "pts", "offsets", "sizes", "durations", "sync"):
+                    assert [x for b in own for x in getattr(b, name).tolist()] == np.asarray(getattr(s, name)).tolist(), (case, name)
+                assert all((b.track.codec, b.track.timescale, b.track.rate, b.track.channels) == (s.track.codec, s.track.timescale, s.track.rate, s.track.channels) for b in own)
+    with pytest.raises(ValueError, match="no track"):
+        list(mp4.file_samples(io.BytesIO(mp4.box(b"moov", bytes(20))), "p", 28, 4, 0))
+
+
+def test_a_film_is_put_together_in_little_memory(tmp_path):
+    """Tables of a million samples go from parts to the file and back without being in memory together."""
+    import tracemalloc
+
+    folder, rows = f"file://{tmp_path}", []
+    for piece in range(16):
+        part = mux._Part(folder, "f.mp4", 0, piece)
+        part.out.write(b"xy" * 65_536)
+        for stream in (0, 1):
+            numbers = np.arange(32_768)
+            columns = tuple(mux.array(c) for c in "qqqb")
+            for column, values in zip(columns, (np.full(32_768, 2), numbers * 4 + 2 * stream, 1 + numbers % 50, (numbers % 5 == 0) | (stream == 1))):
+                column.frombytes(values.astype("i1" if column.typecode == "b" else "i8").tobytes())
+            part.tracks[stream] = {"stream": stream, "codec": "aac" if stream else "h264", "timescale": 90_000, "rate": 48_000, "channels": 2, "width": 64, "height": 48}, columns
+        part.bytes = 131_072
+        rows += part.close().to_pylist()
+    tracemalloc.start()
+    with open(tmp_path / "f.mp4", "wb") as out:
+        mux._whole(out, rows, "mp4")
+    seen = [0, 0]
+    with open(tmp_path / "f.mp4", "rb") as f:
+        for s in mp4.file_samples(f, "f", (tmp_path / "f.mp4").stat().st_size):
+            assert (s.durations == 1 + (s.seq % 32_768) % 50).all() and (s.offsets == 36 + s.seq * 4 + 2 * s.stream).all() and (s.sync == ((s.seq % 32_768 % 5 == 0) | (s.stream == 1))).all()
+            seen[s.stream] += len(s.seq)
+    assert seen == [524_288, 524_288] and tracemalloc.get_traced_memory()[1] < 24 << 20
+    tracemalloc.stop()
+
+
 def _written_mp4(spark, folder):
     rows = [(f"{name}.mp4", s, i, None, None, 10 * (1 + i % 3), 1000, "aac" if s else "h264", s == 1 or i % 7 == 3, None, 44100, 2, 64, 48, bytes([s, i]) * (5 + i)) for name in "ab" for i in range(60) for s in (0, 1)]
     spark.createDataFrame(rows, mp4.SCHEMA).repartition("path").sortWithinPartitions("path", "seq").write.format("mp4").mode("append").save(f"file://{folder}")
